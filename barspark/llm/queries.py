@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from barspark.llm import linededup
 from barspark.llm.bpe import op5_bpe
 from barspark.llm.linededup import op8_line_dedup
+from barspark.llm.packing import op4_pack
 from barspark.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_bpe, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op4_pack, op5_bpe, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
