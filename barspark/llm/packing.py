@@ -212,7 +212,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = F.xxhash64(*[F.col(c) for c in names])
     dealt = pieces.withColumn("_spread", spread).repartitionByRange(number, "length", "_spread").sortWithinPartitions("length", "_spread").drop("_spread")
-    ranks = materialize(dealt.mapInArrow(ranked, T.StructType(pieces.schema.fields).add("_part", "integer").add("_rank", "long")), "ranked_pieces")
+    ranks = materialize(dealt.mapInArrow(ranked, T.StructType(list(pieces.schema.fields)).add("_part", "integer").add("_rank", "long")), "ranked_pieces")
     counts = sorted((r["length"], r["_part"], r["n"]) for r in ranks.groupBy("length", "_part").agg(F.count("*").alias("n")).collect())
     offsets, total = {}, {}
     for length, part, n in counts:
@@ -244,7 +244,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     shared = spark.sparkContext.broadcast((offsets, tables))
-    return ranks.mapInArrow(placed, T.StructType(pieces.schema.fields).add("sequence_id", "long").add("offset", "long"))
+    return ranks.mapInArrow(placed, T.StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
