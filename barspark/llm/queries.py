@@ -6,20 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barspark.llm import embeddings, linededup
+from barspark.llm import embeddings, linededup, warc
 from barspark.llm.bpe import op5_bpe
 from barspark.llm.embeddings import op10_embedding_dedup
 from barspark.llm.linededup import op8_line_dedup
 from barspark.llm.packing import op4_pack
 from barspark.llm.sharding import op7_sharding
 from barspark.llm.simhash import op1_simhash
+from barspark.llm.warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op4_pack, op5_bpe, op7_sharding, op8_line_dedup, op10_embedding_dedup)
+    found = (op1_simhash, op2_warc, op4_pack, op5_bpe, op7_sharding, op8_line_dedup, op10_embedding_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL can express; the others are tested against brute force."""
-    return {"op8_line_dedup": linededup.ORACLE, "op10_embedding_dedup": embeddings.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op8_line_dedup": linededup.ORACLE, "op10_embedding_dedup": embeddings.ORACLE}
