@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barspark.llm import embeddings, linededup, warc
 from barspark.llm.bpe import op5_bpe
 from barspark.llm.embeddings import op10_embedding_dedup
+from barspark.llm.langid import op6_langid
 from barspark.llm.linededup import op8_line_dedup
 from barspark.llm.packing import op4_pack
 from barspark.llm.sharding import op7_sharding
@@ -17,7 +18,7 @@ from barspark.llm.warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op4_pack, op5_bpe, op7_sharding, op8_line_dedup, op10_embedding_dedup)
+    found = (op1_simhash, op2_warc, op4_pack, op5_bpe, op6_langid, op7_sharding, op8_line_dedup, op10_embedding_dedup)
     return {f.__name__: f for f in found}
 
 
