@@ -9,6 +9,7 @@ that does not hold are merged step by step.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 
 from barspark.llm.common import read_table
 
-#: Entries of either memo (of words, of stretches between blanks) of a Python worker; a full one is emptied.
+#: Words that a Python worker remembers; a full memo is emptied.
 MEMO = 400_000
 #: Bits of the table of merges, and the odd factor that spreads pairs over it.
 TABLE, HASH = 18, np.uint64(0x9E3779B97F4A7C15)
 #: Words that are merged together.
 BLOCK = 8192
-#: Blanks beyond the ASCII ones: a text that holds one is cut at ASCII blanks only.
-ODD = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-ASCII_BLANKS = regex.compile(r"[^\x20\x09-\x0D]+")
+#: The way words are cut that ``PLAIN`` follows, for a text with no character that ``BEYOND`` finds.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zà-öø-ÿ0-9]+")
+BEYOND = re.compile(r"[^\x00-\x1b\x20-\x7fà-öø-ÿ]")
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -84,8 +86,8 @@ class Encoder:
             self.reach[t[:3]] = max(self.reach.get(t[:3], 1), len(t))
         self.longest_last = max(map(len, self.last))
         self.pairs: dict[int, bool] = {}
-        self.speculate, self.word_memo = speculate, {}
-        self.memo_size, self.memo = memo, {t: array("I", [i]).tobytes() for t, i in self.special.items()}
+        self.plain, self.speculate = pieces == CUT, speculate
+        self.memo_size, self.memo = memo, {" " + t: array("I", [i]).tobytes() for t, i in self.special.items()}
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -215,55 +217,41 @@ class Encoder:
             out[w] = ids
         return out
 
-    def pretokens(self, chunk: str) -> list[str]:
-        """The words, in byte letters, of a stretch of text without a special token."""
-        if chunk.isascii() and chunk.isprintable():
-            return [chunk.lower()] if chunk.isalpha() else self.pattern.findall(chunk.lower())
-        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        found = [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
-        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.latin) for w in found]
-
-    def learn(self, chunks: list[str]) -> None:
-        """Put the ids of ``chunks``, and of their words, into the memos, as bytes."""
-        memo, ids = self.memo, self.word_memo
-        split = list(map(self.pretokens, chunks))
-        words = set().union(*split).difference(ids)
-        if len(ids) + len(words) > self.memo_size:
-            ids.clear()
-            words = set().union(*split)
-        if words:
-            new = list(words)
-            ids.update(zip(new, self.encode_words(new) if self.speculate else self.merge_many(new)))
-        for chunk, found in zip(chunks, split):
-            memo[chunk] = ids[found[0]] if len(found) == 1 else b"".join([ids[w] for w in found])
-
-    def plain_chunks(self, text: str) -> list[str]:
-        """``text`` cut at blanks, where no word, merge or composition of letters crosses."""
-        return ASCII_BLANKS.findall(text) if ODD.search(text) else text.split()
+    def pretokens(self, text: str) -> list[str]:
+        """The words and signs of a stretch of text without a special token, normalised."""
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        if self.plain and not BEYOND.search(text):
+            return PLAIN.findall(text)
+        return self.pattern.findall(text)
+
+    def byte_letters(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.latin)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[str]] = []
+        split: list[list[str]] = []
         for text in texts:
             if "<|" in text and self.special_pattern and self.special_pattern.search(text):
                 parts: list[str] = []
                 at = 0
                 for m in self.special_pattern.finditer(text):
-                    parts += self.plain_chunks(text[at : m.start()])
-                    parts.append(m[0])
+                    parts += self.pretokens(text[at : m.start()])
+                    parts.append(" " + m[0])  # with a blank, which no word has
                     at = m.end()
-                cut.append(parts + self.plain_chunks(text[at:]))
+                split.append(parts + self.pretokens(text[at:]))
             else:
-                cut.append(self.plain_chunks(text))
+                split.append(self.pretokens(text))
         memo = self.memo
-        new = set().union(*cut).difference(memo)
+        new = set().union(*split)
+        new.difference_update(memo)
         if len(memo) + len(new) > self.memo_size:
             memo.clear()
-            memo.update({t: array("I", [i]).tobytes() for t, i in self.special.items()})
-            new = set().union(*cut).difference(memo)
-        self.learn(list(new))
-        take = memo.__getitem__
-        return [b"".join(map(take, parts)) for parts in cut]
+            memo.update({" " + t: array("I", [i]).tobytes() for t, i in self.special.items()})
+            new = set().union(*split).difference(memo)
+        if new:
+            words = list(map(self.byte_letters, new))
+            memo.update(zip(new, self.encode_words(words) if self.speculate else self.merge_many(words)))
+        return [b"".join(map(memo.__getitem__, parts)) for parts in split]
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by blanks, as a vocabulary file without a decoder asks for."""
