@@ -15,11 +15,12 @@ from barspark.llm.packing import op4_pack
 from barspark.llm.quality import op9_quality
 from barspark.llm.sharding import op7_sharding
 from barspark.llm.simhash import op1_simhash
+from barspark.llm.toxicity import op3_toxicity
 from barspark.llm.warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op4_pack, op5_bpe, op6_langid, op7_sharding, op8_line_dedup, op9_quality, op10_embedding_dedup)
+    found = (op1_simhash, op2_warc, op3_toxicity, op4_pack, op5_bpe, op6_langid, op7_sharding, op8_line_dedup, op9_quality, op10_embedding_dedup)
     return {f.__name__: f for f in found}
 
 
