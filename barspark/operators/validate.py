@@ -79,8 +79,9 @@ def fractional_volumes(bars: DataFrame) -> DataFrame:
 
 def lossy_numbers(df: DataFrame, column: str) -> DataFrame:
     """Rows whose integer, decimal or text does not survive a double."""
-    exact = F.expr(f"try_cast({column} AS decimal(38,10))")
-    back = F.expr(f"try_cast(try_cast({column} AS double) AS decimal(38,10))")
+    kind = "bigint" if df.schema[column].dataType.typeName() in ("long", "integer", "short", "byte") else "decimal(38,10)"
+    exact = F.expr(f"try_cast({column} AS {kind})")
+    back = F.expr(f"try_cast(try_cast({column} AS double) AS {kind})")
     return df.where(F.col(column).isNotNull() & (exact.isNull() | back.isNull() | (exact != back)))
 
 

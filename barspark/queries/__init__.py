@@ -34,9 +34,9 @@ def ship_bars_sql(unit: str = "day", by_brand: bool = False) -> str:
     symbol = "p_brand" if by_brand else "l_returnflag || l_linestatus"
     source = "lineitem JOIN part ON l_partkey = p_partkey" if by_brand else "lineitem"
     return f"""bars AS (
-  SELECT {symbol} AS symbol, date_trunc('{unit}', l_shipdate)::TIMESTAMP AS ts, first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber) AS open,
+  SELECT {symbol} AS symbol, date_trunc('{unit}', l_shipdate)::TIMESTAMP AS ts, first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS open,
     max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-    last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber) AS close, sum(l_quantity) AS volume
+    last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS close, sum(l_quantity) AS volume
   FROM {source} GROUP BY 1, 2
 )"""
 

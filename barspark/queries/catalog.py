@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from barspark.functions import indicators as ind
 from barspark.operators.resample import resample_sessions
 from barspark.queries import bars as _bars  # noqa: F401
+from barspark.queries import tables as _tables  # noqa: F401
+from barspark.queries import windows as _windows  # noqa: F401
 from barspark.queries import event_bars_sql, query, SESSIONS_SQL, sessions
 from barspark.sources.bars import event_bars
 

@@ -27,7 +27,7 @@ def ship_bars(spark: SparkSession, sf_dir: str, unit: str = "day", by_brand: boo
     if by_brand:
         rows = rows.join(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     symbol = F.col("p_brand") if by_brand else F.concat("l_returnflag", "l_linestatus")
-    rows = rows.select(symbol.alias("symbol"), F.date_trunc(unit, F.col("l_shipdate").cast("timestamp")).alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", F.struct("l_orderkey", "l_linenumber").alias("key"))
+    rows = rows.select(symbol.alias("symbol"), F.date_trunc(unit, F.col("l_shipdate").cast("timestamp")).alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("key"))
     return rows.groupBy("symbol", "ts").agg(
         F.min_by("price", "key").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "key").alias("close"), F.sum("l_quantity").alias("volume")
     )
