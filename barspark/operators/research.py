@@ -153,3 +153,50 @@ def entry_exit_signals(df: DataFrame, limit: float, exit_level: float) -> DataFr
 
     entry = crossed_above("fast", "slow") & true(F.col("rsi") < limit)
     return df.withColumns({"entry": entry, "exit": crossed_below("fast", "slow") | true(F.col("rsi") > exit_level)})
+
+
+def last_month(periods: DataFrame, bars: DataFrame) -> DataFrame:
+    """``periods(symbol, start_ts, end_ts)`` clipped to the last calendar month before the symbol's latest bar, inclusive."""
+    latest = bars.groupBy("symbol").agg(F.max("ts").alias("_latest"))
+    since = F.add_months("_latest", -1).cast("timestamp") + (F.unix_seconds("_latest") - F.unix_seconds(F.date_trunc("day", "_latest"))) * F.expr("INTERVAL 1 SECOND")
+    df = periods.join(latest, "symbol").withColumn("_since", since).where(F.col("end_ts") >= F.col("_since"))
+    return df.withColumn("start_ts", F.greatest("start_ts", "_since")).drop("_latest", "_since")
+
+
+def joint_funding(orders: DataFrame, cash: float, by_priority: bool = False) -> DataFrame:
+    """``orders(ts, symbol, cost, score)`` with ``funded``: in proportion to cost where cash is short, or in order of score until it is used up."""
+    if not by_priority:
+        total = F.sum("cost").over(Window.partitionBy("ts"))
+        return orders.withColumn("funded", F.col("cost") * F.least(F.lit(1.0), ratio(F.lit(cash), total)))
+    before = F.sum("cost").over(Window.partitionBy("ts").orderBy(F.desc("score"), "symbol").rowsBetween(Window.unboundedPreceding, -1))
+    return orders.withColumn("funded", F.greatest(F.lit(0.0), F.least(F.col("cost"), cash - F.coalesce(before, F.lit(0.0)))))
+
+
+def suppress_redundant(intervals: DataFrame, least: int = 5, percent: float = 5.0) -> DataFrame:
+    """``intervals(symbol, start_rn, end_rn, direction, clarity)`` without those whose both ends lie near a kept one of the same direction.
+
+    The tolerance is ``least`` bars or ``percent`` of the shorter of two. Chronological, at
+    equal starts the clearer and then the longer first; only kept intervals suppress. Intervals
+    whose starts are further apart than any tolerance cannot meet, so the fold runs over
+    clusters of near starts, not over a series.
+    """
+    longest = F.max(F.col("end_rn") - F.col("start_rn") + 1).over(Window.partitionBy("symbol", "direction"))
+    order = Window.partitionBy("symbol", "direction").orderBy("start_rn", F.desc("clarity"), F.desc("end_rn"))
+    reach = F.greatest(F.lit(float(least)), longest * percent / 100)
+    df = intervals.withColumn("_reach", reach)
+    df = df.withColumn("_new", (F.coalesce(F.col("start_rn") - F.lag("start_rn").over(order) > F.col("_reach"), F.lit(True))).cast("int"))
+    df = df.withColumn("_cluster", F.sum("_new").over(order))
+    item = F.struct(F.col("start_rn").cast("long").alias("s"), (-F.col("clarity")).alias("c"), (-F.col("end_rn")).cast("long").alias("e"))
+    one = df.groupBy("symbol", "direction", "_cluster").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    kept_type = "array<struct<s: bigint, c: double, e: bigint>>"
+
+    def step(kept: Column, x: Column) -> Column:
+        def near(k: Column) -> Column:
+            short = F.least(-k["e"] - k["s"], -x["e"] - x["s"]) + 1
+            room = F.greatest(F.lit(float(least)), short * percent / 100)
+            return (F.abs(k["s"] - x["s"]) <= room) & (F.abs(k["e"] - x["e"]) <= room)
+
+        return F.when(F.exists(kept, near), kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = one.select("symbol", "direction", F.explode(F.aggregate("_all", F.array().cast(kept_type), step)).alias("k"))
+    return kept.select("symbol", "direction", F.col("k.s").alias("start_rn"), (-F.col("k.e")).alias("end_rn"), (-F.col("k.c")).alias("clarity"))

@@ -188,3 +188,55 @@ def k01_grid_with_lookback(spark, sf_dir):
     end = event_bars(spark, sf_dir).agg(F.max("ts").alias("end"))
     found = cal.grid_with_lookback(grid, "2024-01-15", "2025-01-01", 10).crossJoin(F.broadcast(end))  # one row
     return found.where("is_support or ts < end").select(t(), "is_support")
+
+
+_SPANS = f"periods AS (SELECT symbol, ts - INTERVAL 20 DAY AS start_ts, ts AS end_ts FROM bars WHERE day(ts) % 9 = 0)"
+
+
+@query(f"WITH {S}, {_SPANS}, l AS (SELECT symbol, max(ts) - INTERVAL 1 MONTH AS since FROM bars GROUP BY 1) SELECT p.symbol, epoch(greatest(start_ts, since))::BIGINT AS s, epoch(end_ts)::BIGINT AS e FROM periods p JOIN l USING (symbol) WHERE end_ts >= since")
+def d17_last_month(spark, sf_dir):
+    bars = ship_bars(spark, sf_dir)
+    periods = bars.where("day(ts) % 9 = 0").select("symbol", (F.col("ts") - F.expr("INTERVAL 20 DAYS")).alias("start_ts"), F.col("ts").alias("end_ts"))
+    return research.last_month(periods, bars).select("symbol", t("start_ts", "s"), t("end_ts", "e"))
+
+
+@query(f"WITH {S} SELECT symbol, epoch(ts)::BIGINT AS t, round(ln(1 + volume * least(1, 100 / sum(volume) OVER (PARTITION BY ts))), 6) AS pro_rata, round(greatest(0, least(volume, 100 - coalesce(sum(volume) OVER (PARTITION BY ts ORDER BY close DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))), 6) AS by_priority FROM bars")
+def j12_joint_funding(spark, sf_dir):
+    orders = ship_bars(spark, sf_dir).select("ts", "symbol", F.col("volume").alias("cost"), F.col("close").alias("score"))
+    both = research.joint_funding(research.joint_funding(orders, 100.0).withColumnRenamed("funded", "part"), 100.0, True)
+    return both.select("symbol", t(), F.round(F.log1p("part"), 6).alias("pro_rata"), F.round("funded", 6).alias("by_priority"))
+
+
+@query(f"WITH {S} SELECT symbol, epoch(ts)::BIGINT AS t, round(floor(1000.0 / count(*) OVER (PARTITION BY ts) * 1e8) / 1e8, 6) AS budget FROM bars")
+def j19_free_cash(spark, sf_dir):
+    return research.free_cash_budgets(ship_bars(spark, sf_dir), F.lit(1000.0)).select("symbol", t(), F.round("budget", 6).alias("budget"))
+
+
+@query(f"""WITH {SESSIONS_SQL} SELECT strftime(label, '%Y-%m-%d') AS label, epoch(timezone('America/New_York', label::TIMESTAMP + INTERVAL 4 HOUR))::BIGINT AS o, epoch(timezone('America/New_York', label::TIMESTAMP + CASE WHEN strftime(timezone('America/New_York', timezone('UTC', close_ts)), '%H:%M') < '16:00' THEN INTERVAL 17 HOUR ELSE INTERVAL 20 HOUR END))::BIGINT AS c
+FROM sessions WHERE label IN (SELECT ts::DATE FROM events)""")
+def e30_extended_sessions(spark, sf_dir):
+    days = read(spark, sf_dir, "events").select(F.to_date("ts").alias("label")).distinct()
+    found = cal.extended_bounds(sessions(spark).join(F.broadcast(days), "label", "left_semi"))  # a row a day
+    return found.select(F.col("label").cast("string").alias("label"), t("long_open", "o"), t("long_close", "c"))
+
+
+@query(f"WITH {H}, {NUMBERED_SQL} SELECT symbol, epoch(ts)::BIGINT AS t FROM numbered WHERE rn >= 30")
+def e28_eligible(spark, sf_dir):
+    return strategy.eligible(event_bars(spark, sf_dir), 30).select("symbol", t())
+
+
+@query("SELECT o_custkey AS key, o_orderpriority AS source, min(o_totalprice > 150000)::INT AS value, count(DISTINCT o_totalprice > 150000) > 1 AS conflict FROM orders GROUP BY 1, 2")
+def d14_merged_summaries(spark, sf_dir):
+    from barspark.operators import rollup
+
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("source"), (F.col("o_totalprice") > 150000).cast("int").alias("v"))
+    return rollup.merged_summaries(o, "key", "source", "v")
+
+
+@query()
+def f16_redundant_intervals(spark, sf_dir):
+    from barspark.operators import detect
+
+    accepted = detect.trend_gates(detect.trend_evidence(event_bars(spark, sf_dir), (8, 16))).where("accepted")
+    spans = accepted.select("symbol", (F.col("rn") - F.col("lookback") + 1).alias("start_rn"), F.col("rn").alias("end_rn"), "direction", F.round("clarity", 9).alias("clarity"))
+    return research.suppress_redundant(spans)

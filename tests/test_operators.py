@@ -189,3 +189,20 @@ def test_stream_closes_bars_by_watermark(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("closed_bars").orderBy("ts").collect()
     assert [(r.open, r.high, r.low, r.close, r.volume) for r in got] == [(10.0, 14.0, 10.0, 14.0, 3.0), (15.0, 19.0, 15.0, 19.0, 2.0)]
+
+
+def test_redundant_intervals_against_a_loop(spark):
+    from barspark.operators.research import suppress_redundant
+
+    rng = np.random.default_rng(3)
+    rows = [("A", int(s), int(s + n), float(d), float(c)) for s, n, d, c in zip(rng.integers(0, 300, 150), rng.integers(8, 60, 150), rng.choice([-1.0, 1.0], 150), rng.random(150).round(6))]
+    got = sorted((r.direction, r.start_rn, r.end_rn) for r in suppress_redundant(spark.createDataFrame(rows, "symbol string, start_rn long, end_rn long, direction double, clarity double")).collect())
+    want = []
+    for d in (-1.0, 1.0):
+        kept = []
+        for _, s, e, _, c in sorted((r for r in rows if r[3] == d), key=lambda r: (r[1], -r[4], -r[2])):
+            room = lambda k: max(5.0, (min(k[1] - k[0], e - s) + 1) * 0.05)  # noqa: B023, E731
+            if not any(abs(k[0] - s) <= room(k) and abs(k[1] - e) <= room(k) for k in kept):
+                kept.append((s, e))
+        want += [(d, *k) for k in kept]
+    assert got == sorted(want)
