@@ -13,6 +13,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ class Encoder:
     def __init__(self, path: str, memo: int = MEMO, speculate: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.end = spec["model"]["end_of_word_suffix"]
+        self.path, self.end = path, spec["model"]["end_of_word_suffix"]
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.vocab = vocab
         self.names = {i: t for t, i in vocab.items()}
@@ -219,12 +220,24 @@ class Encoder:
 
     def pretokens(self, text: str) -> list[str]:
         """The words and signs of a stretch of text without a special token, normalised."""
+        raw = text
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
         if self.plain and not BEYOND.search(text):
             return PLAIN.findall(text)
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
+            # what is a letter there depends on the version of Unicode: the library's own cut, marked as byte letters
+            return ["\n" + w for w, _ in self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalizer.normalize_str(raw))]
         return self.pattern.findall(text)
 
+    @cached_property
+    def cutter(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def byte_letters(self, word: str) -> str:
+        if word[0] == "\n":
+            return word[1:]
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.latin)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:

@@ -138,6 +138,8 @@ class Scorer:
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and its posterior of each text."""
         split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        # the pattern also finds numerals that are no digits; alone they are no letters
+        split = [own if any(map(str.isalpha, "".join(own))) else [] for own in split]
         new = list(set().union(*split).difference(self.memo))
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()

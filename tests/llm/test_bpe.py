@@ -19,7 +19,7 @@ def texts():
     rng = random.Random(0)
     pool = [chr(i) for lo, hi in [(0, 0x250), (0x300, 0x340), (0x390, 0x3C0), (0x400, 0x450), (0x3041, 0x3090), (0xAC00, 0xAC40), (0x1F600, 0x1F620)] for i in range(lo, hi) if chr(i).isprintable() or i < 0x21]
     out = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    out += ["Σίσυφος ΟΔΟΣ ΑΣ", "it's WE'LL don't 's", "<|endoftext|>a<|startoftext|>b", "x<|endoftext|>", "<|endof", "", " \n", "á ́e", "1234 5,6", "İstanbul", "a" * 3000, "\x1ca\x85b　c"]
+    out += ["Σίσυφος ΟΔΟΣ ΑΣ", "it's WE'LL don't 's", "<|endoftext|>a<|startoftext|>b", "x<|endoftext|>", "<|endof", "", " \n", "á ́e", "1234 5,6", "İstanbul", "a" * 3000, "\x1ca\x85b　c", "a\u0378b\u1c891 \u20c1x", "\u209e\x94z"]
     return out + [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 14))) for _ in range(60)) for _ in range(60)]
 
 

@@ -44,10 +44,10 @@ def test_held_out_accuracy(spark, sf):
 
 
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(1, "the cat sat", "en"), (2, "der hund und", "de"), (3, None, "en"), (4, "12 !!", None), (None, "the dog", "en"), (1, "the cat sat", "en"), (5, "語" * 300, None)], "doc_id long, text string, lang_pred string")
+    df = spark.createDataFrame([(1, "the cat sat", "en"), (2, "der hund und", "de"), (3, None, "en"), (4, "12 !!", None), (None, "the dog", "en"), (1, "the cat sat", "en"), (5, "語" * 300, None), (6, "² ½ Ⅷ", None)], "doc_id long, text string, lang_pred string")
     model = langid.fit(df.withColumn("lang", F_col(df)), sample=10)
     got = langid.predict(df, model).collect()
-    assert len(got) == 7 and {r.lang_pred for r in got if r.doc_id in (3, 4)} == {"und"}
+    assert len(got) == 8 and {r.lang_pred for r in got if r.doc_id in (3, 4, 6)} == {"und"}
     assert [r.lang_pred for r in got if r.doc_id in (1, 2)] == ["en", "de", "en"]
     assert langid.predict(df.limit(0), model).count() == 0
     none = langid.fit(df.withColumn("lang", F_col(df)).limit(0))
