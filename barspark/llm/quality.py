@@ -1,15 +1,17 @@
 """Quality rules and n-gram perplexity bands.
 
-A modified Kneser-Ney model of letter 4-grams within words is counted by Spark over all
-documents, per language. Each probability and back-off weight is stored under a hash of its
+A modified Kneser-Ney model of letter 4-grams, which run across the blanks between words, is
+counted by Spark over all documents, per language. Each probability and back-off weight is stored under a hash of its
 language, order and letters in sorted arrays, whose size the hash bounds. Documents whose
-perplexity lies outside the band of their language are rejected.
+perplexity lies outside the band of their language are rejected; centre and width of a band are
+medians, so that up to half of a language may be junk without widening it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,14 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 #: Bits of the hash under which the model stores a number: it holds at most 2**BITS numbers.
 BITS = 24
-#: A language's band runs from its median log perplexity this many spreads down and up, a
-#: spread being the distance of the median to the 5th or 95th percentile, and at least LEAST_SPREAD.
-SPREADS, LEAST_SPREAD = 4.0, 0.15
+#: A document is kept within this many spreads of its language's median log perplexity. A spread is
+#: the median distance to that median, or the median of distance * sqrt(letters) over the root of
+#: the document's letters, whichever is greater, and never below the two least values.
+SPREADS, LEAST_SPREAD, LEAST_NOISE = 4.0, 0.005, 0.5
+#: A median distance as a standard deviation.
+DEVIATION = 1.4826
+#: A language with fewer documents takes the spreads of all documents.
+LEAST_DOCUMENTS = 20
 UNKNOWN = "und"
 MEMO = 300_000
 UNSEEN = float(np.log(1 / 65536))
@@ -70,21 +77,63 @@ def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, np.repeat(np.arange(len(words)), size), size
 
 
-def count_grams(docs: DataFrame, text: str, lang: Column) -> DataFrame:
-    """``(lang, gram, n)`` over all words of all documents; each task sums its own first."""
+def _inner(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The letter 4-grams of words that no word before has a part in, and the word of each."""
+    grams, word, size = _letters(words)
+    keep = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size) > 1
+    return grams[keep], word[keep]
+
+
+def _joint_grams(joints: list[str]) -> np.ndarray:
+    """The two letter 4-grams of each joint of :class:`Joints`."""
+    c = np.minimum(np.frombuffer("".join(joints).encode("utf-32-le"), "<u4"), 0xFFFD).astype(np.uint64).reshape(-1, 5)
+    first = c[:, 0] << np.uint64(48) | c[:, 1] << np.uint64(32) | c[:, 2] << np.uint64(16) | c[:, 3]
+    return np.column_stack([first, first << np.uint64(16) | c[:, 4]])
+
+
+class Joints:
+    """What meets at the blanks of texts: two letters of the word before (zeros where there are none), the blank, and two of the word and its end."""
+
+    def __init__(self):
+        self.tails: dict[bytes, str] = {}
+        self.heads: dict[bytes, str] = {}
+
+    def of(self, words: list[bytes]) -> list[str]:
+        if len(self.tails) > MEMO:
+            self.tails.clear()
+            self.heads.clear()
+        for w in set(words).difference(self.tails):
+            x = w.decode()
+            self.tails[w], self.heads[w] = x[-2:].rjust(2, "\0") + " ", (x + " ")[:2]
+        return list(map(add, ["\0\0 ", *map(self.tails.__getitem__, words[:-1])], map(self.heads.__getitem__, words)))
+
+
+def count_grams(docs: DataFrame, text: str, lang: Column, across: bool = False) -> DataFrame:
+    """``(lang, gram, n)`` over all words of all documents; each task sums its own first.
+
+    Grams stay within words, or run ``across`` the blanks between them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        joints = Joints()
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(texts), 2048):
-                found: dict[str, Counter] = {}
+                found: dict[str, tuple[Counter, Counter]] = {}
                 for own, body in zip(langs[lo : lo + 2048], texts[lo : lo + 2048]):
-                    found.setdefault(own, Counter()).update(body.split())
-                for own, words in found.items():
-                    if words:
-                        grams, word, _ = _letters(list(words))
-                        n = np.fromiter(words.values(), np.int64, len(words))[word]
+                    whole, between = found.setdefault(own, (Counter(), Counter()))
+                    words = body.split()
+                    whole.update(words)
+                    if across and words:
+                        between.update(joints.of(words))
+                for own, (whole, between) in found.items():
+                    if whole:
+                        grams, word = _inner(list(whole)) if across else _letters(list(whole))[:2]
+                        n = np.fromiter(whole.values(), np.int64, len(whole))[word]
+                        if across:
+                            grams = np.concatenate([grams, _joint_grams(list(between)).ravel()])
+                            n = np.concatenate([n, np.repeat(np.fromiter(between.values(), np.int64, len(between)), 2)])
                         old = sums.get(own, (grams[:0], n[:0]))
                         keys, at = np.unique(np.concatenate([old[0], grams]), return_inverse=True)
                         sums[own] = keys, np.bincount(at, np.concatenate([old[1], n]), len(keys)).astype(np.int64)
@@ -157,16 +206,16 @@ class Model:
 
     def __init__(self, languages: list[str], keys: np.ndarray, values: np.ndarray):
         self.numbers, self.keys, self.values = {k: i for i, k in enumerate(languages)}, keys, values
-        self.memo: dict[tuple[str, bytes], float] = {}
+        self.memo: dict[str, tuple[dict[bytes, float], dict[str, float]]] = {}
+        self.joints = Joints()
 
     def find(self, lang: str, kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = _spread(self.numbers.get(lang, -1) + 1, kind, grams)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.keys[at] == key, self.values[at]
 
-    def word_scores(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """The natural log probability of each word and its end."""
-        grams, word, _ = _letters(words)
+    def log_p(self, lang: str, grams: np.ndarray) -> np.ndarray:
+        """The natural log probability of the last letter of each gram after the others."""
         total, left = np.zeros(len(grams)), np.arange(len(grams))
         for k in range(ORDER, 0, -1):
             if not len(self.keys) or not len(left):
@@ -178,31 +227,43 @@ class Model:
             hit, value = self.find(lang, 10 + k, own >> np.uint64(16))
             total[left[hit]] += value[hit]
         total[left] += UNSEEN
-        return np.bincount(word, total, len(words))
+        return total
+
+    def word_scores(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """The natural log probability of each word and its end, by itself."""
+        grams, word, _ = _letters(words)
+        return np.bincount(word, self.log_p(lang, grams), len(words))
 
     def document_scores(self, langs: list[str], split: list[list[bytes]], letters: list[int]) -> list[float | None]:
         """The log perplexity per letter (words' ends count) of each document; None without a word."""
-        new: dict[str, set[bytes]] = {}
-        memo = self.memo.setdefault
-        for lang, words in zip(langs, split):
-            new.setdefault(lang, set()).update(words)
-        if sum(map(len, self.memo.values())) > MEMO:
+        if sum(len(x) for own in self.memo.values() for x in own) > MEMO:
             self.memo.clear()
-        for lang, words in new.items():
-            known = memo(lang, {})
-            missing = list(words.difference(known))
+        joints = [self.joints.of(words) if words else [] for words in split]
+        new: dict[str, tuple[set[bytes], set[str]]] = {}
+        for lang, words, between in zip(langs, split, joints):
+            own = new.setdefault(lang, (set(), set()))
+            own[0].update(words)
+            own[1].update(between)
+        for lang, (words, between) in new.items():
+            known = self.memo.setdefault(lang, ({}, {}))
+            missing = list(words.difference(known[0]))
             if missing:
-                known.update(zip(missing, self.word_scores(lang, missing).tolist()))
+                grams, word = _inner(missing)
+                known[0].update(zip(missing, np.bincount(word, self.log_p(lang, grams), len(missing)).tolist()))
+            missing = list(between.difference(known[1]))
+            if missing:
+                known[1].update(zip(missing, self.log_p(lang, _joint_grams(missing).ravel()).reshape(-1, 2).sum(1).tolist()))
         out = []
-        for lang, words, n in zip(langs, split, letters):
-            out.append(-sum(map(self.memo[lang].__getitem__, words)) / (n + len(words)) if words else None)
+        for lang, words, between, n in zip(langs, split, joints, letters):
+            inner, joint = self.memo[lang]
+            out.append(-(sum(map(inner.__getitem__, words)) + sum(map(joint.__getitem__, between))) / (n + len(words)) if words else None)
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all documents. At most 2**BITS pairs of a hash and a number reach the driver."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", across: bool = False) -> Model:
+    """The model of all documents, of words by themselves or ``across`` blanks. At most 2**BITS pairs of a hash and a number reach the driver."""
     language = F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN))
-    table = materialize(kneser_ney(count_grams(docs, text, language)), "kneser_ney")
+    table = materialize(kneser_ney(count_grams(docs, text, language, across)), "kneser_ney")
     languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
     numbers = {k: i + 1 for i, k in enumerate(languages)}
 
@@ -264,18 +325,33 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     A null or empty text has no word and fails. A null language is a language of its own.
     Repeated rows stay, other columns pass through; an empty table gives an empty table.
     """
-    measured = materialize(measure(docs, train(docs, text, lang), text, lang), "measured")
-    language = F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN))
-    at = F.percentile_approx("log_perplexity", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 10_000)
-    bands = measured.where("not base_failed").groupBy(language.alias("_lang")).agg(at.alias("_at"))
-    low = F.col("_at")[1] - SPREADS * F.greatest(F.col("_at")[1] - F.col("_at")[0], F.lit(LEAST_SPREAD))
-    high = F.col("_at")[1] + SPREADS * F.greatest(F.col("_at")[2] - F.col("_at")[1], F.lit(LEAST_SPREAD))
-    bands = bands.select("_lang", low.alias("_low"), high.alias("_high"))
-    joined = measured.join(F.broadcast(bands), language == F.col("_lang"), "left")  # a row per language
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("_low"), F.col("_high")), F.lit(False))
+    measured = materialize(measure(docs, train(docs, text, lang, across=True), text, lang), "measured")
+    joined = bands(measured, lang)
+    kept = ~F.col("base_failed") & F.coalesce(F.abs(F.col("log_perplexity") - F.col("_middle")) <= F.col("_width"), F.lit(False))
     return joined.select(*measured.columns, kept.alias("kept"))
 
 
+def bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
+    """Measured documents with the centre ``_middle`` and half the width ``_width`` of the band of their language and length."""
+    language = F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN))
+    root = F.sqrt(F.col("word_chars") + F.col("n_words"))
+
+    def median(x: Column | str) -> Column:
+        return F.percentile_approx(x, 0.5, 10_000)
+
+    judged = measured.where("not base_failed").select(language.alias("_lang"), "log_perplexity", root.alias("_root"))
+    middle = judged.groupBy("_lang").agg(median("log_perplexity").alias("_middle"))
+    far = judged.join(F.broadcast(middle), "_lang")  # a row per language
+    far = materialize(far.select("_lang", "_middle", F.abs(F.col("log_perplexity") - F.col("_middle")).alias("_far"), "_root"), "distances")
+    spreads = [(DEVIATION * median("_far")).alias("_between"), (DEVIATION * median(F.col("_far") * F.col("_root"))).alias("_noise")]
+    every = far.agg(*[x.alias(f"_all{k}") for k, x in enumerate(spreads)])
+    few = F.col("_n") < LEAST_DOCUMENTS
+    own = far.groupBy("_lang", "_middle").agg(F.count("*").alias("_n"), *spreads).crossJoin(F.broadcast(every))  # a row
+    own = own.select("_lang", "_middle", *[F.when(few, F.col(f"_all{k}")).otherwise(F.col(c)).alias(c) for k, c in enumerate(("_between", "_noise"))])
+    width = SPREADS * F.greatest(F.col("_between"), F.greatest("_noise", F.lit(LEAST_NOISE)) / root, F.lit(LEAST_SPREAD))
+    return measured.join(F.broadcast(own), language == F.col("_lang"), "left").withColumn("_width", width)  # a row per language
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")

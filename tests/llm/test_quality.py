@@ -83,3 +83,41 @@ def test_judge(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_rules(r.text)
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
     assert quality.judge(df.limit(0)).count() == 0
+
+
+def prose(rng, n):
+    """Sentences of adjective, noun and verb, which show in the words' beginnings and ends."""
+    body = ["mar", "sel", "tor", "lin", "ban", "der", "gal", "hem", "rin", "sol", "wit", "pel"]
+    parts = [("gra", "ous"), ("sta", "tion"), ("be", "eth")]
+    return [parts[i % 3][0] + body[rng.integers(12)] + body[rng.integers(12)] + parts[i % 3][1] for i in range(n)]
+
+
+def test_junk_and_word_salad_are_rejected(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(prose(rng, int(rng.integers(60, 400)))), "en", "keep") for i in range(150)]
+    # the words of prose in any order: only what meets at the blanks tells
+    rows += [(200 + i, " ".join(rng.permutation(prose(rng, 300))), "en", "salad") for i in range(10)]
+    # more than 5 % junk on either side, which percentile bands would take in
+    rows += [(300 + i, " ".join("".join(rng.choice(list("qxzjkvw"), 7)) for _ in range(200)), "en", "junk") for i in range(15)]
+    rows += [(400, " ".join(f"avec{k} une{k} autre{k}" for k in range(40)), "en", "foreign")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, mark string")
+    got = quality.judge(df).toPandas()
+    assert not got.base_failed.any()
+    kept = got.groupby("mark").kept.mean()
+    assert kept[["salad", "junk", "foreign"]].eq(0).all(), kept
+    assert got[got.mark == "keep"].kept.mean() >= 0.98
+
+
+def test_grams_across_blanks_against_written_out_ones(spark):
+    texts = ["the cat sat on a mat", "a b", "é", "on the mat\n\nthe cat"]
+    want = Counter()
+    for t in texts:
+        before = ""
+        for w in t.split():
+            c = [0, 0, *map(ord, before)][-2:] + [32, *map(ord, w), 32]
+            for i in range(3, len(c)):
+                want[sum(x << 16 * (3 - k) for k, x in enumerate(c[i - 3 : i + 1]))] += 1
+            before = w
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = quality.count_grams(df, "text", quality.F.lit("en"), across=True).collect()
+    assert {r.gram & (1 << 64) - 1: r.n for r in got} == want
