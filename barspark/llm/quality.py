@@ -1,8 +1,8 @@
 """Quality rules and n-gram perplexity bands.
 
 A modified Kneser-Ney model of letter 4-grams, which run across the blanks between words, is
-counted by Spark over all documents, per language. Each probability and back-off weight is stored under a hash of its
-language, order and letters in sorted arrays, whose size the hash bounds. Documents whose
+counted by Spark over all documents, per language. Probabilities stay under their whole gram: a
+small table is broadcast, a larger one joined with the grams of blocks of documents. Documents whose
 perplexity lies outside the band of their language are rejected; centre and width of a band are
 medians, so that up to half of a language may be junk without widening it.
 """
@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barspark.llm.common import materialize, read_table
 
@@ -24,8 +26,10 @@ ORDER = 4
 BLANKS = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
-#: Bits of the hash under which the model stores a number: it holds at most 2**BITS numbers.
-BITS = 24
+#: A table of at most so many grams is broadcast (12 bytes each); a larger one is joined by a shuffle.
+BROADCAST_GRAMS = 1 << 22
+#: Letters of a block of documents of that join.
+BLOCK_LETTERS = 1 << 24
 #: A document is kept within this many spreads of its language's median log perplexity. A spread is
 #: the median distance to that median, or the median of distance * sqrt(letters) over the root of
 #: the document's letters, whichever is greater, and never below the two least values.
@@ -108,20 +112,21 @@ class Joints:
         return list(map(add, ["\0\0 ", *map(self.tails.__getitem__, words[:-1])], map(self.heads.__getitem__, words)))
 
 
-def count_grams(docs: DataFrame, text: str, lang: Column, across: bool = False) -> DataFrame:
+def count_grams(docs: DataFrame, text: str, lang: Column, across: bool = False, block: Column | None = None) -> DataFrame:
     """``(lang, gram, n)`` over all words of all documents; each task sums its own first.
 
-    Grams stay within words, or run ``across`` the blanks between them.
+    Grams stay within words, or run ``across`` the blanks between them. With a ``block``, whose rows
+    must be in one partition, the result is ``(block, lang, gram, n)``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
         joints = Joints()
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keyed, texts = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist()
             for lo in range(0, len(texts), 2048):
-                found: dict[str, tuple[Counter, Counter]] = {}
-                for own, body in zip(langs[lo : lo + 2048], texts[lo : lo + 2048]):
+                found: dict[tuple[int, str], tuple[Counter, Counter]] = {}
+                for own, body in zip(keyed[lo : lo + 2048], texts[lo : lo + 2048]):
                     whole, between = found.setdefault(own, (Counter(), Counter()))
                     words = body.split()
                     whole.update(words)
@@ -137,14 +142,16 @@ def count_grams(docs: DataFrame, text: str, lang: Column, across: bool = False)
                         old = sums.get(own, (grams[:0], n[:0]))
                         keys, at = np.unique(np.concatenate([old[0], grams]), return_inverse=True)
                         sums[own] = keys, np.bincount(at, np.concatenate([old[1], n]), len(keys)).astype(np.int64)
-        for own, (keys, n) in sums.items():
+        for (number, own), (keys, n) in sums.items():
             for lo in range(0, len(keys), 100_000):
                 part = keys[lo : lo + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(part), pa.string()), pa.array(part), pa.array(n[lo : lo + 100_000])], ["lang", "gram", "n"])
+                columns = [pa.array([number] * len(part), pa.int64()), pa.array([own] * len(part), pa.string()), pa.array(part), pa.array(n[lo : lo + 100_000])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "lang", "gram", "n"])
 
-    rows = docs.select(lang.alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    counted = rows.mapInArrow(run, "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select((F.lit(0) if block is None else block).cast("long").alias("block"), lang.alias("lang"), body.alias("text"))
+    counted = rows.mapInArrow(run, "block long, lang string, gram long, n long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")) if block is None else counted
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -190,41 +197,33 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return every
 
 
-def _spread(number: int, kind: int, grams: np.ndarray) -> np.ndarray:
-    """The hash of a number of the model, of BITS bits."""
-    with np.errstate(over="ignore"):
-        x = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((number * 64 + kind + 1) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - BITS)).astype(np.int32)
-
-
 class Model:
-    """Sorted hash arrays and the languages in them."""
-
-    def __init__(self, languages: list[str], keys: np.ndarray, values: np.ndarray):
-        self.numbers, self.keys, self.values = {k: i for i, k in enumerate(languages)}, keys, values
-        self.memo: dict[str, tuple[dict[bytes, float], dict[str, float]]] = {}
-        self.joints = Joints()
-
-    def find(self, lang: str, kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = _spread(self.numbers.get(lang, -1) + 1, kind, grams)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return self.keys[at] == key, self.values[at]
+    """The numbers of :func:`kneser_ney`, which stay in their table."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def find(self, lang: str, asked: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Of each kind the grams among those asked for that the table has, in order, and their values."""
+        kinds = np.concatenate([np.full(len(x), k, np.int32) for k, x in asked.items()])
+        wanted = pd.DataFrame({"kind": kinds, "gram": np.concatenate(list(asked.values())).view(np.int64)})
+        wanted = self.table.sparkSession.createDataFrame(wanted, "kind int, gram long")
+        got = self.table.where(F.col("lang") == lang).join(wanted, ["kind", "gram"]).select("kind", "gram", "value").toArrow()
+        kind, gram, value = (got.column(k).to_numpy() for k in range(3))
+        gram = gram.view(np.uint64)
+        order = np.argsort(gram)
+        return {k: (gram[at], value[at]) for k in asked for at in [order[kind[order] == k]]}
 
     def log_p(self, lang: str, grams: np.ndarray) -> np.ndarray:
         """The natural log probability of the last letter of each gram after the others."""
+        orders = {k: grams & np.uint64((1 << 16 * k) - 1) for k in range(ORDER, 0, -1)}
+        stored = self.find(lang, {k: np.unique(x) for k, x in orders.items()} | {10 + k: np.unique(x >> np.uint64(16)) for k, x in orders.items()})
         total, left = np.zeros(len(grams)), np.arange(len(grams))
         for k in range(ORDER, 0, -1):
-            if not len(self.keys) or not len(left):
-                break
-            own = grams[left] & np.uint64((1 << 16 * k) - 1)
-            hit, value = self.find(lang, k, own)
+            hit, value = _look_up(*stored[k], orders[k][left])
             total[left[hit]] += value[hit]
-            left, own = left[~hit], own[~hit]
-            hit, value = self.find(lang, 10 + k, own >> np.uint64(16))
+            left = left[~hit]
+            hit, value = _look_up(*stored[10 + k], orders[k][left] >> np.uint64(16))
             total[left[hit]] += value[hit]
         total[left] += UNSEEN
         return total
@@ -234,6 +233,29 @@ class Model:
         grams, word, _ = _letters(words)
         return np.bincount(word, self.log_p(lang, grams), len(words))
 
+
+def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key asked for is among the sorted keys, and its value where it is."""
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[at] == asked, values[at]
+
+
+class Scorer:
+    """Scores documents whose grams are all in ``tables``: of each language the sorted grams and their log probabilities."""
+
+    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.tables = tables
+        self.memo: dict[str, tuple[dict[bytes, float], dict[str, float]]] = {}
+        self.joints = Joints()
+
+    def log_p(self, lang: str, grams: np.ndarray) -> np.ndarray:
+        hit, value = _look_up(*self.tables.get(lang, (grams[:0], np.zeros(0))), grams)
+        if not hit.all():
+            raise ValueError(f"a text of {lang} has letters that were not counted: the table changed between two reads")
+        return value
+
     def document_scores(self, langs: list[str], split: list[list[bytes]], letters: list[int]) -> list[float | None]:
         """The log perplexity per letter (words' ends count) of each document; None without a word."""
         if sum(len(x) for own in self.memo.values() for x in own) > MEMO:
@@ -261,62 +283,112 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", across: bool = False) -> Model:
-    """The model of all documents, of words by themselves or ``across`` blanks. At most 2**BITS pairs of a hash and a number reach the driver."""
+    """The model of all documents, of words by themselves or ``across`` blanks."""
     language = F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN))
-    table = materialize(kneser_ney(count_grams(docs, text, language, across)), "kneser_ney")
-    languages = sorted(r["lang"] for r in table.select("lang").distinct().collect())
-    numbers = {k: i + 1 for i, k in enumerate(languages)}
+    return Model(materialize(kneser_ney(count_grams(docs, text, language, across)), "kneser_ney"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.array([numbers[x] for x in batch.column(0).to_pylist()], np.int64)
-            kind, gram, value = (batch.column(k).to_numpy() for k in (1, 2, 3))
-            key = np.zeros(len(gram), np.int32)
-            for n, k in {*zip(own.tolist(), kind.tolist())}:
-                at = np.flatnonzero((own == n) & (kind == k))
-                key[at] = _spread(n, k, gram[at].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value.astype(np.float32))], ["key", "value"])
 
-    stored = table.mapInArrow(hashed, "key int, value float").groupBy("key").agg(F.max("value").alias("value")).toArrow()
-    key, value = stored.column("key").to_numpy(), stored.column("value").to_numpy()
-    order = np.argsort(key)
-    return Model(languages, key[order], value[order])
+def _tables(langs: list[str], lang: np.ndarray, gram: np.ndarray, value: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Columns as the tables of a :class:`Scorer`; ``lang`` holds places in ``langs``."""
+    order = np.lexsort((gram.view(np.uint64), lang))
+    lang, gram, value = lang[order], gram.view(np.uint64)[order], value[order].astype(np.float64)
+    cut = np.searchsorted(lang, np.arange(len(langs) + 1))
+    return {x: (gram[cut[k] : cut[k + 1]], value[cut[k] : cut[k + 1]]) for k, x in enumerate(langs)}
 
 
-_models: dict[int, Model] = {}
+_scorers: dict[int, Scorer] = {}
 
 
-def measure(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and ``log_perplexity``, which replace columns of these names."""
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    token = shared._jbroadcast.id()
-    base = docs.drop(*[c for c in (*added, "base_failed", "log_perplexity") if c != text and c != lang])
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _measured(part: pa.RecordBatch, width: int, own: Scorer) -> pa.RecordBatch:
+    """The first ``width`` columns of a batch, base counts, ``base_failed`` and ``log_perplexity``."""
+    texts, langs = part.column("_text").to_pylist(), part.column("_lang").to_pylist()
+    ruled = [base_rules(t) for t in texts]
+    score = own.document_scores(langs, [x[5] for x in ruled], [x[1] for x in ruled])
+    counts = [pa.array([x[k] for x in ruled], pa.int64()) for k in range(5)]
+    failed = [x[0] < LEAST_WORDS or 100 * x[4] > 50 * x[0] for x in ruled]
+    return pa.RecordBatch.from_arrays([*part.columns[:width], *counts, pa.array(failed), pa.array(score, pa.float64())], [*part.schema.names[:width], *ADDED, "base_failed", "log_perplexity"])
+
+
+def measure(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", most: int | None = None) -> DataFrame:
+    """``docs`` with the base counts, ``base_failed`` and ``log_perplexity``, which replace columns of these names.
+
+    ``model`` is that of ``docs`` across blanks, so that it has all their 4-grams. More than ``most``
+    of these (BROADCAST_GRAMS if not given) are not broadcast but joined with the grams of blocks of documents.
+    """
+    base = docs.drop(*[c for c in (*ADDED, "base_failed", "log_perplexity") if c != text and c != lang])
     names = base.columns
-    rows = base.toDF(*[f"c{i}" for i in range(len(names))])
+    width = len(names)
+    rows = base.toDF(*[f"c{i}" for i in range(width)])
+    schema = rows.schema
+    for c in ADDED:
+        schema = schema.add(c, "long")
+    schema = schema.add("base_failed", "boolean").add("log_perplexity", "double")
     rows = rows.withColumns({"_text": F.col(f"c{names.index(text)}").cast("string"), "_lang": F.coalesce(F.col(f"c{names.index(lang)}").cast("string"), F.lit(UNKNOWN))})
+    table = model.table.where(F.col("kind") == ORDER).select("lang", "gram", F.col("value").cast("float").alias("value"))
+    held = table.count() <= (BROADCAST_GRAMS if most is None else most)
+    return (_by_broadcast if held else _by_blocks)(rows, width, table, schema).toDF(*names, *ADDED, "base_failed", "log_perplexity")
+
+
+def _by_broadcast(rows: DataFrame, width: int, table: DataFrame, schema: StructType) -> DataFrame:
+    spark = rows.sparkSession
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1 if langs else F.lit(0)
+    stored = table.select(number.alias("k"), "gram", "value").toArrow()  # at most BROADCAST_GRAMS
+    shared = spark.sparkContext.broadcast(_tables(langs, *(stored.column(k).to_numpy() for k in range(3))))
+    token = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _models:
-            _models.clear()
-            _models[token] = shared.value
-        own = _models[token]
+        if token not in _scorers:
+            _scorers.clear()
+            _scorers[token] = Scorer(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts, langs = part.columns[-2].to_pylist(), part.columns[-1].to_pylist()
-                ruled = [base_rules(t) for t in texts]
-                score = own.document_scores(langs, [x[5] for x in ruled], [x[1] for x in ruled])
-                counts = [pa.array([x[k] for x in ruled], pa.int64()) for k in range(5)]
-                failed = [x[0] < LEAST_WORDS or 100 * x[4] > 50 * x[0] for x in ruled]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *counts, pa.array(failed), pa.array(score, pa.float64())], [*part.schema.names[:-2], *added, "base_failed", "log_perplexity"])
-
-    schema = rows.drop("_text", "_lang").schema
-    for c in added:
-        schema = schema.add(c, "long")
-    schema = schema.add("base_failed", "boolean").add("log_perplexity", "double")
-    return rows.mapInArrow(run, schema).toDF(*names, *added, "base_failed", "log_perplexity")
+                yield _measured(batch.slice(lo, 512), width, _scorers[token])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_blocks(rows: DataFrame, width: int, table: DataFrame, schema: StructType) -> DataFrame:
+    """Rows are dealt into blocks; a block's grams are joined with the table and go before its rows."""
+    letters = rows.agg(F.sum(F.length("_text"))).first()[0] or 0
+    blocks = max(1, -(-letters // BLOCK_LETTERS))
+    # rows of one text should not share a block; maps cannot be hashed
+    keys = [f.name for f in rows.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)))
+    own = count_grams(dealt.select("_block", "_text", "_lang").repartition(blocks, "_block"), "_text", F.col("_lang"), True, F.col("_block"))
+    own = own.join(table, ["lang", "gram"])
+    own = own.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "_lang"], F.col("lang").alias("_lang"), F.col("block").alias("_block"), F.col("gram").alias("_gram"), F.col("value").alias("_value"))
+    both = dealt.withColumns({"_gram": F.lit(None).cast("long"), "_value": F.lit(None).cast("float")}).unionByName(own).withColumn("_after", F.col("_gram").isNull())
+    both = both.repartition(blocks, "_block").sortWithinPartitions("_block", "_after")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, scorer = None, [], None
+        for batch in batches:
+            block, after = batch.column("_block").to_numpy(), batch.column("_after").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (after[1:] != after[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                part = batch.slice(lo, hi - lo)
+                if not part.num_rows:
+                    continue
+                if block[lo] != at:
+                    at, held, scorer = block[lo], [], None
+                if not after[lo]:
+                    held.append(part.select(["_lang", "_gram", "_value"]))
+                    continue
+                if scorer is None:
+                    grams = pa.Table.from_batches(held, held[0].schema).combine_chunks() if held else None
+                    held, tables = [], {}
+                    if grams is not None:
+                        names = grams.column("_lang").combine_chunks().dictionary_encode()
+                        tables = _tables(names.dictionary.to_pylist(), names.indices.to_numpy(), grams.column("_gram").to_numpy(), grams.column("_value").to_numpy())
+                    scorer = Scorer(tables)
+                for k in range(0, part.num_rows, 512):
+                    yield _measured(part.slice(k, 512), width, scorer)
+
+    return both.mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -121,3 +121,24 @@ def test_grams_across_blanks_against_written_out_ones(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = quality.count_grams(df, "text", quality.F.lit("en"), across=True).collect()
     assert {r.gram & (1 << 64) - 1: r.n for r in got} == want
+
+
+def test_unseen_words_of_a_large_model_back_off(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 6))) for _ in range(30_000)]
+    df = spark.createDataFrame([(" ".join(words[i : i + 300]), "zh") for i in range(0, len(words), 300)], "text string, lang string")
+    p = brute_model(Counter(words))
+    unseen = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 6))) for _ in range(20)]
+    got = quality.train(df).word_scores("zh", [w.encode() for w in unseen])
+    for w, x in zip(unseen, got):
+        c = [0, 0, 32, *map(ord, w), 32]
+        assert abs(x - sum(np.log(p(tuple(c[i - 3 : i]), c[i])) for i in range(3, len(c)))) < 1e-4, w
+
+
+def test_blocks_measure_as_the_broadcast_does(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("more", quality.F.create_map(quality.F.lit("k"), quality.F.col("doc_id")))
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumns({"text": quality.F.lit(None).cast("string"), "lang": quality.F.lit(None).cast("string")}))
+    model = quality.train(docs, across=True)
+    monkeypatch.setattr(quality, "BLOCK_LETTERS", 100_000)
+    a, b = (sorted(map(repr, quality.measure(docs, model, most=most).collect())) for most in (1 << 40, 0))
+    assert a == b and len(a) == docs.count()
