@@ -29,12 +29,15 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
+#: Two signs for one letter.
+PAIRS = {"|)": "d"}
 SIGNS = re.escape("".join(STANDS_FOR))
-#: Letters set apart: at least four, one by one.
-APART = re.compile(rf"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{{1,2}}(?:[^\W_]|[{SIGNS}])(?![^\W_])){{3,}}")
+#: Letters set apart: at least three, one by one.
+APART = re.compile(rf"(?<![^\W_])[^\W\d_](?:[ .\-_*·]{{1,2}}(?:[^\W_]|[{SIGNS}])(?![^\W_])){{2,}}")
 CHUNK = re.compile(r"\S+")
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(rf"[^\W\d_].*[{SIGNS}0-9].*[^\W\d_]|[{SIGNS}][^\W\d_]{{2}}|[^\W\d_]{{2}}[0-9@](?![^\W_])|([^\W\d_])\1\1")
+#: A sign or digit beside a letter, or a letter repeated.
+DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}0-9]|[{SIGNS}0-9][^\W\d_]|([^\W\d_])\1")
 BETWEEN = re.compile(r"^[^\w@$!]+|[^\w]+$")
 CHANGE, DROP, JOIN, SPLIT = -1.5, -0.7, -0.3, -1.5
 LONGEST = 64
@@ -83,7 +86,10 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
         while j < n and chunk[j] == c:
             j += 1
         run = j - i
-        if c.isalpha():
+        if (pair := chunk[i : i + 2]) in PAIRS:
+            own = [(PAIRS[pair], CHANGE)] + [(x + pair[1], CHANGE) for x in STANDS_FOR[c]] + [(pair, 0.0)]
+            j = i + 2
+        elif c.isalpha():
             own = [(c * k, 0.0 if k == run else DROP) for k in (1, 2) if k <= run]
             if run > 2:
                 own.append((c * run, 0.0))
@@ -128,13 +134,15 @@ def restore(text: str, letters: Letters) -> list[str]:
 
 def restore_chunk(chunk: str, letters: Letters) -> list[str]:
     core = BETWEEN.sub("", chunk)
-    if core.isalpha() and not DISGUISED.search(core):
+    if core.isalpha() and not DISGUISED.search(chunk):
         return [core]
     words = WORD.findall(core)
-    if DISGUISED.search(core):
-        for part in re.split(r"[,;:/\"]+", core):
-            if DISGUISED.search(part):
-                words += WORD.findall(decode(part, letters))
+    # signs at either end may be letters or marks around the word: both readings count
+    for form in {core: None, chunk: None}:
+        if DISGUISED.search(form):
+            for part in re.split(r"[,;:/\"]+", form):
+                if DISGUISED.search(part):
+                    words += WORD.findall(decode(part, letters))
     return words
 
 
@@ -169,7 +177,7 @@ class Scorer:
             memo[chunk] = self.of_words(restore_chunk(chunk, self.letters))
         found = [x for x in map(memo.__getitem__, chunks) if x > 0]
         for m in APART.finditer(text):
-            x = self.of_words([w for w in WORD.findall(decode(m[0], self.letters)) if len(w) > 3])
+            x = self.of_words([w for w in WORD.findall(decode(m[0], self.letters)) if len(w) > 2])
             if x > 0:
                 found.append(x)
         return [max(found, default=0.0), float(np.log1p(sum(found))), float(np.log1p(sum(x > 3 for x in found))), float(np.log1p(len(chunks)))]

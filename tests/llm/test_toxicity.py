@@ -42,6 +42,21 @@ def test_restores_disguises():
     assert set(tox.restore("The cat sat", model)) == {"the", "cat", "sat"}
 
 
+def test_restores_disguises_at_the_ends(monkeypatch):
+    counts = {}
+    for w in "ass piss shit stupid idiot cunt bull a pi bu the cat sat it in at".split():
+        w = "  " + w + " "
+        for i in range(len(w) - 2):
+            counts[w[i : i + 3]] = counts.get(w[i : i + 3], 0) + 500
+    model = tox.Letters(counts)
+    for text, word in [("a$$", "ass"), ("pi$$", "piss"), ("shi+", "shit"), ("stupi|)", "stupid"), ("|diot", "idiot"), ("(unt", "cunt"), ("bu11", "bull"), ("a55", "ass"), ("iddiioott", "idiot"), ("a s s", "ass"), ("a.s.s", "ass")]:
+        assert word in tox.restore(text, model), (text, tox.restore(text, model))
+    for chunk in ["stupi|)", "a$$", "iddiioott"]:
+        assert tox.decode(chunk, model) == brute(chunk, model)
+    scorer = tox.Scorer(tox.Model(counts, {tox.features("ass")[0]: 5.0}))
+    assert scorer.row("a s s")[0] == 5.0 and scorer.row("a s t")[0] == 0.0
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = tox.op3_toxicity(spark, sf).toPandas()
