@@ -40,7 +40,6 @@ WORD = re.compile(r"[^\W\d_]+")
 DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}0-9]|[{SIGNS}0-9][^\W\d_]|([^\W\d_])\1")
 BETWEEN = re.compile(r"^[^\w@$!]+|[^\w]+$")
 CHANGE, DROP, JOIN, SPLIT = -1.5, -0.7, -0.3, -1.5
-LONGEST = 64
 PREFIXES = (3, 4, 5, 6)
 MEMO = 300_000
 
@@ -107,20 +106,24 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
 
 def decode(chunk: str, letters: Letters) -> str:
     """The likeliest reading of a chunk."""
-    states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
-    for options in lattice(chunk[:LONGEST]):
-        following: dict[str, tuple[float, str]] = {}
-        for context, (score, text) in states.items():
+    # a state is its score and the last of its steps, each of which holds the one before
+    states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
+    for options in lattice(chunk):
+        following: dict[str, tuple[float, tuple, str]] = {}
+        for context, (score, step) in states.items():
             for emitted, cost in options:
                 now, s = context, score + cost
                 for c in emitted:
                     s += letters.log_p(now, c)
                     now = now[1] + c
                 if now not in following or s > following[now][0]:
-                    following[now] = (s, text + emitted)
-        states = following
-    best = max(states.items(), key=lambda x: x[1][0] + letters.log_p(x[0], " "))
-    return best[1][1] + (" " + decode(chunk[LONGEST:], letters) if len(chunk) > LONGEST else "")
+                    following[now] = (s, step, emitted)
+        states = {k: (s, (step, emitted)) for k, (s, step, emitted) in following.items()}
+    step, out = max(states.items(), key=lambda x: x[1][0] + letters.log_p(x[0], " "))[1][1], []
+    while step:
+        step, emitted = step
+        out.append(emitted)
+    return "".join(reversed(out))
 
 
 def restore(text: str, letters: Letters) -> list[str]:

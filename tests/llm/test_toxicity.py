@@ -57,6 +57,16 @@ def test_restores_disguises_at_the_ends(monkeypatch):
     assert scorer.row("a s s")[0] == 5.0 and scorer.row("a s t")[0] == 0.0
 
 
+def test_long_stretches_are_decoded_whole():
+    model = letters()
+    spaced = " ".join("thestupidmoronsatthecatsatthestupididiot")
+    assert "idiot" in tox.decode(spaced, model).split() or "idiot" in tox.decode(spaced, model)
+    # any cut into stretches breaks one of many copies
+    for n in (7, 12, 13, 20, 60):
+        assert tox.decode("1d10t" * n, model) == "idiot" * n
+    assert tox.decode("1d10t" * 20_000, model) == "idiot" * 20_000
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = tox.op3_toxicity(spark, sf).toPandas()
