@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from operator import add
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -95,21 +95,43 @@ def _joint_grams(joints: list[str]) -> np.ndarray:
     return np.column_stack([first, first << np.uint64(16) | c[:, 4]])
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Joints:
-    """What meets at the blanks of texts: two letters of the word before (zeros where there are none), the blank, and two of the word and its end."""
+    """What meets at the blanks of texts: two letters of the word before (zeros where there are none), the blank, and two of the word and its end.
 
-    def __init__(self):
-        self.tails: dict[bytes, str] = {}
-        self.heads: dict[bytes, str] = {}
+    Words, ends of words and beginnings of words are numbered; at most about MEMO words are remembered.
+    """
 
-    def of(self, words: list[bytes]) -> list[str]:
-        if len(self.tails) > MEMO:
-            self.tails.clear()
-            self.heads.clear()
-        for w in set(words).difference(self.tails):
-            x = w.decode()
-            self.tails[w], self.heads[w] = x[-2:].rjust(2, "\0") + " ", (x + " ")[:2]
-        return list(map(add, ["\0\0 ", *map(self.tails.__getitem__, words[:-1])], map(self.heads.__getitem__, words)))
+    def __init__(self):
+        self.words = Numbers()
+        self.tails, self.heads = Numbers({"\0\0 ": 0}), Numbers()
+        self.ends = np.zeros((0, 2), np.int64)
+
+    def of(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of texts and of the joint before each: that of the tail * 2**32 + that of the head."""
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        own = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, size.sum())
+        new = list(islice(self.words, len(self.ends), None))
+        if new:
+            text = [w.decode() for w in new]
+            ends = [(self.tails[x[-2:].rjust(2, "\0") + " "], self.heads[(x + " ")[:2]]) for x in text]
+            self.ends = np.concatenate([self.ends, np.array(ends, np.int64)])
+        tails = np.zeros(len(own), np.int64)
+        tails[1:] = self.ends[own[:-1], 0]
+        starts = np.cumsum(size) - size
+        tails[starts[size > 0]] = 0
+        return own, tails << 32 | self.ends[own, 1]
+
+    def names(self, joints: np.ndarray) -> list[str]:
+        tails, heads = list(self.tails), list(self.heads)
+        return [tails[k >> 32] + heads[k & 0xFFFFFFFF] for k in joints.tolist()]
 
 
 def count_grams(docs: DataFrame, text: str, lang: Column, across: bool = False, block: Column | None = None) -> DataFrame:
@@ -125,20 +147,22 @@ def count_grams(docs: DataFrame, text: str, lang: Column, across: bool = False,
         for batch in batches:
             keyed, texts = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist()
             for lo in range(0, len(texts), 2048):
-                found: dict[tuple[int, str], tuple[Counter, Counter]] = {}
+                found: dict[tuple[int, str], list[list[bytes]]] = {}
                 for own, body in zip(keyed[lo : lo + 2048], texts[lo : lo + 2048]):
-                    whole, between = found.setdefault(own, (Counter(), Counter()))
-                    words = body.split()
-                    whole.update(words)
-                    if across and words:
-                        between.update(joints.of(words))
-                for own, (whole, between) in found.items():
-                    if whole:
-                        grams, word = _inner(list(whole)) if across else _letters(list(whole))[:2]
-                        n = np.fromiter(whole.values(), np.int64, len(whole))[word]
+                    found.setdefault(own, []).append(body.split())
+                if len(joints.words) > MEMO:
+                    joints = Joints()
+                for own, split in found.items():
+                    at, between = joints.of(split)
+                    if len(at):
+                        at, n = np.unique(at, return_counts=True)
+                        words = list(map(list(joints.words).__getitem__, at.tolist()))
+                        grams, word = _inner(words) if across else _letters(words)[:2]
+                        n = n[word]
                         if across:
-                            grams = np.concatenate([grams, _joint_grams(list(between)).ravel()])
-                            n = np.concatenate([n, np.repeat(np.fromiter(between.values(), np.int64, len(between)), 2)])
+                            between, times = np.unique(between, return_counts=True)
+                            grams = np.concatenate([grams, _joint_grams(joints.names(between)).ravel()])
+                            n = np.concatenate([n, np.repeat(times, 2)])
                         old = sums.get(own, (grams[:0], n[:0]))
                         keys, at = np.unique(np.concatenate([old[0], grams]), return_inverse=True)
                         sums[own] = keys, np.bincount(at, np.concatenate([old[1], n]), len(keys)).astype(np.int64)
@@ -247,8 +271,7 @@ class Scorer:
 
     def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.tables = tables
-        self.memo: dict[str, tuple[dict[bytes, float], dict[str, float]]] = {}
-        self.joints = Joints()
+        self.memo: dict[str, tuple[Joints, np.ndarray]] = {}
 
     def log_p(self, lang: str, grams: np.ndarray) -> np.ndarray:
         hit, value = _look_up(*self.tables.get(lang, (grams[:0], np.zeros(0))), grams)
@@ -258,27 +281,28 @@ class Scorer:
 
     def document_scores(self, langs: list[str], split: list[list[bytes]], letters: list[int]) -> list[float | None]:
         """The log perplexity per letter (words' ends count) of each document; None without a word."""
-        if sum(len(x) for own in self.memo.values() for x in own) > MEMO:
+        if sum(len(x[0].words) for x in self.memo.values()) > MEMO:
             self.memo.clear()
-        joints = [self.joints.of(words) if words else [] for words in split]
-        new: dict[str, tuple[set[bytes], set[str]]] = {}
-        for lang, words, between in zip(langs, split, joints):
-            own = new.setdefault(lang, (set(), set()))
-            own[0].update(words)
-            own[1].update(between)
-        for lang, (words, between) in new.items():
-            known = self.memo.setdefault(lang, ({}, {}))
-            missing = list(words.difference(known[0]))
+        out: list[float | None] = [None] * len(split)
+        places: dict[str, list[int]] = {}
+        for k, (lang, words) in enumerate(zip(langs, split)):
+            if words:
+                places.setdefault(lang, []).append(k)
+        for lang, own in places.items():
+            joints, inner = self.memo.get(lang, (Joints(), np.zeros(0)))
+            texts = [split[k] for k in own]
+            at, between = joints.of(texts)
+            missing = list(islice(joints.words, len(inner), None))
             if missing:
                 grams, word = _inner(missing)
-                known[0].update(zip(missing, np.bincount(word, self.log_p(lang, grams), len(missing)).tolist()))
-            missing = list(between.difference(known[1]))
-            if missing:
-                known[1].update(zip(missing, self.log_p(lang, _joint_grams(missing).ravel()).reshape(-1, 2).sum(1).tolist()))
-        out = []
-        for lang, words, between, n in zip(langs, split, joints, letters):
-            inner, joint = self.memo[lang]
-            out.append(-(sum(map(inner.__getitem__, words)) + sum(map(joint.__getitem__, between))) / (n + len(words)) if words else None)
+                inner = np.concatenate([inner, np.bincount(word, self.log_p(lang, grams), len(missing))])
+            self.memo[lang] = joints, inner
+            between, of = np.unique(between, return_inverse=True)
+            joint = self.log_p(lang, _joint_grams(joints.names(between)).ravel()).reshape(-1, 2).sum(1)
+            size = [len(words) for words in texts]
+            total = np.bincount(np.repeat(np.arange(len(own)), size), inner[at] + joint[of], len(own))
+            for k, x, n in zip(own, total.tolist(), size):
+                out[k] = -x / (letters[k] + n)
         return out
 
 
