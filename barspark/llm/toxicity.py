@@ -38,10 +38,14 @@ CHUNK = re.compile(r"\S+")
 WORD = re.compile(r"[^\W\d_]+")
 #: A sign or digit beside a letter, or a letter repeated.
 DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}0-9]|[{SIGNS}0-9][^\W\d_]|([^\W\d_])\1")
+#: Letters that each stand once.
+SINGLE = re.compile(r"(?:([^\W\d_])(?!\1))+")
 BETWEEN = re.compile(r"^[^\w@$!]+|[^\w]+$")
 CHANGE, DROP, JOIN, SPLIT = -1.5, -0.7, -0.3, -1.5
 PREFIXES = (3, 4, 5, 6)
-MEMO = 300_000
+#: The model of letters tells letters below this code point apart; all others are one letter to it.
+ALPHABET = 0x180
+MEMO = 400_000
 
 
 def features(word: str) -> list[int]:
@@ -50,8 +54,16 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(p.encode()) >> 1 for p in parts]
 
 
+def plain(letters: str) -> str:
+    """Letters as the model of letters tells them apart."""
+    return letters if letters.isascii() else "".join(c if ord(c) < ALPHABET else "?" for c in letters)
+
+
 class Letters:
-    """A character trigram model with interpolated back-off; a blank bounds words."""
+    """A character trigram model with interpolated back-off; a blank bounds words.
+
+    ``counts`` has trigrams of :func:`plain` letters. At most MEMO grams are remembered.
+    """
 
     def __init__(self, counts: dict[str, int]):
         self.three, self.two, self.one = Counter(counts), Counter(), Counter()
@@ -69,18 +81,26 @@ class Letters:
     def log_p(self, context: str, letter: str) -> float:
         gram = context + letter
         if (got := self.memo.get(gram)) is None:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            asked, gram = gram, plain(gram)
+            letter = gram[2:]
             p = (self.one[letter] + 0.1) / (self.total + 100)
             p = (self.two[gram[1:]] + 8 * p) / (self.context_one[gram[1:2]] + 8)
             p = (self.three[gram] + 8 * p) / (self.context_two[gram[:2]] + 8)
-            got = self.memo[gram] = float(np.log(p))
+            got = self.memo[asked] = float(np.log(p))
         return got
 
 
 def lattice(chunk: str) -> list[list[tuple[str, float]]]:
-    """What each sign of a chunk, or run of one letter, can stand for, with the cost."""
+    """What each sign of a chunk, or run of one letter, can stand for, with the cost; letters with one reading stay together."""
     out: list[list[tuple[str, float]]] = []
     i, n = 0, len(chunk)
     while i < n:
+        if fixed := SINGLE.match(chunk, i):
+            out.append([(fixed[0], 0.0)])
+            i = fixed.end()
+            continue
         c, j = chunk[i], i + 1
         while j < n and chunk[j] == c:
             j += 1
@@ -108,15 +128,20 @@ def decode(chunk: str, letters: Letters) -> str:
     """The likeliest reading of a chunk."""
     # a state is its score and the last of its steps, each of which holds the one before
     states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
+    known = letters.memo.get
     for options in lattice(chunk):
         following: dict[str, tuple[float, tuple, str]] = {}
         for context, (score, step) in states.items():
             for emitted, cost in options:
                 now, s = context, score + cost
                 for c in emitted:
-                    s += letters.log_p(now, c)
-                    now = now[1] + c
-                if now not in following or s > following[now][0]:
+                    gram = now + c
+                    if (p := known(gram)) is None:
+                        p = letters.log_p(now, c)
+                    s += p
+                    now = gram[1:]
+                old = following.get(now)
+                if old is None or s > old[0]:
                     following[now] = (s, step, emitted)
         states = {k: (s, (step, emitted)) for k, (s, step, emitted) in following.items()}
     step, out = max(states.items(), key=lambda x: x[1][0] + letters.log_p(x[0], " "))[1][1], []
@@ -140,8 +165,10 @@ def restore_chunk(chunk: str, letters: Letters) -> list[str]:
     if core.isalpha() and not DISGUISED.search(chunk):
         return [core]
     words = WORD.findall(core)
+    at = chunk.find(core)
+    around = chunk[:at] + chunk[at + len(core) :]
     # signs at either end may be letters or marks around the word: both readings count
-    for form in {core: None, chunk: None}:
+    for form in (core, chunk) if any(x in STANDS_FOR for x in around) else (core,):
         if DISGUISED.search(form):
             for part in re.split(r"[,;:/\"]+", form):
                 if DISGUISED.search(part):
@@ -158,15 +185,21 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; ``memo`` holds the evidence of the chunks seen last."""
+    """Scores texts; ``memo`` and ``known`` hold the evidence of the chunks and words seen last."""
 
     def __init__(self, model: Model):
         self.letters, self.evidence, self.weights = Letters(model.letters), model.evidence, model.weights
         self.memo: dict[str, float] = {}
+        self.known: dict[str, float] = {}
 
     def of_words(self, words: list[str]) -> float:
-        get = self.evidence.get
-        return max((get(f, 0.0) for w in words for f in features(w)), default=0.0)
+        known, get, most = self.known, self.evidence.get, 0.0
+        for w in words:
+            if (x := known.get(w)) is None:
+                x = known[w] = max(get(f, 0.0) for f in features(w))
+            if x > most:
+                most = x
+        return most
 
     def row(self, text: str | None) -> list[float]:
         """Greatest evidence, logs of the sum of evidence and of the number of chunks with strong evidence, and of length."""
@@ -176,6 +209,8 @@ class Scorer:
         chunks = set(text.split())
         if len(memo) > MEMO:
             memo.clear()
+        if len(self.known) > MEMO:
+            self.known.clear()
         for chunk in chunks.difference(memo):
             memo[chunk] = self.of_words(restore_chunk(chunk, self.letters))
         found = [x for x in map(memo.__getitem__, chunks) if x > 0]
@@ -205,10 +240,40 @@ def logistic_regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge:
     return w
 
 
+def count_letters(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """How often each trigram of letters occurs in the words of all texts.
+
+    Tasks sum their own grams first; what is collected is bounded by the alphabet (ALPHABET).
+    """
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        found: Counter = Counter()
+
+        def settle() -> None:
+            for w, n in words.items():
+                w = f"  {plain(w)} "
+                for i in range(len(w) - 2):
+                    found[w[i : i + 3]] += n
+            words.clear()
+
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                words.update(WORD.findall(body.lower()))
+                if len(words) > MEMO:
+                    settle()
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+
+    texts = docs.select(F.col(text).cast("string").alias("text")).where("text is not null")
+    counted = texts.mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(counted.column("gram").to_pylist(), counted.column("n").to_pylist()))
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", toxic: int = TOXIC_DOCUMENTS, clean: int = CLEAN_DOCUMENTS) -> Model:
     """A model of the labelled rows of ``docs``: about ``toxic`` and ``clean`` of them, chosen by a hash of the id.
 
-    Two thirds give the evidence, the other third the regression. Rows without an id, a text or
+    The model of letters is that of all rows of ``docs``, with or without a label. Two thirds give the evidence, the other third the regression. Rows without an id, a text or
     a label, and ids with both labels, teach nothing; equal texts count once. Without toxic or
     without clean rows every score is low.
     """
@@ -224,19 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rows = rows.groupBy(F.xxhash64("text").alias("_h"), F.length("text").alias("_n")).agg(F.min(F.struct("_id", "text", "y")).alias("r")).select("r.*")
     rows = materialize(rows.withColumn("third", F.pmod(F.xxhash64("_id", F.lit("third")), F.lit(3)) == 0), "labelled")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for body in batch.column(0).to_pylist():
-                for w, n in Counter(WORD.findall(body.lower())).items():
-                    w = "  " + "".join(c if ord(c) < 0x180 else "?" for c in w) + " "
-                    for i in range(len(w) - 2):
-                        found[w[i : i + 3]] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
-
-    # letters below 0x180 only: a bounded alphabet bounds what is collected
-    counted = rows.select("text").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    letters = dict(zip(counted.column("gram").to_pylist(), counted.column("n").to_pylist()))
+    letters = count_letters(docs, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = Letters(letters), {}
@@ -289,8 +342,9 @@ _scorers: dict[int, Scorer] = {}
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` from 0 to 1, which replaces a column of that name.
 
-    A null or empty text has no evidence. Repeated rows stay and other columns pass through;
-    an empty table gives an empty table.
+    A null or empty text has no evidence. A text of any length is scored whole, in time linear
+    in its length. Repeated rows stay and other columns pass through; an empty table gives an
+    empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     token = shared._jbroadcast.id()
@@ -318,6 +372,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels that are not held out."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out()))
     found = score(docs.select("doc_id", "text"), model)

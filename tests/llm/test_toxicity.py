@@ -1,3 +1,4 @@
+import time
 import zlib
 from itertools import product
 
@@ -90,3 +91,22 @@ def test_odd_rows(spark):
     assert got.columns == ["doc_id", "text", "toxicity"] and got.count() == 65
     assert tox.score(docs.limit(0), model).count() == 0
     assert tox.score(docs, tox.train(docs, labels.limit(0))).where("toxicity >= 0.5").count() == 0
+
+
+def test_long_texts_take_linear_time():
+    model = letters()
+    scorer = tox.Scorer(tox.Model(dict(model.three), {tox.features("idiot")[0]: 5.0}))
+    began = time.time()
+    for text in ["x" * 1_000_000, "a" * 500_000 + "1" * 500_000, "i d i o t " * 200_000, "1d10t" * 200_000, "ab" * 500_000, "a1" * 500_000, "(" * 1_000_000, "a." * 500_000]:
+        assert 0 <= scorer.scores([text])[0] <= 1
+    assert time.time() - began < 120
+
+
+def test_letters_are_counted_over_all_texts(spark):
+    docs = spark.createDataFrame([(1, "Idiot idiot"), (2, "ΑΒ 漢"), (3, None), (None, "idiot"), (3, "")], "doc_id long, text string")
+    got = tox.count_letters(docs)
+    assert got["  i"] == 3 and got["ot "] == 3
+    assert got["  ?"] == 2 and got[" ??"] == 1 and got["?? "] == 1
+    model = tox.Letters(got)
+    assert model.log_p("  ", "β") == model.log_p("  ", "漢") == model.log_p("  ", "?")
+    assert tox.count_letters(docs.limit(0)) == {}
