@@ -24,11 +24,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each language in the training sample, as expected number.
 SAMPLE = 1500
 ROUNDS = 2
-#: Longer words are cut into stretches of this length.
-LONGEST = 48
-#: Factor a letter, which keeps products of probabilities in range.
+#: Factor a letter, which keeps products of probabilities in range over RESCALE letters; then sums are scaled anew.
 SCALE = 24.0
+RESCALE = 32
+#: Letters and places of words that are summed at once; a longer word is summed in stretches that carry their last sums over.
+TOGETHER = 200_000
 MEMO = 300_000
+#: Part of the usual lead of its language that a recognised text has.
+LEAST_LEAD = 0.4
 UNKNOWN = "und"
 
 
@@ -47,6 +50,8 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
+        #: Letters of the longest piece.
+        self.reach = max(map(len, pieces), default=1)
         #: Piece numbers; -1 for what only begins a piece.
         self.trie: dict[str, int] = {}
         for k, p in enumerate(pieces):
@@ -77,26 +82,52 @@ class Lattice:
         return arcs[:, 0], arcs[:, 1], arcs[:, 2], arcs[:, 3]
 
 
-def forward(arcs: tuple[np.ndarray, ...], n: int, length: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Sums over all paths to each place of each word; ``weight`` is (arcs, columns), already scaled."""
+def forward(arcs: tuple[np.ndarray, ...], n: int, length: np.ndarray, weight: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all paths to each place of each word, and the logs by which they were scaled down.
+
+    ``weight`` is (arcs, columns), already scaled by SCALE a letter. ``begin`` holds the sums at the
+    first places, (places, 1, columns), where a stretch goes on from another; else a word begins at its first.
+    """
     word, start, end, _ = arcs
     most = int(length.max(initial=0))
     at = np.zeros((most + 1, n, weight.shape[1]))
-    at[0] = 1
+    shift = np.zeros((most + 1, n, weight.shape[1]) if most > RESCALE else (1, 1, 1))
+    first_end = 1
+    if begin is None:
+        at[0] = 1
+    else:
+        at[: len(begin)] = begin
+        first_end = len(begin)
     cut = np.searchsorted(end, np.arange(1, most + 2))
-    for e in range(1, most + 1):
+    reach = int((end - start).max(initial=1))
+    for e in range(first_end, most + 1):
         lo, hi = cut[e - 1], cut[e]
-        if lo == hi:
-            continue
-        w = word[lo:hi]
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        at[e, w[first]] = np.add.reduceat(at[start[lo:hi], w] * weight[lo:hi], first, axis=0)
-    return at
-
-
-def _stretches(word: str) -> list[str]:
-    word = "▁" + word
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+        if lo < hi:
+            w = word[lo:hi]
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            at[e, w[first]] = np.add.reduceat(at[start[lo:hi], w] * weight[lo:hi], first, axis=0)
+        if most > RESCALE:
+            shift[e] = shift[e - 1]
+            if e % RESCALE == 0:
+                # the places that later ones build on get one scale; they are all within reach
+                near = slice(max(0, e - reach + 1), e + 1)
+                at[near] *= np.exp(shift[near] - shift[e])
+                by = np.where(at[e] > 0, at[e], 1.0)
+                at[near] /= by
+                shift[near] = shift[e] + np.log(by)
+    return at, shift
+
+
+def _groups(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of words of like length, about TOGETHER places at a time."""
+    order = np.argsort(length, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = min(lo + 4096, len(order))
+        while hi - lo > 1 and (hi - lo) * (length[order[hi - 1]] + 1) > TOGETHER:
+            hi = lo + max(1, (hi - lo) // 2)
+        yield order[lo:hi]
+        lo = hi
 
 
 @dataclass
@@ -122,21 +153,42 @@ class Scorer:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities (words, languages)."""
-        split = [_stretches(w) for w in words]
-        flat = [s for x in split for s in x]
-        length = np.fromiter(map(len, flat), np.int64, len(flat))
-        order = np.argsort(length, kind="stable")
-        out = np.zeros((len(flat), self.p.shape[1]))
-        for lo in range(0, len(flat), 4096):
-            own = order[lo : lo + 4096]
-            arcs = self.lattice.arcs([flat[k] for k in own])
+        marked = ["▁" + w for w in words]
+        length = np.fromiter(map(len, marked), np.int64, len(marked))
+        out = np.zeros((len(marked), self.p.shape[1]))
+        for own in _groups(length):
+            if length[own[0]] > TOGETHER:
+                out[own[0]] = self.long_word(marked[own[0]])
+                continue
+            arcs = self.lattice.arcs([marked[k] for k in own])
             weight = self.p[arcs[3]] * (SCALE ** (arcs[2] - arcs[1]))[:, None]
-            at = forward(arcs, len(own), length[own], weight)
-            out[own] = np.log(np.maximum(at[length[own], np.arange(len(own))], 1e-300)) - length[own, None] * np.log(SCALE)
-        return np.add.reduceat(out, np.concatenate([[0], np.cumsum([len(x) for x in split])[:-1]]).astype(np.int64), axis=0) if flat else out
-
-    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language and its posterior of each text."""
+            at, shift = forward(arcs, len(own), length[own], weight)
+            here = length[own], np.arange(len(own))
+            out[own] = np.log(np.maximum(at[here], 1e-300)) - length[own, None] * np.log(SCALE)
+            if len(shift) > 1:
+                out[own] += shift[here]
+        return out
+
+    def long_word(self, word: str) -> np.ndarray:
+        """Log probabilities of one word, stretch by stretch."""
+        reach, carried, total = self.lattice.reach, None, np.zeros(self.p.shape[1])
+        for lo in range(0, len(word), TOGETHER):
+            back = min(lo, reach)
+            part = word[lo - back : lo + TOGETHER]
+            arcs = self.lattice.arcs([part])
+            weight = self.p[arcs[3]] * (SCALE ** (arcs[2] - arcs[1]))[:, None]
+            at, shift = forward(arcs, 1, np.array([len(part)]), weight, carried)
+            last = slice(max(0, len(part) - reach), None)
+            if len(shift) == 1:
+                shift = np.zeros(at.shape)
+            carried = at[last] * np.exp(shift[last] - shift[-1])
+            by = np.where(carried[-1] > 0, carried[-1], 1.0)
+            carried = carried / by
+            total += (shift[-1] + np.log(by))[0]
+        return total - len(word) * np.log(SCALE)
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[float | None]]:
+        """Of each text the language, its posterior, its log probability a letter and its lead a letter over the next language."""
         split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         # the pattern also finds numerals that are no digits; alone they are no letters
         split = [own if any(map(str.isalpha, "".join(own))) else [] for own in split]
@@ -150,14 +202,18 @@ class Scorer:
             at = len(self.memo)
             self.table[at : at + len(new)] = self.words(new)
             self.memo.update(zip(new, range(at, at + len(new))))
-        got, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        got, score, each, lead = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts), [None] * len(texts)
         take = self.memo.__getitem__
         for k, own in enumerate(split):
             if own and self.languages:
                 total = self.table[np.fromiter(map(take, own), np.int64, len(own))].sum(0, dtype=np.float64)
                 best = int(total.argmax())
                 got[k], score[k] = self.languages[best], float(1 / np.exp(total - total[best]).sum())
-        return got, score
+                letters = sum(map(len, own)) + len(own)
+                each[k] = float(total[best] / letters)
+                if len(total) > 1:
+                    lead[k] = float((total[best] - np.partition(total, -2)[-2]) / letters)
+        return got, score, each, lead
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, pieces: list[str] | None = None) -> Model:
@@ -196,22 +252,21 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
             total = np.zeros(p.shape)
             for batch in batches:
                 own, word, n = (c.to_pylist() for c in batch.columns)
-                flat = [(s, numbers[x], k) for x, w, k in zip(own, word, n) for s in _stretches(w)]
-                flat.sort(key=lambda x: len(x[0]))
-                for lo in range(0, len(flat), 4096):
-                    part = flat[lo : lo + 4096]
-                    texts = [x[0] for x in part]
-                    column, times = np.array([x[1] for x in part]), np.array([x[2] for x in part], float)
-                    length = np.array([len(t) for t in texts])
-                    arcs = lattice.arcs(texts)
-                    w, s, e, k = arcs
-                    weight = p[k, column[w]] * SCALE ** (e - s)
-                    ahead = forward(arcs, len(texts), length, weight[:, None])[:, :, 0]
-                    back = (w, length[w] - e, length[w] - s, k)
+                texts = ["▁" + w for w in word]
+                column, times = np.fromiter((numbers[x] for x in own), np.int64, len(own)), np.array(n, float)
+                length = np.fromiter(map(len, texts), np.int64, len(texts))
+                for at in _groups(length):
+                    size = length[at]
+                    w, s, e, k = arcs = lattice.arcs([texts[i] for i in at])
+                    weight = p[k, column[at][w]] * SCALE ** (e - s)
+                    ahead, lifted = (x[:, :, 0] for x in forward(arcs, len(at), size, weight[:, None]))
+                    back = (w, size[w] - e, size[w] - s, k)
                     order = np.lexsort((back[0], back[2]))
-                    behind = forward(tuple(x[order] for x in back), len(texts), length, weight[order, None])[:, :, 0]
-                    through = ahead[s, w] * weight * behind[length[w] - e, w] / np.maximum(ahead[length[w], w], 1e-300)
-                    np.add.at(total, (k, column[w]), through * times[w])
+                    behind, lowered = (x[:, :, 0] for x in forward(tuple(x[order] for x in back), len(at), size, weight[order, None]))
+                    through = ahead[s, w] * weight * behind[size[w] - e, w] / np.maximum(ahead[size[w], w], 1e-300)
+                    if len(lifted) > 1:
+                        through *= np.exp(lifted[s, w] + lowered[size[w] - e, w] - lifted[size[w], w])
+                    np.add.at(total, (k, column[at][w]), through * times[at][w])
             at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total[at])], ["piece", "lang", "n"])
 
@@ -226,15 +281,17 @@ _scorers: dict[int, Scorer] = {}
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``, which replace columns of these names.
+    """``docs`` with ``lang_pred``, ``lang_score`` (the posterior), ``lang_log_p`` (log probability a letter, the end of a word counts as one) and ``lang_lead`` (its lead over the next language), which replace columns of these names.
 
-    A null text or one without a letter gives ``und`` and 0. Ties go to the first language by
-    name. Other columns pass through and repeated rows stay; an empty table gives an empty table.
+    A null text or one without a letter gives ``und``, 0 and nulls; the lead is null where only one
+    language is known. Ties go to the first language by name. Texts and words of any length are
+    summed whole. Other columns pass through and repeated rows stay; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     token = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)
-    base = docs.drop("lang_pred", "lang_score")
+    added = ["lang_pred", "lang_score", "lang_log_p", "lang_lead"]
+    base = docs.drop(*(c for c in added if c != text))
     names = base.columns
     rows = base.toDF(*[f"c{i}" for i in range(len(names))])
     rows = rows.withColumn("_text", F.col(f"c{names.index(text)}").cast("string"))
@@ -247,11 +304,25 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                got, score = scorer.texts(part.columns[-1].to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:-1], "lang_pred", "lang_score"])
+                got, *numbers = scorer.texts(part.columns[-1].to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], [*part.schema.names[:-1], *added])
+
+    schema = rows.drop("_text").schema.add("lang_pred", "string")
+    for c in added[1:]:
+        schema = schema.add(c, "double")
+    return rows.mapInArrow(run, schema).toDF(*names, *added)
+
 
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("lang_score", "double")
-    return rows.mapInArrow(run, schema).toDF(*names, "lang_pred", "lang_score")
+def recognised(found: DataFrame, least_lead: float = LEAST_LEAD) -> DataFrame:
+    """The rows of :func:`predict` that are in one learned language.
+
+    Texts without a letter go, and those whose lead over the next language is, letter by letter, below
+    ``least_lead`` of the median lead of their language: texts in no learned language, or with a large
+    part in another. Where only one language is known there is no lead, and all texts with a letter stay.
+    """
+    usual = found.where("lang_lead is not null").groupBy(F.col("lang_pred").alias("_lang")).agg(F.percentile_approx("lang_lead", 0.5, 10_000).alias("_usual"))
+    joined = found.join(F.broadcast(usual), F.col("lang_pred") == F.col("_lang"), "left")  # a row per learned language
+    return joined.where((F.col("lang_pred") != UNKNOWN) & F.coalesce(F.col("lang_lead") >= least_lead * F.col("_usual"), F.lit(True))).drop("_lang", "_usual")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -260,6 +331,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of those that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     found = predict(docs.select("doc_id", "text"), model)

@@ -29,7 +29,58 @@ def test_sum_over_segmentations():
     for k, w in enumerate(words):
         for c in (0, 1):
             assert abs(got[k, c] - np.log(brute("▁" + w, pieces, p, c))) < 1e-9
-    assert np.isfinite(scorer.words(["ab" * 400])).all()
+
+
+def by_logs(word, pieces, p, column):
+    """The log of the sum over all ways to cut a word, place by place."""
+    at = [0.0]
+    for e in range(1, len(word) + 1):
+        terms = []
+        for s in range(max(0, e - 4), e):
+            part = word[s:e]
+            if part in pieces:
+                terms.append(at[s] + np.log(p[pieces.index(part), column]))
+            elif e - s == 1:
+                terms.append(at[s] + np.log(p[-1, column]))
+        at.append(np.logaddexp.reduce(terms))
+    return at[-1]
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    pieces = ["a", "ab", "b", "ba", "▁", "▁a", "▁ab"]
+    p = np.random.default_rng(1).random((8, 2))
+    p /= p.sum(0)
+    p[-1] = 1e-9
+    scorer = langid.Model(pieces, ["x", "y"], np.log(p)).scorer()
+    letters = np.random.default_rng(2)
+    words = ["".join(letters.choice(list("abc"), n)) for n in (1, 30, 31, 32, 33, 48, 63, 64, 65, 200, 999)] + ["ab" * 400]
+    want = np.array([[by_logs("▁" + w, pieces, p, c) for c in (0, 1)] for w in words])
+    assert np.allclose(scorer.words(words), want, rtol=1e-9)
+    for together in (7, 50, 333):
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        assert np.allclose(scorer.words(words), want, rtol=1e-9)
+    monkeypatch.undo()
+    assert np.isfinite(scorer.words(["ab" * 300_000])).all()
+
+
+def test_fit_on_long_words_equals_fit_on_logs(spark):
+    words = ["ab" * 60 + "ba", "ba" * 20]
+    df = spark.createDataFrame([(k, w, "en") for k, w in enumerate(words)], "doc_id long, text string, lang string")
+    pieces = ["a", "ab", "b", "ba", "▁", "▁a", "▁ab"]
+    model = langid.fit(df, pieces=pieces)
+    size = np.array([len(x) for x in pieces] + [1])
+    p = 0.02 ** np.minimum(size, 4.0) + 1e-7
+    p = (p / p.sum())[:, None]
+    for _ in range(langid.ROUNDS):  # expected numbers are slopes of the log of the sum
+        total = np.full(len(p), 0.02)
+        for w in words:
+            for k in range(len(pieces)):
+                up, down = p.copy(), p.copy()
+                up[k] *= np.exp(1e-5)
+                down[k] *= np.exp(-1e-5)
+                total[k] += (by_logs("▁" + w, pieces, up, 0) - by_logs("▁" + w, pieces, down, 0)) / 2e-5
+        p = (total / total.sum())[:, None]
+    assert np.allclose(np.exp(model.log_p[:, 0]), p[:, 0], rtol=1e-4)
 
 
 def test_held_out_accuracy(spark, sf):
