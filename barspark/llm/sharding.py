@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import read_table
+from barspark.llm.common import new_path, read_table
 
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:04d}" for i in range(256))
@@ -57,21 +57,39 @@ def place(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int =
     """``df`` with ``slot`` and ``shard``.
 
     Equal keys go to one shard. A null key goes to the slot of the hash of no value; repeated
-    rows stay; columns of ``df`` named ``slot`` or ``shard`` are replaced; an empty table
-    gives an empty table. The broadcast table has ``slots`` rows whatever the size of ``df``.
+    rows stay; columns of ``df`` named ``slot`` or ``shard`` are replaced, but for the key; an
+    empty table gives an empty table. The broadcast table has ``slots`` rows whatever the size of ``df``.
     """
     spark = df.sparkSession
     owner = lookup_table(shards, slots)
     table = spark.createDataFrame(pd.DataFrame({"slot": np.arange(slots, dtype=np.int32), "shard": np.array(shards, object)[owner]}))
-    hashed = df.drop("shard").withColumn("slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
-    return hashed.join(F.broadcast(table.withColumn("slot", F.col("slot").cast("int"))), "slot").select(*hashed.columns, "shard")
+    base = df.drop(*(c for c in ("slot", "shard") if c != key))
+    hashed = base.withColumn("_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
+    table = table.select(F.col("slot").cast("int").alias("_slot"), F.col("shard").alias("_shard"))
+    placed = hashed.join(F.broadcast(table), "_slot")
+    return placed.select(*base.columns, "_slot", "_shard").toDF(*base.columns, *(("slot", "shard") if key not in ("slot", "shard") else ("_slot", "_shard")))
 
 
-def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:
-    """Write ``df`` as Parquet with a folder per shard, one file a task and shard at most."""
+def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """Write ``df`` as Parquet under ``path``, a folder a shard, and return what was written, with ``slot`` and ``shard``.
+
+    A shard with more than an eighth of a task's even part of the rows is dealt over tasks in such
+    parts, so that a key of a third of all rows fills many files of its shard. Columns pass
+    through whatever their types; an empty table writes no shard.
+    """
     placed = place(df, key, shards, slots)
-    placed.repartition("shard", "slot").write.partitionBy("shard").parquet(path)
+    spark, columns = df.sparkSession, placed.columns
+    shard, number = columns[-1], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = {r[0]: r[1] for r in placed.groupBy(shard).count().collect()}  # a row a shard at most
+    even = max(1, sum(sizes.values()) // (8 * number))  # small parts, so that hashing deals them evenly
+    parts = spark.createDataFrame([(k, -(-n // even)) for k, n in sizes.items()], f"`{shard}` string, _parts int")
+    dealt = placed.join(F.broadcast(parts), shard).withColumn("_part", F.monotonically_increasing_id() % F.col("_parts"))
+    dealt.repartition(number, shard, "_part").select(*columns).write.partitionBy(shard).parquet(path)
+    return spark.read.schema(placed.schema).parquet(path).select(*columns)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    """Shards all documents, whole rows, into files and returns the placement as read back from these."""
+    docs = read_table(spark, sf_dir, "documents")
+    written = write_shards(docs, "doc_id", new_path(spark, "shards"))
+    return written.select("doc_id", "slot", "shard")

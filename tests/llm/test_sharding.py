@@ -52,6 +52,25 @@ def test_place(spark):
     assert sharding.place(df.limit(0), "doc_id").count() == 0
 
 
+def test_write_shards(spark, tmp_path):
+    rows = [(7, f"hot {i}", i, "old") for i in range(900)] + [(i, f"row {i}", i, None) for i in range(300)] + [(None, None, 1, "x"), (None, None, 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot long, shard string").repartition(3)
+    names = [f"s{i}" for i in range(5)]
+    got = sharding.write_shards(df, "doc_id", f"file://{tmp_path}/out", names, 31)
+    want = sharding.place(df, "doc_id", names, 31)
+    assert got.columns == ["doc_id", "text", "slot", "shard"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # the hot key's shard is dealt over files, none of which holds most of it
+    hot = got.where("doc_id = 7").select("shard").first()[0]
+    sizes = [spark.read.parquet(f"file://{f}").count() for f in (tmp_path / "out" / f"shard={hot}").glob("*.parquet")]
+    assert len(sizes) >= 3 and max(sizes) <= sum(sizes) / 2
+    assert {p.name for p in (tmp_path / "out").glob("shard=*")} == {f"shard={r.shard}" for r in want.select("shard").distinct().collect()}
+    empty = sharding.write_shards(df.limit(0), "doc_id", f"file://{tmp_path}/none", names, 31)
+    assert empty.count() == 0 and empty.columns == got.columns
+    same = sharding.write_shards(df.drop("slot"), "shard", f"file://{tmp_path}/by_shard", names, 31)
+    assert same.columns == ["doc_id", "text", "shard", "_slot", "_shard"] and same.count() == len(rows)
+
+
 def test_query(spark, sf):
     got = sharding.op7_sharding(spark, sf).toPandas()
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").toPandas()
