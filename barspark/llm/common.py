@@ -37,7 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._written_to = path
+    return read
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing will read again."""
+    for df in written:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(df._written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

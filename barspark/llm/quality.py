@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barspark.llm.common import materialize, read_table
+from barspark.llm.common import materialize, read_table, release
 
 ORDER = 4
 BLANKS = " \t\n\r\x0b\x0c"
@@ -179,7 +179,7 @@ def count_grams(docs: DataFrame, text: str, lang: Column, across: bool = False,
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """``counts(lang, gram, n)`` to ``(lang, kind, gram, value)``.
+    """``counts(lang, gram, n)`` to ``(lang, kind, gram, value)``, written to the shared folder.
 
     ``kind`` k from 1 to 4 holds the natural log of the interpolated probability of the last
     letter after the k - 1 before it, and 10 + k the log of the weight of order k - 1 after
@@ -190,7 +190,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
         orders[k] = materialize(orders[k + 1].select("lang", shorter.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")), f"grams_{k}")
-    lower, out = None, []
+    lower, out, steps = None, [], list(orders.values())
     for k in range(1, ORDER + 1):
         table = orders[k].withColumn("context", F.shiftrightunsigned("gram", 16).cast("long"))
         of = lambda i: F.count_if(F.col("n") == i).cast("double")
@@ -213,11 +213,14 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             short = F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))
             full = share.withColumn("short", short).join(below, ["lang", "short"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("q")).alias("p"))
         lower = materialize(full, f"probabilities_{k}")
+        steps += [totals, lower]
         out.append(lower.select("lang", F.lit(k).alias("kind"), "gram", F.log("p").alias("value")))
         out.append(totals.select("lang", F.lit(10 + k).alias("kind"), F.col("context").alias("gram"), F.log(F.col("mass") / F.col("total")).alias("value")))
     every = out[0]
     for x in out[1:]:
         every = every.union(x)
+    every = materialize(every, "kneser_ney")
+    release(*steps)
     return every
 
 
@@ -309,7 +312,7 @@ class Scorer:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", across: bool = False) -> Model:
     """The model of all documents, of words by themselves or ``across`` blanks."""
     language = F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN))
-    return Model(materialize(kneser_ney(count_grams(docs, text, language, across)), "kneser_ney"))
+    return Model(kneser_ney(count_grams(docs, text, language, across)))
 
 
 def _tables(langs: list[str], lang: np.ndarray, gram: np.ndarray, value: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -416,15 +419,20 @@ def _by_blocks(rows: DataFrame, width: int, table: DataFrame, schema: StructType
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed``, ``log_perplexity`` and ``kept``.
+    """``docs`` with the base counts, ``base_failed``, ``log_perplexity`` and ``kept``, which replace columns of these names.
 
-    A null or empty text has no word and fails. A null language is a language of its own.
-    Repeated rows stay, other columns pass through; an empty table gives an empty table.
+    A null or empty text has no word and fails. A null language is a language of its own. A text of
+    any length is measured whole. Repeated rows stay, other columns pass through whatever their
+    names; an empty table gives an empty table.
     """
-    measured = materialize(measure(docs, train(docs, text, lang, across=True), text, lang), "measured")
-    joined = bands(measured, lang)
+    added = [*ADDED, "base_failed", "log_perplexity", "kept"]
+    base = docs.drop(*(c for c in added if c not in (text, lang)))
+    names = base.columns
+    base = base.toDF(*[f"c{i}" for i in range(len(names))])
+    text, lang = (f"c{names.index(c)}" for c in (text, lang))
+    measured = materialize(measure(base, train(base, text, lang, across=True), text, lang), "measured")
     kept = ~F.col("base_failed") & F.coalesce(F.abs(F.col("log_perplexity") - F.col("_middle")) <= F.col("_width"), F.lit(False))
-    return joined.select(*measured.columns, kept.alias("kept"))
+    return bands(measured, lang).select(*measured.columns, kept.alias("kept")).toDF(*names, *added)
 
 
 def bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
@@ -449,5 +457,6 @@ def bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of rules and perplexity bands for all documents."""
     found = judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")

@@ -75,8 +75,12 @@ def test_judge(spark):
     common = ["the", "reason", "of", "station", "and", "nation", "ration", "on", "a", "ratio"]
     rows = [(i, " ".join(rng.choice(common, 80)), "en", "keep") for i in range(60)]
     rows += [(100, " ".join("".join(chr(rng.integers(0x100, 0x2000)) for _ in range(9)) for _ in range(80)), "en", "x"), (101, None, "en", "x"), (102, "the of", "en", "x"), (103, "a b c d " * 30, "en", "x"), (None, " ".join(rng.choice(common, 80)), "en", "keep")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
-    got = quality.judge(df.withColumnRenamed("kept", "mark")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, mark string")
+    # names that the operator uses itself
+    df = df.withColumns({"kept": quality.F.lit("clash"), "N_Words": quality.F.lit(7), "_middle": quality.F.lit(0), "_lang": quality.F.lit("zz"), "c0": quality.F.lit(1)})
+    judged = quality.judge(df)
+    assert judged.columns == ["doc_id", "text", "lang", "mark", "_middle", "_lang", "c0", *quality.ADDED, "base_failed", "log_perplexity", "kept"]
+    got = judged.collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.kept == (r.mark == "keep"), r.doc_id
