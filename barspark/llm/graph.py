@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import materialize
+from barspark.llm.common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         )
         tied = both.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         own = least.select("a", F.col("low").alias("b"))
-        edges = materialize(tied.union(own).where("a <> b").distinct(), "edges")
+        before, edges = edges, materialize(tied.union(own).where("a <> b").distinct(), "edges")
+        release(before, least)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

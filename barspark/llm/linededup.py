@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import materialize, read_table
+from barspark.llm.common import materialize, read_table, release
 
 LEAST = 10
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -87,6 +87,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     order = ["h1", "h2", "id", "key", "pos"]
     seen = lines.repartitionByRange(number, *order).sortWithinPartitions(*order)
     seen = materialize(seen.mapInArrow(stream, "kind int, h1 long, h2 long, id long, key long, pos int"), "line_stream")
+    release(lines)
     ends = seen.where("kind = 2").groupBy("h1", "h2").agg(F.min("id").alias("low"))  # at most a row per partition
     late = seen.where("kind = 1").join(F.broadcast(ends), ["h1", "h2"]).where("low < id")
     return seen.where("kind = 0").select("id", "key", "pos").union(late.select("id", "key", "pos"))
@@ -117,8 +118,12 @@ def deduplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     Text splits at ``\\n``; a null or empty text is one empty line. Of a line key (stripped of
     blanks, A-Z lower-cased) of at least ``least`` code points that two documents hold, only the
     lines in the document of smallest id stay. Rows of one id are one document; a null id counts
-    as the largest. An empty table gives an empty table; other columns pass through.
+    as the largest. A text of any length is split whole. An empty table gives an empty table;
+    other columns pass through, but for those of the four names, which are replaced.
     """
+    added = ["dropped_bitmap", "kept_text", "n_lines", "n_dropped"]
+    docs = docs.drop(*(c for c in added if c not in (text, doc_id)))
+
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,10 +149,11 @@ def deduplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     joined = own.join(maps, ["_id", "_key"], "left").drop("_id", "_key")
     schema = joined.drop("_text").schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
     out = joined.mapInArrow(cut, schema)
-    return out.toDF(*names, *out.columns[len(names) :])
+    return out.toDF(*names, *added)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents before and after, with a digest of what stays."""
     found = deduplicate_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

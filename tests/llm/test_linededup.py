@@ -31,9 +31,9 @@ def test_against_brute_force(spark):
     rows += [(i, f"the common line of all\nline number {i % 40} here\n{'x' * (i % 23)}") for i in range(20, 400)]
     df = spark.createDataFrame([(i, t, "keep", 1) for i, t in rows], "doc_id long, text string, key string, n_lines int")
     got = deduplicate_lines(df)
-    assert got.columns[:4] == ["doc_id", "text", "key", "n_lines"]
-    got = got.toDF("doc_id", "text", "key", "clash", "bitmap", "kept", "n", "gone").collect()
-    assert sorted(((r.doc_id, r.n, r.gone, r.kept) for r in got), key=str) == brute(rows)
+    assert got.columns == ["doc_id", "text", "key", "dropped_bitmap", "kept_text", "n_lines", "n_dropped"]
+    got = got.collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=str) == brute(rows)
     assert all(r.key == "keep" for r in got)
 
 
