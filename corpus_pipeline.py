@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage reads what the one before it wrote."""
+"""A corpus pipeline: each stage reads what the one before it wrote.
+
+Every stage takes documents with null or repeated ids, null, empty or very long texts and further
+columns of any name, which pass through; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -14,47 +18,60 @@ LEAST_POSTERIOR = 0.5
 SHINGLE_WORDS = 5
 
 
+def _aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with all but the columns ``needed`` under names that no operator uses."""
+    return docs.toDF(*[c if c in needed else f"own_{k}" for k, c in enumerate(docs.columns)])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules and the perplexity bands keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules and the perplexity bands keep. A null or empty text fails the rules."""
+    own = _aside(docs, "text", "lang")
+    return quality.judge(own).where("kept").select(*own.columns).toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; ``lang`` becomes the predicted language.
+    """Documents that are in one learned language; ``lang`` becomes that language.
 
     The model is fitted on the documents of the stage that have a language and are not held out.
+    Documents without a letter go, as do those with too low a posterior or too small a lead, letter by
+    letter, over the next language: texts in no learned language, or half in another. If no
+    document has a language, none is recognised.
     """
-    model = langid.fit(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
-    found = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_POSTERIOR))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    own = _aside(docs, "doc_id", "text", "lang")
+    model = langid.fit(own.where(~langid.held_out() & F.col("doc_id").isNotNull()))
+    found = materialize(langid.predict(own, model), "languages")
+    kept = langid.recognised(found).where(F.col("lang_score") >= LEAST_POSTERIOR)
+    return kept.withColumn("lang", F.col("lang_pred")).select(*own.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; one that loses all its text goes.
 
-    ``n_chars`` becomes the length of the text that is left.
+    ``n_chars`` becomes the length of the text that is left. Rows of one id are one document, and a
+    null id is the last one.
     """
-    names = docs.columns
-    found = linededup.deduplicate_lines(docs)
+    own = _aside(docs, "doc_id", "text", "n_chars")
+    found = linededup.deduplicate_lines(own)
     found = found.withColumn("text", F.col("kept_text")).where(F.length(F.trim("text")) > 0)
-    if "n_chars" in names:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*names)
+    if "n_chars" in own.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(own.schema["n_chars"].dataType))
+    return found.select(*own.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of smallest id, of each group of near-duplicates.
 
-    Rows of one id stay or go together, but repeated rows become one; a document with no id stays.
+    Repeated rows of one id become one; a document with no id stays.
     """
-    found = simhash.near_duplicates(docs, words=SHINGLE_WORDS)
+    own = _aside(docs, "doc_id", "text")
+    found = simhash.near_duplicates(own, words=SHINGLE_WORDS)
     keep = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept_ids")
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return known.select(*docs.columns).union(docs.where("doc_id is null"))
+    known = own.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    return known.select(*own.columns).union(own.where("doc_id is null")).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences. A null text is an empty one: a piece of its end token."""
     return packing.pack_documents(docs, bpe.public_vocabulary())
 
 
