@@ -54,3 +54,26 @@ def test_registered_queries(spark):
     found = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(found)
+
+
+def test_clashing_names_pass_through(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: cp.F.concat(cp.F.lit("own "), cp.F.col("doc_id").cast("string")) for c in ("kept", "Kept_Text", "n_lines", "lang_pred", "lang_lead", "fp", "_id", "_text", "c1", "own_7")})
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        for r in docs.collect():
+            assert r.kept == r.Kept_Text == r.fp == r._id == r.c1 == r.own_7 == f"own {r.doc_id}", name
+
+
+def test_foreign_and_mixed_documents_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 600")
+    clean = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    text = {r.lang: r.text for r in clean.where("lang in ('en', 'es', 'de')").groupBy("lang").agg(cp.F.min("text").alias("text")).collect()}
+    n = min(map(len, text.values()))
+    foreign = "Kymmenen iloista hiirta juoksi metsan lapi ja loysi suuren juuston kannon alta eika kukaan tiennyt mista se oli tullut. " * 6
+    planted = [(-1, text["en"][:n] + " " + text["es"][:n], "en"), (-2, text["de"][:n] + "\\n" + text["en"][:n], "de"), (-3, foreign, "en"), (-4, "1234 5678 " * 60, "en")]
+    rows = spark.createDataFrame([(*x, "s", len(x[1])) for x in planted], clean.schema)
+    kept = {r.doc_id for r in cp.language_id(spark, clean.union(rows), "").collect()}
+    assert not kept & {-1, -2, -3, -4}
+    assert len(kept) >= 0.98 * clean.count()
