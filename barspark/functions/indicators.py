@@ -34,30 +34,39 @@ def wma(price: str, period: int) -> Column:
     return from_row(period, total / (period * (period + 1) / 2))
 
 
-def affine_scan(df: DataFrame, start: int, keep: float, value: Column, name: str) -> DataFrame:
-    """``df`` with ``name``: y(start) = value, then y(t) = keep * y(t - 1) + value; null before row ``start``.
+def affine_scans(df: DataFrame, start: int, keep: float, values: dict[str, Column]) -> DataFrame:
+    """``df`` with a column per name: y(start) = value, then y(t) = keep * y(t - 1) + value; null before row ``start``.
 
-    Blocks are of such a length that ``keep`` to its power is about 1e-12: within a block y is
-    a weighted running sum, and of what comes before only the last three blocks are felt. So
-    no state runs along a whole series.
+    Blocks are of such a length that ``keep`` to its power is about 1e-12, however long that is:
+    within a block y is a weighted running sum, and of what comes before only the last two
+    blocks are felt. All names, and their blocks, share one sort of the symbol's partition.
     """
-    block = max(1, min(4096, int(math.log(1e-12) / math.log(keep)))) if 0 < keep < 1 else 1
+    block = max(1, int(math.log(1e-12) / math.log(keep))) if 0 < keep < 1 else 1
     k = F.col("rn") - start
-    df = df.withColumns({"_v": F.when(k >= 0, value), "_block": F.floor(k / block), "_k": F.pmod(k, F.lit(block))})
+    df = df.withColumns({"_block": F.floor(k / block), "_k": F.pmod(k, F.lit(block))} | {f"_v{i}": F.when(k >= 0, v) for i, v in enumerate(values.values())})
+    parts = range(len(values))
     if keep == 0:
-        return df.withColumn(name, F.col("_v")).drop("_v", "_block", "_k")
+        return df.withColumns({name: F.col(f"_v{i}") for i, name in enumerate(values)}).drop("_block", "_k", *[f"_v{i}" for i in parts])
     own = Window.partitionBy("symbol", "_block").orderBy("rn")
-    df = df.withColumn("_local", F.pow(F.lit(keep), "_k") * F.sum(F.col("_v") * F.pow(F.lit(keep), -F.col("_k"))).over(own))
-    ends = df.where(f"_k = {block - 1} and _block >= 0").select("symbol", F.col("_block").alias("_end"), F.col("_local").alias("_total"))
-    by_block = Window.partitionBy("symbol").orderBy("_end")
-    whole = keep**block
-    carry = F.col("_total")
-    for lag in (1, 2):
-        carry = carry + whole**lag * F.coalesce(F.lag("_total", lag).over(by_block), F.lit(0.0))
-    ends = ends.select("symbol", (F.col("_end") + 1).alias("_block"), carry.alias("_carry"))
-    df = df.join(ends, ["symbol", "_block"], "left")
-    y = F.col("_local") + F.pow(F.lit(keep), F.col("_k") + 1) * F.coalesce("_carry", F.lit(0.0))
-    return df.withColumn(name, F.when(F.col("rn") >= start, y)).drop("_v", "_block", "_k", "_local", "_carry")
+    before = Window.partitionBy("symbol").orderBy("_block", "rn").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.pow(F.lit(keep), -F.col("_k"))
+    df = df.withColumns({f"_l{i}": F.pow(F.lit(keep), "_k") * F.sum(F.col(f"_v{i}") * weight).over(own) for i in parts})
+    at_end = (F.col("_k") == block - 1) & (F.col("_block") >= 0)
+
+    def last_end(i: int) -> Column:
+        return F.coalesce(F.last(F.when(at_end, F.col(f"_l{i}")), ignorenulls=True).over(before), F.lit(0.0))
+
+    df = df.withColumns({f"_b{i}": last_end(i) for i in parts})
+    # an end with what it takes over from the block before it
+    df = df.withColumns({f"_l{i}": F.when(at_end, F.col(f"_l{i}") + keep**block * F.col(f"_b{i}")).otherwise(F.col(f"_l{i}")) for i in parts})
+    df = df.withColumns({f"_c{i}": last_end(i) for i in parts})
+    y = [F.when(at_end, F.col(f"_l{i}") - keep**block * F.col(f"_b{i}")).otherwise(F.col(f"_l{i}")) + F.pow(F.lit(keep), F.col("_k") + 1) * F.col(f"_c{i}") for i in parts]
+    df = df.withColumns({name: F.when(F.col("rn") >= start, y[i]) for i, name in enumerate(values)})
+    return df.drop("_block", "_k", *[f"_{x}{i}" for i in parts for x in "vlbc"])
+
+
+def affine_scan(df: DataFrame, start: int, keep: float, value: Column, name: str) -> DataFrame:
+    return affine_scans(df, start, keep, {name: value})
 
 
 def ema(bars: DataFrame, period: int, price: str = "close", name: str = "ema", seed_row: int | None = None) -> DataFrame:
@@ -67,16 +76,16 @@ def ema(bars: DataFrame, period: int, price: str = "close", name: str = "ema", s
     return affine_scan(bars, first, 1 - alpha, value, name)
 
 
-def wilder(bars: DataFrame, x: str, first: int, period: int, name: str) -> DataFrame:
-    """The mean of ``period`` values of ``x`` up to row ``first``, then Wilder's smoothing."""
-    value = F.when(F.col("rn") == first, F.avg(x).over(last_rows(period))).otherwise(F.col(x) / period)
-    return affine_scan(bars, first, 1 - 1 / period, value, name)
+def wilder(bars: DataFrame, names: dict[str, str], first: int, period: int) -> DataFrame:
+    """For each name the mean of ``period`` values of a column up to row ``first``, then Wilder's smoothing."""
+    value = lambda x: F.when(F.col("rn") == first, F.avg(x).over(last_rows(period))).otherwise(F.col(x) / period)
+    return affine_scans(bars, first, 1 - 1 / period, {name: value(x) for name, x in names.items()})
 
 
 def rsi(bars: DataFrame, period: int = 14, price: str = "close") -> DataFrame:
     change = F.col(price) - F.lag(price).over(by_time())
     df = bars.withColumns({"_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0))})
-    df = wilder(wilder(df, "_gain", period + 1, period, "_up"), "_loss", period + 1, period, "_down")
+    df = wilder(df, {"_up": "_gain", "_down": "_loss"}, period + 1, period)
     both = F.col("_up") + F.col("_down")
     return df.withColumn("rsi", F.when(both == 0, 0.0).otherwise(100 * ratio(F.col("_up"), both))).drop("_gain", "_loss", "_up", "_down")
 
@@ -97,7 +106,7 @@ def true_range() -> Column:
 
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
     """``atr`` and ``natr``, its percentage of the close (0 for a zero close)."""
-    df = wilder(bars.withColumn("_range", true_range()), "_range", period + 1, period, "atr").drop("_range")
+    df = wilder(bars.withColumn("_range", true_range()), {"atr": "_range"}, period + 1, period).drop("_range")
     return df.withColumn("natr", F.when(F.col("atr").isNotNull(), F.coalesce(100 * ratio(F.col("atr"), F.col("close")), F.lit(0.0))))
 
 
@@ -120,13 +129,12 @@ def adx(bars: DataFrame, period: int = 14) -> DataFrame:
         "_range": true_range(),
     })
     keep = 1 - 1 / period
-    for x in ("_plus", "_minus", "_range"):
-        value = F.when(F.col("rn") == period, F.coalesce(F.sum(x).over(last_rows(period)), F.lit(0.0))).otherwise(F.col(x))
-        df = affine_scan(df, period, keep, value, f"{x}_sum")
+    value = lambda x: F.when(F.col("rn") == period, F.coalesce(F.sum(x).over(last_rows(period)), F.lit(0.0))).otherwise(F.col(x))
+    df = affine_scans(df, period, keep, {f"{x}_sum": value(x) for x in ("_plus", "_minus", "_range")})
     share = lambda x: from_row(period + 1, F.coalesce(100 * ratio(F.col(x), F.col("_range_sum")), F.lit(0.0)))
     df = df.withColumns({"plus_di": share("_plus_sum"), "minus_di": share("_minus_sum")})
     dx = F.coalesce(100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")), F.lit(0.0))
-    df = wilder(df.withColumn("_dx", from_row(period + 1, dx)), "_dx", 2 * period, period, "adx")
+    df = wilder(df.withColumn("_dx", from_row(period + 1, dx)), {"adx": "_dx"}, 2 * period, period)
     return df.drop("_plus", "_minus", "_range", "_plus_sum", "_minus_sum", "_range_sum", "_dx")
 
 

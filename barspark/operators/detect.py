@@ -90,35 +90,80 @@ def flat_statistics(periods: DataFrame, bars: DataFrame, factor: float = 1.01) -
     )
 
 
-def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32)) -> DataFrame:
+#: Weights of the least-squares, pair-slope, ordering and efficiency parts of the evidence.
+WEIGHTS = (0.25, 0.20, 0.35, 0.20)
+#: Least length of a stretch, and the part of a length by which its start is moved to test it.
+LEAST_LENGTH, MOVED = 8, 0.05
+
+
+def moved_lengths(n: int, least: int = LEAST_LENGTH, part: float = MOVED) -> list[int]:
+    """The lengths of a stretch of ``n`` bars whose start is moved by ``part`` of it, and by half of that, either way."""
+    h = max(1, round(part * n)) if part > 0 else 0
+    return sorted({x for x in (n - h, n - h // 2, n, n + h // 2, n + h) if x >= least})
+
+
+def pair_slopes(xs: Column, n: int) -> Column:
+    """The slopes of all pairs of the ``n`` values of an array, one step apart each."""
+
+    def from_(i: Column) -> Column:
+        return F.transform(F.sequence(i + 1, F.lit(n - 1)), lambda j: (F.get(xs, j) - F.get(xs, i)) / (j - i))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 2)), from_))
+
+
+def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32), weights: tuple[float, float, float, float] = WEIGHTS, least_support: float = 0.55) -> DataFrame:
     """Evidence of a trend over each declared lookback that ends at each bar, on log closes.
 
-    ``slope`` and ``r2`` of least squares, the sample deviation of returns (at least 1e-8),
-    ``efficiency`` (net move over path), ``ordering`` (rising minus falling pairs over all
-    pairs), ``z`` and ``clarity`` with its direction. Intervals come from the declared ladder,
-    not from a penalised optimum.
+    ``slope`` and ``r2`` of least squares, ``robust`` (the median slope of all pairs), ``sigma`` (the
+    sample deviation of returns, at least 1e-8), ``efficiency`` (net move over path), ``ordering``
+    (rising minus falling pairs over all pairs), ``z`` and ``magnitude`` (either slope, times the root of
+    the number of returns, over sigma), ``clarity`` and ``direction`` of the weighted ``evidence``, and ``boundary``:
+    the share of moved starts whose evidence keeps the direction and reaches ``least_support``. Over a
+    constant price all slopes are 0. Intervals come from the declared ladder, not from a penalised
+    optimum. A bar sees the longest lookback and its moved starts as one array frame.
     """
-    df = numbered(bars).withColumn("_x", F.log("close")).withColumn("_r", F.col("_x") - F.lag("_x").over(by_time()))
-    out = None
+    lengths = sorted({m for n in lookbacks for m in moved_lengths(n)})
+    most = lengths[-1]
+    w = by_time()
+    df = numbered(bars).withColumn("_x", F.log("close")).withColumn("_r", F.col("_x") - F.lag("_x").over(w))
+    df = df.withColumn("_xs", F.collect_list("_x").over(w.rowsBetween(1 - most, 0)))
+    table = []
+    for n in lengths:
+        span, moves = w.rowsBetween(1 - n, 0), w.rowsBetween(2 - n, 0)
+        flat = (F.max("_x").over(span) - F.min("_x").over(span)) < 1e-13
+        sigma = F.greatest(F.stddev_samp("_r").over(moves), F.lit(1e-8))
+        df = df.withColumns({
+            f"_flat{n}": flat, f"_slope{n}": F.when(flat, 0.0).otherwise(F.regr_slope("_x", "rn").over(span)), f"_r2{n}": F.when(flat, 0.0).otherwise(F.coalesce(F.regr_r2("_x", "rn").over(span), F.lit(0.0))),
+            f"_sigma{n}": sigma, f"_eff{n}": F.coalesce(ratio(F.sum("_r").over(moves), F.sum(F.abs("_r")).over(moves)), F.lit(0.0)),
+        })
+        df = df.withColumn(f"_pairs{n}", F.when(F.col("rn") >= n, F.array_sort(pair_slopes(F.slice("_xs", -n, n), n))))
+        root = F.sqrt(F.lit(float(n - 1)))
+        robust = F.when(F.col(f"_flat{n}"), 0.0).otherwise(interpolated(F.col(f"_pairs{n}"), 0.5))
+        ordering = F.aggregate(f"_pairs{n}", F.lit(0.0), lambda t, x: t + F.signum(x)) / (n * (n - 1) / 2)
+        df = df.withColumns({f"_robust{n}": robust, f"_ord{n}": ordering})
+        z, magnitude = F.col(f"_slope{n}") * root / F.col(f"_sigma{n}"), F.col(f"_robust{n}") * root / F.col(f"_sigma{n}")
+        parts = (F.col(f"_r2{n}") * F.tanh(z / 2), F.tanh(magnitude / 2), F.col(f"_ord{n}"), F.col(f"_eff{n}"))
+        evidence = sum((a * x for a, x in zip(weights[1:], parts[1:])), weights[0] * parts[0])
+        df = df.withColumns({f"_z{n}": z, f"_mag{n}": F.abs(magnitude), f"_ev{n}": evidence}).drop(f"_pairs{n}")
     for n in lookbacks:
-        w, moves = by_time().rowsBetween(1 - n, 0), by_time().rowsBetween(2 - n, 0)
-        one = df.withColumns({
-            "lookback": F.lit(n), "slope": F.regr_slope("_x", "rn").over(w), "r2": F.regr_r2("_x", "rn").over(w),
-            "sigma": F.greatest(F.stddev_samp("_r").over(moves), F.lit(1e-8)), "_path": F.sum(F.abs("_r")).over(moves), "_net": F.sum("_r").over(moves), "_xs": F.collect_list("_x").over(w),
-        }).where(F.col("rn") >= n)
-        pair = lambda i: F.aggregate(F.slice("_xs", i + 1, F.lit(n)), F.lit(0.0), lambda s, x: s + F.signum(x - F.get("_xs", i - 1)))
-        total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), pair), F.lit(0.0), lambda s, x: s + x)
-        one = one.withColumns({"efficiency": F.coalesce(ratio(F.col("_net"), F.col("_path")), F.lit(0.0)), "ordering": total / (n * (n - 1) / 2), "z": F.col("slope") * (n - 1) / (F.col("sigma") * F.sqrt(F.lit(float(n))))})
-        evidence = (F.coalesce("r2", F.lit(0.0)) * F.tanh(F.col("z") / 2) + F.col("ordering") + F.col("efficiency")) / 3
-        one = one.withColumns({"clarity": F.abs(evidence), "direction": F.signum(evidence), "rate": F.expm1("slope")})
-        one = one.select("symbol", "ts", "rn", "lookback", "slope", "r2", "sigma", "efficiency", "ordering", "z", "clarity", "direction", "rate")
-        out = one if out is None else out.union(one)
-    return out
-
-
-def trend_gates(evidence: DataFrame, clarity: float = 0.5, magnitude: float = 1.0) -> DataFrame:
+        direction = F.signum(f"_ev{n}")
+        tried = [F.when(F.col("rn") >= m, ((direction * F.col(f"_ev{m}") >= least_support) & (direction * F.col(f"_robust{m}") > 0)).cast("double")) for m in moved_lengths(n)]
+        held = sum((F.coalesce(x, F.lit(0.0)) for x in tried), F.lit(0.0))
+        boundary = F.coalesce(ratio(held, sum((x.isNotNull().cast("int") for x in tried), F.lit(0))), F.lit(0.0))
+        table.append(F.struct(
+            F.lit(n).alias("lookback"), *[F.col(f"_{c}{n}").alias(name) for c, name in (("slope", "slope"), ("r2", "r2"), ("robust", "robust"), ("sigma", "sigma"), ("eff", "efficiency"), ("ord", "ordering"), ("z", "z"), ("mag", "magnitude"), ("ev", "evidence"))],
+            F.abs(f"_ev{n}").alias("clarity"), direction.alias("direction"), boundary.alias("boundary"), F.expm1(f"_robust{n}").alias("rate"),
+        ))
+    found = df.select("symbol", "ts", "rn", F.inline(F.array(*table)))
+    return found.where("rn >= lookback")
+
+
+def trend_gates(evidence: DataFrame, clarity: float = 0.65, magnitude: float = 1.0, boundary: float = 0.80) -> DataFrame:
     """``evidence`` with ``accepted`` and ``reasons`` against it."""
-    against = [F.when(F.col("clarity") < clarity, "clarity"), F.when(F.abs("z") < magnitude, "magnitude"), F.when(F.signum("slope") != F.col("direction"), "slope disagrees")]
+    against = [
+        F.when(F.col("clarity") < clarity, "clarity"), F.when(F.col("magnitude") < magnitude, "magnitude"),
+        F.when(F.col("direction") * F.col("robust") <= 0, "slope disagrees"), F.when(F.col("boundary") < boundary, "boundary"),
+    ]
     reasons = F.concat_ws(", ", *against)
     return evidence.withColumns({"accepted": reasons == "", "reasons": reasons})
 

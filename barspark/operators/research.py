@@ -163,6 +163,12 @@ def last_month(periods: DataFrame, bars: DataFrame) -> DataFrame:
     return df.withColumn("start_ts", F.greatest("start_ts", "_since")).drop("_latest", "_since")
 
 
+def period_means(periods: DataFrame, bars: DataFrame) -> DataFrame:
+    """``periods(symbol, start_ts, end_ts)``, distinct, with the bars in each, the red ones among them and their mean close."""
+    inside = (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
+    return periods.join(bars, "symbol").where(inside).groupBy("symbol", "start_ts", "end_ts").agg(F.count("*").alias("bars"), F.count_if(F.col("close") < F.col("open")).alias("red"), F.avg("close").alias("mean"))
+
+
 def joint_funding(orders: DataFrame, cash: float, by_priority: bool = False) -> DataFrame:
     """``orders(ts, symbol, cost, score)`` with ``funded``: in proportion to cost where cash is short, or in order of score until it is used up."""
     if not by_priority:
@@ -172,31 +178,39 @@ def joint_funding(orders: DataFrame, cash: float, by_priority: bool = False) ->
     return orders.withColumn("funded", F.greatest(F.lit(0.0), F.least(F.col("cost"), cash - F.coalesce(before, F.lit(0.0)))))
 
 
-def suppress_redundant(intervals: DataFrame, least: int = 5, percent: float = 5.0) -> DataFrame:
-    """``intervals(symbol, start_rn, end_rn, direction, clarity)`` without those whose both ends lie near a kept one of the same direction.
+def suppress_redundant(intervals: DataFrame, least: int = 5, percent: float = 5.0, rule: str = "and") -> DataFrame:
+    """``intervals(symbol, start_rn, end_rn, direction, clarity)`` without those that lie near a kept one of the same direction.
 
-    The tolerance is ``least`` bars or ``percent`` of the shorter of two. Chronological, at
-    equal starts the clearer and then the longer first; only kept intervals suppress. Intervals
-    whose starts are further apart than any tolerance cannot meet, so the fold runs over
-    clusters of near starts, not over a series.
+    Near are both ends (``and``) or either (``or``) within ``least`` bars or ``percent`` of the shorter of two.
+    The earlier end goes first, at equal ends the clearer and then the longer; only kept intervals
+    suppress. Under ``and``, intervals whose ends are further apart than any tolerance cannot meet,
+    under ``or`` those that do not come within it of each other: the fold runs over clusters of the others.
     """
-    longest = F.max(F.col("end_rn") - F.col("start_rn") + 1).over(Window.partitionBy("symbol", "direction"))
-    order = Window.partitionBy("symbol", "direction").orderBy("start_rn", F.desc("clarity"), F.desc("end_rn"))
-    reach = F.greatest(F.lit(float(least)), longest * percent / 100)
-    df = intervals.withColumn("_reach", reach)
-    df = df.withColumn("_new", (F.coalesce(F.col("start_rn") - F.lag("start_rn").over(order) > F.col("_reach"), F.lit(True))).cast("int"))
+    if rule not in ("and", "or"):
+        raise ValueError("rule must be 'and' or 'or'")
+    group = Window.partitionBy("symbol", "direction")
+    longest = F.max(F.col("end_rn") - F.col("start_rn") + 1).over(group)
+    df = intervals.withColumn("_reach", F.greatest(F.lit(float(least)), longest * percent / 100))
+    if rule == "and":
+        order = group.orderBy("end_rn")
+        new = F.col("end_rn") - F.lag("end_rn").over(order) > F.col("_reach")
+    else:
+        order = group.orderBy("start_rn", "end_rn")
+        new = F.col("start_rn") - F.max("end_rn").over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("_reach")
+    df = df.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
     df = df.withColumn("_cluster", F.sum("_new").over(order))
-    item = F.struct(F.col("start_rn").cast("long").alias("s"), (-F.col("clarity")).alias("c"), (-F.col("end_rn")).cast("long").alias("e"))
+    item = F.struct(F.col("end_rn").cast("long").alias("e"), (-F.col("clarity")).alias("c"), F.col("start_rn").cast("long").alias("s"))
     one = df.groupBy("symbol", "direction", "_cluster").agg(F.sort_array(F.collect_list(item)).alias("_all"))
-    kept_type = "array<struct<s: bigint, c: double, e: bigint>>"
+    kept_type = "array<struct<e: bigint, c: double, s: bigint>>"
 
     def step(kept: Column, x: Column) -> Column:
         def near(k: Column) -> Column:
-            short = F.least(-k["e"] - k["s"], -x["e"] - x["s"]) + 1
-            room = F.greatest(F.lit(float(least)), short * percent / 100)
-            return (F.abs(k["s"] - x["s"]) <= room) & (F.abs(k["e"] - x["e"]) <= room)
+            short = F.least(k["e"] - k["s"], x["e"] - x["s"]) + 1
+            room = F.greatest(F.lit(100.0 * least), percent * short)
+            starts, ends = 100 * F.abs(k["s"] - x["s"]) <= room, 100 * F.abs(k["e"] - x["e"]) <= room
+            return (starts & ends) if rule == "and" else (starts | ends)
 
         return F.when(F.exists(kept, near), kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = one.select("symbol", "direction", F.explode(F.aggregate("_all", F.array().cast(kept_type), step)).alias("k"))
-    return kept.select("symbol", "direction", F.col("k.s").alias("start_rn"), (-F.col("k.e")).alias("end_rn"), (-F.col("k.c")).alias("clarity"))
+    return kept.select("symbol", "direction", F.col("k.s").alias("start_rn"), F.col("k.e").alias("end_rn"), (-F.col("k.c")).alias("clarity"))

@@ -125,8 +125,67 @@ def with_frozen(df: DataFrame, reserve: float = 0.0, key: str = "ts") -> DataFra
     return df.withColumn("planned", F.when(frozen, F.col("current")).otherwise(F.coalesce(share, F.lit(0.0)) * left))
 
 
+def rebalance_targets(df: DataFrame, reserve: float = 0.0, cap: float = 1.0, turnover: float = 2.0, least: float = 0.0, key: str = "ts") -> DataFrame:
+    """The decision table of each time: ``df(symbol, score, current, proposed)`` with ``target``, ``frozen`` and ``reason``.
+
+    ``proposed`` is a policy's weight (null: none), ``current`` the weight held (null: none). What is held
+    without a score is frozen. The others share, by proposed weight and each at most ``cap``,
+    the lesser of what was proposed and what reserve and frozen holdings leave. First come the
+    mandatory reductions to cap and reserve; changes under ``least`` from there are dropped, increases
+    are cut to what is free, and what remains of the ``turnover`` budget scales the rest.
+    """
+    whole = Window.partitionBy(key)
+    total = lambda x: F.coalesce(F.sum(x).over(whole), F.lit(0.0))
+    zero, tiny = F.lit(0.0), 1e-12
+    df = df.withColumns({"current": F.coalesce("current", zero), "_score": F.col("score").isNotNull()})
+    df = df.withColumn("frozen", ~F.col("_score") & (F.col("current") > 0))
+    df = df.withColumn("_relative", F.when(F.col("_score"), F.greatest(F.coalesce("proposed", zero), zero)).otherwise(zero))
+    df = df.withColumns({"_frozen": total(F.when(F.col("frozen"), F.col("current"))), "_asked": total(F.col("_relative"))})
+    df = df.withColumn("_room", F.greatest(zero, 1 - reserve - F.col("_frozen"))).withColumn("_usable", F.least("_room", "_asked"))
+    df = df.withColumn("_scaled", F.coalesce(ratio(F.col("_relative"), F.col("_asked")), zero) * F.col("_usable"))
+    # the capped shares: in falling order the first that stays under the cap after all before it are capped
+    falling = Window.partitionBy(key).orderBy(F.desc("_relative"), "symbol")
+    df = df.withColumn("_k", F.row_number().over(falling))
+    df = df.withColumn("_tail", F.sum("_relative").over(Window.partitionBy(key).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)))
+    under = F.col("_relative") * (F.col("_usable") - (F.col("_k") - 1) * cap) <= cap * F.col("_tail")
+    df = df.withColumn("_first", F.min(F.when(under, F.col("_k"))).over(whole))
+    free = true(F.col("_k") >= F.col("_first"))
+    df = df.withColumn("_free", total(F.when(free, F.col("_relative"))))
+    share = F.coalesce(ratio(F.col("_relative"), F.col("_free")), zero) * (F.col("_usable") - (F.col("_first") - 1) * cap)
+    wish = F.when(F.col("frozen"), F.col("current")).when(free, share).otherwise(F.lit(cap))
+    df = df.withColumn("_wish", wish)
+    # what must be sold before any wish counts
+    base = F.when(F.col("frozen"), F.col("current")).otherwise(F.least(F.col("current"), F.lit(cap)))
+    df = df.withColumn("_base", base).withColumn("_held", total(F.when(~F.col("frozen"), F.col("_base"))))
+    down = F.when(~F.col("frozen") & (F.col("_held") > F.col("_room")), ratio(F.col("_room"), F.col("_held"))).otherwise(F.lit(1.0))
+    df = df.withColumn("_base", F.col("_base") * down).withColumn("_must", total(F.abs(F.col("_base") - F.col("current"))))
+    small = ~F.col("frozen") & (F.col("_wish") > 0) & (F.abs(F.col("_wish") - F.col("_base")) < least)
+    df = df.withColumn("_small", small).withColumn("_wish1", F.when(F.col("_small"), F.col("_base")).otherwise(F.col("_wish")))
+    df = df.withColumns({"_sold": total(F.greatest(zero, F.col("_base") - F.col("_wish1"))), "_bought": total(F.greatest(zero, F.col("_wish1") - F.col("_base"))), "_base_total": total(F.col("_base"))})
+    df = df.withColumn("_available", F.greatest(zero, 1 - reserve - F.col("_base_total")) + F.col("_sold"))
+    df = df.withColumn("_short", (F.col("_bought") > F.col("_available") + tiny) & (F.col("_wish1") > F.col("_base")))
+    df = df.withColumn("_wish2", F.when(F.col("_short"), F.col("_base") + (F.col("_wish1") - F.col("_base")) * F.col("_available") / F.col("_bought")).otherwise(F.col("_wish1")))
+    df = df.withColumns({"_free_moves": total(F.abs(F.col("_wish2") - F.col("_base"))), "_left": F.greatest(zero, turnover - F.col("_must"))})
+    tight = (F.col("_free_moves") > F.col("_left") + tiny) & (F.abs(F.col("_wish2") - F.col("_base")) > tiny)
+    df = df.withColumn("target", F.when(tight, F.col("_base") + F.col("_left") / F.col("_free_moves") * (F.col("_wish2") - F.col("_base"))).otherwise(F.col("_wish2")))
+    cut = ~F.col("frozen") & (F.col("_scaled") + tiny < F.coalesce("proposed", zero))
+    moved = F.abs(F.col("_base") - F.col("current")) > tiny
+    reasons = [
+        (F.col("frozen"), "frozen: no score"), (~F.col("frozen") & (F.col("_relative") > 0), "selected"), (~F.col("frozen") & (F.col("_relative") == 0), "not selected"),
+        (cut, "reduced for reserve and frozen holdings"), (~F.col("frozen") & (F.col("_wish") + tiny < F.col("_scaled")), "reduced by cap"),
+        (F.col("frozen") & (F.col("_frozen") > 1 - reserve + tiny), "frozen holdings exceed the reserve"), (moved, "mandatory reduction"),
+        (moved & (F.col("_must") > turnover + tiny), "mandatory changes exceed the turnover budget"), (F.col("_small"), "change below the least"),
+        (F.col("_short"), "reduced to keep the reserve"), (tight, "limited by the turnover budget"),
+    ]
+    df = df.withColumn("reason", F.concat_ws("; ", *[F.when(true(c), F.lit(x)) for c, x in reasons]))
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def limit_turnover(df: DataFrame, budget: float, least: float = 0.0, key: str = "ts") -> DataFrame:
-    """``executed``: changes from ``current`` to ``target`` of at least ``least``, scaled to the turnover budget of a time, with ``reason``."""
+    """``executed``: changes from ``current`` to ``target`` of at least ``least``, scaled to the turnover budget of a time, with ``reason``.
+
+    It knows no cap, reserve or frozen holdings; :func:`rebalance_targets` does.
+    """
     raw = F.col("target") - F.col("current")
     df = df.withColumn("_change", F.when(F.abs(raw) < least, 0.0).otherwise(raw))
     df = df.withColumn("_turnover", F.sum(F.abs("_change")).over(Window.partitionBy(key)))
@@ -135,20 +194,60 @@ def limit_turnover(df: DataFrame, budget: float, least: float = 0.0, key: str =
     return df.withColumns({"executed": F.col("current") + F.col("_change") * scale, "reason": reason}).drop("_change", "_turnover")
 
 
-def bracket_outcomes(bars: DataFrame, entry: Column, win: float, stop: float, horizon: int) -> DataFrame:
-    """Each entry signal at the next open, labelled by the first later bar strictly beyond a bound.
+def first_beyond(bars: DataFrame, entries: DataFrame, width: int = 64) -> DataFrame:
+    """``entries(symbol, rn, upper, lower)`` with ``hit``: the first later row of ``bars(symbol, rn, high, low)`` above ``upper`` or below ``lower``, null without one.
 
-    Both bounds in one bar give ``inconclusive``, none within ``horizon`` bars ``open``. Bars
-    are numbered (``rn``); later bars come as an array frame, so nothing is joined.
+    Bars form a tree: a node is ``width`` nodes of the level below with their highest high and
+    lowest low. An entry climbs from its bar until the rest of a node has a hit, then goes down
+    to it. Each step is a join on symbol and node that reads at most ``width`` children, so the
+    work grows with the number of entries and the logarithm of the history, however far the hit is.
+    """
+    last = bars.agg(F.max("rn")).first()[0] or 0
+    level, levels, reach = bars.select("symbol", F.col("rn").cast("long").alias("_at"), "high", "low"), [], 1
+    while True:
+        child = F.struct("_at", "high", "low")
+        level = level.groupBy("symbol", F.floor(F.col("_at") / width).alias("_node")).agg(
+            F.sort_array(F.collect_list(child)).alias("_children"), F.max("high").alias("_top"), F.min("low").alias("_bottom")
+        )
+        levels.append(level.select("symbol", "_node", "_children"))
+        reach *= width
+        if reach > last:
+            break
+        level = level.select("symbol", F.col("_node").alias("_at"), F.col("_top").alias("high"), F.col("_bottom").alias("low"))
+    beyond = lambda x: (x["high"] > F.col("upper")) | (x["low"] < F.col("lower"))
+    df = entries.withColumns({"_up": F.col("rn").cast("long"), "hit": F.lit(None).cast("long"), "_found": F.lit(None).cast("int")})
+    for k, nodes in enumerate(levels):
+        df = df.withColumn("_node", F.floor(F.col("_up") / width)).join(nodes, ["symbol", "_node"], "left")
+        first = F.get(F.filter("_children", lambda x: (x["_at"] > F.col("_up")) & beyond(x)), F.lit(0))["_at"]
+        open_ = F.col("_found").isNull()
+        df = df.withColumn("_first", first).withColumns({"hit": F.when(open_, F.col("_first")).otherwise(F.col("hit")), "_found": F.when(open_ & F.col("_first").isNotNull(), F.lit(k)).otherwise(F.col("_found")), "_up": F.col("_node")})
+        df = df.drop("_node", "_children", "_first")
+    for k in range(len(levels) - 2, -1, -1):
+        down = F.col("_found") > k
+        df = df.withColumn("_node", F.when(down, F.col("hit"))).join(levels[k], ["symbol", "_node"], "left")
+        first = F.get(F.filter("_children", beyond), F.lit(0))["_at"]
+        df = df.withColumn("hit", F.when(down, first).otherwise(F.col("hit"))).drop("_node", "_children")
+    return df.drop("_up", "_found")
+
+
+def bracket_outcomes(bars: DataFrame, entry: Column, win: float, stop: float, direction: Column | None = None) -> DataFrame:
+    """Each entry signal at the next open, labelled by the first later bar strictly beyond a bound, however late.
+
+    The bounds of a long entry are the open times ``win`` and ``stop``, those of a ``short`` one
+    the open over them. Both bounds in one bar give ``inconclusive``, none by the end of the
+    bars ``open``. Bars are numbered (``rn``).
     """
-    ahead = by_time().rowsBetween(1, horizon)
-    seen = F.collect_list(F.struct("rn", "high", "low")).over(ahead)
-    df = bars.withColumns({"entry": F.lead("open").over(by_time()), "_ahead": seen}).where(entry).where("entry is not null")
-    beyond = lambda x: (x["high"] > F.col("entry") * win) | (x["low"] < F.col("entry") * stop)
-    df = df.withColumn("_hit", F.get(F.filter("_ahead", beyond), F.lit(0)))
-    won, lost = F.col("_hit.high") > F.col("entry") * win, F.col("_hit.low") < F.col("entry") * stop
-    outcome = F.when(F.col("_hit").isNull(), "open").when(won & lost, "inconclusive").when(won, "win").otherwise("loss")
-    return df.withColumns({"hit": F.col("_hit.rn"), "outcome": outcome}).drop("_ahead", "_hit")
+    side = F.lit("long") if direction is None else direction
+    short = F.col("direction") == "short"
+    price = F.col("entry")
+    df = bars.withColumns({"entry": F.lead("open").over(by_time()), "direction": side}).where(entry).where("entry is not null")
+    df = df.withColumns({"upper": F.when(short, price / stop).otherwise(price * win), "lower": F.when(short, price / win).otherwise(price * stop)})
+    found = first_beyond(bars, df.select("symbol", "rn", "upper", "lower"))
+    at_hit = bars.select("symbol", F.col("rn").cast("long").alias("hit"), F.col("high").alias("_high"), F.col("low").alias("_low"))
+    df = df.join(found.select("symbol", "rn", "hit"), ["symbol", "rn"]).join(at_hit, ["symbol", "hit"], "left")
+    up, down = F.col("_high") > F.col("upper"), F.col("_low") < F.col("lower")
+    outcome = F.when(F.col("hit").isNull(), "open").when(up & down, "inconclusive").when(up != short, "win").otherwise("loss")
+    return df.withColumn("outcome", outcome).drop("_high", "_low")
 
 
 def open_bands(bars: DataFrame, group: Column, percent: float) -> DataFrame:

@@ -63,7 +63,7 @@ def bad_symbols(bars: DataFrame) -> DataFrame:
 def skip_invalid(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good bars, and ``(symbol, ts, reason)`` of the rest with their values."""
     flagged = flag_bars(bars)
-    values = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("decimal(18,4)").cast("string"), F.lit("null"))) for c in VALUES])
+    values = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).try_cast("decimal(18,4)").cast("string"), F.col(c).cast("string"), F.lit("null"))) for c in VALUES])
     reason = F.concat(F.concat_ws("+", "reasons"), F.lit(": "), values)
     return flagged.where(F.size("reasons") == 0).drop("reasons"), flagged.where(F.size("reasons") > 0).select("symbol", "ts", reason.alias("reason"))
 

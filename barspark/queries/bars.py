@@ -45,10 +45,11 @@ RAW = """raw AS (
     CASE WHEN event_id % 19 = 0 THEN NULL ELSE value END AS close, CASE WHEN event_id % 23 = 0 THEN -value ELSE floor(value) END AS volume, event_id AS sequence
   FROM events
 )"""
-_rules = [f"('{c}_missing', {c} IS NULL), ('{c}_not_finite', {c} IS NOT NULL AND NOT isfinite({c}))" for c in (*PRICES, "volume")]
-_rules += [f"('{c}_not_positive', coalesce({c} <= 0, false))" for c in PRICES] + ["('volume_negative', coalesce(volume < 0, false))"]
-_rules += [f"('{a}_above_{b}', coalesce({a} > {b}, false))" for a, b in (("low", "high"), ("low", "open"), ("open", "high"), ("low", "close"), ("close", "high"))]
-RULES = ", ".join(_rules)
+_rules = [(f"{c}_missing", f"{c} IS NULL") for c in (*PRICES, "volume")] + [(f"{c}_not_finite", f"{c} IS NOT NULL AND NOT isfinite({c})") for c in (*PRICES, "volume")]
+_rules += [(f"{c}_not_positive", f"coalesce({c} <= 0, false)") for c in PRICES] + [("volume_negative", "coalesce(volume < 0, false)")]
+_rules += [(f"{a}_above_{b}", f"coalesce({a} > {b}, false)") for a, b in (("low", "high"), ("low", "open"), ("open", "high"), ("low", "close"), ("close", "high"))]
+RULES = ", ".join(f"('{name}', {broken})" for name, broken in _rules)
+WHY = "concat_ws('+', " + ", ".join(f"CASE WHEN {broken} THEN '{name}' END" for name, broken in _rules) + ")"
 
 
 @query(f"WITH {H} SELECT symbol, epoch(ts)::BIGINT AS t, {PRICES_SQL}, volume FROM bars WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
@@ -61,9 +62,9 @@ def b03_violation_report(spark, sf_dir):
     return validate.violation_report(raw_bars(spark, sf_dir))
 
 
-@query(f"WITH {RAW}, bad AS (SELECT symbol, ts, sequence, count(*) AS n FROM raw, LATERAL (SELECT * FROM (VALUES {RULES}) v(rule, broken)) WHERE broken GROUP BY 1, 2, 3) SELECT sequence, n FROM bad")
+@query(f"WITH {RAW}, bad AS (SELECT symbol, ts, sequence, string_agg(rule, ', ' ORDER BY rule) AS reasons FROM raw, LATERAL (SELECT * FROM (VALUES {RULES}) v(rule, broken)) WHERE broken GROUP BY 1, 2, 3) SELECT sequence, reasons FROM bad")
 def b02_bar_flags(spark, sf_dir):
-    return validate.flag_bars(raw_bars(spark, sf_dir)).where(F.size("reasons") > 0).select("sequence", F.size("reasons").cast("long").alias("n"))
+    return validate.flag_bars(raw_bars(spark, sf_dir)).where(F.size("reasons") > 0).select("sequence", F.array_join(F.array_sort("reasons"), ", ").alias("reasons"))
 
 
 @query(f"WITH {RAW} SELECT symbol, epoch(ts)::BIGINT AS t, count(*) AS times FROM raw GROUP BY symbol, ts HAVING count(*) > 1")
@@ -71,9 +72,10 @@ def b04_duplicate_keys(spark, sf_dir):
     return validate.duplicate_keys(raw_bars(spark, sf_dir)).select("symbol", t(), "times")
 
 
-@query(f"WITH {RAW}, x AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY sequence) AS before FROM raw) SELECT sequence FROM x WHERE ts < before")
+@query(f"WITH {RAW}, x AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY (sequence * 7919) % 1000, sequence) AS before FROM raw) SELECT sequence, epoch(before)::BIGINT AS before FROM x WHERE ts < before")
 def b05_order_breaks(spark, sf_dir):
-    return validate.order_breaks(raw_bars(spark, sf_dir), "sequence").select("sequence")
+    arrived = raw_bars(spark, sf_dir).withColumn("arrival", F.struct((F.col("sequence") * 7919 % 1000).alias("batch"), "sequence"))
+    return validate.order_breaks(arrived, "arrival").select("sequence", F.unix_seconds("before").alias("before"))
 
 
 @query(f"WITH {RAW} SELECT symbol, count(*) AS n FROM raw WHERE symbol IS NULL OR trim(symbol) <> symbol OR trim(symbol) = '' GROUP BY symbol")
@@ -81,15 +83,20 @@ def b06_bad_symbols(spark, sf_dir):
     return validate.bad_symbols(raw_bars(spark, sf_dir)).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {RAW} SELECT count(*) AS kept, count(DISTINCT sequence) AS keys FROM raw WHERE NOT EXISTS (SELECT 1 FROM (VALUES {RULES}) v(rule, broken) WHERE broken)")
+_SHOWN = " || ', ' || ".join(f"'{c}=' || CASE WHEN {c} IS NULL THEN 'null' WHEN isnan({c}) THEN 'NaN' ELSE {c}::DECIMAL(18,4)::VARCHAR END" for c in (*PRICES, "volume"))
+
+
+@query(f"WITH {RAW}, f AS (SELECT *, {WHY} AS why FROM raw) SELECT symbol, epoch(ts)::BIGINT AS t, CASE WHEN why = '' THEN 'kept' ELSE why || ': ' || {_SHOWN} END AS outcome, count(*) AS n FROM f GROUP BY 1, 2, 3")
 def b07_skip_invalid(spark, sf_dir):
-    good, _ = validate.skip_invalid(raw_bars(spark, sf_dir))
-    return good.agg(F.count("*").alias("kept"), F.count_distinct("sequence").alias("keys"))
+    good, bad = validate.skip_invalid(raw_bars(spark, sf_dir))
+    both = good.select("symbol", t(), F.lit("kept").alias("outcome")).union(bad.select("symbol", t(), "reason"))
+    return both.groupBy("symbol", "t", "outcome").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {RAW} SELECT count(*) AS n FROM raw WHERE (open IS NOT NULL AND NOT isnan(open)) OR (high IS NOT NULL AND NOT isnan(high)) OR (low IS NOT NULL AND NOT isnan(low)) OR (close IS NOT NULL AND NOT isnan(close))")
+@query("SELECT event_id AS sequence FROM events WHERE NOT (event_id % 6 = 0 OR event_id % 15 = 0)")
 def b08_skip_empty(spark, sf_dir):
-    return validate.skip_empty(raw_bars(spark, sf_dir)).agg(F.count("*").alias("n"))
+    holes = raw_bars(spark, sf_dir).withColumns({c: F.when(F.col("sequence") % 6 == 0, F.lit(None).cast("double")).when(F.col("sequence") % 15 == 0, F.lit(float("nan"))).otherwise(F.col("open")) for c in PRICES})
+    return validate.skip_empty(holes).select("sequence")
 
 
 @query(f"WITH {RAW} SELECT sequence FROM raw WHERE volume <> floor(volume)")
@@ -97,10 +104,10 @@ def b09_fractional_volumes(spark, sf_dir):
     return validate.fractional_volumes(raw_bars(spark, sf_dir)).select("sequence")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, l_orderkey * 9007199254740993 + l_linenumber AS big FROM lineitem WHERE l_orderkey < 900) WHERE big::DOUBLE::HUGEINT <> big::HUGEINT")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, (l_orderkey % 900) * 9007199254740993 + l_linenumber AS big FROM lineitem) WHERE big::DOUBLE::HUGEINT <> big::HUGEINT")
 def b10_lossy_numbers(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey < 900").withColumn("big", F.expr("l_orderkey * 9007199254740993 + l_linenumber"))
-    return validate.lossy_numbers(rows, "big").select("l_orderkey", "l_linenumber")
+    rows = read(spark, sf_dir, "lineitem").withColumn("big", F.expr("(l_orderkey % 900) * 9007199254740993 + l_linenumber"))
+    return validate.lossy_numbers(rows, "big").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query(f"WITH {H} SELECT symbol, count(*) AS n FROM bars WHERE ts <> date_trunc('day', ts) GROUP BY symbol")

@@ -56,11 +56,11 @@ def c15_uncovered_sources(spark, sf_dir):
     return research.uncovered_sources(days, bars, 3600).select("symbol", t("output_ts", "o"), t())
 
 
-@query(f"""WITH {H}, {SESSIONS_SQL}, g AS (SELECT DISTINCT date_trunc('hour', open_ts + INTERVAL (h) HOUR) AS ts FROM sessions, range(7) r(h) WHERE label <= DATE '2024-01-31'), due AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol FROM bars), g), ask AS (SELECT * FROM (VALUES ('view'), ('nothing')) a(symbol))
+@query(f"""WITH {H}, {SESSIONS_SQL}, g AS (SELECT DISTINCT date_trunc('hour', open_ts + INTERVAL (h) HOUR) AS ts FROM sessions, range(7) r(h)), due AS (SELECT symbol, ts FROM (SELECT DISTINCT symbol FROM bars), g), ask AS (SELECT * FROM (VALUES ('view'), ('nothing')) a(symbol))
 SELECT symbol, 'no_data' AS code, 1 AS n FROM ask WHERE symbol NOT IN (SELECT symbol FROM bars) UNION ALL SELECT symbol, 'missing', count(*) FROM (SELECT * FROM due EXCEPT SELECT symbol, ts FROM bars) GROUP BY 1 UNION ALL SELECT symbol, 'unexpected', count(*) FROM bars WHERE ts NOT IN (SELECT ts FROM g) GROUP BY 1
 UNION ALL SELECT symbol, 'unfinished', count(*) FROM bars WHERE ts IN (SELECT ts FROM g WHERE ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-20') GROUP BY 1""")
 def d27_preflight(spark, sf_dir):
-    grid = cal.expected_grid(sessions(spark).where("label <= '2024-01-31'"), 60).select(F.date_trunc("hour", "ts").alias("ts")).distinct().withColumn("end_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    grid = cal.expected_grid(sessions(spark), 60).select(F.date_trunc("hour", "ts").alias("ts")).distinct().withColumn("end_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
     bars = event_bars(spark, sf_dir)
     asked = bars.select(F.lit("view").alias("symbol")).union(bars.select(F.lit("nothing"))).distinct()
     return research.preflight(bars, asked, grid, "2024-01-20")
@@ -72,13 +72,13 @@ def d28_effective_starts(spark, sf_dir):
 
 
 TRADES = f"""entries AS (SELECT symbol, rn, lead(open) OVER ({P}) AS entry, lead(close, 5) OVER ({P}) AS exit, CASE WHEN rn % 2 = 0 THEN 'short' ELSE 'long' END AS direction FROM numbered), trades AS (
-  SELECT *, CASE WHEN direction = 'short' THEN -1 ELSE 1 END * (exit - entry) * 3 AS gross, (entry + exit) * 3 * 0.0005 AS fees FROM entries WHERE rn % 9 = 0 AND exit IS NOT NULL)"""
+  SELECT *, CASE WHEN direction = 'short' THEN -1 ELSE 1 END * (exit - entry) * 3 AS gross, (entry + exit) * 3 * 0.0005 AS fees FROM entries WHERE exit IS NOT NULL)"""
 
 
 def trades(spark, sf_dir):
     w = ind.by_time()
     df = ind.numbered(event_bars(spark, sf_dir)).withColumns({"entry": F.lead("open").over(w), "exit": F.lead("close", 5).over(w), "quantity": F.lit(3.0), "direction": F.when(F.col("rn") % 2 == 0, "short").otherwise("long")})
-    return research.trade_results(df.where("rn % 9 = 0 and exit is not null"), 5.0)
+    return research.trade_results(df.where("exit is not null"), 5.0)
 
 
 @query(f"WITH {H}, {NUMBERED_SQL}, {TRADES} SELECT symbol, rn, round(gross, 6) AS gross, round(fees, 6) AS fees, round(gross - fees, 6) AS net FROM trades")
@@ -86,18 +86,18 @@ def j16_trade_results(spark, sf_dir):
     return trades(spark, sf_dir).select("symbol", F.col("rn").cast("long").alias("rn"), *[F.round(c, 6).alias(c) for c in ("gross", "fees", "net")])
 
 
-@query(f"WITH {H}, {NUMBERED_SQL}, {TRADES} SELECT symbol, direction, count(*) FILTER (exit > entry) AS wins, count(*) FILTER (exit < entry) AS losses, round(sum(gross - fees) FILTER (exit <> entry), 5) AS realised FROM trades GROUP BY 1, 2")
+@query(f"WITH {H}, {NUMBERED_SQL}, {TRADES} SELECT symbol, direction, count(*) FILTER (exit > entry AND rn % 5 <> 0) AS wins, count(*) FILTER (exit < entry AND rn % 5 <> 0) AS losses, count(*) FILTER (exit = entry AND rn % 5 <> 0) AS inconclusive, round(sum(gross - fees) FILTER (rn % 5 <> 0), 5) AS realised, round(sum(gross - fees) FILTER (rn % 5 = 0), 5) AS unrealised FROM trades GROUP BY 1, 2")
 def d19_outcome_summary(spark, sf_dir):
-    outcome = F.when(F.col("exit") > F.col("entry"), "win").when(F.col("exit") < F.col("entry"), "loss").otherwise("open")
+    outcome = F.when(F.col("rn") % 5 == 0, "open").when(F.col("exit") > F.col("entry"), "win").when(F.col("exit") < F.col("entry"), "loss").otherwise("inconclusive")
     found = research.outcome_summary(trades(spark, sf_dir).withColumn("outcome", outcome), "symbol")
-    return found.select("symbol", "direction", "wins", "losses", F.round("realised", 5).alias("realised"))
+    return found.select("symbol", "direction", "wins", "losses", "inconclusive", F.round("realised", 5).alias("realised"), F.round("unrealised", 5).alias("unrealised"))
 
 
-@query(f"""WITH RECURSIVE {H}, {NUMBERED_SQL}, e AS (SELECT symbol, rn AS start_rn, rn + 3 + rn % 11 AS end_rn FROM numbered WHERE rn % 4 = 0), picked AS (
+@query(f"""WITH RECURSIVE {H}, {NUMBERED_SQL}, e AS (SELECT symbol, rn AS start_rn, rn + 3 + rn % 11 AS end_rn FROM numbered WHERE close > open), picked AS (
   SELECT symbol, min(start_rn) AS start_rn, arg_min(end_rn, start_rn) AS end_rn FROM e GROUP BY symbol UNION ALL SELECT p.symbol, n.start_rn, n.end_rn FROM picked p, LATERAL (SELECT start_rn, end_rn FROM e WHERE e.symbol = p.symbol AND e.start_rn > p.end_rn ORDER BY start_rn LIMIT 1) n)
 SELECT symbol, start_rn, end_rn FROM picked""")
 def j15_held_once(spark, sf_dir):
-    e = ind.numbered(event_bars(spark, sf_dir)).where("rn % 4 = 0").select("symbol", F.col("rn").cast("long").alias("start_rn"), (F.col("rn") + 3 + F.col("rn") % 11).cast("long").alias("end_rn"))
+    e = ind.numbered(event_bars(spark, sf_dir)).where("close > open").select("symbol", F.col("rn").cast("long").alias("start_rn"), (F.col("rn") + 3 + F.col("rn") % 11).cast("long").alias("end_rn"))
     return research.held_once(e)
 
 
@@ -120,9 +120,9 @@ def g07_last_rows(spark, sf_dir):
     return research.last_rows_of(event_bars(spark, sf_dir), 50).select("symbol", t())
 
 
-@query("SELECT c_custkey % 1000 AS place, c_custkey AS ticker, round(max(o_totalprice), 2) AS value, count(*) AS rows_found FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 = 0 GROUP BY c_custkey")
+@query("SELECT c_custkey % 1000 AS place, c_custkey AS ticker, round(max(o_totalprice), 2) AS value, count(*) AS rows_found FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def g08_screening(spark, sf_dir):
-    asked = read(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("ticker"), (F.col("c_custkey") % 1000).alias("place"))
+    asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), (F.col("c_custkey") % 1000).alias("place"))
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_totalprice").alias("value"))
     return research.screening(rows, asked).withColumn("value", F.round("value", 2))
 
@@ -132,12 +132,6 @@ def f13_retracement(spark, sf_dir):
     return research.retracement(event_bars(spark, sf_dir), 24).select("symbol", t(), F.round("from_high", 6).alias("from_high"), F.round("from_low", 6).alias("from_low"))
 
 
-@query()
-def j20_entry_exit_signals(spark, sf_dir):
-    df = ind.rsi(ind.numbered(event_bars(spark, sf_dir))).withColumns({"fast": ind.sma("close", 5), "slow": ind.sma("close", 15)})
-    return research.entry_exit_signals(df, 60.0, 70.0).where("entry or exit").select("symbol", t(), "entry", "exit")
-
-
 @query(f"WITH {S}, a AS (SELECT symbol, ts, CASE WHEN symbol = 'AF' THEN NULL ELSE close END AS score, 0.25 AS current, close AS target FROM bars), b AS (SELECT *, greatest(0, 1 - 0.1 - coalesce(sum(CASE WHEN score IS NULL THEN current END) OVER (PARTITION BY ts), 0)) AS remaining, sum(CASE WHEN score IS NOT NULL THEN target END) OVER (PARTITION BY ts) AS total FROM a) SELECT symbol, epoch(ts)::BIGINT AS t, round(CASE WHEN score IS NULL THEN current ELSE target / total * remaining END, 6) AS planned FROM b")
 def j06_frozen_holdings(spark, sf_dir):
     bars = ship_bars(spark, sf_dir).withColumns({"score": F.when(F.col("symbol") != "AF", F.col("close")), "current": F.lit(0.25), "target": F.col("close")})
@@ -158,11 +152,15 @@ def i08_other_events(spark, sf_dir):
     return actions.other_events(names, coverage, e)
 
 
-@query(f"WITH {S}, b AS (SELECT symbol, min(ts)::DATE AS f, max(ts)::DATE AS l FROM bars GROUP BY 1) SELECT symbol, CASE symbol WHEN 'AF' THEN 'no coverage' WHEN 'NF' THEN 'several coverage rows' WHEN 'NO' THEN 'does not cover the bars' ELSE 'good' END AS fault FROM b")
+_COVER = "spans AS (SELECT o_custkey AS symbol, min(o_orderdate)::DATE AS f, max(o_orderdate)::DATE AS l FROM orders GROUP BY 1), cover AS (SELECT o_custkey AS symbol, min(o_orderdate)::DATE AS s, max(o_orderdate)::DATE AS e, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'partial' ELSE 'complete' END AS status FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey, o_orderstatus = 'F')"
+
+
+@query(f"WITH {_COVER} SELECT symbol, CASE WHEN count(status) = 0 THEN 'no coverage' WHEN count(status) > 1 THEN 'several coverage rows' WHEN count(*) FILTER (status = 'complete' AND s <= f AND e >= l) = 0 THEN 'does not cover the bars' ELSE 'good' END AS fault FROM spans LEFT JOIN cover USING (symbol) GROUP BY symbol")
 def i06_coverage_faults(spark, sf_dir):
-    spans = ship_bars(spark, sf_dir).groupBy("symbol").agg(F.to_date(F.min("ts")).alias("first_date"), F.to_date(F.max("ts")).alias("last_date"))
-    good = spans.select("symbol", F.col("first_date").alias("start_date"), F.when(F.col("symbol") == "NO", F.date_add("last_date", -1)).otherwise(F.col("last_date")).alias("end_date"), F.lit("complete").alias("status"), F.lit("unadjusted").alias("source_basis"))
-    coverage = good.where("symbol <> 'AF'").union(good.where("symbol = 'NF'"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("day"), "o_orderstatus", "o_totalprice")
+    spans = o.groupBy("symbol").agg(F.min("day").alias("first_date"), F.max("day").alias("last_date"))
+    kept = o.where("o_totalprice > 100000").groupBy("symbol", F.col("o_orderstatus") == "F").agg(F.min("day").alias("start_date"), F.max("day").alias("end_date"), F.bool_or(F.col("o_orderstatus") == "P").alias("some"))
+    coverage = kept.select("symbol", "start_date", "end_date", F.when(F.col("some"), "partial").otherwise("complete").alias("status"), F.lit("unadjusted").alias("source_basis"))
     return actions.coverage_faults(coverage, spans).select("symbol", F.coalesce("fault", F.lit("good")).alias("fault"))
 
 
@@ -175,29 +173,32 @@ def i12_dividend_agreement(spark, sf_dir):
     return actions.agreement(one(3), right).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {S}, b AS (SELECT symbol, min(ts) AS f, max(ts) AS l, count(*) AS n FROM bars GROUP BY 1) SELECT symbol, symbol <> 'NO' AS agrees FROM b")
+W = ship_bars_sql("week", True)
+
+
+@query(f"WITH {W}, r AS (SELECT symbol, min(ts) AS f, max(ts) AS l, count(*) AS n FROM bars WHERE volume >= 20 GROUP BY 1), b AS (SELECT symbol, min(ts) AS f, max(ts) AS l, count(*) AS n FROM bars GROUP BY 1) SELECT symbol, coalesce(r.f = b.f AND r.l = b.l AND r.n = b.n, false) AS agrees FROM r FULL JOIN b USING (symbol)")
 def a25_audit(spark, sf_dir):
-    bars = ship_bars(spark, sf_dir)
-    recorded = intervals.coverage(bars, "symbol").withColumn("row_count", F.col("row_count") + (F.col("symbol") == "NO").cast("long"))
-    return intervals.audit(bars, recorded, "symbol")
+    bars = ship_bars(spark, sf_dir, "week", True)
+    return intervals.audit(bars, intervals.coverage(bars.where("volume >= 20"), "symbol"), "symbol")
 
 
-@query(f"WITH {H}, {SESSIONS_SQL}, g AS (SELECT o + INTERVAL (h) HOUR AS ts FROM (SELECT open_ts AS o FROM sessions WHERE label <= DATE '2024-01-31'), range(7) r(h)), sup AS (SELECT * FROM g WHERE ts < TIMESTAMP '2024-01-15' ORDER BY ts DESC LIMIT 10) SELECT epoch(ts)::BIGINT AS t, true AS is_support FROM sup UNION ALL SELECT epoch(ts)::BIGINT, false FROM g WHERE ts >= TIMESTAMP '2024-01-15' AND ts < (SELECT max(ts) FROM bars)")
+@query(f"WITH {H}, {SESSIONS_SQL}, g AS (SELECT o + INTERVAL (h) HOUR AS ts FROM (SELECT open_ts AS o FROM sessions), range(7) r(h)), sup AS (SELECT * FROM g WHERE ts < TIMESTAMP '2024-01-15' ORDER BY ts DESC LIMIT 10) SELECT epoch(ts)::BIGINT AS t, true AS is_support FROM sup UNION ALL SELECT epoch(ts)::BIGINT, false FROM g WHERE ts >= TIMESTAMP '2024-01-15' AND ts < (SELECT max(ts) FROM bars)")
 def k01_grid_with_lookback(spark, sf_dir):
-    grid = cal.expected_grid(sessions(spark).where("label <= '2024-01-31'"), 60)
+    grid = cal.expected_grid(sessions(spark), 60)
     end = event_bars(spark, sf_dir).agg(F.max("ts").alias("end"))
     found = cal.grid_with_lookback(grid, "2024-01-15", "2025-01-01", 10).crossJoin(F.broadcast(end))  # one row
     return found.where("is_support or ts < end").select(t(), "is_support")
 
 
-_SPANS = f"periods AS (SELECT symbol, ts - INTERVAL 20 DAY AS start_ts, ts AS end_ts FROM bars WHERE day(ts) % 9 = 0)"
+_SPANS = "periods AS (SELECT symbol, ts - INTERVAL 20 DAY AS start_ts, ts AS end_ts FROM bars)"
 
 
-@query(f"WITH {S}, {_SPANS}, l AS (SELECT symbol, max(ts) - INTERVAL 1 MONTH AS since FROM bars GROUP BY 1) SELECT p.symbol, epoch(greatest(start_ts, since))::BIGINT AS s, epoch(end_ts)::BIGINT AS e FROM periods p JOIN l USING (symbol) WHERE end_ts >= since")
+@query(f"WITH {S}, {_SPANS}, l AS (SELECT symbol, max(ts) - INTERVAL 1 MONTH AS since FROM bars GROUP BY 1), c AS (SELECT p.symbol, greatest(start_ts, since) AS s, end_ts AS e FROM periods p JOIN l USING (symbol) WHERE end_ts >= since) SELECT symbol, epoch(s)::BIGINT AS s, epoch(e)::BIGINT AS e, count(*) AS bars, count(*) FILTER (close < open) AS red, round(avg(close), 6) AS mean FROM c JOIN bars b USING (symbol) WHERE b.ts BETWEEN s AND e GROUP BY symbol, c.s, c.e")
 def d17_last_month(spark, sf_dir):
     bars = ship_bars(spark, sf_dir)
-    periods = bars.where("day(ts) % 9 = 0").select("symbol", (F.col("ts") - F.expr("INTERVAL 20 DAYS")).alias("start_ts"), F.col("ts").alias("end_ts"))
-    return research.last_month(periods, bars).select("symbol", t("start_ts", "s"), t("end_ts", "e"))
+    periods = bars.select("symbol", (F.col("ts") - F.expr("INTERVAL 20 DAYS")).alias("start_ts"), F.col("ts").alias("end_ts"))
+    found = research.period_means(research.last_month(periods, bars), bars)
+    return found.select("symbol", t("start_ts", "s"), t("end_ts", "e"), "bars", "red", F.round("mean", 6).alias("mean"))
 
 
 @query(f"WITH {S} SELECT symbol, epoch(ts)::BIGINT AS t, round(ln(1 + volume * least(1, 100 / sum(volume) OVER (PARTITION BY ts))), 6) AS pro_rata, round(greatest(0, least(volume, 100 - coalesce(sum(volume) OVER (PARTITION BY ts ORDER BY close DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))), 6) AS by_priority FROM bars")
@@ -237,6 +238,6 @@ def d14_merged_summaries(spark, sf_dir):
 def f16_redundant_intervals(spark, sf_dir):
     from barspark.operators import detect
 
-    accepted = detect.trend_gates(detect.trend_evidence(event_bars(spark, sf_dir), (8, 16))).where("accepted")
+    accepted = detect.trend_gates(detect.trend_evidence(event_bars(spark, sf_dir), (8, 16)), clarity=0.3, boundary=0.0).where("accepted")
     spans = accepted.select("symbol", (F.col("rn") - F.col("lookback") + 1).alias("start_rn"), F.col("rn").alias("end_rn"), "direction", F.round("clarity", 9).alias("clarity"))
     return research.suppress_redundant(spans)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.operators import actions, detect, intervals, rollup
@@ -99,23 +102,24 @@ def a24_range_delete(spark, sf_dir):
     return intervals.range_delete(ship_bars(spark, sf_dir), "1994-01-01", "1995-01-01")[1]
 
 
-@query("SELECT o_custkey AS key, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'unknown' WHEN bool_or(o_orderstatus = 'P') THEN 'partial' ELSE 'complete' END AS status, count(*) AS reports FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS key, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'unknown' WHEN bool_or(o_orderstatus = 'P') THEN 'partial' ELSE 'complete' END AS status, CASE WHEN bool_or(skipped) THEN 'some' WHEN count(*) FILTER (skipped IS NULL) > 0 THEN 'unknown' ELSE 'none' END AS skipped, count(*) AS reports FROM (SELECT *, CASE WHEN o_orderpriority < '3' THEN o_totalprice > 300000 WHEN o_orderpriority < '4' THEN NULL ELSE false END AS skipped FROM orders) GROUP BY 1")
 def d22_merge_quality(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "unknown").when(F.col("o_orderstatus") == "P", "partial").otherwise("complete")
-    reports = o.select(F.col("o_custkey").alias("key"), status.alias("status"), (F.col("o_orderkey") % 2 == 0).alias("skipped"))
-    return intervals.merge_quality(reports, "key").select("key", "status", "reports")
+    skipped = F.when(F.col("o_orderpriority") < "3", F.col("o_totalprice") > 300000).when(F.col("o_orderpriority") < "4", F.lit(None).cast("boolean")).otherwise(False)
+    found = intervals.merge_quality(o.select(F.col("o_custkey").alias("key"), status.alias("status"), skipped.alias("skipped")), "key")
+    return found.select("key", "status", F.when(F.col("skipped").isNull(), "unknown").when(F.col("skipped"), "some").otherwise("none").alias("skipped"), "reports")
 
 
-@query("SELECT o_custkey AS key, epoch(max(o_orderdate))::BIGINT AS t, arg_min(o_orderkey, (-epoch(o_orderdate)::BIGINT, o_totalprice, o_orderkey)) IS NOT NULL AS found FROM orders GROUP BY 1")
+@query("SELECT key, epoch(d)::BIGINT AS t, round(min(o_totalprice), 2) AS content, min(o_totalprice) <> max(o_totalprice) AS conflict FROM (SELECT o_custkey AS key, date_trunc('month', o_orderdate) AS d, o_totalprice FROM orders) JOIN (SELECT o_custkey AS key, max(date_trunc('month', o_orderdate)) AS d FROM orders GROUP BY 1) USING (key, d) GROUP BY 1, 2")
 def c09_latest_revision(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("at"), "o_totalprice")
-    return intervals.latest_revision(o, "key", "at", "o_totalprice").select("key", F.unix_seconds("at").alias("t"), F.lit(True).alias("found"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).alias("at"), "o_totalprice")
+    return intervals.latest_revision(o, "key", "at", "o_totalprice").select("key", F.unix_seconds("at").alias("t"), F.round("o_totalprice", 2).alias("content"), "conflict")
 
 
 def events(spark, sf_dir):
-    """Corporate actions from parts: a split or a dividend of each shipping series a year or so."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 40 = 0")
+    """Corporate actions from the large orders, dealt over the shipping series."""
+    o = read(spark, sf_dir, "orders").where("o_totalprice > 250000")
     k = F.col("o_orderkey")
     symbol = F.element_at(F.array(*[F.lit(x) for x in ("AF", "NF", "NO", "RF")]), (F.floor(k / 40) % 4 + 1).cast("int"))
     kind = F.when(k % 3 == 0, "split").when(k % 3 == 1, "cash_dividend").otherwise("merger")
@@ -126,7 +130,7 @@ def events(spark, sf_dir):
 
 
 EVENTS = """acts AS (SELECT o_orderkey AS event_id, (['AF', 'NF', 'NO', 'RF'])[(o_orderkey // 40) % 4 + 1] AS symbol, CASE o_orderkey % 3 WHEN 0 THEN 'split' WHEN 1 THEN 'cash_dividend' ELSE 'merger' END AS event_type, o_orderdate AS effective_ts, (2 + o_orderkey % 3)::DOUBLE AS share_ratio,
-  CASE WHEN o_orderkey % 7 = 0 THEN 0.97::DOUBLE END AS price_factor, (1 + o_orderkey % 5)::DOUBLE AS cash_amount, CASE WHEN o_orderkey % 11 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN o_orderkey % 13 = 0 THEN 'cancelled' ELSE 'confirmed' END AS status FROM orders WHERE o_orderkey % 40 = 0
+  CASE WHEN o_orderkey % 7 = 0 THEN 0.97::DOUBLE END AS price_factor, (1 + o_orderkey % 5)::DOUBLE AS cash_amount, CASE WHEN o_orderkey % 11 = 0 THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN o_orderkey % 13 = 0 THEN 'cancelled' ELSE 'confirmed' END AS status FROM orders WHERE o_totalprice > 250000
 ), factored AS (SELECT *, CASE event_type WHEN 'split' THEN 1 / share_ratio WHEN 'cash_dividend' THEN coalesce(price_factor, (100 - cash_amount) / 100) END AS price, CASE event_type WHEN 'split' THEN share_ratio ELSE 1.0 END AS vol,
   count(*) FILTER (event_type <> 'merger') OVER (PARTITION BY symbol, timezone('America/New_York', timezone('UTC', effective_ts))::DATE) > 1 AS shared FROM acts
 ), faulted AS (SELECT *, CASE WHEN event_type = 'merger' THEN 'unsupported' WHEN event_type = 'cash_dividend' AND price_factor IS NULL AND shared THEN 'needs an explicit factor' WHEN event_type = 'cash_dividend' AND price_factor IS NULL AND currency <> 'USD' THEN 'currency' ELSE 'good' END AS fault FROM factored)"""
@@ -171,13 +175,17 @@ def metrics(spark, sf_dir):
 METRICS = "metrics AS (SELECT o_custkey AS ticker, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, sum(CASE WHEN starts_with(o_orderpriority, '1') THEN o_totalprice END) AS b FROM orders GROUP BY 1)"
 
 
-@query("SELECT o_custkey AS key, round(sum(o_totalprice), 4) AS total, round(arg_max(o_totalprice, o_orderkey), 4) AS last, CASE WHEN count(*) = 1 THEN 1 ELSE 0 END AS single FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+_REDUCERS = {
+    "single": "CASE WHEN count(*) = 1 THEN max(o_totalprice) END", "first": "arg_min(o_totalprice, o_orderkey)", "last": "arg_max(o_totalprice, o_orderkey)", "sum": "sum(o_totalprice)",
+    "mean": "avg(o_totalprice)", "min": "min(o_totalprice)", "max": "max(o_totalprice)", "count": "count(o_totalprice)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT o_custkey AS key, '{how}' AS how, round(({sql})::DOUBLE, 4) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1" for how, sql in _REDUCERS.items()))
 def d10_reducers(spark, sf_dir):
     o = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "key")
-    only = ("o_orderstatus", "F")
-    one = lambda how: rollup.reduce_metric(o, "key", "o_totalprice", how, "o_orderkey", only)
-    found = one("sum").withColumnRenamed("metric", "total").join(one("last").withColumnRenamed("metric", "last"), "key").join(one("single").withColumnRenamed("metric", "one"), "key")
-    return found.select("key", F.round("total", 4).alias("total"), F.round("last", 4).alias("last"), F.when(F.col("one").isNull(), 0).otherwise(1).alias("single"))
+    one = [rollup.reduce_metric(o, "key", "o_totalprice", how, "o_orderkey", ("o_orderstatus", "F")).withColumn("how", F.lit(how)) for how in _REDUCERS]
+    return reduce(DataFrame.union, one).select("key", "how", F.round("metric", 4).alias("value"))
 
 
 @query(f"WITH {METRICS} SELECT 'a' AS metric, round(sum(a), 3) AS total, round(avg(a), 3) AS mean, count(a) AS contributors FROM metrics UNION ALL SELECT 'b', round(sum(b), 3), round(avg(b), 3), count(b) FROM metrics")
@@ -233,27 +241,46 @@ def f07_disjoint_flats(spark, sf_dir):
     return found.select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"))
 
 
-@query(f"""{_FLAT}, p AS (SELECT * FROM flat WHERE end_rn % 10 = 0), r AS (SELECT p.symbol, p.start_rn, p.end_rn, b.*, close / lag(close) OVER (PARTITION BY p.symbol, p.start_rn, p.end_rn ORDER BY b.rn) - 1 AS ret FROM p JOIN numbered b ON b.symbol = p.symbol AND b.rn BETWEEN p.start_rn AND p.end_rn)
+@query(f"""{_FLAT}, p AS (SELECT * FROM flat), r AS (SELECT p.symbol, p.start_rn, p.end_rn, b.*, close / lag(close) OVER (PARTITION BY p.symbol, p.start_rn, p.end_rn ORDER BY b.rn) - 1 AS ret FROM p JOIN numbered b ON b.symbol = p.symbol AND b.rn BETWEEN p.start_rn AND p.end_rn)
 SELECT symbol, start_rn, end_rn, count(*) AS bars, count(*) FILTER (close < open) AS red, count(*) FILTER (close < open AND high > open * 1.01) AS red_above, count(*) FILTER (high > open * 1.01) AS above, round(100 * stddev_pop(ret), 6) AS volatility FROM r GROUP BY 1, 2, 3""")
 def d15_flat_statistics(spark, sf_dir):
-    periods = flats(spark, sf_dir).where("end_rn % 10 = 0")
-    found = detect.flat_statistics(periods, event_bars(spark, sf_dir), 1.01)
+    found = detect.flat_statistics(flats(spark, sf_dir), event_bars(spark, sf_dir), 1.01)
     return found.select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"), "bars", "red", "red_above", "above", F.round("volatility", 6).alias("volatility"))
 
 
-_TREND = f"""WITH {H}, {NUMBERED_SQL}, x AS (SELECT *, ln(close) AS x, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY ts) AS r FROM numbered), j AS (
-  SELECT e.symbol, e.ts, e.rn, n.lookback, regr_slope(b.x, b.rn) AS slope, regr_r2(b.x, b.rn) AS r2, greatest(stddev_samp(CASE WHEN b.rn > e.rn - n.lookback + 1 THEN b.r END), 1e-8) AS sigma,
-    sum(CASE WHEN b.rn > e.rn - n.lookback + 1 THEN abs(b.r) END) AS path, sum(CASE WHEN b.rn > e.rn - n.lookback + 1 THEN b.r END) AS net
-  FROM x e CROSS JOIN (VALUES (8), (16)) n(lookback) JOIN x b ON b.symbol = e.symbol AND b.rn BETWEEN e.rn - n.lookback + 1 AND e.rn WHERE e.rn >= n.lookback GROUP BY ALL)"""
+_EVIDENCE = f"""{H}, {NUMBERED_SQL}, x AS (SELECT *, ln(close) AS x, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY ts) AS r FROM numbered), lengths AS (SELECT * FROM (VALUES (8), (9), (15), (16), (17)) l(n)), j AS (
+  SELECT e.symbol, e.ts, e.rn, n, max(b.x) - min(b.x) < 1e-13 AS flat, regr_slope(b.x, b.rn) AS slope, regr_r2(b.x, b.rn) AS r2, greatest(stddev_samp(CASE WHEN b.rn > e.rn - n + 1 THEN b.r END), 1e-8) AS sigma,
+    sum(CASE WHEN b.rn > e.rn - n + 1 THEN abs(b.r) END) AS path, sum(CASE WHEN b.rn > e.rn - n + 1 THEN b.r END) AS net
+  FROM x e CROSS JOIN lengths JOIN x b ON b.symbol = e.symbol AND b.rn BETWEEN e.rn - n + 1 AND e.rn WHERE e.rn >= n GROUP BY ALL
+), p AS (
+  SELECT e.symbol, e.rn, n, median((b.x - a.x) / (b.rn - a.rn)) AS robust, avg(sign((b.x - a.x) / (b.rn - a.rn))) AS ordering
+  FROM x e CROSS JOIN lengths JOIN x a ON a.symbol = e.symbol AND a.rn BETWEEN e.rn - n + 1 AND e.rn JOIN x b ON b.symbol = e.symbol AND b.rn > a.rn AND b.rn <= e.rn WHERE e.rn >= n GROUP BY ALL
+), k AS (
+  SELECT j.symbol, ts, j.rn, j.n, CASE WHEN flat THEN 0 ELSE slope END AS slope, CASE WHEN flat THEN 0 ELSE coalesce(r2, 0) END AS r2, CASE WHEN flat THEN 0 ELSE robust END AS robust, sigma, ordering, CASE WHEN path = 0 THEN 0 ELSE net / path END AS efficiency FROM j JOIN p USING (symbol, rn, n)
+), v AS (
+  SELECT *, slope * sqrt(n - 1) / sigma AS z, abs(robust) * sqrt(n - 1) / sigma AS magnitude, 0.25 * r2 * tanh(slope * sqrt(n - 1) / sigma / 2) + 0.2 * tanh(robust * sqrt(n - 1) / sigma / 2) + 0.35 * ordering + 0.2 * efficiency AS evidence FROM k
+), w AS (
+  SELECT v.*, sign(v.evidence) AS direction, abs(v.evidence) AS clarity, avg(CASE WHEN sign(v.evidence) * m.evidence >= 0.55 AND sign(v.evidence) * m.robust > 0 THEN 1.0 ELSE 0.0 END) AS boundary
+  FROM v JOIN v m ON m.symbol = v.symbol AND m.rn = v.rn AND m.n BETWEEN v.n - 1 AND v.n + 1 WHERE v.n IN (8, 16) GROUP BY ALL
+)"""
+
 
+def _trends(spark, sf_dir):
+    return detect.trend_evidence(event_bars(spark, sf_dir), (8, 16))
 
-@query(f"{_TREND} SELECT symbol, epoch(ts)::BIGINT AS t, lookback, round(slope, 6) AS slope, round(r2, 6) AS r2, round(sigma, 6) AS sigma, round(net / path, 6) AS efficiency FROM j")
+
+_MEASURES = ("slope", "r2", "robust", "sigma", "efficiency", "ordering", "z", "magnitude", "evidence", "clarity", "direction", "boundary")
+
+
+@query(f"WITH {_EVIDENCE} SELECT symbol, epoch(ts)::BIGINT AS t, n AS lookback, {', '.join(f'round({c}, 6) AS {c}' for c in _MEASURES)} FROM w")
 def f11_trend_evidence(spark, sf_dir):
-    found = detect.trend_evidence(event_bars(spark, sf_dir), (8, 16))
-    return found.select("symbol", F.unix_seconds("ts").alias("t"), "lookback", *[F.round(c, 6).alias(c) for c in ("slope", "r2", "sigma", "efficiency")])
+    return _trends(spark, sf_dir).select("symbol", F.unix_seconds("ts").alias("t"), "lookback", *[F.round(c, 6).alias(c) for c in _MEASURES])
 
 
-@query()
+@query(f"""WITH {_EVIDENCE}, g AS (SELECT *, concat_ws(', ', CASE WHEN clarity < 0.45 THEN 'clarity' END, CASE WHEN magnitude < 1 THEN 'magnitude' END, CASE WHEN direction * robust <= 0 THEN 'slope disagrees' END, CASE WHEN boundary < 0.8 THEN 'boundary' END) AS reasons FROM w),
+far AS (SELECT symbol, rn, max(n) AS far, arg_max(direction, n) AS way FROM g WHERE reasons = '' GROUP BY 1, 2)
+SELECT g.symbol, epoch(ts)::BIGINT AS t, n AS lookback, reasons, CASE WHEN reasons = '' THEN far > n AND way <> direction END AS countertrend FROM g LEFT JOIN far ON far.symbol = g.symbol AND far.rn = g.rn""")
 def f12_trend_gates(spark, sf_dir):
-    accepted = detect.trend_gates(detect.trend_evidence(event_bars(spark, sf_dir), (8, 16)))
-    return detect.countertrends(accepted.where("accepted")).select("symbol", F.unix_seconds("ts").alias("t"), "lookback", "direction", "countertrend")
+    gated = detect.trend_gates(_trends(spark, sf_dir), clarity=0.45)
+    counter = detect.countertrends(gated.where("accepted")).select("symbol", "rn", "lookback", "countertrend")
+    return gated.join(counter, ["symbol", "rn", "lookback"], "left").select("symbol", F.unix_seconds("ts").alias("t"), "lookback", "reasons", "countertrend")

@@ -224,13 +224,23 @@ def j08_turnover_budget(spark, sf_dir):
     return rounded(strategy.limit_turnover(weighed, budget=0.4, least=0.02), "current", "executed")
 
 
-@query(f"""WITH {H}, {NUMBERED_SQL}, entries AS (SELECT symbol, ts, rn, lead(open) OVER ({P}) AS entry FROM numbered WHERE true), e AS (SELECT * FROM entries WHERE rn % 20 = 0 AND entry IS NOT NULL), hits AS (
-  SELECT e.symbol, e.rn, e.ts, entry, min(CASE WHEN b.high > entry * 1.5 OR b.low < entry * 0.5 THEN b.rn END) AS hit FROM e JOIN numbered b ON b.symbol = e.symbol AND b.rn > e.rn AND b.rn <= e.rn + 30 GROUP BY ALL)
-SELECT h.symbol, epoch(h.ts)::BIGINT AS t, round(entry, 6) AS entry, coalesce(hit, -1) AS hit, CASE WHEN hit IS NULL THEN 'open' WHEN b.high > entry * 1.5 AND b.low < entry * 0.5 THEN 'inconclusive' WHEN b.high > entry * 1.5 THEN 'win' ELSE 'loss' END AS outcome
+@query(f"WITH RECURSIVE {H}, {NUMBERED_SQL}, {_CHANGES}, {wilder_sql('up', 'changes', 'gain', 15, 14)}, {wilder_sql('down', 'changes', 'loss', 15, 14)}, a AS (SELECT n.symbol, n.ts, CASE WHEN up + down = 0 THEN 0 ELSE 100 * up / (up + down) END AS rsi, CASE WHEN n.rn >= 5 THEN avg(close) OVER (PARTITION BY n.symbol ORDER BY n.ts ROWS 4 PRECEDING) END AS fast, CASE WHEN n.rn >= 15 THEN avg(close) OVER (PARTITION BY n.symbol ORDER BY n.ts ROWS 14 PRECEDING) END AS slow FROM numbered n LEFT JOIN up USING (symbol, rn) LEFT JOIN down USING (symbol, rn)), b AS (SELECT *, lag(fast) OVER ({P}) AS f, lag(slow) OVER ({P}) AS s FROM a), c AS (SELECT symbol, ts, coalesce(fast > slow AND f <= s AND rsi < 60, false) AS entry, coalesce(fast < slow AND f >= s, false) OR coalesce(rsi > 70, false) AS exit FROM b) SELECT symbol, epoch(ts)::BIGINT AS t, entry, exit FROM c WHERE entry OR exit")
+def j20_entry_exit_signals(spark, sf_dir):
+    from barspark.operators import research
+
+    df = ind.rsi(bars(spark, sf_dir)).withColumns({"fast": ind.sma("close", 5), "slow": ind.sma("close", 15)})
+    return research.entry_exit_signals(df, 60.0, 70.0).where("entry or exit").select("symbol", F.unix_seconds("ts").alias("t"), "entry", "exit")
+
+
+@query(f"""WITH {H}, {NUMBERED_SQL}, entries AS (SELECT symbol, ts, rn, lead(open) OVER ({P}) AS entry, CASE WHEN close < open THEN 'short' ELSE 'long' END AS direction FROM numbered), e AS (
+  SELECT *, CASE WHEN direction = 'short' THEN entry / 0.4 ELSE entry * 1.5 END AS upper, CASE WHEN direction = 'short' THEN entry / 1.5 ELSE entry * 0.4 END AS lower FROM entries WHERE entry IS NOT NULL), hits AS (
+  SELECT e.symbol, e.rn, e.ts, entry, direction, upper, lower, min(b.rn) AS hit FROM e LEFT JOIN numbered b ON b.symbol = e.symbol AND b.rn > e.rn AND (b.high > upper OR b.low < lower) GROUP BY ALL)
+SELECT h.symbol, epoch(h.ts)::BIGINT AS t, direction, round(entry, 6) AS entry, coalesce(hit, -1) AS hit, CASE WHEN hit IS NULL THEN 'open' WHEN b.high > upper AND b.low < lower THEN 'inconclusive' WHEN (b.high > upper) = (direction = 'long') THEN 'win' ELSE 'loss' END AS outcome
 FROM hits h LEFT JOIN numbered b ON b.symbol = h.symbol AND b.rn = h.hit""")
 def j14_bracket_outcomes(spark, sf_dir):
-    found = strategy.bracket_outcomes(bars(spark, sf_dir), F.col("rn") % 20 == 0, win=1.5, stop=0.5, horizon=30)
-    return found.select("symbol", F.unix_seconds("ts").alias("t"), F.round("entry", 6).alias("entry"), F.coalesce(F.col("hit").cast("long"), F.lit(-1)).alias("hit"), "outcome")
+    side = F.when(F.col("close") < F.col("open"), "short").otherwise("long")
+    found = strategy.bracket_outcomes(bars(spark, sf_dir), F.lit(True), win=1.5, stop=0.4, direction=side)
+    return found.select("symbol", F.unix_seconds("ts").alias("t"), "direction", F.round("entry", 6).alias("entry"), F.coalesce("hit", F.lit(-1)).alias("hit"), "outcome")
 
 
 @query(f"WITH {H}, {NUMBERED_SQL} SELECT {out('reference', 'upper', 'lower')} FROM (SELECT *, first(open) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS reference, first(open) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) * 1.01 AS upper, first(open) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) * 0.99 AS lower FROM numbered)")

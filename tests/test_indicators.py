@@ -82,3 +82,20 @@ def test_warm_up(spark):
     found = {"macd": (ind.macd(df), (12, 26, 9)), "adx": (ind.adx(df), (14,)), "rsi": (ind.rsi(df), (14,)), "atr": (ind.atr(df), (14,))}
     for name, (got, args) in found.items():
         assert np.isnan(values(got, name)).sum() == ind.WARM_UP[name](*args)
+
+
+@pytest.mark.parametrize("period", [2000, 4000])
+def test_long_periods_equal_a_loop(spark, period):
+    n = 12_000
+    _, _, _, close, _ = series(n)
+    rows = [("A", START + datetime.timedelta(hours=i), float(c)) for i, c in enumerate(close)]
+    df = ind.numbered(spark.createDataFrame(rows, "symbol string, ts timestamp, close double"))
+    want = smoothed(close, period - 1, 1 - 2 / (period + 1), close[:period].mean(), 2 / (period + 1))
+    np.testing.assert_allclose(values(ind.ema(df, period), "ema"), want, rtol=1e-9)
+    want = smoothed(close, period - 1, 1 - 1 / period, close[:period].mean(), 1 / period)
+    np.testing.assert_allclose(values(ind.wilder(df, {"w": "close"}, period, period), "w"), want, rtol=1e-9)
+
+
+def test_scans_join_nothing(spark):
+    plan = ind.adx(frame(spark, 100))._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan

@@ -94,10 +94,94 @@ def test_bracket_bounds_are_strict(spark):
     from barspark.functions.indicators import numbered
 
     bars = numbered(spark.createDataFrame(rows, BARS))
-    got = {r.rn: (r.hit, r.outcome) for r in strategy.bracket_outcomes(bars, F.lit(True), 1.1, 0.9, 10).collect()}
+    got = {r.rn: (r.hit, r.outcome) for r in strategy.bracket_outcomes(bars, F.lit(True), 1.1, 0.9).collect()}
     assert got == {1: (3, "win"), 2: (3, "win"), 3: (4, "inconclusive"), 4: (None, "open")}
 
 
+def test_first_beyond_against_a_loop(spark):
+    from barspark.functions.indicators import numbered
+
+    rng = np.random.default_rng(5)
+    t, rows = dt(2024, 1, 2), []
+    for k, s in enumerate("AB"):
+        close = 50 * np.exp(np.cumsum(rng.normal(0, 0.01, 900)))
+        rows += [(s, t + datetime.timedelta(hours=i), float(c), float(c * 1.004), float(c * 0.996), float(c), 1.0) for i, c in enumerate(close)]
+    bars = numbered(spark.createDataFrame(rows, BARS)).cache()
+    own = {s: [r for r in rows if r[0] == s] for s in "AB"}
+    for win, stop in ((1.02, 0.98), (1.3, 0.8), (50.0, 0.01)):
+        side = F.when(F.col("rn") % 2 == 0, "short").otherwise("long")
+        got = {(r.symbol, r.rn): (r.hit, r.outcome) for r in strategy.bracket_outcomes(bars, F.lit(True), win, stop, side).collect()}
+        assert len(got) == 2 * 899
+        for (s, n), (hit, outcome) in got.items():
+            entry = own[s][n][2]
+            high, low = (entry / stop, entry / win) if n % 2 == 0 else (entry * win, entry * stop)
+            want = next((i + 1 for i in range(n, 900) if own[s][i][3] > high or own[s][i][4] < low), None)
+            assert hit == want
+            if want:
+                up, down = own[s][want - 1][3] > high, own[s][want - 1][4] < low
+                assert outcome == ("inconclusive" if up and down else "win" if up == (n % 2 == 1) else "loss")
+            else:
+                assert outcome == "open"
+    small = strategy.first_beyond(bars, bars.select("symbol", "rn", (F.col("close") * 1.1).alias("upper"), (F.col("close") * 0.9).alias("lower")), width=4).collect()
+    for r in small:
+        assert r.hit == next((i + 1 for i in range(r.rn, 900) if own[r.symbol][i][3] > r.upper or own[r.symbol][i][4] < r.lower), None)
+
+
+def loop_targets(rows, reserve, cap, turnover, least):
+    """The rebalance rules written out for one time: (symbol, score, current, proposed) to targets."""
+    known = {r[0]: r for r in rows}
+    current = {s: r[2] or 0.0 for s, r in known.items()}
+    frozen = {s for s, r in known.items() if r[1] is None and current[s] > 0}
+    room = max(0.0, 1 - reserve - sum(current[s] for s in frozen))
+    wish = {s: (r[3] or 0.0) if r[1] is not None else 0.0 for s, r in known.items() if s not in frozen}
+    usable, left, capped = min(room, sum(wish.values())), dict(wish), {}
+    while True:
+        total = sum(left.values())
+        share = {s: x / total * (usable - cap * len(capped)) if total else 0.0 for s, x in left.items()}
+        over = [s for s, x in share.items() if x > cap + 1e-15]
+        if not over:
+            break
+        for s in over:
+            capped[s] = cap
+            del left[s]
+    desired = share | capped | {s: current[s] for s in frozen}
+    base = {s: current[s] if s in frozen else min(current[s], cap) for s in known}
+    held = sum(x for s, x in base.items() if s not in frozen)
+    if held > room:
+        base = {s: x if s in frozen else x * room / held for s, x in base.items()}
+    must = sum(abs(base[s] - current[s]) for s in known)
+    for s in known:
+        if s not in frozen and desired[s] > 0 and abs(desired[s] - base[s]) < least:
+            desired[s] = base[s]
+    sold, bought = (sum(max(0, sign * (base[s] - desired[s])) for s in known) for sign in (1, -1))
+    free = max(0.0, 1 - reserve - sum(base.values())) + sold
+    if bought > free + 1e-12:
+        desired = {s: base[s] + (x - base[s]) * free / bought if x > base[s] else x for s, x in desired.items()}
+    moves, rest = sum(abs(desired[s] - base[s]) for s in known), max(0.0, turnover - must)
+    if moves > rest + 1e-12:
+        desired = {s: base[s] + rest / moves * (x - base[s]) for s, x in desired.items()}
+    return desired
+
+
+def test_rebalance_targets_against_a_loop(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(120):
+        n = int(rng.integers(1, 9))
+        held = rng.dirichlet(np.ones(n + 1))[:n] * rng.choice([0.0, 0.5, 1.0])
+        asked = rng.dirichlet(np.ones(n)) * rng.choice([0.5, 1.0])
+        for i in range(n):
+            rows.append((k, f"s{i}", None if rng.random() < 0.25 else float(rng.random()), float(held[i]) if rng.random() < 0.8 else None, float(asked[i]) if rng.random() < 0.7 else None))
+    df = spark.createDataFrame(rows, "ts long, symbol string, score double, current double, proposed double")
+    for reserve, cap, turnover, least in ((0.0, 1.0, 2.0, 0.0), (0.1, 0.3, 0.4, 0.02), (0.5, 0.2, 0.1, 0.0)):
+        got = {(r.ts, r.symbol): r for r in strategy.rebalance_targets(df, reserve, cap, turnover, least).collect()}
+        assert len(got) == len(rows)
+        for k in range(120):
+            for s, x in loop_targets([r[1:] for r in rows if r[0] == k], reserve, cap, turnover, least).items():
+                assert abs(got[k, s].target - x) < 1e-9, (k, s, got[k, s], x)
+                assert got[k, s].reason
+
+
 def test_flat_ranges_then_a_spike(spark):
     t = dt(2024, 1, 2)
     rows = [("A", t + datetime.timedelta(minutes=30 * i), c, c + 0.5, c - 0.5, c, 1.0) for i, c in enumerate([100.0] * 5 + [150.0] + [200.0] * 3)]
@@ -191,18 +275,20 @@ def test_stream_closes_bars_by_watermark(spark, tmp_path):
     assert [(r.open, r.high, r.low, r.close, r.volume) for r in got] == [(10.0, 14.0, 10.0, 14.0, 3.0), (15.0, 19.0, 15.0, 19.0, 2.0)]
 
 
-def test_redundant_intervals_against_a_loop(spark):
+@pytest.mark.parametrize("rule", ["and", "or"])
+def test_redundant_intervals_against_a_loop(spark, rule):
     from barspark.operators.research import suppress_redundant
 
     rng = np.random.default_rng(3)
     rows = [("A", int(s), int(s + n), float(d), float(c)) for s, n, d, c in zip(rng.integers(0, 300, 150), rng.integers(8, 60, 150), rng.choice([-1.0, 1.0], 150), rng.random(150).round(6))]
-    got = sorted((r.direction, r.start_rn, r.end_rn) for r in suppress_redundant(spark.createDataFrame(rows, "symbol string, start_rn long, end_rn long, direction double, clarity double")).collect())
+    got = sorted((r.direction, r.start_rn, r.end_rn) for r in suppress_redundant(spark.createDataFrame(rows, "symbol string, start_rn long, end_rn long, direction double, clarity double"), rule=rule).collect())
     want = []
     for d in (-1.0, 1.0):
         kept = []
-        for _, s, e, _, c in sorted((r for r in rows if r[3] == d), key=lambda r: (r[1], -r[4], -r[2])):
-            room = lambda k: max(5.0, (min(k[1] - k[0], e - s) + 1) * 0.05)  # noqa: B023, E731
-            if not any(abs(k[0] - s) <= room(k) and abs(k[1] - e) <= room(k) for k in kept):
+        for _, s, e, _, c in sorted((r for r in rows if r[3] == d), key=lambda r: (r[2], -r[4], r[1])):
+            room = lambda k: max(500.0, (min(k[1] - k[0], e - s) + 1) * 5.0)  # noqa: B023, E731
+            both = all if rule == "and" else any
+            if not any(both((100 * abs(k[0] - s) <= room(k), 100 * abs(k[1] - e) <= room(k))) for k in kept):
                 kept.append((s, e))
         want += [(d, *k) for k in kept]
     assert got == sorted(want)
