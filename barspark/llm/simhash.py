@@ -25,7 +25,7 @@ from barspark.llm.graph import components
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Width of each block of the fingerprint; zero bits fill it up to the length of the code.
 BLOCKS = (22, 21, 21)
-#: Homes at one anchor pair that one task compares; more are split.
+#: Fingerprints at one anchor pair, homes or copies, that one comparison takes; more are split.
 HOMES = 4096
 #: Generator polynomial of the Golay code of length 23 (a fixed value).
 GOLAY = 0b110001110101
@@ -124,8 +124,8 @@ def covering(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def links(prints: DataFrame, homes: int = HOMES) -> DataFrame:
     """``prints(fp)``, distinct, to ``(a, b)``: links that join the same fingerprints as all pairs do.
 
-    An anchor pair with over ``homes`` homes is split into a square of cells, each with a
-    part of the homes and a part of the rest.
+    An anchor pair with over ``homes`` homes and copies is split into a grid of cells, each with a
+    part of the homes and a part of the whole.
     """
     spark = prints.sparkSession
 
@@ -153,20 +153,20 @@ def links(prints: DataFrame, homes: int = HOMES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
     rows = prints.select("fp").mapInArrow(cover, "key int, copy boolean, fp long")
-    crowded = materialize(
-        rows.where("not copy").groupBy("key").count().where(F.col("count") > homes).select("key", F.ceil(F.col("count") / homes).cast("int").alias("parts")),
-        "crowded",
-    )
+    parts = lambda n: F.ceil(n / homes).cast("int")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("copy")).alias("own")).where((F.col("n") > homes) & (F.col("own") > 0))
+    crowded = materialize(sizes.select("key", parts(F.col("own")).alias("rows_of"), parts(F.col("n")).alias("columns_of")), "crowded")
     n = crowded.count()
     if n:
         rows = rows.join(F.broadcast(crowded) if n <= 10_000 else crowded, "key", "left")
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
+        part = lambda of: F.pmod(F.xxhash64("fp"), F.col(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        hot = rows.where("rows_of is not null")
         split = (
-            rows.where("parts is not null and not copy").select("key", "copy", "fp", part.alias("i"), F.explode(all_parts).alias("j"))
-            .union(rows.where("parts is not null").select("key", F.lit(True), "fp", F.explode(all_parts), part))
+            hot.where("not copy").select("key", "copy", "fp", part("rows_of").alias("i"), every("columns_of").alias("j"))
+            .union(hot.select("key", F.lit(True), "fp", every("rows_of"), part("columns_of")))
         )
-        rows = rows.where("parts is null").select("key", "copy", "fp", F.lit(0).alias("i"), F.lit(0).alias("j")).union(split)
+        rows = rows.where("rows_of is null").select("key", "copy", "fp", F.lit(0).alias("i"), F.lit(0).alias("j")).union(split)
     else:
         rows = rows.select("key", "copy", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``(doc_id, fp, component_id)`` for each row of ``docs``; extra columns are ignored.
 
     Null and empty texts and those without a word have fingerprint zero and link like any
-    other. Repeated rows come out as often as they go in. A null id is never the smallest:
+    other; a text of any length is hashed whole. Repeated rows come out as often as they go in. A null id is never the smallest:
     ``component_id`` is null only where all ids of a component are null. An empty table
     gives an empty table.
     """
@@ -193,5 +193,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
