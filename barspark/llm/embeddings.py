@@ -21,7 +21,7 @@ from barspark.llm.graph import components
 
 COSINE = 0.93
 BLOCKS = 8
-#: Homes in one cell that one task compares; a cell with more is split.
+#: Vectors in one cell, homes or copies, that one comparison takes; a cell with more is split.
 HOMES = 2048
 SLACK = 1e-9
 
@@ -59,6 +59,8 @@ def _cells(turned: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray,
         axes = min(2, edges[b + 1] - lo)
         x = turned[:, lo : lo + axes]
         own = np.floor(x / side).astype(np.int64)
+        if side * 1022 < 1:  # a cell's number on an axis has 12 bits
+            raise ValueError(f"the cosine {cosine} is too close to 1 for cells of {len(edges) - 1} blocks")
         cell = lambda c: ((c[:, 0] + 1024) << 12 | (c[:, 1] + 1024 if axes == 2 else 0)).astype(np.int32)
         home = cell(own)
         yield b, rows, home, np.zeros(len(rows), bool)
@@ -102,21 +104,20 @@ def links(vectors: DataFrame, cosine: float = COSINE, homes: int = HOMES) -> Dat
 
     keys = ["label", "dims", "block", "cell"]
     rows = vectors.select("node", F.col("label").cast("long"), F.col("n").cast("long"), "embedding").mapInArrow(cover, schema)
-    crowded = materialize(
-        rows.where("role = 0").groupBy(*keys).count().where(F.col("count") > homes).select(*keys, F.ceil(F.col("count") / homes).cast("int").alias("parts")),
-        "crowded",
-    )
+    parts = lambda n: F.ceil(n / homes).cast("int")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.count_if(F.col("role") == 0).alias("own")).where((F.col("size") > homes) & (F.col("own") > 0))
+    crowded = materialize(sizes.select(*keys, parts(F.col("own")).alias("rows_of"), parts(F.col("size")).alias("columns_of")), "crowded")
     many = crowded.count()
     rest = ["role", "node", "n", "vector"]
     if many:
         rows = rows.join(F.broadcast(crowded) if many <= 10_000 else crowded, keys, "left")
-        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
-        hot = rows.where("parts is not null")
+        part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        hot = rows.where("rows_of is not null")
         rows = (
-            rows.where("parts is null").select(*keys, F.lit(-1).alias("i"), F.lit(-1).alias("j"), *rest)
-            .union(hot.where("role = 0").select(*keys, part, F.explode(all_parts), *rest))
-            .union(hot.select(*keys, F.explode(all_parts), part, F.when(F.col("role") == 0, 2).otherwise(1), "node", "n", "vector"))
+            rows.where("rows_of is null").select(*keys, F.lit(-1).alias("i"), F.lit(-1).alias("j"), *rest)
+            .union(hot.where("role = 0").select(*keys, part("rows_of"), every("columns_of"), *rest))
+            .union(hot.select(*keys, every("rows_of"), part("columns_of"), F.when(F.col("role") == 0, 2).otherwise(1), "node", "n", "vector"))
         )
     else:
         rows = rows.select(*keys, F.lit(-1).alias("i"), F.lit(-1).alias("j"), *rest)
@@ -197,6 +198,7 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, homes: int = HOMES
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 

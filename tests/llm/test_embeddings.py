@@ -45,7 +45,7 @@ def rows(dims=24, seed=0):
     return out + [(908, 1, same), (None, 1, same), (None, 0, [1.0] * dims)]
 
 
-@pytest.mark.parametrize("homes", [2048, 7])
+@pytest.mark.parametrize("homes", [2048, 40, 7])
 def test_against_brute_force(spark, homes):
     data = rows()
     df = spark.createDataFrame([(*r, 1) for r in data], "vec_id long, label int, embedding array<float>, n int")
@@ -56,3 +56,8 @@ def test_against_brute_force(spark, homes):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert embeddings.near_duplicates(df).count() == 0
+
+
+def test_a_cosine_too_close_to_one_is_refused():
+    with pytest.raises(ValueError):
+        list(embeddings._cells(np.eye(8), 1 - 1e-9))
