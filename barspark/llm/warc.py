@@ -109,7 +109,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     revisits = digests.join(first, ["sha1", "bytes"]).where("page is null or page <> first").select("page", "sha1", "first").distinct()
     revisits = materialize(revisits, "revisits").withColumn("page", F.coalesce("page", F.lit(-(1 << 63)))).withColumnRenamed("page", "_page")
     named = rows.withColumns({"sha1": F.sha1("body"), "_page": F.coalesce("page", F.lit(-(1 << 63)))})
-    named = named.join(revisits.hint("shuffle_hash"), ["_page", "sha1"], "left").select("page", "url", "body", "sha1", "first")
+    named = named.join(revisits, ["_page", "sha1"], "left").select("page", "url", "body", "sha1", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pa.fs.FileSystem.from_uri(archive)
