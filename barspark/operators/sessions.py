@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barspark.operators.validate import clock_window
 from barspark.schema import true
 
 
@@ -81,3 +82,31 @@ def extended_bounds(sessions: DataFrame, tz: str = "America/New_York") -> DataFr
 def unfinished(grid: DataFrame, cutoff: str) -> DataFrame:
     """Grid bars that have not ended by the cutoff."""
     return grid.where(F.col("end_ts") > F.lit(cutoff).cast("timestamp"))
+
+
+def removed_by_window(sessions: DataFrame, minutes: int, start: str, end: str, tz: str) -> DataFrame:
+    """``(label, ts)``: the source stamps of sessions that a clock window would take away."""
+    grid = expected_grid(sessions, minutes).select("label", "ts")
+    return grid.join(clock_window(grid, start, end, tz).select("label", "ts"), ["label", "ts"], "left_anti")
+
+
+def calendar_mismatches(outputs: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``outputs(label, open_ts, close_ts)`` that no session of the calendar has with these very bounds."""
+    return outputs.join(sessions.select("label", "open_ts", "close_ts"), ["label", "open_ts", "close_ts"], "left_anti")
+
+
+def trading_period(bars: DataFrame, early: DataFrame, tz: str = "America/New_York") -> DataFrame:
+    """Bars from 09:00 to 16:00 local, without those from an early close of ``early(label, close_ts)`` on, on its date."""
+    day = F.to_date(F.from_utc_timestamp("ts", tz))
+    kept = clock_window(bars, "09:00", "16:00", tz).withColumn("_day", day)
+    closed = early.select(F.col("label").alias("_day"), F.col("close_ts").alias("_close"))
+    return kept.join(closed, "_day", "left").where("_close is null or ts < _close").drop("_day", "_close")
+
+
+def close_before(dates: DataFrame, bars: DataFrame, sessions: DataFrame, minutes: int = 1) -> DataFrame:
+    """``dates(symbol, ex_date)`` with ``reference_close``: the close of the bar that ends with the last session before the date; null without that bar."""
+    order = Window.orderBy("label")  # a calendar: a row a day
+    spans = sessions.select("label", "close_ts", F.lead("label").over(order).alias("_next"))
+    days = spans.withColumn("ex_date", F.explode(F.sequence(F.date_add("label", 1), F.coalesce("_next", F.date_add("label", 7)))))
+    due = dates.join(days.select("ex_date", (F.col("close_ts") - F.expr(f"INTERVAL {minutes} MINUTES")).alias("ts")), "ex_date", "left")
+    return due.join(bars.select("symbol", "ts", F.col("close").alias("reference_close")), ["symbol", "ts"], "left").drop("ts")

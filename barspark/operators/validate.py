@@ -159,3 +159,28 @@ def local_times(bars: DataFrame, tz: str) -> DataFrame:
     local = F.from_utc_timestamp("ts", tz)
     before = F.lag(local).over(Window.partitionBy("symbol").orderBy("ts"))
     return bars.withColumns({"display": F.date_format(local, "yyyy-MM-dd HH:mm:ss"), "repeated": true(local <= before)})
+
+
+def detector_faults(bars: DataFrame) -> DataFrame:
+    """``bars`` that a detector refuses, with ``reasons``: prices that are not positive and finite, an open or close beyond low and high."""
+    rules = {n: c for n, c in violations().items() if not n.startswith("volume")}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    return bars.withColumn("reasons", found).where(F.size("reasons") > 0)
+
+
+def encoded(identifier: Column) -> Column:
+    """An identifier percent-encoded, as in the folders of a store; letters, digits and ``-._~`` stay."""
+    out = F.url_encode(identifier)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def timeframe(text: Column) -> Column:
+    """``(amount, unit, seconds)`` of a timeframe such as 5m, 1h, 1d, 1wk or 1mo; null if it is none. Whole hours of minutes are hours."""
+    text = F.lower(F.trim(text))
+    amount, unit = F.regexp_extract(text, r"^([0-9]+)(m|h|d|wk|mo)$", 1).try_cast("long"), F.regexp_extract(text, r"^([0-9]+)(m|h|d|wk|mo)$", 2)
+    hours = (unit == "m") & (amount % 60 == 0)
+    amount, unit = F.when(hours, (amount / 60).cast("long")).otherwise(amount), F.when(hours, "h").otherwise(unit)
+    size = F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86_400).when(unit == "wk", 604_800)
+    return F.when(amount > 0, F.struct(amount.alias("amount"), unit.alias("unit"), (amount * size).alias("seconds")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barspark.functions import indicators as ind
 from barspark.operators.resample import resample_sessions
 from barspark.queries import bars as _bars  # noqa: F401
+from barspark.queries import history as _history  # noqa: F401
 from barspark.queries import research as _research  # noqa: F401
 from barspark.queries import sources as _sources  # noqa: F401
 from barspark.queries import tables as _tables  # noqa: F401

@@ -82,11 +82,11 @@ def a05_coverage(spark, sf_dir):
     return found.select("symbol", "y", F.unix_seconds("first_ts").alias("f"), F.unix_seconds("last_ts").alias("l"), F.col("row_count").alias("n"))
 
 
-@query(f"WITH {S}, a AS (SELECT * FROM bars WHERE ts < TIMESTAMP '1997-01-01'), b AS (SELECT symbol, ts, open, high, low, CASE WHEN day(ts) = 3 THEN close + 1 ELSE close END AS close, volume FROM bars WHERE ts >= TIMESTAMP '1993-01-01') SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.ts IS NULL THEN 'lost' WHEN a.ts IS NULL THEN 'added' WHEN a.close = b.close THEN 'kept' ELSE 'revised' END AS state FROM a FULL JOIN b ON a.symbol = b.symbol AND a.ts = b.ts) GROUP BY state")
+@query(f"WITH {S}, a AS (SELECT * FROM bars WHERE ts < TIMESTAMP '1999-01-01'), b AS (SELECT symbol, ts, open, high, low, CASE WHEN day(ts) = 3 THEN close + 1 ELSE close END AS close, volume FROM bars WHERE ts >= TIMESTAMP '1996-06-01') SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.ts IS NULL THEN 'lost' WHEN a.ts IS NULL THEN 'added' WHEN a.close = b.close THEN 'kept' ELSE 'revised' END AS state FROM a FULL JOIN b ON a.symbol = b.symbol AND a.ts = b.ts) GROUP BY state")
 def a21_refresh(spark, sf_dir):
     bars = ship_bars(spark, sf_dir)
-    fresh = bars.where("ts >= timestamp '1993-01-01'").withColumn("close", F.when(F.dayofmonth("ts") == 3, F.col("close") + 1).otherwise(F.col("close")))
-    return intervals.refresh(bars.where("ts < timestamp '1997-01-01'"), fresh).groupBy("state").agg(F.count("*").alias("n"))
+    fresh = bars.where("ts >= timestamp '1996-06-01'").withColumn("close", F.when(F.dayofmonth("ts") == 3, F.col("close") + 1).otherwise(F.col("close")))
+    return intervals.refresh(bars.where("ts < timestamp '1999-01-01'"), fresh).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS id, o_orderkey - 7 AS p, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - 11 END AS s FROM orders), gone AS (SELECT DISTINCT s FROM r WHERE s IS NOT NULL)
@@ -97,9 +97,9 @@ def a23_superseded(spark, sf_dir):
     return intervals.superseded(r).select(F.col("revision_id").alias("id"), "active")
 
 
-@query(f"WITH {S} SELECT symbol, count(*) FILTER (ts >= TIMESTAMP '1994-01-01' AND ts < TIMESTAMP '1995-01-01') AS removed, count(*) FILTER (ts < TIMESTAMP '1994-01-01') AS before, count(*) FILTER (ts >= TIMESTAMP '1995-01-01') AS after FROM bars GROUP BY symbol")
+@query(f"WITH {S} SELECT symbol, count(*) FILTER (ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1999-01-01') AS removed, count(*) FILTER (ts < TIMESTAMP '1997-01-01') AS before, count(*) FILTER (ts >= TIMESTAMP '1999-01-01') AS after FROM bars GROUP BY symbol")
 def a24_range_delete(spark, sf_dir):
-    return intervals.range_delete(ship_bars(spark, sf_dir), "1994-01-01", "1995-01-01")[1]
+    return intervals.range_delete(ship_bars(spark, sf_dir), "1997-01-01", "1999-01-01")[1]
 
 
 @query("SELECT o_custkey AS key, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'unknown' WHEN bool_or(o_orderstatus = 'P') THEN 'partial' ELSE 'complete' END AS status, CASE WHEN bool_or(skipped) THEN 'some' WHEN count(*) FILTER (skipped IS NULL) > 0 THEN 'unknown' ELSE 'none' END AS skipped, count(*) AS reports FROM (SELECT *, CASE WHEN o_orderpriority < '3' THEN o_totalprice > 300000 WHEN o_orderpriority < '4' THEN NULL ELSE false END AS skipped FROM orders) GROUP BY 1")
@@ -151,10 +151,10 @@ def i01_adjusted_bars(spark, sf_dir):
     return found.select("symbol", F.unix_seconds("ts").alias("t"), F.round(F.log("close"), 6).alias("log_close"), F.round(F.log("volume"), 6).alias("log_volume"))
 
 
-@query(f"WITH {EVENTS} SELECT event_id, round(cash_amount * coalesce((SELECT exp(sum(ln(share_ratio))) FROM acts s WHERE s.symbol = d.symbol AND s.event_type = 'split' AND s.effective_ts > d.effective_ts AND s.effective_ts < TIMESTAMP '1994-01-01'), 1), 4) AS original FROM acts d WHERE event_type = 'cash_dividend'")
+@query(f"WITH {EVENTS} SELECT event_id, round(cash_amount * coalesce((SELECT exp(sum(ln(share_ratio))) FROM acts s WHERE s.symbol = d.symbol AND s.event_type = 'split' AND s.effective_ts > d.effective_ts AND s.effective_ts < TIMESTAMP '1998-01-01'), 1), 4) AS original FROM acts d WHERE event_type = 'cash_dividend'")
 def i10_restored_dividends(spark, sf_dir):
     e = events(spark, sf_dir)
-    splits = e.where("event_type = 'split' and effective_ts < timestamp '1994-01-01'").select("symbol", F.col("effective_ts").alias("ts"), F.col("share_ratio").alias("ratio"))
+    splits = e.where("event_type = 'split' and effective_ts < timestamp '1998-01-01'").select("symbol", F.col("effective_ts").alias("ts"), F.col("share_ratio").alias("ratio"))
     paid = e.where("event_type = 'cash_dividend'").select("event_id", "symbol", F.col("effective_ts").alias("ts"), F.col("cash_amount").alias("amount"))
     return actions.split_restored(paid, splits).select("event_id", F.round("original", 4).alias("original"))
 

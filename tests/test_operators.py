@@ -232,8 +232,24 @@ def test_store(spark, tmp_path):
         store.write_batch(first.union(first), path, "raw", "x", "1m", "r4")
     got = store.scan(spark, path, "raw", "1m", "2024-01-02 14:05:00", "2024-01-03 14:02:00")
     assert got.count() == 7
-    store.compact(spark, path, str(tmp_path / "compacted"), ["r1", "r2"], "r5")
-    assert store.scan(spark, str(tmp_path / "compacted"), "raw", "1m", "2024-01-01", "2024-12-31", revisions=["r5"]).count() == 20
+    with pytest.raises(ValueError):
+        store.write_batch(minutes(spark, dt(2025, 1, 2, 14, 5), 3), path, "raw", "x", "1m", "r2")
+    store.write_processed(first, path, ["r1"], "p", "q1")
+    with pytest.raises(ValueError):
+        store.write_processed(first, path, ["r1"], "p", "q2")
+    with pytest.raises(ValueError):
+        store.refresh(first.limit(3), path, ["r1"], "r6")
+    with pytest.raises(ValueError):
+        store.replace(first.where("ts > '2024-01-02 14:03:00'"), path, "r1", "r7")
+    with pytest.raises(store.OverlapError):
+        store.merge(spark, path, ["r1"], [("2024-01-02", "2024-01-03", minutes(spark, dt(2024, 1, 2, 14, 50), 2))], "r8")
+    store.compact(spark, path, ["r1", "r2"], "r5")
+    assert store.scan(spark, path, "raw", "1m", "2024-01-01", "2024-12-31").count() == 20
+    assert store.scan(spark, path, "raw", "1m", "2024-01-01", "2024-12-31", history=True).count() == 40
+    assert {r.revision for r in store.revisions(spark, path).where("active").collect()} == {"r5"}
+    with pytest.raises(ValueError):
+        store.compact(spark, path, ["r1", "r5"], "r9")
+    assert store.scan(spark, path, "processed", "1m", "2024-01-01", "2024-12-31").count() == 0
 
 
 def test_payload_faults(spark):
