@@ -50,7 +50,7 @@ def quality_report(bars: DataFrame, sessions: DataFrame, minutes: int | None, so
     grid = grid.withColumn("expected", F.ceil((F.unix_seconds("end_ts") - F.unix_seconds("ts")) / (60 * source_minutes)))
     inside = assign(bars, sessions).where("label is not null")
     seen = inside.groupBy("symbol", (bucket_start(minutes) if minutes else F.col("open_ts")).alias("ts")).agg(F.count("*").alias("observed"))
-    due = bars.select("symbol").distinct().crossJoin(F.broadcast(grid))  # every symbol owes every interval of the calendar
+    due = bars.select("symbol").distinct().crossJoin(grid)  # every symbol owes every interval of the calendar
     full = due.join(seen, ["symbol", "ts"], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     return full.select("symbol", "label", "ts", "expected", "observed", (F.col("expected") - F.col("observed")).alias("missing")).where("missing <> 0")
 

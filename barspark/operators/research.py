@@ -49,7 +49,7 @@ def preflight(bars: DataFrame, symbols: DataFrame, grid: DataFrame, cutoff: str)
     none = symbols.join(bars.select("symbol").distinct(), "symbol", "left_anti").select("symbol", F.lit("no_data").alias("code"), F.lit(1).cast("long").alias("n"))
     states = missing_and_unexpected(bars, grid).groupBy("symbol", F.col("state").alias("code")).agg(F.count("*").alias("n"))
     late = unfinished(grid, cutoff).select("ts")
-    open_ = bars.join(F.broadcast(late), "ts").groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", F.lit("unfinished").alias("code"), "n")
+    open_ = bars.join(late, "ts").groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", F.lit("unfinished").alias("code"), "n")
     return none.union(states).union(open_)
 
 

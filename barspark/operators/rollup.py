@@ -36,10 +36,23 @@ def ratio_of_sums(metrics: DataFrame, numerator: str, denominator: str, scale: f
     return metrics.agg((ratio(part(numerator), part(denominator)) * scale).alias("ratio"), F.count_if(both).alias("contributors"))
 
 
-def ranked(metrics: DataFrame, value: str, order: str, descending: bool = True) -> DataFrame:
-    """``metrics`` with ``place``: stable by ``order``, nulls last either way."""
+def ranked(metrics: DataFrame, value: str, order: str, descending: bool = True, parts: int = 200) -> DataFrame:
+    """``metrics`` with ``place``: stable by ``order``, nulls last either way.
+
+    Values part at their percentiles into ranges, each ranked by itself behind the sizes of those before
+    it: a task sorts a range, not the table. Equal values share a range.
+    """
+    v = F.col(value).cast("double")
+    cuts = metrics.agg(F.percentile_approx(v, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    bounds = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>")
+    beyond = F.size(F.filter(bounds, lambda c: (c > v) if descending else (c < v)))
+    df = metrics.withColumn("_part", F.when(v.isNull(), parts).otherwise(beyond))
+    sizes = df.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
     first = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
-    return metrics.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(first, order)))  # a row a ticker
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(first, order))
+    return df.withColumn("place", place).join(F.broadcast(sizes), "_part").withColumn("place", F.col("place") + F.col("_before")).drop("_part", "_before")  # at most parts + 1 rows
 
 
 def merged_summaries(rows: DataFrame, key: str, source: str, value: str) -> DataFrame:

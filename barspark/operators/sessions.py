@@ -46,7 +46,7 @@ def assign(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """
     dates = sessions.withColumn("_date", F.explode(F.sequence(F.to_date("open_ts"), F.to_date(F.col("close_ts") - F.expr("INTERVAL 1 MICROSECOND")))))
     inside = (F.to_date("ts") == F.col("_date")) & (F.col("ts") >= F.col("open_ts")) & (F.col("ts") < F.col("close_ts"))
-    return bars.join(F.broadcast(dates), inside, "left").drop("_date")  # a calendar: a row a day
+    return bars.join(dates, inside, "left").drop("_date")
 
 
 def expected_grid(sessions: DataFrame, minutes: int) -> DataFrame:
@@ -66,10 +66,10 @@ def grid_with_lookback(grid: DataFrame, start: str, end: str, lookback: int) ->
 def missing_and_unexpected(bars: DataFrame, grid: DataFrame) -> DataFrame:
     """``(symbol, ts, state)``: grid bars that a symbol lacks, and bars off the grid."""
     symbols = bars.select("symbol").distinct()
-    due = symbols.crossJoin(F.broadcast(grid.select("ts")))  # every symbol owes every bar of the calendar
+    due = symbols.crossJoin(grid.select("ts"))  # every symbol owes every bar of the calendar
     have = bars.select("symbol", "ts")
     lacking = due.join(have, ["symbol", "ts"], "left_anti").withColumn("state", F.lit("missing"))
-    return lacking.union(have.join(F.broadcast(grid.select("ts")), "ts", "left_anti").select("symbol", "ts", F.lit("unexpected")))
+    return lacking.union(have.join(grid.select("ts"), "ts", "left_anti").select("symbol", "ts", F.lit("unexpected")))
 
 
 def extended_bounds(sessions: DataFrame, tz: str = "America/New_York") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,20 @@ from barspark.functions import indicators as ind
 from barspark.schema import by_time, either, finite, ratio, true
 
 
-def factor_panel(bars: DataFrame, lookback: int) -> DataFrame:
-    """``momentum``, ``volatility`` and ``red`` of each bar; what is not finite is null."""
+def factor_panel(bars: DataFrame, lookback: int, custom: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """``momentum``, ``volatility`` and ``red`` of each bar, and custom factors; what is not finite is null.
+
+    A custom factor takes numbered bars and returns them, the same rows, with a column of its name.
+    """
     df = ind.with_volatility(ind.numbered(bars), lookback)
     df = df.withColumns({"momentum": ind.momentum(lookback), "red": ind.red_bar_high(lookback)})
-    return df.withColumns({c: F.when(finite(c), F.col(c)) for c in ("momentum", "volatility", "red")})
+    for name, calculate in (custom or {}).items():
+        if name in df.columns:
+            raise ValueError(f"the factor {name} is there already")
+        before, df = df.columns, calculate(df)
+        if set(df.columns) != {*before, name}:
+            raise ValueError(f"the factor {name} must add its column and no other")
+    return df.withColumns({c: F.when(finite(c), F.col(c)) for c in ("momentum", "volatility", "red", *(custom or {}))})
 
 
 def scored_panel(panel: DataFrame, factors: dict[str, tuple[int, float]]) -> DataFrame:
@@ -59,6 +70,41 @@ def equity_curve(df: DataFrame, weight: str, initial: float) -> DataFrame:
     return df.withColumn("equity", initial * F.exp(F.sum("_log").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_log")
 
 
+def drifting_equity(prices: DataFrame, targets: DataFrame, initial: float = 1.0) -> DataFrame:
+    """``(ts, equity)`` of a portfolio set to ``targets(ts, symbol, weight)`` at the closes of their times, whose weights drift until the next ones.
+
+    ``prices(symbol, ts, close)``. What the weights leave is cash. A held symbol keeps its last price where
+    it has no bar. Each time belongs to the last targets before it; growth within such a segment is the
+    weighted sum of the symbols' growth since its start, and the segments' growth multiplies.
+    """
+    starts = targets.select("ts").distinct()
+    following = F.lead("ts").over(Window.orderBy("ts"))  # a row a rebalance
+    segments = starts.select(F.col("ts").alias("start"), following.alias("until"))
+    marks = prices.select("ts").distinct().withColumn("_mark", F.lit(1))
+    both = marks.unionByName(segments.select(F.col("start").alias("ts"), F.lit(0).alias("_mark")))
+    at = both.groupBy("ts").agg(F.max("_mark").alias("_mark"), F.min("_mark").alias("_begins"))
+    back = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)  # a row a bar time
+    begun = F.last(F.when(F.col("_begins") == 0, F.col("ts")), ignorenulls=True).over(back)
+    times = at.select("ts", begun.alias("start")).where("start is not null")
+    held = targets.select(F.col("ts").alias("start"), "symbol", "weight")
+    # what is held at a time, with the price then: the last one up to it
+    due = times.join(held, "start").select("symbol", "ts", "start", "weight")
+    entry = held.select("symbol", F.col("start").alias("ts"), "start", F.lit(None).cast("double").alias("weight"))
+    asked = due.unionByName(entry).withColumn("close", F.lit(None).cast("double"))
+    seen = prices.select("symbol", "ts", F.lit(None).cast("timestamp").alias("start"), F.lit(None).cast("double").alias("weight"), "close")
+    up_to = Window.partitionBy("symbol").orderBy("ts", F.col("start").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    priced = seen.unionByName(asked).withColumn("_price", F.last("close", ignorenulls=True).over(up_to)).where("start is not null")
+    base = priced.where("weight is null").select("symbol", "start", F.col("_price").alias("_base"))
+    grown = priced.where("weight is not null").join(base, ["symbol", "start"])
+    growth = 1 + F.sum(F.col("weight") * F.coalesce(ratio(F.col("_price"), F.col("_base")) - 1, F.lit(0.0)))
+    curve = grown.groupBy("start", "ts").agg(growth.alias("_growth"))
+    last = curve.groupBy("start").agg(F.max_by("_growth", "ts").alias("_whole"))
+    earlier = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    scale = last.select("start", F.exp(F.coalesce(F.sum(F.log("_whole")).over(earlier), F.lit(0.0))).alias("_scale"))
+    first = starts.agg(F.min("ts").alias("ts")).select("ts", F.lit(float(initial)).alias("equity"))
+    return first.union(curve.join(scale, "start").select("ts", (initial * F.col("_scale") * F.col("_growth")).alias("equity")))
+
+
 def performance(curve: DataFrame, *keys: str) -> DataFrame:
     """``initial, final, total_return, max_drawdown`` of each curve of ``equity``."""
     keys = keys or ("symbol",)

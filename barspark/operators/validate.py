@@ -125,7 +125,11 @@ def drop_invalid_outside(bars: DataFrame, sessions: DataFrame, minutes: int) ->
     flagged = flag_bars(bars)
     bad = flagged.where(F.size("reasons") > 0)
     end = F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES")
-    apart = bad.join(F.broadcast(sessions), (F.col("ts") < F.col("close_ts")) & (end > F.col("open_ts")), "left_anti")  # a calendar: a row a day
+    # sessions and bars are spread over the dates they touch, so that the join is on the date
+    dates = lambda a, b: F.explode(F.sequence(F.to_date(a), F.to_date(b)))
+    due = sessions.select("open_ts", "close_ts", dates("open_ts", "close_ts").alias("_date"))
+    touched = bad.select("symbol", "ts", end.alias("_end"), dates(F.col("ts"), end).alias("_date")).join(due, "_date").where("ts < close_ts and _end > open_ts")
+    apart = bad.join(touched.select("symbol", "ts").distinct(), ["symbol", "ts"], "left_anti")
     return flagged.join(apart.select("symbol", "ts"), ["symbol", "ts"], "left_anti").drop("reasons")
 
 

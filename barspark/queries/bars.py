@@ -242,7 +242,7 @@ def c12_expected_and_actual(spark, sf_dir):
 @query(f"WITH {H}, {SESSIONS_SQL}, {_GRID} SELECT symbol, epoch(g.ts)::BIGINT AS t, epoch(g.end_ts)::BIGINT AS e FROM grid g JOIN bars b ON b.ts = date_trunc('hour', g.ts)")
 def k01_expected_grid(spark, sf_dir):
     grid = cal.expected_grid(sessions(spark), 60).withColumnRenamed("ts", "g")
-    found = event_bars(spark, sf_dir).join(F.broadcast(grid), F.col("ts") == F.date_trunc("hour", "g"))
+    found = event_bars(spark, sf_dir).join(grid, F.col("ts") == F.date_trunc("hour", "g"))
     return found.select("symbol", F.unix_seconds("g").alias("t"), F.unix_seconds("end_ts").alias("e"))
 
 

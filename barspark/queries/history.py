@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark.functions import indicators as ind
-from barspark.operators import research, rollup, strategy, support, validate
+from barspark.operators import research, rollup, strategy, support, validate, vendor
 from barspark.operators import sessions as cal
+from barspark.plans import strategies
 from barspark.queries import NUMBERED_SQL, SESSIONS_SQL, event_bars_sql, query, sessions, ship_bars_sql
 from barspark.queries.bars import RAW, raw_bars
 from barspark.queries.tables import flats
@@ -304,3 +305,93 @@ def j10_decision_table(spark, sf_dir):
     df = o.select("ts", "symbol", F.when(F.col("symbol") % 4 != 0, F.col("score")).alias("score"), (0.9 * part("held")).alias("current"), part("asked").alias("proposed"))
     found = strategy.rebalance_targets(df, reserve=0.05, cap=0.02, turnover=0.5, least=0.0005)
     return found.select(F.col("ts").alias("at"), "symbol", "frozen", F.round("current", 9).alias("current"), F.round("target", 9).alias("target"))
+
+
+_RECORDS = """lines AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_shipdate) AS shipped, max(l_returnflag) AS flag, max(l_tax) AS tax, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2), records AS (
+  SELECT k % 97 AS security_id, k * 2 + n % 2 AS uid, k AS event_id, shipped + INTERVAL (n) SECOND AS ts_record, CASE flag WHEN 'A' THEN 'U' WHEN 'N' THEN 'I' ELSE 'C' END AS action, (['DIV', 'FSPLT', 'RSPLT', 'DIV', 'MRGR', 'SD'])[k % 6 + 1] AS event,
+    CASE WHEN k % 6 = 1 AND k % 4 = 1 THEN 'BON' WHEN k % 6 = 3 AND k % 5 = 0 THEN 'CAPDIST' END AS subtype, CASE WHEN k % 7 = 0 THEN 'S' ELSE 'C' END AS payment, CASE WHEN k % 11 = 0 THEN 'SPL' END AS marker, k % 97 + CASE WHEN k % 5 = 1 THEN 0 ELSE 1 END AS outturn,
+    (n % 3)::DOUBLE AS ratio_old, (q::BIGINT % 5)::DOUBLE AS ratio_new, round(tax * 100 - 1, 4) AS gross, CASE WHEN k % 13 = 0 THEN 'EUR' ELSE 'USD' END AS rate_currency, CASE WHEN k % 17 = 0 THEN 'EUR' ELSE 'USD' END AS trading_currency, (DATE '1995-01-01' + (k % 2000)::INT)::DATE AS ex_date FROM lines
+), factors AS (
+  SELECT k AS event_id, k % 97 AS security_id, CASE WHEN k % 19 = 0 THEN 'Y' ELSE 'X' END AS exchange, (DATE '1995-01-01' + (k % 2000)::INT)::DATE AS ex_date, created, factor, CASE WHEN k % 29 = 0 THEN 18 ELSE 17 END AS reason, status FROM (
+    SELECT o_orderkey AS k, o_orderdate AS created, CASE WHEN o_custkey % 23 = 0 THEN 1.5 ELSE 0.9 + (o_custkey % 9) / 100.0 END::DOUBLE AS factor, CASE WHEN o_custkey % 8 = 0 THEN 'P' ELSE 'A' END AS status FROM orders
+    UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL 1 DAY, CASE WHEN o_custkey % 23 = 0 THEN 1.5 ELSE 0.9 + (o_custkey % 9) / 100.0 END::DOUBLE, 'R' FROM orders WHERE o_totalprice > 250000
+    UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL 2 DAY, 0.8::DOUBLE, 'A' FROM orders WHERE o_orderpriority = '1-URGENT')
+)"""
+_FACTORED = """values_ AS (SELECT event_id, security_id, ex_date, factor, max(created) AS now, arg_max(status, created) AS status, count(*) FILTER (reason <> 17) AS odd FROM factors WHERE exchange = 'X' AND created <= TIMESTAMP '2001-01-01' GROUP BY 1, 2, 3, 4), live AS (
+  SELECT event_id, security_id, ex_date, sum(odd) AS odd, count(*) FILTER (status <> 'R') AS live, coalesce(arg_max(factor, (now, status)) FILTER (status <> 'R'), arg_max(factor, (now, status))) AS factor, coalesce(arg_max(status, (now, status)) FILTER (status <> 'R'), arg_max(status, (now, status))) AS factor_status FROM values_ GROUP BY 1, 2, 3
+), in_force AS (SELECT *, CASE WHEN odd > 0 THEN 'unsupported reason or currency' WHEN live > 1 THEN 'several values in force' END AS factor_fault FROM live)"""
+
+
+def vendor_tables(spark, sf_dir):
+    """Records and factors of a vendor, from order lines and orders."""
+    k = F.col("l_orderkey")
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_shipdate").cast("timestamp")).alias("at"), F.max("l_returnflag").alias("flag"), F.max("l_tax").alias("tax"), F.max("l_quantity").alias("q"))
+    usd = lambda n, c: F.when(c % n == 0, "EUR").otherwise("USD")
+    day = lambda c: F.date_add(F.lit("1995-01-01").cast("date"), (c % 2000).cast("int"))
+    records = lines.select(
+        F.concat(F.lit("s"), (k % 97).cast("string")).alias("symbol"), (k % 97).alias("security_id"), (k * 2 + F.col("l_linenumber") % 2).alias("event_unique_id"), k.alias("event_id"), F.timestamp_seconds(F.unix_seconds("at") + F.col("l_linenumber")).alias("ts_record"),
+        F.when(F.col("flag") == "A", "U").when(F.col("flag") == "N", "I").otherwise("C").alias("event_action"), F.element_at(F.array(*map(F.lit, ("DIV", "FSPLT", "RSPLT", "DIV", "MRGR", "SD"))), (k % 6 + 1).cast("int")).alias("event"),
+        F.when((k % 6 == 1) & (k % 4 == 1), "BON").when((k % 6 == 3) & (k % 5 == 0), "CAPDIST").alias("event_subtype"), F.when(k % 7 == 0, "S").otherwise("C").alias("payment_type"), F.when(k % 11 == 0, "SPL").alias("marker"),
+        (k % 97 + F.when(k % 5 == 1, 0).otherwise(1)).alias("outturn_security_id"), (F.col("l_linenumber") % 3).cast("double").alias("ratio_old"), (F.col("q").cast("long") % 5).cast("double").alias("ratio_new"), F.round(F.col("tax") * 100 - 1, 4).alias("gross_dividend"),
+        usd(13, k).alias("rate_currency"), usd(17, k).alias("trading_currency"), day(k).alias("ex_date"), F.lit(None).cast("date").alias("effective_date"), F.date_add(day(k), 1).alias("event_date"),
+    )
+    o, c = read(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")), F.col("o_custkey")
+    factor = F.when(c % 23 == 0, 1.5).otherwise(0.9 + (c % 9) / 100.0)
+    one = lambda rows, days, f, status: rows.select(F.col("o_orderkey").alias("k"), F.timestamp_seconds(F.unix_seconds("at") + 86_400 * days).alias("ts_created"), f.cast("double").alias("factor"), status.alias("status"))
+    rows = one(o, 0, factor, F.when(c % 8 == 0, "P").otherwise("A")).union(one(o.where("o_totalprice > 250000"), 1, factor, F.lit("R"))).union(one(o.where("o_orderpriority = '1-URGENT'"), 2, F.lit(0.8), F.lit("A")))
+    k = F.col("k")
+    factors = rows.select(k.alias("event_id"), (k % 97).alias("security_id"), F.when(k % 19 == 0, "Y").otherwise("X").alias("exchange"), day(k).alias("ex_date"), "ts_created", "factor", F.when(k % 29 == 0, 18).otherwise(17).alias("reason"), F.lit("USD").alias("dividend_currency"), F.lit(1).alias("option"), "status")
+    return records, factors
+
+
+@query(f"WITH {_RECORDS}, {_FACTORED} SELECT event_id, round(factor, 6) AS factor, factor_status, coalesce(factor_fault, 'good') AS fault FROM in_force")
+def c10_dividend_factors(spark, sf_dir):
+    found = vendor.dividend_factors(vendor_tables(spark, sf_dir)[1], "2001-01-01", "X")
+    return found.select("event_id", F.round("factor", 6).alias("factor"), "factor_status", F.coalesce("factor_fault", F.lit("good")).alias("fault"))
+
+
+@query(f"""WITH {_RECORDS}, {_FACTORED}, newest AS (SELECT *, count(*) OVER (PARTITION BY uid) AS revisions, row_number() OVER (PARTITION BY uid ORDER BY ts_record DESC) AS n FROM records WHERE ts_record <= TIMESTAMP '2001-01-01'), one AS (
+  SELECT *, action <> 'C' AS live, count(*) FILTER (action <> 'C') OVER (PARTITION BY event_id) AS options, row_number() OVER (PARTITION BY event_id ORDER BY action <> 'C' DESC, uid) AS place FROM newest WHERE n = 1), typed AS (
+  SELECT *, CASE WHEN event = 'FSPLT' AND subtype = 'BON' THEN CASE WHEN outturn = security_id THEN 'stock_dividend' ELSE 'unsupported_stock_distribution' END WHEN event IN ('FSPLT', 'SD') THEN 'forward_split' WHEN event = 'RSPLT' THEN 'reverse_split' WHEN event = 'MRGR' THEN 'merger'
+    WHEN subtype = 'CAPDIST' THEN 'return_of_capital' WHEN payment = 'C' THEN CASE WHEN marker = 'SPL' THEN 'special_cash_dividend' ELSE 'cash_dividend' END ELSE 'unsupported_dividend' END AS kind FROM one WHERE place = 1), dated AS (
+  SELECT *, kind IN ('forward_split', 'reverse_split', 'stock_dividend') AS split, kind IN ('cash_dividend', 'special_cash_dividend') AS paid, CASE WHEN kind IN ('forward_split', 'reverse_split', 'stock_dividend', 'cash_dividend', 'special_cash_dividend') THEN ex_date ELSE ex_date + 1 END AS effective FROM typed), joined AS (
+  SELECT d.*, factor, factor_status, factor_fault, CASE WHEN split AND ratio_old > 0 AND ratio_new > 0 THEN ratio_new / ratio_old END AS shares FROM dated d LEFT JOIN in_force f ON f.event_id = d.event_id AND f.security_id = d.security_id AND f.ex_date = d.ex_date WHERE effective BETWEEN DATE '1995-06-01' AND DATE '1999-12-31'), judged AS (
+  SELECT *, CASE WHEN options > 1 THEN 'several benefits' WHEN action = 'C' OR NOT (split OR paid) THEN NULL WHEN trading_currency <> 'USD' THEN 'trading currency' WHEN split AND shares IS NULL THEN 'no share ratio' WHEN paid AND rate_currency <> 'USD' THEN 'dividend currency' WHEN paid AND factor_status IS NULL THEN 'no factor'
+    WHEN paid AND factor_fault IS NOT NULL THEN factor_fault WHEN paid AND factor_status = 'A' AND NOT (factor > 0 AND factor < 1) THEN 'factor out of range' WHEN paid AND gross <= 0 THEN 'amount not positive' END AS fault FROM joined)
+SELECT event_id, kind AS event_type, strftime(effective, '%Y-%m-%d') AS effective, CASE WHEN fault IS NOT NULL THEN 'pending' WHEN action = 'C' THEN 'cancelled' WHEN paid AND factor_status <> 'A' THEN 'pending' ELSE 'apply' END AS status, coalesce(fault, 'good') AS fault, revisions,
+  CASE WHEN fault IS NULL AND action <> 'C' AND split THEN round(shares, 6) END AS share_ratio, CASE WHEN fault IS NULL AND action <> 'C' AND paid THEN round(gross, 6) END AS cash, CASE WHEN fault IS NULL AND action <> 'C' AND split THEN round(1 / shares, 6) WHEN fault IS NULL AND action <> 'C' AND paid AND factor_status = 'A' THEN round(factor, 6) END AS price_factor FROM judged""")
+def i09_resolved_events(spark, sf_dir):
+    records, factors = vendor_tables(spark, sf_dir)
+    found = vendor.resolved_events(records, factors, "1995-06-01", "1999-12-31", "2001-01-01", "X")
+    return found.select(
+        "event_id", "event_type", F.col("effective_date").cast("string").alias("effective"), "status", F.coalesce("fault", F.lit("good")).alias("fault"), "revisions",
+        F.round("share_ratio", 6).alias("share_ratio"), F.round("cash_amount", 6).alias("cash"), F.round("price_factor", 6).alias("price_factor"),
+    )
+
+
+@query(f"""WITH {S}, m AS (SELECT min(ts) AS ts FROM bars GROUP BY date_trunc('month', ts)), g AS (SELECT ts, symbol, 0.9 * volume / sum(volume) OVER (PARTITION BY ts) AS weight, close AS base FROM bars JOIN m USING (ts)), seg AS (SELECT ts AS start, lead(ts) OVER (ORDER BY ts) AS until FROM m), times AS (SELECT DISTINCT b.ts, s.start FROM bars b JOIN seg s ON b.ts > s.start AND (until IS NULL OR b.ts <= until)), due AS (
+  SELECT t.ts, t.start, g.symbol, weight, base FROM times t JOIN g ON g.ts = t.start), curve AS (SELECT d.start, d.ts, 1 + sum(weight * (close / base - 1)) AS growth FROM due d ASOF JOIN bars p ON p.symbol = d.symbol AND p.ts <= d.ts GROUP BY 1, 2), whole AS (SELECT start, arg_max(growth, ts) AS growth FROM curve GROUP BY 1),
+scaled AS (SELECT start, exp(coalesce(sum(ln(growth)) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS scale FROM whole)
+SELECT epoch(ts)::BIGINT AS t, round(ln(scale * growth), 6) AS log_equity FROM curve JOIN scaled USING (start) UNION ALL SELECT epoch(min(ts))::BIGINT, 0 FROM m""")
+def j17_drifting_portfolio(spark, sf_dir):
+    bars = ship_bars(spark, sf_dir)
+    first = bars.groupBy(F.date_trunc("month", "ts").alias("m")).agg(F.min("ts").alias("ts")).select("ts")
+    weights = bars.join(first, "ts", "left_semi").select("ts", "symbol", (0.9 * F.col("volume") / F.sum("volume").over(ind.Window.partitionBy("ts"))).alias("weight"))
+    found = strategy.drifting_equity(bars, weights)
+    return found.select(t(), F.round(F.log("equity"), 6).alias("log_equity"))
+
+
+_NESTED = {"name": "weighted", "config": {"weights": [0.6, 0.4], "parts": [{"name": "average_crossing", "config": {"fast": 5, "slow": 20}}, {"name": "momentum", "config": {"lookback": 10}}]}}
+
+
+@query(f"WITH {H}, {NUMBERED_SQL}, a AS (SELECT *, CASE WHEN rn >= 5 THEN avg(close) OVER ({P} ROWS 4 PRECEDING) END AS fast, CASE WHEN rn >= 20 THEN avg(close) OVER ({P} ROWS 19 PRECEDING) END AS slow, lag(close, 10) OVER ({P}) AS old FROM numbered) SELECT symbol, epoch(ts)::BIGINT AS t, round(0.6 * coalesce((fast > slow)::INT, 0) + 0.4 * coalesce((close > old)::INT, 0), 6) AS weight FROM a")
+def u08_strategy_weights(spark, sf_dir):
+    found = strategies.weights_of(ind.numbered(event_bars(spark, sf_dir)), _NESTED)
+    return found.select("symbol", t(), F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {H}, {NUMBERED_SQL}, f AS (SELECT *, (high - low) / CASE WHEN close = 0 THEN NULL ELSE close END AS spread FROM numbered), r AS (SELECT *, (rank() OVER (PARTITION BY ts ORDER BY spread) + (count(*) OVER (PARTITION BY ts, spread) - 1) / 2.0) / count(*) OVER (PARTITION BY ts) AS score FROM f), p AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY round(score, 12) DESC, symbol) AS place FROM r) SELECT symbol, epoch(ts)::BIGINT AS t, round(score / sum(score) OVER (PARTITION BY ts), 6) AS proposed FROM p WHERE place <= 3 AND score > 0")
+def u05_custom_factor_policy(spark, sf_dir):
+    panel = strategy.factor_panel(event_bars(spark, sf_dir), 5, {"spread": lambda b: b.withColumn("spread", F.try_divide(F.col("high") - F.col("low"), F.col("close")))})
+    scored = strategy.scored_panel(panel, {"spread": (1, 1.0)})
+    return strategies.policies.load({"name": "top_n_score", "config": {"n": 3}})(scored).select("symbol", t(), F.round("proposed", 6).alias("proposed"))

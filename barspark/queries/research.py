@@ -217,7 +217,7 @@ def j19_free_cash(spark, sf_dir):
 FROM sessions WHERE label IN (SELECT ts::DATE FROM events)""")
 def e30_extended_sessions(spark, sf_dir):
     days = read(spark, sf_dir, "events").select(F.to_date("ts").alias("label")).distinct()
-    found = cal.extended_bounds(sessions(spark).join(F.broadcast(days), "label", "left_semi"))  # a row a day
+    found = cal.extended_bounds(sessions(spark).join(days, "label", "left_semi"))
     return found.select(F.col("label").cast("string").alias("label"), t("long_open", "o"), t("long_close", "c"))
 
 
