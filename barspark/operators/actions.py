@@ -80,10 +80,11 @@ def simple_split(ratio_: Column, tolerance: float = 1e-9) -> Column:
     return true(whole(ratio_) | whole(ratio(F.lit(1.0), ratio_)))
 
 
-def agreement(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Two sources of ``(symbol, date, amount)`` by symbol and date, with ``state``."""
+def agreement(left: DataFrame, right: DataFrame, tolerance: float = 1e-6, relative: float = 0.0) -> DataFrame:
+    """Two sources of ``(symbol, date, amount)`` by symbol and date, with ``state``; amounts agree within ``tolerance``, or within ``relative`` of the greater."""
     a, b = left.withColumnRenamed("amount", "a"), right.withColumnRenamed("amount", "b")
-    state = F.when(F.col("a").isNull(), "right only").when(F.col("b").isNull(), "left only").when(F.abs(F.col("a") - F.col("b")) <= tolerance, "agree").otherwise("differ")
+    room = F.greatest(F.lit(tolerance), relative * F.greatest(F.abs("a"), F.abs("b")))
+    state = F.when(F.col("a").isNull(), "right only").when(F.col("b").isNull(), "left only").when(F.abs(F.col("a") - F.col("b")) <= room, "agree").otherwise("differ")
     return a.join(b, ["symbol", "date"], "full").withColumn("state", state)
 
 

@@ -67,10 +67,16 @@ def request_groups(spans: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def outcomes(plan: DataFrame, arrived: DataFrame, key: str) -> DataFrame:
-    """``plan(key, covered)`` with what became of it: skipped, empty, failed (nothing came) or saved, and the rows that came."""
+    """``plan(key, covered)`` with what became of it: skipped, empty, failed (nothing came) or saved, and the rows that came.
+
+    With a column ``stored`` (bars are stored already) and ``whole`` (they are fetched anew), what came
+    is ``refreshed`` where all of it was fetched anew and ``merged`` where gaps were.
+    """
     joined = plan.join(arrived, key, "left")
-    status = F.when(F.col("covered"), "skipped").when(F.col("rows").isNull(), "failed").when(F.col("rows") == 0, "empty").otherwise("saved")
-    return joined.withColumn("status", status)
+    status = F.when(F.col("covered"), "skipped").when(F.col("rows").isNull(), "failed").when(F.col("rows") == 0, "empty")
+    if "stored" in plan.columns:
+        status = status.when(F.col("stored") & F.col("whole"), "refreshed").when(F.col("stored"), "merged")
+    return joined.withColumn("status", status.otherwise("saved"))
 
 
 def merge_quality(reports: DataFrame, key: str) -> DataFrame:

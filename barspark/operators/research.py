@@ -169,13 +169,14 @@ def period_means(periods: DataFrame, bars: DataFrame) -> DataFrame:
     return periods.join(bars, "symbol").where(inside).groupBy("symbol", "start_ts", "end_ts").agg(F.count("*").alias("bars"), F.count_if(F.col("close") < F.col("open")).alias("red"), F.avg("close").alias("mean"))
 
 
-def joint_funding(orders: DataFrame, cash: float, by_priority: bool = False) -> DataFrame:
-    """``orders(ts, symbol, cost, score)`` with ``funded``: in proportion to cost where cash is short, or in order of score until it is used up."""
+def joint_funding(orders: DataFrame, cash: float, by_priority: bool = False, reserve: float = 0.0) -> DataFrame:
+    """``orders(ts, symbol, cost, score)`` with ``funded``: what cash less ``reserve`` pays, in proportion to cost where it is short, or in order of score until it is used up."""
+    free = max(0.0, cash - reserve)
     if not by_priority:
         total = F.sum("cost").over(Window.partitionBy("ts"))
-        return orders.withColumn("funded", F.col("cost") * F.least(F.lit(1.0), ratio(F.lit(cash), total)))
+        return orders.withColumn("funded", F.col("cost") * F.least(F.lit(1.0), ratio(F.lit(free), total)))
     before = F.sum("cost").over(Window.partitionBy("ts").orderBy(F.desc("score"), "symbol").rowsBetween(Window.unboundedPreceding, -1))
-    return orders.withColumn("funded", F.greatest(F.lit(0.0), F.least(F.col("cost"), cash - F.coalesce(before, F.lit(0.0)))))
+    return orders.withColumn("funded", F.greatest(F.lit(0.0), F.least(F.col("cost"), free - F.coalesce(before, F.lit(0.0)))))
 
 
 def suppress_redundant(intervals: DataFrame, least: int = 5, percent: float = 5.0, rule: str = "and") -> DataFrame:

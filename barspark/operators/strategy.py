@@ -296,15 +296,22 @@ def bracket_outcomes(bars: DataFrame, entry: Column, win: float, stop: float, di
     return df.withColumn("outcome", outcome).drop("_high", "_low")
 
 
-def open_bands(bars: DataFrame, group: Column, percent: float) -> DataFrame:
-    """``reference``, the first open of the group, and levels ``percent`` above and below."""
-    first = F.first("open").over(Window.partitionBy("symbol", group).orderBy("ts"))
+def open_bands(bars: DataFrame, percent: float, group: Column | None = None, mode: str = "group") -> DataFrame:
+    """``reference`` and levels ``percent`` above and below it: the open of each ``bar``, of the ``first`` bar of the symbol, or of the first of its ``group``."""
+    if mode not in ("bar", "first", "group") or (mode == "group") != (group is not None):
+        raise ValueError("the mode is bar, first or group, and a group goes with the last")
+    keys = ["symbol"] if group is None else ["symbol", group]
+    first = F.col("open") if mode == "bar" else F.first("open").over(Window.partitionBy(*keys).orderBy("ts"))
     return bars.withColumn("reference", first).withColumns({"upper": F.col("reference") * (1 + percent / 100), "lower": F.col("reference") * (1 - percent / 100)})
 
 
-def eligible(df: DataFrame, lookback: int) -> DataFrame:
-    """Rows with at least ``lookback`` observations of their symbol."""
-    return df.withColumn("_n", F.row_number().over(by_time())).where(F.col("_n") >= lookback).drop("_n")
+def eligible(df: DataFrame, lookback: int, starts: DataFrame | None = None) -> DataFrame:
+    """Rows with at least ``lookback`` observations of their symbol, and not before the start that ``starts(symbol, effective_start)`` has for it, if any."""
+    df = df.withColumn("_n", F.row_number().over(by_time())).where(F.col("_n") >= lookback).drop("_n")
+    if starts is None:
+        return df
+    known = starts.select("symbol", F.col("effective_start").alias("_from"))
+    return df.join(known, "symbol", "left").where("_from is null or ts >= _from").drop("_from")
 
 
 def order_sizes(df: DataFrame, fixed_fee: float, fee_bps: float, slip_bps: float) -> DataFrame:

@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from barspark.schema import BAR_SCHEMA, PRICES, VALUES, either, finite, second_of_day, seconds, true
 
 
-def canonical(df: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
-    """Exactly the bar columns, cast and ordered; a missing or an extra one raises ``ValueError``."""
+def canonical(df: DataFrame, rename: dict[str, str] | None = None, extras: str = "refuse") -> DataFrame:
+    """Exactly the bar columns, cast and ordered; a missing one raises ``ValueError``, and so does an extra one unless ``extras`` is ``drop``."""
     df = df.withColumnsRenamed(rename or {})
     missing, extra = set(BAR_SCHEMA.names) - set(df.columns), set(df.columns) - set(BAR_SCHEMA.names)
-    if missing or extra:
+    if missing or (extra and extras != "drop"):
         raise ValueError(f"missing columns {sorted(missing)}, extra columns {sorted(extra)}")
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in BAR_SCHEMA])
 
 
+def resolved(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars with a symbol, and by symbol as it came how many have none: null, blank or with blanks around it."""
+    odd = true(F.col("symbol").isNull() | (F.trim("symbol") != F.col("symbol")) | (F.trim("symbol") == ""))
+    return bars.where(~odd), bars.where(odd).groupBy("symbol").agg(F.count("*").alias("bars"))
+
+
 def violations() -> dict[str, Column]:
     """Each rule's name and where it is broken; never null."""
     rules = {f"{c}_missing": F.col(c).isNull() for c in VALUES}

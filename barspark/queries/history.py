@@ -395,3 +395,14 @@ def u05_custom_factor_policy(spark, sf_dir):
     panel = strategy.factor_panel(event_bars(spark, sf_dir), 5, {"spread": lambda b: b.withColumn("spread", F.try_divide(F.col("high") - F.col("low"), F.col("close")))})
     scored = strategy.scored_panel(panel, {"spread": (1, 1.0)})
     return strategies.policies.load({"name": "top_n_score", "config": {"n": 3}})(scored).select("symbol", t(), F.round("proposed", 6).alias("proposed"))
+
+
+@query(f"WITH {RAW} SELECT symbol, count(*) AS bars, sum(CASE WHEN trim(symbol) = symbol THEN 1 ELSE 0 END)::BIGINT AS kept, round(max(open), 6) AS open FROM raw GROUP BY 1")
+def a13_vendor_frames(spark, sf_dir):
+    """Vendor rows with other names and more columns, as bars, and those whose symbol is none."""
+    frame = raw_bars(spark, sf_dir).withColumnsRenamed({"ts": "event_time", "symbol": "raw_symbol"}).withColumn("venue", F.lit("x"))
+    bars = validate.canonical(frame, {"event_time": "ts", "raw_symbol": "symbol"}, extras="drop")
+    good, _ = validate.resolved(bars)
+    kept = good.groupBy("symbol").agg(F.count("*").alias("kept"))
+    whole = bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.round(F.max("open"), 6).alias("open"))
+    return whole.join(kept, "symbol", "left").select("symbol", "bars", F.coalesce("kept", F.lit(0)).alias("kept"), "open")

@@ -165,12 +165,12 @@ def i06_coverage_faults(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT o_custkey AS symbol, o_orderdate::DATE AS date, max(o_totalprice) AS amount FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2), b AS (SELECT o_custkey AS symbol, o_orderdate::DATE AS date, max(o_totalprice) + o_custkey % 2 AS amount FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1, 2)
-SELECT CASE WHEN a.symbol IS NULL THEN 'right only' WHEN b.symbol IS NULL THEN 'left only' WHEN abs(a.amount - b.amount) <= 1e-6 THEN 'agree' ELSE 'differ' END AS state, count(*) AS n FROM a FULL JOIN b ON a.symbol = b.symbol AND a.date = b.date GROUP BY 1""")
+SELECT CASE WHEN a.symbol IS NULL THEN 'right only' WHEN b.symbol IS NULL THEN 'left only' WHEN abs(a.amount - b.amount) <= greatest(1e-6, 1e-5 * greatest(abs(a.amount), abs(b.amount))) THEN 'agree' ELSE 'differ' END AS state, count(*) AS n FROM a FULL JOIN b ON a.symbol = b.symbol AND a.date = b.date GROUP BY 1""")
 def i12_dividend_agreement(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_totalprice")
     one = lambda n: o.where(f"o_orderkey % {n} <> 0").groupBy("symbol", "date").agg(F.max("o_totalprice").alias("amount"))
     right = one(4).withColumn("amount", F.col("amount") + F.col("symbol") % 2)
-    return actions.agreement(one(3), right).groupBy("state").agg(F.count("*").alias("n"))
+    return actions.agreement(one(3), right, relative=1e-5).groupBy("state").agg(F.count("*").alias("n"))
 
 
 W = ship_bars_sql("week", True)
@@ -201,16 +201,19 @@ def d17_last_month(spark, sf_dir):
     return found.select("symbol", t("start_ts", "s"), t("end_ts", "e"), "bars", "red", F.round("mean", 6).alias("mean"))
 
 
-@query(f"WITH {S} SELECT symbol, epoch(ts)::BIGINT AS t, round(ln(1 + volume * least(1, 100 / sum(volume) OVER (PARTITION BY ts))), 6) AS pro_rata, round(greatest(0, least(volume, 100 - coalesce(sum(volume) OVER (PARTITION BY ts ORDER BY close DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))), 6) AS by_priority FROM bars")
+@query(f"WITH {S} SELECT symbol, epoch(ts)::BIGINT AS t, round(ln(1 + volume * least(1, 75 / sum(volume) OVER (PARTITION BY ts))), 6) AS pro_rata, round(greatest(0, least(volume, 75 - coalesce(sum(volume) OVER (PARTITION BY ts ORDER BY close DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))), 6) AS by_priority FROM bars")
 def j12_joint_funding(spark, sf_dir):
     orders = ship_bars(spark, sf_dir).select("ts", "symbol", F.col("volume").alias("cost"), F.col("close").alias("score"))
-    both = research.joint_funding(research.joint_funding(orders, 100.0).withColumnRenamed("funded", "part"), 100.0, True)
+    both = research.joint_funding(research.joint_funding(orders, 100.0, reserve=25.0).withColumnRenamed("funded", "part"), 100.0, True, reserve=25.0)
     return both.select("symbol", t(), F.round(F.log1p("part"), 6).alias("pro_rata"), F.round("funded", 6).alias("by_priority"))
 
 
-@query(f"WITH {S} SELECT symbol, epoch(ts)::BIGINT AS t, round(floor(1000.0 / count(*) OVER (PARTITION BY ts) * 1e8) / 1e8, 6) AS budget FROM bars")
+@query(f"WITH {S} SELECT symbol, epoch(ts)::BIGINT AS t, round(floor(1000.0 / count(*) OVER (PARTITION BY ts) * 1e8) / 1e8, 6) AS even, round(floor(volume / 3 * 1e8) / 1e8, 6) AS slot, round(floor(volume * 7.5 / 100 * 1e8) / 1e8, 6) AS percent FROM bars")
 def j19_free_cash(spark, sf_dir):
-    return research.free_cash_budgets(ship_bars(spark, sf_dir), F.lit(1000.0)).select("symbol", t(), F.round("budget", 6).alias("budget"))
+    bars = ship_bars(spark, sf_dir)
+    for name, cash, how in (("even", F.lit(1000.0), {}), ("slot", F.col("volume"), {"slots": 3}), ("percent", F.col("volume"), {"percent": 7.5})):
+        bars = research.free_cash_budgets(bars, cash, **how).withColumnRenamed("budget", name)
+    return bars.select("symbol", t(), *[F.round(c, 6).alias(c) for c in ("even", "slot", "percent")])
 
 
 @query(f"""WITH {SESSIONS_SQL} SELECT strftime(label, '%Y-%m-%d') AS label, epoch(timezone('America/New_York', label::TIMESTAMP + INTERVAL 4 HOUR))::BIGINT AS o, epoch(timezone('America/New_York', label::TIMESTAMP + CASE WHEN strftime(timezone('America/New_York', timezone('UTC', close_ts)), '%H:%M') < '16:00' THEN INTERVAL 17 HOUR ELSE INTERVAL 20 HOUR END))::BIGINT AS c
@@ -221,9 +224,17 @@ def e30_extended_sessions(spark, sf_dir):
     return found.select(F.col("label").cast("string").alias("label"), t("long_open", "o"), t("long_close", "c"))
 
 
-@query(f"WITH {H}, {NUMBERED_SQL} SELECT symbol, epoch(ts)::BIGINT AS t FROM numbered WHERE rn >= 30")
+@query(f"WITH {H}, {NUMBERED_SQL}, f AS (SELECT symbol, min(ts) FILTER (volume > 3) AS start FROM bars GROUP BY 1) SELECT symbol, epoch(ts)::BIGINT AS t FROM numbered JOIN f USING (symbol) WHERE rn >= 30 AND (start IS NULL OR ts >= start)")
 def e28_eligible(spark, sf_dir):
-    return strategy.eligible(event_bars(spark, sf_dir), 30).select("symbol", t())
+    bars = event_bars(spark, sf_dir)
+    starts = bars.groupBy("symbol").agg(F.min(F.when(F.col("volume") > 3, F.col("ts"))).alias("effective_start"))
+    return strategy.eligible(bars, 30, starts).select("symbol", t())
+
+
+@query(f"WITH {H}, o AS (SELECT *, floor(0.9 * 1000 / open) - 5 AS wanted, CASE WHEN floor(volume)::BIGINT % 2 = 0 THEN 0 ELSE volume END AS traded FROM bars), p AS (SELECT *, open * (1 + sign(wanted) * 0.0002) AS price FROM o), f AS (SELECT *, coalesce(list_max(list_filter([greatest(floor((700 - 1) / (price * 1.0005)) - i, 0) FOR i IN range(5)], lambda q: q * price + ceil((1 + q * price * 0.0005) * 1e8) / 1e8 <= 700)), 0) AS afford FROM p), g AS (SELECT *, CASE WHEN traded = 0 THEN 0 WHEN wanted > 0 THEN least(wanted, afford) ELSE wanted END AS filled FROM f) SELECT symbol, epoch(ts)::BIGINT AS t, filled::BIGINT AS filled, CASE WHEN traded = 0 AND wanted <> 0 THEN 'rejected' WHEN filled = wanted THEN 'filled' WHEN filled = 0 THEN 'rejected' ELSE 'reduced' END AS status, round(CASE WHEN filled = 0 THEN 0 ELSE ceil((1 + abs(filled) * price * 0.0005) * 1e8) / 1e8 END, 6) AS fee FROM g")
+def j13_order_status(spark, sf_dir):
+    bars = event_bars(spark, sf_dir).withColumns({"weight": F.lit(0.9), "equity": F.lit(1000.0), "cash": F.lit(700.0), "held": F.lit(5), "volume": F.when(F.floor("volume") % 2 == 0, 0.0).otherwise(F.col("volume"))})
+    return strategy.order_sizes(bars, 1.0, 5.0, 2.0).select("symbol", t(), "filled", "status", F.round("fee", 6).alias("fee"))
 
 
 @query("SELECT o_custkey AS key, o_orderpriority AS source, min(o_totalprice > 150000)::INT AS value, count(DISTINCT o_totalprice > 150000) > 1 AS conflict FROM orders GROUP BY 1, 2")

@@ -67,10 +67,10 @@ def h08_request_groups(spark, sf_dir):
     return found.select("start", "end", F.concat_ws(",", F.col("keys").cast("array<string>")).alias("keys"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS key, c_custkey % 3 = 0 AS covered FROM customer), a AS (SELECT o_custkey AS key, count(*) FILTER (o_orderstatus = 'F') AS rows FROM orders GROUP BY 1)
-SELECT key, CASE WHEN covered THEN 'skipped' WHEN rows IS NULL THEN 'failed' WHEN rows = 0 THEN 'empty' ELSE 'saved' END AS status FROM p LEFT JOIN a USING (key)""")
+@query("""WITH p AS (SELECT c_custkey AS key, c_custkey % 3 = 0 AS covered, c_acctbal > 3000 AS stored, c_acctbal > 6000 AS whole FROM customer), a AS (SELECT o_custkey AS key, count(*) FILTER (o_orderstatus = 'F') AS rows FROM orders GROUP BY 1)
+SELECT key, CASE WHEN covered THEN 'skipped' WHEN rows IS NULL THEN 'failed' WHEN rows = 0 THEN 'empty' WHEN stored AND whole THEN 'refreshed' WHEN stored THEN 'merged' ELSE 'saved' END AS status FROM p LEFT JOIN a USING (key)""")
 def h09_batch_outcomes(spark, sf_dir):
-    plan = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 3 == 0).alias("covered"))
+    plan = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 3 == 0).alias("covered"), (F.col("c_acctbal") > 3000).alias("stored"), (F.col("c_acctbal") > 6000).alias("whole"))
     came = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("rows"))
     return intervals.outcomes(plan, came, "key").select("key", "status")
 

@@ -243,6 +243,13 @@ def j14_bracket_outcomes(spark, sf_dir):
     return found.select("symbol", F.unix_seconds("ts").alias("t"), "direction", F.round("entry", 6).alias("entry"), F.coalesce("hit", F.lit(-1)).alias("hit"), "outcome")
 
 
-@query(f"WITH {H}, {NUMBERED_SQL} SELECT {out('reference', 'upper', 'lower')} FROM (SELECT *, first(open) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS reference, first(open) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) * 1.01 AS upper, first(open) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) * 0.99 AS lower FROM numbered)")
+_BANDS = "SELECT symbol, ts, 'session' AS mode, first(open) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS reference FROM numbered UNION ALL SELECT symbol, ts, 'first', first(open) OVER (PARTITION BY symbol ORDER BY ts) FROM numbered UNION ALL SELECT symbol, ts, 'bar', open FROM numbered"
+
+
+@query(f"WITH {H}, {NUMBERED_SQL}, b AS ({_BANDS}) SELECT mode, {out('reference', 'upper', 'lower')} FROM (SELECT *, reference * 1.01 AS upper, reference * 0.99 AS lower FROM b)")
 def e29_open_bands(spark, sf_dir):
-    return rounded(strategy.open_bands(event_bars(spark, sf_dir), F.to_date("ts"), 1.0), "reference", "upper", "lower")
+    bars = event_bars(spark, sf_dir)
+    found = strategy.open_bands(bars, 1.0, F.to_date("ts")).withColumn("mode", F.lit("session"))
+    for mode in ("first", "bar"):
+        found = found.union(strategy.open_bands(bars, 1.0, mode=mode).withColumn("mode", F.lit(mode)))
+    return found.select("mode", "symbol", F.unix_seconds("ts").alias("t"), *[F.round(c, 6).alias(c) for c in ("reference", "upper", "lower")])
