@@ -14,6 +14,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ MEMO = 400_000
 TABLE, HASH = 18, np.uint64(0x9E3779B97F4A7C15)
 #: Words that are merged together.
 BLOCK = 8192
+#: A longer word is merged by itself.
+LONG = 200
 #: The way words are cut that ``PLAIN`` follows, for a text with no character that ``BEYOND`` finds.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zà-öø-ÿ0-9]+")
@@ -105,6 +108,27 @@ class Encoder:
                 ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
         return ids
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """Exact merging of a long word by a heap of pairs, in time linear but for a logarithm."""
+        get, made, n = self.rank.get, self.made, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, code) for i, code in enumerate(a << 20 | b for a, b in zip(ids, ids[1:])) if (r := get(code)) is not None]
+        heapify(heap)
+        while heap:
+            r, i, code = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or ids[i] << 20 | ids[j] != code:
+                continue  # one of the two is part of another token by now
+            ids[i], ids[j] = made[r], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(code := ids[i] << 20 | ids[k])) is not None:
+                    heappush(heap, (r, i, code))
+            if (h := before[i]) >= 0 and (r := get(code := ids[h] << 20 | ids[i])) is not None:
+                heappush(heap, (r, h, code))
+        return [x for x in ids if x >= 0]
+
     def _merged(self, word: str, closed: bool) -> list[int]:
         ids = list(map(self.inner.__getitem__, word))
         if closed:
@@ -122,11 +146,15 @@ class Encoder:
         return out
 
     def merge_many(self, words: list[str]) -> list[bytes]:
-        """Exact merging of many words at once, by length: each round merges the lowest pair of every word."""
+        """Exact merging of many words at once, by length: each round merges the lowest pair of every word. Words of over LONG letters are merged one by one."""
         out: list[bytes] = [b""] * len(words)
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
+            if len(w) <= LONG:
+                by_length.setdefault(len(w), []).append(k)
+            else:
+                letters = np.frombuffer(w.encode("utf-32-le"), "<u4")
+                out[k] = array("I", self.merge_long([*self.letter_ids[letters[:-1]].tolist(), int(self.last_letter_ids[letters[-1]])])).tobytes()
         none = len(self.made)
         for length, members in by_length.items():
             for lo in range(0, len(members), BLOCK):
@@ -284,8 +312,8 @@ def encoder(path: str, speculate: bool = True) -> Encoder:
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), slices: int = 256) -> DataFrame:
     """The columns ``keep``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``.
 
-    A null text counts as empty and gives no ids and an empty ``decoded``. Rows come out as
-    often as they go in; an empty table gives an empty table.
+    A null text counts as empty and gives no ids and an empty ``decoded``. A text of any length
+    is encoded whole. Rows come out as often as they go in; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,5 +345,6 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", keep: tupl
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and the decoded text of all documents."""
     found = encode_documents(read_table(spark, sf_dir, "documents"), public_vocabulary())
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

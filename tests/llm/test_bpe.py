@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -55,3 +56,18 @@ def test_table(spark, library):
     back = bpe.decode_documents(bpe.encode_documents(df, PATH), PATH)
     assert sorted(r.decoded for r in back.collect()) == sorted(r.decoded for r in got)
     assert bpe.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_long_words_take_near_linear_time(library):
+    rng = random.Random(2)
+    e = bpe.Encoder(PATH)
+    began = time.time()
+    for text in ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (199, 200, 201, 202, 300, 1000, 200_000)] + ["ab" * 100_000, "x" * 300_000, "é漢" * 30_000]:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode_batch([text])[0], "<u4").tolist() == want
+    assert time.time() - began < 60
+    # each length by both ways of merging
+    for n in (5, 50, 250, 600):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(n)) for _ in range(20)]
+        ids = [[*e.letter_ids[list(map(ord, w[:-1]))].tolist(), int(e.last_letter_ids[ord(w[-1])])] for w in words]
+        assert [e.merge(list(x)) for x in ids] == [e.merge_long(list(x)) for x in ids] == [np.frombuffer(x, "<u4").tolist() for x in e.merge_many(words)]
