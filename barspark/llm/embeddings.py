@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import forest, materialize, read_table, whole_runs
+from barspark.llm.common import forest, materialize, read_table, release, whole_runs
 from barspark.llm.graph import components
 
 COSINE = 0.93
@@ -169,7 +169,9 @@ def links(vectors: DataFrame, cosine: float = COSINE, homes: int = HOMES) -> Dat
 
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(number, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "role")
-    return materialize(dealt.mapInArrow(compare, "a long, b long, links long"), "vector_links")
+    found = materialize(dealt.mapInArrow(compare, "a long, b long, links long"), "vector_links")
+    release(crowded)
+    return found
 
 
 def near_duplicates(table: DataFrame, cosine: float = COSINE, homes: int = HOMES) -> DataFrame:
@@ -190,8 +192,10 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, homes: int = HOMES
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     whole = vectors.join(rooted, "node", "left").join(counts, "node", "left")
     whole = materialize(whole.select("label", "embedding", "low", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "rooted")
+    release(vectors, found)
     least = materialize(whole.groupBy("root").agg(F.min("low").alias("component_id")), "component_ids")
     per_vector = materialize(whole.join(least, "root").select("label", "embedding", "n_links", "component_id"), "per_vector")
+    release(whole, least)
     joined = rows.withColumn("_fit", fit).join(per_vector.withColumn("_fit", F.lit(True)), ["label", "embedding", "_fit"], "left")
     own = F.when(F.col("_fit"), F.col("component_id")).otherwise(F.col("vec_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))

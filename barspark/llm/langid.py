@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import materialize, read_table
+from barspark.llm.common import materialize, read_table, release
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each language in the training sample, as expected number.
@@ -274,6 +274,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         total = np.full(p.shape, 0.02)
         total[got.column("piece").to_numpy(), got.column("lang").to_numpy()] += got.column("n").to_numpy()
         p = total / total.sum(0)
+    release(words)
     return Model(pieces, languages, np.log(p))
 
 

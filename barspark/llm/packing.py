@@ -258,4 +258,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, text: s
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 4,096 tokens."""
     return pack_documents(read_table(spark, sf_dir, "documents"), public_vocabulary())

@@ -430,7 +430,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     names = base.columns
     base = base.toDF(*[f"c{i}" for i in range(len(names))])
     text, lang = (f"c{names.index(c)}" for c in (text, lang))
-    measured = materialize(measure(base, train(base, text, lang, across=True), text, lang), "measured")
+    model = train(base, text, lang, across=True)
+    measured = materialize(measure(base, model, text, lang), "measured")
+    release(model.table)
     kept = ~F.col("base_failed") & F.coalesce(F.abs(F.col("log_perplexity") - F.col("_middle")) <= F.col("_width"), F.lit(False))
     return bands(measured, lang).select(*measured.columns, kept.alias("kept")).toDF(*names, *added)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import forest, later_pairs, materialize, read_table, whole_runs
+from barspark.llm.common import forest, later_pairs, materialize, read_table, release, whole_runs
 from barspark.llm.graph import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -187,8 +187,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     linked = components(links(prints))
     rooted = prints.join(linked, prints.fp == linked.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
+    release(prints)
     least = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "component_ids")
     by_print = materialize(rooted.join(least, "root").select("fp", "component_id"), "by_print")
+    release(rooted, least)
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 

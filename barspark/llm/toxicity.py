@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import materialize, read_table
+from barspark.llm.common import materialize, read_table, release
 
 #: Expected numbers of labelled documents that are read to learn from.
 TOXIC_DOCUMENTS, CLEAN_DOCUMENTS = 4000, 8000
@@ -312,6 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     first = rows.where("not third")
     base = {r["y"]: r["count"] for r in first.groupBy("y").count().collect()}
     if not base.get(0) or not base.get(1):
+        release(rows)
         return Model(letters)
     table = first.select("text", "y").repartition(12).mapInArrow(count, "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     a, c = F.col("toxic").cast("double"), (F.col("n") - F.col("toxic")).cast("double")
@@ -329,6 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays([pa.array([scorer.row(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     got = rows.where("third").select("text", "y").mapInArrow(measure, "x array<double>, y int").toArrow()  # four numbers a sampled document
+    release(rows)
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) == 2:
         x = np.array(got.column("x").to_pylist())

@@ -291,6 +291,7 @@ def archive_and_read(pages: DataFrame, least: int = 0, payload: bool = True) ->
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back through their index."""
     found = archive_and_read(read_table(spark, sf_dir, "pages"), payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
