@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.sessions import assign, expected_grid
-from barspark.schema import by_time, true
+from barspark.schema import VALUES, by_time, true
 
 
 def summarise(rows: DataFrame, *keys: Column | str) -> DataFrame:
@@ -89,3 +89,26 @@ def step_bars(bars: DataFrame, step: int, minutes: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("symbol", "run").orderBy("ts")) - 1
     rows = runs.withColumn("step", F.floor(place / step))
     return summarise(rows, "symbol", "run", "step").join(rows.groupBy("symbol", "run", "step").agg(F.min("ts").alias("ts")), ["symbol", "run", "step"])
+
+
+def check_resampled(bars: DataFrame, output: DataFrame, sessions: DataFrame, minutes: int | None) -> DataFrame:
+    """``(symbol, ts, fault)`` where ``output`` is not what windows over the source bars of its intervals say: no such interval, or other values."""
+    inside = assign(bars, sessions).where("label is not null")
+    inside = inside.withColumn("start", bucket_start(minutes) if minutes else F.col("open_ts"))
+    group = Window.partitionBy("symbol", "start")
+    whole = group.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    due = inside.select(
+        "symbol", F.col("start").alias("ts"), F.first("open").over(whole).alias("_open"), F.max("high").over(group).alias("_high"), F.min("low").over(group).alias("_low"),
+        F.last("close").over(whole).alias("_close"), F.sum("volume").over(group).alias("_volume"), F.row_number().over(group.orderBy("ts")).alias("_n"),
+    ).where("_n = 1").drop("_n")
+    far = lambda c: F.abs(F.col(c) - F.col(f"_{c}")) > F.greatest(F.lit(1e-9), 1e-12 * F.abs(f"_{c}"))
+    wrong = F.concat_ws(", ", *[F.when(true(far(c)) | F.col(c).isNull(), F.lit(c)) for c in VALUES])
+    joined = output.join(due, ["symbol", "ts"], "left")
+    return joined.select("symbol", "ts", F.when(F.col("_open").isNull(), "no such interval").otherwise(wrong).alias("fault")).where("fault <> ''")
+
+
+def known_omissions(report: DataFrame, omissions: DataFrame, sessions: DataFrame, minutes: int | None) -> DataFrame:
+    """A quality report with ``known``: how many of an interval's missing bars are ``omissions(symbol, ts)`` that are known."""
+    inside = assign(omissions.select("symbol", "ts").distinct(), sessions).where("label is not null")
+    counts = inside.groupBy("symbol", (bucket_start(minutes) if minutes else F.col("open_ts")).alias("ts")).agg(F.count("*").alias("known"))
+    return report.join(counts, ["symbol", "ts"], "left").withColumn("known", F.least(F.coalesce("known", F.lit(0)), F.col("missing")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,13 +46,18 @@ def uncovered_sources(outputs: DataFrame, parents: DataFrame, step_seconds: int)
     return due.join(parents.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
 
 
-def preflight(bars: DataFrame, symbols: DataFrame, grid: DataFrame, cutoff: str) -> DataFrame:
-    """``(symbol, code, n)``: symbols without data, missing and unexpected bars, and grid bars that are not over by the cutoff."""
-    none = symbols.join(bars.select("symbol").distinct(), "symbol", "left_anti").select("symbol", F.lit("no_data").alias("code"), F.lit(1).cast("long").alias("n"))
+def preflight(bars: DataFrame, symbols: DataFrame, grid: DataFrame, cutoff: str, bounds: tuple[str, str] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """``(symbol, code, n)``: symbols without data, missing and unexpected bars, grid bars that are not over by the cutoff, and bars out of ``bounds``; codes in ``skip`` are not looked for."""
+    parts = {
+        "no_data": lambda: symbols.join(bars.select("symbol").distinct(), "symbol", "left_anti").select("symbol", F.lit("no_data").alias("code"), F.lit(1).cast("long").alias("n")),
+        "missing": lambda: states.where("code = 'missing'"), "unexpected": lambda: states.where("code = 'unexpected'"),
+        "unfinished": lambda: bars.join(unfinished(grid, cutoff).select("ts"), "ts").groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", F.lit("unfinished").alias("code"), "n"),
+    }
     states = missing_and_unexpected(bars, grid).groupBy("symbol", F.col("state").alias("code")).agg(F.count("*").alias("n"))
-    late = unfinished(grid, cutoff).select("ts")
-    open_ = bars.join(late, "ts").groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", F.lit("unfinished").alias("code"), "n")
-    return none.union(states).union(open_)
+    if bounds:
+        a, b = (F.lit(x).cast("timestamp") for x in bounds)
+        parts["out_of_range"] = lambda: bars.where((F.col("ts") < a) | (F.col("ts") >= b)).groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", F.lit("out_of_range").alias("code"), "n")
+    return reduce(DataFrame.union, [f() for code, f in parts.items() if code not in skip])
 
 
 def effective_starts(bars: DataFrame, lookback: int) -> DataFrame:

@@ -110,3 +110,10 @@ def close_before(dates: DataFrame, bars: DataFrame, sessions: DataFrame, minutes
     days = spans.withColumn("ex_date", F.explode(F.sequence(F.date_add("label", 1), F.coalesce("_next", F.date_add("label", 7)))))
     due = dates.join(days.select("ex_date", (F.col("close_ts") - F.expr(f"INTERVAL {minutes} MINUTES")).alias("ts")), "ex_date", "left")
     return due.join(bars.select("symbol", "ts", F.col("close").alias("reference_close")), ["symbol", "ts"], "left").drop("ts")
+
+
+def out_of_range_opens(grid: DataFrame, start: str, end: str) -> DataFrame:
+    """Bars ``grid(label, open_ts)`` whose label lies in ``[start, end)`` and whose opening does not."""
+    a, b = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    label = F.col("label").cast("timestamp")
+    return grid.where((label >= a) & (label < b) & ~((F.col("open_ts") >= a) & (F.col("open_ts") < b)))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barspark.operators import actions, resample, validate
 
@@ -79,6 +80,20 @@ class Pipeline:
         return bars, contract
 
 
+def preview(pipeline: Pipeline, bars: DataFrame, contract: Contract, rows: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The first ``rows`` bars by symbol and time before and after a pipeline."""
+    first = lambda df: df.orderBy("symbol", "ts").limit(rows)
+    return first(bars), first(pipeline.run(bars, contract)[0])
+
+
+def by_ticker(pipeline: Pipeline, bars: DataFrame, contract: Contract, requested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The output of a pipeline over all tickers at once, and of each of ``requested(symbol)`` the bars in and out with ``status``: done, empty or no data."""
+    out, _ = pipeline.run(bars, contract)
+    count = lambda df, name: df.groupBy("symbol").agg(F.count("*").alias(name))
+    rows = requested.select("symbol").distinct().join(count(bars, "bars_in"), "symbol", "left").join(count(out, "bars_out"), "symbol", "left").na.fill(0, ["bars_in", "bars_out"])
+    return out, rows.withColumn("status", F.when(F.col("bars_in") == 0, "no data").when(F.col("bars_out") == 0, "empty").otherwise("done"))
+
+
 registry = Registry()
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark.functions import indicators as ind
-from barspark.operators import research, rollup, strategy, support, validate, vendor
+from barspark.operators import detect, resample, research, rollup, strategy, support, validate, vendor
 from barspark.operators import sessions as cal
 from barspark.plans import strategies
+from barspark.plans.pipeline import Contract, by_ticker, preview, registry
 from barspark.queries import NUMBERED_SQL, SESSIONS_SQL, event_bars_sql, query, sessions, ship_bars_sql
-from barspark.queries.bars import RAW, raw_bars
-from barspark.queries.tables import flats
+from barspark.queries.bars import RAW, WHY, raw_bars
+from barspark.queries.tables import _FLAT, EVENTS, events, flats
 from barspark.queries.windows import _CHANGES, wilder_sql
 from barspark.schema import PRICES, VALUES
-from barspark.sources import store
+from barspark.sources import payloads, store
 from barspark.sources.bars import event_bars, read, ship_bars
 
 H = event_bars_sql("hour")
@@ -406,3 +407,103 @@ def a13_vendor_frames(spark, sf_dir):
     kept = good.groupBy("symbol").agg(F.count("*").alias("kept"))
     whole = bars.groupBy("symbol").agg(F.count("*").alias("bars"), F.round(F.max("open"), 6).alias("open"))
     return whole.join(kept, "symbol", "left").select("symbol", "bars", F.coalesce("kept", F.lit(0)).alias("kept"), "open")
+
+
+@query(f"WITH {H}, {SESSIONS_SQL}, g AS (SELECT symbol, open_ts, first(open ORDER BY ts) AS o, sum(volume) AS v FROM bars JOIN sessions ON ts >= open_ts AND ts < close_ts GROUP BY 1, 2) SELECT symbol, epoch(open_ts)::BIGINT AS t, CASE WHEN v::BIGINT % 3 = 0 THEN 'volume' ELSE 'open' END AS fault FROM g WHERE v::BIGINT % 3 <> 1")
+def e22_resample_check(spark, sf_dir):
+    """Faults that are put into resampled bars, as an independent calculation finds them."""
+    bars, own = event_bars(spark, sf_dir), sessions(spark)
+    out = resample.resample_sessions(bars, own, None, 60, "aggregate")
+    part = F.col("volume").cast("long") % 3
+    out = out.withColumns({"open": F.when(part == 2, F.col("open") + 1).otherwise(F.col("open")), "volume": F.when(part == 0, F.col("volume") + 1).otherwise(F.col("volume"))})
+    return resample.check_resampled(bars, out, own, None).select("symbol", t(), "fault")
+
+
+@query(f"WITH {H}, {SESSIONS_SQL}, o AS (SELECT DISTINCT symbol, ts + INTERVAL 1 HOUR AS ts FROM bars WHERE volume > 1), due AS (SELECT symbol, label, open_ts, close_ts FROM (SELECT DISTINCT symbol FROM bars), sessions), n AS (SELECT d.symbol, d.label, 7 - count(b.ts) AS missing FROM due d LEFT JOIN bars b ON b.symbol = d.symbol AND b.ts >= open_ts AND b.ts < close_ts GROUP BY 1, 2), k AS (SELECT d.symbol, d.label, count(o.ts) AS known FROM due d LEFT JOIN o ON o.symbol = d.symbol AND o.ts >= open_ts AND o.ts < close_ts GROUP BY 1, 2) SELECT symbol, strftime(label, '%Y-%m-%d') AS label, missing, least(known, missing) AS known FROM n JOIN k USING (symbol, label) WHERE missing <> 0")
+def d08_known_omissions(spark, sf_dir):
+    bars, own = event_bars(spark, sf_dir), sessions(spark)
+    omitted = bars.where("volume > 1").select("symbol", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    found = resample.known_omissions(resample.quality_report(bars, own, None, 60), omitted, own, None)
+    return found.select("symbol", F.col("label").cast("string").alias("label"), "missing", "known")
+
+
+@query(f"WITH {_DAYS}, o AS (SELECT label, label::TIMESTAMP - INTERVAL (day(label) % 4 * 6) HOUR AS open_ts FROM days) SELECT strftime(label, '%Y-%m-%d') AS label FROM o WHERE label >= DATE '2024-01-05' AND label < DATE '2024-01-25' AND NOT (open_ts >= TIMESTAMP '2024-01-05' AND open_ts < TIMESTAMP '2024-01-25')")
+def k05_out_of_range_opens(spark, sf_dir):
+    days = event_days(spark, sf_dir)
+    opened = F.timestamp_seconds(F.unix_seconds(F.col("label").cast("timestamp")) - F.dayofmonth("label") % 4 * 21_600)
+    return cal.out_of_range_opens(days.withColumn("open_ts", opened), "2024-01-05", "2024-01-25").select(F.col("label").cast("string").alias("label"))
+
+
+@query(f"WITH {H} SELECT symbol, 'out_of_range' AS code, count(*) AS n FROM bars WHERE ts < TIMESTAMP '2024-01-03' OR ts >= TIMESTAMP '2024-01-28' GROUP BY 1 UNION ALL SELECT symbol, 'unfinished', count(*) FROM bars WHERE ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-20' GROUP BY 1")
+def d27_preflight_bounds(spark, sf_dir):
+    bars = event_bars(spark, sf_dir)
+    grid = bars.select("ts").distinct().withColumn("end_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    return research.preflight(bars, bars.select("symbol"), grid, "2024-01-20", ("2024-01-03", "2024-01-28"), skip=("no_data", "missing", "unexpected"))
+
+
+@query(f"WITH {RAW} SELECT CASE WHEN (open IS NULL OR isnan(open)) AND (high IS NULL OR isnan(high)) AND (low IS NULL OR isnan(low)) AND (close IS NULL OR isnan(close)) THEN 'all prices missing' ELSE why END AS reason, count(*) AS n FROM (SELECT symbol, ts, CASE WHEN sequence % 21 = 0 THEN NULL ELSE open END AS open, CASE WHEN sequence % 21 = 0 THEN NULL ELSE high END AS high, CASE WHEN sequence % 21 = 0 THEN NULL ELSE low END AS low, CASE WHEN sequence % 21 = 0 THEN NULL ELSE close END AS close, volume FROM raw), LATERAL (SELECT {WHY} AS why) WHERE why <> '' GROUP BY 1")
+def a10_omitted_positions(spark, sf_dir):
+    bars = raw_bars(spark, sf_dir).withColumns({c: F.when(F.col("sequence") % 21 != 0, F.col(c)) for c in PRICES})
+    return payloads.split_omitted(bars)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {H} SELECT symbol, epoch(ts)::BIGINT AS t, round(close, 6) AS close FROM bars WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'")
+def a10_window_clip(spark, sf_dir):
+    rows = event_bars(spark, sf_dir).withColumn("day", F.to_date("ts")).groupBy("symbol", "day").agg(F.sort_array(F.collect_list(F.struct("ts", *VALUES))).alias("r"))
+    body = F.to_json(F.struct(F.transform("r", lambda x: F.unix_seconds(x["ts"])).alias("timestamp"), *[F.col(f"r.{c}").alias(c) for c in VALUES]))
+    bars, _ = payloads.columnar_bars(rows.select("symbol", body.alias("body")), "2024-01-05 06:00:00", "2024-01-12 18:00:00")
+    return shown(bars, "close")
+
+
+@query(f"WITH {H}, x AS (SELECT *, CASE WHEN hour(ts) = 7 THEN 'n/a' END AS text FROM bars WHERE symbol = 'view') SELECT 'VIEW' AS symbol, epoch(ts)::BIGINT AS t, CASE WHEN text IS NULL THEN round(close, 4) END AS close, text IS NOT NULL AS wrong FROM x")
+def a14_wide_prices(spark, sf_dir):
+    text = event_bars(spark, sf_dir).where("symbol = 'view'").select("ts", *[F.col(c).cast("decimal(20,4)").cast("string").alias(c.title()) for c in VALUES])
+    text = text.withColumn("Close", F.when(F.hour("ts") == 7, "n/a").otherwise(F.col("Close")))
+    good, bad = payloads.wide_prices(text, "VIEW", "ts", {c.title(): c for c in VALUES})
+    both = good.withColumn("wrong", F.lit(False)).union(bad.withColumn("wrong", F.lit(True)))
+    return both.select("symbol", t(), F.round("close", 4).alias("close"), "wrong")
+
+
+@query(f"WITH {EVENTS} SELECT event_id::VARCHAR AS event_id, symbol, event_type, epoch(effective_ts)::BIGINT AS t, share_ratio FROM acts WHERE symbol <> 'RO' AND event_id % 7 <> 0")
+def a15_snapshots(spark, sf_dir):
+    """Corporate actions from payloads of a symbol and month in an envelope with a checksum; every seventh event's payload has a wrong one."""
+    e = events(spark, sf_dir).where("symbol <> 'RO'")
+    item = F.struct(F.col("event_id").cast("string").alias("event_id"), "symbol", "event_type", F.date_format("effective_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("effective_ts"), "share_ratio")
+    inner = e.groupBy("symbol", F.date_trunc("month", "effective_ts").alias("m"), (F.col("event_id") % 7 == 0).alias("odd")).agg(F.to_json(F.struct(F.collect_list(item).alias("events"))).alias("inner"))
+    check = F.when(F.col("odd"), F.lit("0")).otherwise(F.sha2(F.col("inner").cast("binary"), 256))
+    found = payloads.snapshots(inner.select(F.to_json(F.struct(F.col("inner").alias("payload"), check.alias("checksum"))).alias("body")))[1]
+    return found.select("event_id", "symbol", "event_type", t("effective_ts"), "share_ratio")
+
+
+@query(f"{_FLAT.replace('<= 120 *', '<= 190 *')}, last AS (SELECT symbol, max(rn) AS rn FROM numbered GROUP BY 1) SELECT f.symbol, start_rn, end_rn FROM flat f JOIN last l ON l.symbol = f.symbol AND l.rn = f.end_rn")
+def f06_current_flat(spark, sf_dir):
+    bars = event_bars(spark, sf_dir)
+    found = detect.current_flat(detect.flat_windows(bars, 3, 12, limit=190.0), bars)
+    return found.select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_tax, 4) AS slope FROM lineitem WHERE l_tax BETWEEN 0.02 AND 0.06 AND (l_linenumber IN (2, 3) OR l_linenumber + 1 IN (2, 3) OR l_quantity < 5)")
+def f15_filtered_trends(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_tax").alias("slope"), F.when(F.col("l_quantity") < 5, F.array().cast("array<double>")).otherwise(F.array(F.col("l_linenumber").cast("double"), (F.col("l_linenumber") + 1).cast("double"))).alias("lambda_values"))
+    found = research.filter_trends(rows, [2.0, 3.0], slopes=(0.02, 0.06), without=True)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.round("slope", 4).alias("slope"))
+
+
+@query(f"WITH {RAW}, bad AS (SELECT *, {WHY} AS why FROM raw WHERE {WHY} <> ''), k AS (SELECT symbol, ts, sequence, row_number() OVER (ORDER BY symbol, ts, sequence) AS place, count(*) OVER () AS n FROM bad) SELECT symbol, epoch(ts)::BIGINT AS t, n - 10 AS more FROM k WHERE place <= 10")
+def g04_first_offenders(spark, sf_dir):
+    return validate.first_offenders(raw_bars(spark, sf_dir)).select("symbol", t(), "more")
+
+
+@query(f"WITH {H}, a AS (SELECT symbol, ts, close, 'before' AS side FROM bars ORDER BY symbol, ts LIMIT 100), b AS (SELECT symbol, ts, close * 2 AS close, 'after' AS side FROM bars WHERE hour(ts) >= 12 ORDER BY symbol, ts LIMIT 100) SELECT side, symbol, epoch(ts)::BIGINT AS t, round(close, 6) AS close FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
+def g06_preview(spark, sf_dir):
+    recipe = registry.load('[{"name": "scale_prices", "config": {"factor": 2.0}}, {"name": "clock_window", "config": {"start": "12:00", "end": "00:00"}}]')
+    before, after = preview(recipe, event_bars(spark, sf_dir), Contract("1h"))
+    return before.withColumn("side", F.lit("before")).union(after.withColumn("side", F.lit("after"))).select("side", "symbol", t(), F.round("close", 6).alias("close"))
+
+
+@query(f"WITH {H}, ask AS (SELECT DISTINCT symbol FROM bars UNION ALL SELECT 'nothing') SELECT ask.symbol, count(b.ts) AS bars_in, count(b.ts) FILTER (hour(b.ts) >= 22) AS bars_out, CASE WHEN count(b.ts) = 0 THEN 'no data' WHEN count(b.ts) FILTER (hour(b.ts) >= 22) = 0 THEN 'empty' ELSE 'done' END AS status FROM ask LEFT JOIN bars b ON b.symbol = ask.symbol GROUP BY 1")
+def u04_status_by_ticker(spark, sf_dir):
+    bars = event_bars(spark, sf_dir)
+    asked = bars.select("symbol").union(bars.select(F.lit("nothing"))).distinct()
+    recipe = registry.load('[{"name": "clock_window", "config": {"start": "22:00", "end": "00:00"}}]')
+    return by_ticker(recipe, bars, Contract("1h"), asked)[1]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.schema import VALUES
+from barspark.operators.validate import flag_bars
+from barspark.schema import PRICES, VALUES
 
 COLUMNAR = "timestamp array<bigint>, " + ", ".join(f"{c} array<double>" for c in VALUES)
 ROWS = "ticker string, status string, adjusted boolean, resultsCount bigint, results array<struct<t: bigint, o: double, h: double, l: double, c: double, v: double>>"
@@ -13,8 +14,11 @@ SNAPSHOT = """coverage array<struct<symbol: string, start_date: date, end_date:
   events array<struct<event_id: string, symbol: string, event_type: string, effective_ts: timestamp, security_id: string, price_factor: double, share_ratio: double, cash_amount: double, reference_close: double, currency: string, status: string>>"""
 
 
-def columnar_bars(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bars of payloads of parallel arrays with epoch seconds, and ``(symbol, fault)`` of payloads whose arrays differ in length or repeat a time."""
+def columnar_bars(payloads: DataFrame, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bars of payloads of parallel arrays with epoch seconds, and ``(symbol, fault)`` of payloads whose arrays differ in length or repeat a time.
+
+    With ``start`` or ``end`` only what lies in ``[start, end)`` counts; a payload that has nothing there gives nothing.
+    """
     p = payloads.withColumn("p", F.from_json("body", COLUMNAR))
     n = F.size("p.timestamp")
     uneven = F.coalesce(F.greatest(*[F.abs(F.size(f"p.{c}") - n) for c in VALUES]) > 0, F.lit(True))
@@ -23,9 +27,23 @@ def columnar_bars(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = p.withColumn("fault", fault)
     rows = p.where("fault is null").select("symbol", F.inline(F.arrays_zip("p.timestamp", *[f"p.{c}" for c in VALUES])))
     bars = rows.select("symbol", F.timestamp_seconds("timestamp").alias("ts"), *VALUES)
+    if start:
+        bars = bars.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    if end:
+        bars = bars.where(F.col("ts") < F.lit(end).cast("timestamp"))
     return bars, p.where("fault is not null").select("symbol", "fault")
 
 
+def split_omitted(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars that a vendor gave whole, and ``(symbol, ts, reason)`` of positions that it left out: all prices missing, or broken rules."""
+    flagged = flag_bars(bars)
+    none = F.lit(True)
+    for c in PRICES:
+        none = none & (F.col(c).isNull() | F.isnan(c))
+    reason = F.when(none, "all prices missing").otherwise(F.array_join("reasons", "+"))
+    return flagged.where(F.size("reasons") == 0).drop("reasons"), flagged.where(F.size("reasons") > 0).select("symbol", "ts", reason.alias("reason"))
+
+
 def row_bars(payloads: DataFrame, daily: bool = False, tz: str = "America/New_York") -> tuple[DataFrame, DataFrame]:
     """Bars of payloads of rows with epoch milliseconds, and the faults of others; ``daily`` labels a local midnight with its date."""
     p = payloads.withColumn("p", F.from_json("body", ROWS))
