@@ -248,13 +248,14 @@ def d15_flat_statistics(spark, sf_dir):
     return found.select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"), "bars", "red", "red_above", "above", F.round("volatility", 6).alias("volatility"))
 
 
-_EVIDENCE = f"""{H}, {NUMBERED_SQL}, x AS (SELECT *, ln(close) AS x, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY ts) AS r FROM numbered), lengths AS (SELECT * FROM (VALUES (8), (9), (15), (16), (17)) l(n)), j AS (
-  SELECT e.symbol, e.ts, e.rn, n, max(b.x) - min(b.x) < 1e-13 AS flat, regr_slope(b.x, b.rn) AS slope, regr_r2(b.x, b.rn) AS r2, greatest(stddev_samp(CASE WHEN b.rn > e.rn - n + 1 THEN b.r END), 1e-8) AS sigma,
-    sum(CASE WHEN b.rn > e.rn - n + 1 THEN abs(b.r) END) AS path, sum(CASE WHEN b.rn > e.rn - n + 1 THEN b.r END) AS net
-  FROM x e CROSS JOIN lengths JOIN x b ON b.symbol = e.symbol AND b.rn BETWEEN e.rn - n + 1 AND e.rn WHERE e.rn >= n GROUP BY ALL
+_EVIDENCE = f"""{H}, {NUMBERED_SQL}, x AS (SELECT *, ln(close) AS x, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY ts) AS r FROM numbered), lengths AS (SELECT * FROM (VALUES (8), (9), (15), (16), (17)) l(n)), spread AS (SELECT symbol, n, x, r, rn AS at_, unnest(range(rn, rn + n)) AS rn FROM x, lengths), j AS (
+  SELECT s.symbol, e.ts, s.rn, n, max(s.x) - min(s.x) < 1e-13 AS flat, regr_slope(s.x, at_) AS slope, regr_r2(s.x, at_) AS r2, greatest(stddev_samp(CASE WHEN at_ > s.rn - n + 1 THEN s.r END), 1e-8) AS sigma,
+    sum(CASE WHEN at_ > s.rn - n + 1 THEN abs(s.r) END) AS path, sum(CASE WHEN at_ > s.rn - n + 1 THEN s.r END) AS net
+  FROM spread s JOIN x e ON e.symbol = s.symbol AND e.rn = s.rn WHERE s.rn >= n GROUP BY ALL
+), couples AS (
+  SELECT a.symbol, a.rn AS a, b.rn AS b, (b.x - a.x) / (b.rn - a.rn) AS rise FROM x a JOIN x b ON b.symbol = a.symbol AND b.rn > a.rn AND b.rn < a.rn + 17
 ), p AS (
-  SELECT e.symbol, e.rn, n, median((b.x - a.x) / (b.rn - a.rn)) AS robust, avg(sign((b.x - a.x) / (b.rn - a.rn))) AS ordering
-  FROM x e CROSS JOIN lengths JOIN x a ON a.symbol = e.symbol AND a.rn BETWEEN e.rn - n + 1 AND e.rn JOIN x b ON b.symbol = e.symbol AND b.rn > a.rn AND b.rn <= e.rn WHERE e.rn >= n GROUP BY ALL
+  SELECT symbol, rn, n, median(rise) AS robust, avg(sign(rise)) AS ordering FROM (SELECT symbol, n, rise, unnest(range(b, a + n)) AS rn FROM couples, lengths WHERE b - a < n) WHERE rn >= n GROUP BY ALL
 ), k AS (
   SELECT j.symbol, ts, j.rn, j.n, CASE WHEN flat THEN 0 ELSE slope END AS slope, CASE WHEN flat THEN 0 ELSE coalesce(r2, 0) END AS r2, CASE WHEN flat THEN 0 ELSE robust END AS robust, sigma, ordering, CASE WHEN path = 0 THEN 0 ELSE net / path END AS efficiency FROM j JOIN p USING (symbol, rn, n)
 ), v AS (
