@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barspark.llm import embeddings, linededup, warc
+from barspark.llm.alignment import op13_alignment
 from barspark.llm.bpe import op5_bpe
 from barspark.llm.embeddings import op10_embedding_dedup
 from barspark.llm.langid import op6_langid
@@ -20,7 +21,7 @@ from barspark.llm.warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_toxicity, op4_pack, op5_bpe, op6_langid, op7_sharding, op8_line_dedup, op9_quality, op10_embedding_dedup)
+    found = (op1_simhash, op2_warc, op3_toxicity, op4_pack, op5_bpe, op6_langid, op7_sharding, op8_line_dedup, op9_quality, op10_embedding_dedup, op13_alignment)
     return {f.__name__: f for f in found}
 
 
