@@ -13,6 +13,7 @@ from barspark.llm.divergence import op11_source_divergence
 from barspark.llm.embeddings import op10_embedding_dedup
 from barspark.llm.langid import op6_langid
 from barspark.llm.linededup import op8_line_dedup
+from barspark.llm.neighbours import op12_nearest
 from barspark.llm.packing import op4_pack
 from barspark.llm.quality import op9_quality
 from barspark.llm.sharding import op7_sharding
@@ -22,7 +23,7 @@ from barspark.llm.warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_toxicity, op4_pack, op5_bpe, op6_langid, op7_sharding, op8_line_dedup, op9_quality, op10_embedding_dedup, op11_source_divergence, op13_alignment)
+    found = (op1_simhash, op2_warc, op3_toxicity, op4_pack, op5_bpe, op6_langid, op7_sharding, op8_line_dedup, op9_quality, op10_embedding_dedup, op11_source_divergence, op12_nearest, op13_alignment)
     return {f.__name__: f for f in found}
 
 
