@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.indicators import numbered
+from barspark.operators.spans import deviation, interval_extremes, interval_moments, pooled
 from barspark.schema import by_time, ratio
 
 ULPS = 1 + 1e-12
@@ -77,23 +78,32 @@ def disjoint_latest(windows: DataFrame) -> DataFrame:
     return windows.join(kept, ["symbol", "end_rn"], "left_semi")
 
 
-def flat_statistics(periods: DataFrame, bars: DataFrame, factor: float = 1.01) -> DataFrame:
-    """Of each period: bars, red ones, those above ``open * factor``, and the deviation of its returns."""
-    rows = numbered(bars)
-    spread = periods.select("symbol", "start_rn", "end_rn", F.explode(F.sequence("start_rn", "end_rn")).alias("rn"))
-    joined = spread.join(rows, ["symbol", "rn"])
-    before = F.lag("close").over(Window.partitionBy("symbol", "start_rn", "end_rn").orderBy("rn"))
+def flat_statistics(periods: DataFrame, bars: DataFrame, factor: float = 1.01, by: str = "rn") -> DataFrame:
+    """Of each distinct period, given by ``start_<by>`` and ``end_<by>``: bars, red ones, those above ``open * factor``, and ``moves``, the moments of its returns, of which its first bar gives none.
+
+    ``volatility`` is their deviation in percent. Periods of any length cost the same.
+    """
+    rows = numbered(bars).withColumn("rn", F.col("rn").cast("long"))
+    before = F.lag("close").over(by_time())
     red, above = F.col("close") < F.col("open"), F.col("high") > F.col("open") * factor
-    return joined.withColumn("_r", ratio(F.col("close"), before) - 1).groupBy("symbol", "start_rn", "end_rn").agg(
-        F.count("*").alias("bars"), F.count_if(red).alias("red"), F.count_if(red & above).alias("red_above"), F.count_if(red & ~above).alias("red_below"), F.count_if(above).alias("above"),
-        (100 * F.stddev_pop("_r")).alias("volatility"), F.count("_r").alias("returns"),
-    )
+    counts = {"bars": F.lit(True), "red": red, "red_above": red & above, "red_below": red & ~above, "above": above}
+    rows = rows.withColumn("_r", ratio(F.col("close"), before) - 1)
+    found = interval_moments(rows, periods, by, counts, steps={"moves": F.col("_r")})
+    return found.withColumns({"volatility": 100 * deviation("moves"), "returns": F.col("moves.n")})
+
+
+def pooled_statistics(statistics: DataFrame) -> DataFrame:
+    """Rows of :func:`flat_statistics` as one by symbol: periods, counts, the share of red bars that go above, and the volatility of all their returns together."""
+    counts = ("bars", "red", "red_above", "red_below", "above")
+    found = statistics.groupBy("symbol").agg(F.count("*").alias("periods"), *[F.sum(c).alias(c) for c in counts], pooled("moves"))
+    return found.withColumns({"red_above_share": ratio(F.col("red_above"), F.col("red")), "returns": F.col("moves.n"), "volatility": 100 * deviation("moves")})
 
 
-#: Weights of the least-squares, pair-slope, ordering and efficiency parts of the evidence.
+# Weights of the least-squares, pair-slope, ordering and efficiency parts of the evidence; the least length of a
+# stretch, and the part of a length by which its start is moved to test it; the bars and the deviations of a young counter-move.
 WEIGHTS = (0.25, 0.20, 0.35, 0.20)
-#: Least length of a stretch, and the part of a length by which its start is moved to test it.
 LEAST_LENGTH, MOVED = 8, 0.05
+YOUNG_BARS, SHOCK = 5, 2.0
 
 
 def moved_lengths(n: int, least: int = LEAST_LENGTH, part: float = MOVED) -> list[int]:
@@ -172,3 +182,24 @@ def countertrends(accepted: DataFrame) -> DataFrame:
     """``accepted`` with ``countertrend``: a longer accepted interval that ends with it runs the other way."""
     longer = accepted.groupBy("symbol", "rn").agg(F.max_by("direction", "lookback").alias("_d"), F.max("lookback").alias("_n"))
     return accepted.join(longer, ["symbol", "rn"]).withColumn("countertrend", (F.col("_n") > F.col("lookback")) & (F.col("_d") != F.col("direction"))).drop("_d", "_n")
+
+
+def trend_records(accepted: DataFrame, bars: DataFrame, young_bars: int = YOUNG_BARS, shock: float = SHOCK) -> DataFrame:
+    """Rows of :func:`trend_evidence` as records of their intervals.
+
+    Start, end and duration, direction, ``rate`` a bar, ``movement`` (of log closes from the start to the extreme in the
+    direction), ``retreat`` (from there to the end), ``retracement``, their ratio, ``young``: the bars since the extreme,
+    ``shock``: the retreat in deviations of so many returns, and ``abrupt``: a counter-move of fewer than ``young_bars`` bars that reaches ``shock``.
+    """
+    rows = numbered(bars).withColumn("rn", F.col("rn").cast("long"))
+    trends = accepted.withColumns({"start_rn": (F.col("rn") - F.col("lookback") + 1).cast("long"), "end_rn": F.col("rn").cast("long")})
+    longest = accepted.agg(F.max("lookback")).first()[0] or 1
+    found = trends.join(interval_extremes(rows, trends, F.log("close"), longest), ["symbol", "start_rn", "end_rn"])
+    found = found.join(rows.select("symbol", F.col("rn").alias("start_rn"), F.col("ts").alias("start_ts")), ["symbol", "start_rn"])
+    falls = F.col("direction") < 0
+    movement = F.greatest(F.lit(0.0), F.when(falls, F.col("first") - F.col("low")).otherwise(F.col("top") - F.col("first")))
+    retreat = F.greatest(F.lit(0.0), F.when(falls, F.col("last") - F.col("low")).otherwise(F.col("top") - F.col("last")))
+    found = found.withColumns({"movement": movement, "retreat": retreat, "young": F.col("end_rn") - F.when(falls, F.col("low_rn")).otherwise(F.col("top_rn"))})
+    found = found.withColumns({"retracement": F.col("retreat") / F.greatest(F.col("movement"), F.lit(1e-12)), "shock": F.col("retreat") / (F.col("sigma") * F.sqrt(F.greatest(F.lit(1.0), F.col("young").cast("double"))))})
+    abrupt = (F.col("young") > 0) & (F.col("young") < young_bars) & (F.col("shock") >= shock)
+    return found.select("symbol", "start_ts", F.col("ts").alias("end_ts"), "start_rn", "end_rn", F.col("lookback").alias("duration"), "direction", "clarity", F.expm1("slope").alias("rate"), "movement", "retreat", "retracement", "young", "shock", abrupt.alias("abrupt"))

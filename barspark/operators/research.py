@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.operators.sessions import assign, missing_and_unexpected, unfinished
+from barspark.operators.spans import deviation, interval_moments, mean
 from barspark.schema import by_time, ratio
 
 
@@ -171,9 +172,10 @@ def last_month(periods: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def period_means(periods: DataFrame, bars: DataFrame) -> DataFrame:
-    """``periods(symbol, start_ts, end_ts)``, distinct, with the bars in each, the red ones among them and their mean close."""
-    inside = (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts"))
-    return periods.join(bars, "symbol").where(inside).groupBy("symbol", "start_ts", "end_ts").agg(F.count("*").alias("bars"), F.count_if(F.col("close") < F.col("open")).alias("red"), F.avg("close").alias("mean"))
+    """``periods(symbol, start_ts, end_ts)``, distinct, with the bars in each, the red ones among them, their mean close and the volatility of the returns in it; those without a bar are left out."""
+    rows = bars.withColumn("_r", ratio(F.col("close"), F.lag("close").over(by_time())) - 1)
+    found = interval_moments(rows, periods, "ts", {"bars": F.lit(True), "red": F.col("close") < F.col("open")}, {"closes": F.col("close")}, {"moves": F.col("_r")}).where("bars > 0")
+    return found.select("symbol", "start_ts", "end_ts", "bars", "red", mean("closes").alias("mean"), (100 * deviation("moves")).alias("volatility"))
 
 
 def joint_funding(orders: DataFrame, cash: float, by_priority: bool = False, reserve: float = 0.0) -> DataFrame:

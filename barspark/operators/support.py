@@ -73,10 +73,3 @@ def features(bars: DataFrame, named: dict[str, Column]) -> DataFrame:
 def replay(windows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """The stretches that end at each of ``cutoffs(symbol, end_ts)``: what was current there, since no stretch sees later bars."""
     return windows.join(cutoffs.select("symbol", "end_ts").distinct(), ["symbol", "end_ts"], "left_semi")
-
-
-def abrupt_moves(tails: DataFrame, least: int, most_part: float, shock: float = 3.0) -> DataFrame:
-    """``tails(length, whole, retreat, sigma)`` with ``abrupt``: a short young tail whose retreat is over ``shock`` deviations of its bars."""
-    z = F.try_divide(F.col("retreat"), F.col("sigma") * F.sqrt("length"))
-    young = (F.col("length") < least) | (F.col("length") <= most_part * F.col("whole"))
-    return tails.withColumn("abrupt", true(young & (z >= shock)))

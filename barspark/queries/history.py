@@ -257,16 +257,6 @@ def f08_replay(spark, sf_dir):
     return found.select("symbol", F.unix_seconds("end_ts").alias("t"), F.col("bars").cast("long").alias("bars"))
 
 
-@query(f"WITH {H}, {NUMBERED_SQL}, x AS (SELECT *, close / max(close) OVER ({P} ROWS 23 PRECEDING) - 1 AS fall, stddev_pop(r) OVER ({P} ROWS 23 PRECEDING) AS sigma FROM (SELECT *, close / lag(close) OVER ({P}) - 1 AS r FROM numbered)) SELECT symbol, epoch(ts)::BIGINT AS t, coalesce(rn % 12 < 8 AND -fall / (CASE WHEN sigma = 0 THEN NULL ELSE sigma END * sqrt(rn % 12 + 1)) >= 0.5, false) AS abrupt FROM x")
-def f14_abrupt_moves(spark, sf_dir):
-    bars = ind.with_volatility(ind.numbered(event_bars(spark, sf_dir)), 24)
-    w = ind.last_rows(24)
-    r = F.try_divide(F.col("close"), F.lag("close").over(ind.by_time())) - 1
-    df = bars.withColumn("r", r).withColumn("sigma", F.stddev_pop("r").over(w))
-    df = research.retracement(df, 24).withColumns({"retreat": F.col("from_high"), "length": F.col("rn") % 12 + 1, "whole": F.lit(12)})
-    return support.abrupt_moves(df, least=9, most_part=0.0, shock=0.5).select("symbol", t(), "abrupt")
-
-
 _TABLE = """WITH o AS (SELECT o_orderstatus || o_orderpriority[1] AS ts, o_custkey AS symbol, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE max(o_totalprice) END AS score, sum(o_totalprice) AS held, count(*) AS asked FROM orders GROUP BY 1, 2), w AS (
   SELECT ts, symbol, score, 0.9 * held / sum(held) OVER (PARTITION BY ts) AS current, asked::DOUBLE / sum(asked) OVER (PARTITION BY ts) AS proposed FROM o
 ), a AS (
@@ -482,13 +472,6 @@ def f06_current_flat(spark, sf_dir):
     return found.select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_tax, 4) AS slope FROM lineitem WHERE l_tax BETWEEN 0.02 AND 0.06 AND (l_linenumber IN (2, 3) OR l_linenumber + 1 IN (2, 3) OR l_quantity < 5)")
-def f15_filtered_trends(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_tax").alias("slope"), F.when(F.col("l_quantity") < 5, F.array().cast("array<double>")).otherwise(F.array(F.col("l_linenumber").cast("double"), (F.col("l_linenumber") + 1).cast("double"))).alias("lambda_values"))
-    found = research.filter_trends(rows, [2.0, 3.0], slopes=(0.02, 0.06), without=True)
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.round("slope", 4).alias("slope"))
-
-
 @query(f"WITH {RAW}, bad AS (SELECT *, {WHY} AS why FROM raw WHERE {WHY} <> ''), k AS (SELECT symbol, ts, sequence, row_number() OVER (ORDER BY symbol, ts, sequence) AS place, count(*) OVER () AS n FROM bad) SELECT symbol, epoch(ts)::BIGINT AS t, n - 10 AS more FROM k WHERE place <= 10")
 def g04_first_offenders(spark, sf_dir):
     return validate.first_offenders(raw_bars(spark, sf_dir)).select("symbol", t(), "more")

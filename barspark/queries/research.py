@@ -127,11 +127,6 @@ def g08_screening(spark, sf_dir):
     return research.screening(rows, asked).withColumn("value", F.round("value", 2))
 
 
-@query(f"WITH {H} SELECT symbol, epoch(ts)::BIGINT AS t, round(1 - close / max(close) OVER ({P} ROWS 23 PRECEDING), 6) AS from_high, round(close / min(close) OVER ({P} ROWS 23 PRECEDING) - 1, 6) AS from_low FROM bars")
-def f13_retracement(spark, sf_dir):
-    return research.retracement(event_bars(spark, sf_dir), 24).select("symbol", t(), F.round("from_high", 6).alias("from_high"), F.round("from_low", 6).alias("from_low"))
-
-
 @query(f"WITH {S}, a AS (SELECT symbol, ts, CASE WHEN symbol = 'AF' THEN NULL ELSE close END AS score, 0.25 AS current, close AS target FROM bars), b AS (SELECT *, greatest(0, 1 - 0.1 - coalesce(sum(CASE WHEN score IS NULL THEN current END) OVER (PARTITION BY ts), 0)) AS remaining, sum(CASE WHEN score IS NOT NULL THEN target END) OVER (PARTITION BY ts) AS total FROM a) SELECT symbol, epoch(ts)::BIGINT AS t, round(CASE WHEN score IS NULL THEN current ELSE target / total * remaining END, 6) AS planned FROM b")
 def j06_frozen_holdings(spark, sf_dir):
     bars = ship_bars(spark, sf_dir).withColumns({"score": F.when(F.col("symbol") != "AF", F.col("close")), "current": F.lit(0.25), "target": F.col("close")})
@@ -193,12 +188,31 @@ def k01_grid_with_lookback(spark, sf_dir):
 _SPANS = "periods AS (SELECT symbol, ts - INTERVAL 20 DAY AS start_ts, ts AS end_ts FROM bars)"
 
 
-@query(f"WITH {S}, {_SPANS}, l AS (SELECT symbol, max(ts) - INTERVAL 1 MONTH AS since FROM bars GROUP BY 1), c AS (SELECT p.symbol, greatest(start_ts, since) AS s, end_ts AS e FROM periods p JOIN l USING (symbol) WHERE end_ts >= since) SELECT symbol, epoch(s)::BIGINT AS s, epoch(e)::BIGINT AS e, count(*) AS bars, count(*) FILTER (close < open) AS red, round(avg(close), 6) AS mean FROM c JOIN bars b USING (symbol) WHERE b.ts BETWEEN s AND e GROUP BY symbol, c.s, c.e")
-def d17_last_month(spark, sf_dir):
+_MONTH = f"""{S}, {_SPANS}, r AS (SELECT *, close / lag(close) OVER ({P}) - 1 AS ret FROM bars), l AS (SELECT symbol, max(ts) - INTERVAL 1 MONTH AS since FROM bars GROUP BY 1), c AS (SELECT DISTINCT p.symbol, greatest(start_ts, since) AS s, end_ts AS e FROM periods p JOIN l USING (symbol) WHERE end_ts >= since), k AS (
+  SELECT c.symbol, c.s, c.e, r.*, row_number() OVER (PARTITION BY c.symbol, c.s, c.e ORDER BY ts) AS place FROM c JOIN r ON r.symbol = c.symbol WHERE r.ts BETWEEN c.s AND c.e)"""
+
+
+def _month(spark, sf_dir):
     bars = ship_bars(spark, sf_dir)
     periods = bars.select("symbol", (F.col("ts") - F.expr("INTERVAL 20 DAYS")).alias("start_ts"), F.col("ts").alias("end_ts"))
-    found = research.period_means(research.last_month(periods, bars), bars)
-    return found.select("symbol", t("start_ts", "s"), t("end_ts", "e"), "bars", "red", F.round("mean", 6).alias("mean"))
+    return research.last_month(periods, bars), bars
+
+
+@query(f"WITH {_MONTH} SELECT symbol, epoch(s)::BIGINT AS s, epoch(e)::BIGINT AS e, count(*) AS bars, count(*) FILTER (close < open) AS red, round(avg(close), 6) AS mean, round(100 * stddev_pop(ret) FILTER (place > 1), 5) AS volatility FROM k GROUP BY symbol, s, e")
+def d17_last_month(spark, sf_dir):
+    found = research.period_means(*_month(spark, sf_dir))
+    return found.select("symbol", t("start_ts", "s"), t("end_ts", "e"), "bars", "red", F.round("mean", 6).alias("mean"), F.round("volatility", 5).alias("volatility"))
+
+
+@query(f"""WITH {_MONTH} SELECT symbol, count(DISTINCT (s, e)) AS periods, count(*) AS bars, count(*) FILTER (close < open) AS red, count(*) FILTER (high > open * 1.02) AS above, round(count(*) FILTER (close < open AND high > open * 1.02) / nullif(count(*) FILTER (close < open), 0), 6) AS red_above_share,
+  count(ret) FILTER (place > 1) AS returns, round(100 * stddev_pop(ret) FILTER (place > 1), 5) AS volatility FROM k GROUP BY symbol""")
+def d17_month_summary(spark, sf_dir):
+    """The clipped periods of the last month, pooled."""
+    from barspark.operators import detect
+
+    periods, bars = _month(spark, sf_dir)
+    found = detect.pooled_statistics(detect.flat_statistics(periods, bars, 1.02, by="ts"))
+    return found.select("symbol", "periods", "bars", "red", "above", F.round("red_above_share", 6).alias("red_above_share"), "returns", F.round("volatility", 5).alias("volatility"))
 
 
 @query(f"WITH {S} SELECT symbol, epoch(ts)::BIGINT AS t, round(ln(1 + volume * least(1, 75 / sum(volume) OVER (PARTITION BY ts))), 6) AS pro_rata, round(greatest(0, least(volume, 75 - coalesce(sum(volume) OVER (PARTITION BY ts ORDER BY close DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))), 6) AS by_priority FROM bars")

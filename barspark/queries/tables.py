@@ -248,6 +248,16 @@ def d15_flat_statistics(spark, sf_dir):
     return found.select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"), "bars", "red", "red_above", "above", F.round("volatility", 6).alias("volatility"))
 
 
+@query(f"""{_FLAT}, picked AS (SELECT symbol, max(end_rn) AS end_rn, arg_max(start_rn, end_rn) AS start_rn FROM flat GROUP BY symbol UNION ALL SELECT p.symbol, n.end_rn, n.start_rn FROM picked p, LATERAL (SELECT end_rn, start_rn FROM flat f WHERE f.symbol = p.symbol AND f.end_rn < p.start_rn ORDER BY end_rn DESC LIMIT 1) n),
+r AS (SELECT p.symbol, p.start_rn, b.*, close / lag(close) OVER (PARTITION BY p.symbol, p.start_rn ORDER BY b.rn) - 1 AS ret FROM picked p JOIN numbered b ON b.symbol = p.symbol AND b.rn BETWEEN p.start_rn AND p.end_rn)
+SELECT symbol, count(DISTINCT start_rn) AS periods, count(*) AS bars, count(*) FILTER (close < open) AS red, round(count(*) FILTER (close < open AND high > open * 1.02) / nullif(count(*) FILTER (close < open), 0), 6) AS red_above_share, count(ret) AS returns, round(100 * stddev_pop(ret), 5) AS volatility FROM r GROUP BY symbol""")
+def d16_pooled_volatility(spark, sf_dir):
+    """Over the disjoint flat periods of each symbol, all their returns together."""
+    periods = detect.disjoint_latest(flats(spark, sf_dir)).select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"))
+    found = detect.pooled_statistics(detect.flat_statistics(periods, event_bars(spark, sf_dir), 1.02))
+    return found.select("symbol", "periods", "bars", "red", F.round("red_above_share", 6).alias("red_above_share"), "returns", F.round("volatility", 5).alias("volatility"))
+
+
 _EVIDENCE = f"""{H}, {NUMBERED_SQL}, x AS (SELECT *, ln(close) AS x, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY ts) AS r FROM numbered), lengths AS (SELECT * FROM (VALUES (8), (9), (15), (16), (17)) l(n)), spread AS (SELECT symbol, n, x, r, rn AS at_, unnest(range(rn, rn + n)) AS rn FROM x, lengths), j AS (
   SELECT s.symbol, e.ts, s.rn, n, max(s.x) - min(s.x) < 1e-13 AS flat, regr_slope(s.x, at_) AS slope, regr_r2(s.x, at_) AS r2, greatest(stddev_samp(CASE WHEN at_ > s.rn - n + 1 THEN s.r END), 1e-8) AS sigma,
     sum(CASE WHEN at_ > s.rn - n + 1 THEN abs(s.r) END) AS path, sum(CASE WHEN at_ > s.rn - n + 1 THEN s.r END) AS net
@@ -285,3 +295,40 @@ def f12_trend_gates(spark, sf_dir):
     gated = detect.trend_gates(_trends(spark, sf_dir), clarity=0.45)
     counter = detect.countertrends(gated.where("accepted")).select("symbol", "rn", "lookback", "countertrend")
     return gated.join(counter, ["symbol", "rn", "lookback"], "left").select("symbol", F.unix_seconds("ts").alias("t"), "lookback", "reasons", "countertrend")
+
+
+_RECORDS = f"""{_EVIDENCE}, taken AS (SELECT symbol, ts, rn, n, slope, direction, sigma FROM w WHERE clarity >= 0.3), r_rows AS (
+  SELECT t.*, x.x, x.ts AS at, x.rn AS place, first_value(x.x) OVER q AS head, last_value(x.x) OVER q AS tail, first_value(x.ts) OVER q AS start_ts FROM taken t JOIN x ON x.symbol = t.symbol AND x.rn BETWEEN t.rn - t.n + 1 AND t.rn WINDOW q AS (PARTITION BY t.symbol, t.rn, t.n ORDER BY x.rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), r_ends AS (
+  SELECT symbol, ts, rn, n, any_value(slope) AS slope, any_value(direction) AS direction, any_value(sigma) AS sigma, any_value(head) AS head, any_value(tail) AS tail, any_value(start_ts) AS start_ts, max(direction * x) AS best, min(place) FILTER (direction * x = top) AS extreme
+  FROM (SELECT *, max(direction * x) OVER (PARTITION BY symbol, rn, n) AS top FROM r_rows) GROUP BY symbol, ts, rn, n
+), r_moves AS (
+  SELECT *, greatest(0, best - direction * head) AS movement, greatest(0, best - direction * tail) AS retreat, rn - extreme AS young FROM r_ends
+), records AS (
+  SELECT *, retreat / greatest(movement, 1e-12) AS retracement, retreat / (sigma * sqrt(greatest(1, young))) AS shock FROM r_moves
+)"""
+
+
+def _records(spark, sf_dir):
+    return detect.trend_records(_trends(spark, sf_dir).where("clarity >= 0.3"), event_bars(spark, sf_dir), shock=1.0)
+
+
+@query(f"WITH {_RECORDS} SELECT symbol, epoch(start_ts)::BIGINT AS s, epoch(ts)::BIGINT AS e, n AS duration, direction, round(exp(slope) - 1, 6) AS rate, round(movement, 6) AS movement, round(retreat, 6) AS retreat, round(retracement, 6) AS retracement, young FROM records")
+def f13_trend_records(spark, sf_dir):
+    found = _records(spark, sf_dir)
+    return found.select("symbol", F.unix_seconds("start_ts").alias("s"), F.unix_seconds("end_ts").alias("e"), "duration", F.col("direction").cast("int").alias("direction"), *[F.round(c, 6).alias(c) for c in ("rate", "movement", "retreat", "retracement")], "young")
+
+
+@query(f"WITH {_RECORDS} SELECT symbol, epoch(ts)::BIGINT AS e, n AS duration, round(shock, 6) AS shock, young > 0 AND young < 5 AND shock >= 1 AS abrupt FROM records")
+def f14_abrupt_moves(spark, sf_dir):
+    return _records(spark, sf_dir).select("symbol", F.unix_seconds("end_ts").alias("e"), "duration", F.round("shock", 6).alias("shock"), "abrupt")
+
+
+@query(f"WITH {_RECORDS} SELECT symbol, epoch(ts)::BIGINT AS e, n AS duration, round(exp(slope) - 1, 6) AS rate FROM records WHERE exp(slope) - 1 BETWEEN 0.005 AND 0.2 AND (n = 16 OR young = 0)")
+def f15_filtered_trends(spark, sf_dir):
+    """Trends by the lengths that selected them (a fresh one by none) and by slope."""
+    from barspark.operators import research
+
+    rows = _records(spark, sf_dir).withColumns({"slope": F.col("rate"), "lambda_values": F.when(F.col("young") == 0, F.array().cast("array<double>")).otherwise(F.array(F.col("duration").cast("double")))})
+    found = research.filter_trends(rows, [16.0, 32.0], slopes=(0.005, 0.2), without=True)
+    return found.select("symbol", F.unix_seconds("end_ts").alias("e"), "duration", F.round("rate", 6).alias("rate"))
