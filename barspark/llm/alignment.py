@@ -11,14 +11,16 @@ sequence of its parts.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from barspark.llm.bpe import _byte_letters, public_vocabulary
 from barspark.llm.common import materialize, read_table
@@ -28,10 +30,15 @@ TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PAIRS = 1 << 22
 #: Parts, and characters in them, after which a worker forgets what it remembers.
 MEMO, MEMO_CHARS = 300_000, 1 << 24
+#: Characters of clean parts that are encoded as one text.
+LONGEST = 4096
+#: Links, or pairs, that a task gathers before it sums them, or sends them.
+HELD = 1 << 22
 #: Characters of texts that are worked on together, and of a long text that are cut into parts at a time.
-TOGETHER, BLOCK = 1 << 22, 1 << 20
+TOGETHER, BLOCK = 1 << 20, 1 << 20
 #: Not white space to every library; no text is cut beside it.
-ODD_SPACE = "᠎"
+ODD_SPACE = "\u180e"
+UNCLEAN = re.compile(r"[\s\u180e] | [\s\u180e]|\A | \Z")
 
 
 def _open(c: str) -> bool:
@@ -54,9 +61,12 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
 
 def parts(text: str) -> list[str]:
     """``text`` cut at single spaces, which are left out, between characters that are no white space."""
+    pieces = text.split(" ")
+    if not UNCLEAN.search(text):
+        return pieces
     found: list[str] = []
     joins = False
-    for piece in text.split(" "):
+    for piece in pieces:
         if joins or found and not (piece and _open(piece[0])):
             found[-1] += " " + piece
         else:
@@ -90,87 +100,93 @@ class Aligner:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
-        self.pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.forget()
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.chars = 0
-        #: Of each part: whether tokens give its bytes back, numbers of tokens, groups and links, and, with pairs, best links and counts.
-        self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.n_best, self.total = (array("q") for _ in range(7))
+        #: Of each part: whether tokens give its bytes back, numbers of tokens, groups and links, bytes, and where its links begin.
+        self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.sizes, self.begin = (array("q") for _ in range(7))
         self.groups: list[str] = []
         self.cuts: list[bytes] = []
-        self.sizes = array("q")
         self.codes = array("I")
 
-    def add(self, new: list[str]) -> int:
-        """Align ``new`` parts; the number of the first."""
-        at = len(self.good)
-        coded = self.a.encode_batch([" " + t for t in new], add_special_tokens=False) if new else []
-        protos = self.b.encode(new, return_type="proto", num_threads=1) if new else []
-        whole, ids_a, ids_b, ends_a, ends_b, holds_a, holds_b, bases = [], [], [], [], [], [], [], [0]
-        for k, (text, a, b) in enumerate(zip(new, coded, protos)):
-            data, own_a, pieces = (" " + text).encode(), a.ids, b.pieces
-            own_b = [p.id for p in pieces]
-            self.sizes.append(len(data))
-            if b"".join(map(self.bytes_a.__getitem__, own_a)) != data or b"".join(map(self.bytes_b.__getitem__, own_b)) != data:
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[bytes, list[int], np.ndarray, list[int], np.ndarray] | None]:
+        """Of each text with a space before it: bytes, and of both tokenizers ids and, in bytes, spans; None where bytes do not come back."""
+        for text in texts:
+            a = self.a.encode(" " + text, add_special_tokens=False)
+            data, own_a = (" " + text).encode(), a.ids
+            b = [(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]
+            if b"".join(map(self.bytes_a.__getitem__, own_a)) != data or b"".join([self.bytes_b[x[0]] for x in b]) != data:
+                yield None
                 continue
-            whole.append(k)
-            base, spans = bases[-1], np.array(a.offsets, np.int64).reshape(-1, 2)
+            spans, near = np.array(a.offsets, np.int64).reshape(-1, 2), np.array(b, np.int64).reshape(-1, 3)
             if len(data) > len(text) + 1:
-                spans = np.cumsum([0, *(len(c.encode()) for c in " " + text)])[spans]
-            holds_a.append(np.append(spans[1:, 0] >= spans[:-1, 1], True)), ends_a.append(spans[:, 1] + base)
-            near = np.array([(p.begin, p.end) for p in pieces], np.int64).reshape(-1, 2)
-            holds_b.append(near[:, 1] > near[:, 0]), ends_b.append(near[:, 1] + base + 1)
-            ids_a.append(own_a), ids_b.append(own_b), bases.append(base + len(data))
-        count = lambda x: np.fromiter(map(len, x), np.int64, len(x))
-        n_a, n_b = count(ids_a), count(ids_b)
-        flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
-        a, b = flat(ids_a), flat(ids_b)
+                points = np.frombuffer((" " + text).encode("utf-32-le"), "<u4")
+                spans = np.cumsum(np.concatenate([[0], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)]))[spans]
+            yield data, own_a, spans, near[:, 0], near[:, 1:] + 1
+
+    def add(self, new: list[str], told: bool = True) -> int:
+        """Align ``new`` parts; the number of the first. Clean parts are encoded in one text; groups are written out if ``told``."""
+        at, stretches, size = len(self.good), [], LONGEST + 1
+        for k, text in enumerate(new):
+            clean = bool(text) and _open(text[0]) and _open(text[-1])
+            size += len(text) + 1
+            if clean and size <= LONGEST and stretches and stretches[-1][0]:
+                stretches[-1][1].append(k)
+            else:
+                stretches.append((clean, [k]))
+                size = len(text)
+        order, ids_a, ids_b, ends_a, ends_b, holds_a, holds_b, lengths, base = [], [], [], [], [], [], [], [], 0
+        stretches = [own for _, own in stretches]
+        while stretches:
+            failed = []
+            for own, found in zip(stretches, self._encoded([" ".join([new[k] for k in own]) for own in stretches])):
+                if found is None:
+                    failed += [[k] for k in own] if len(own) > 1 else []
+                    continue
+                data, a, spans, b, near = found
+                order += own
+                lengths += [len(new[k].encode()) + 1 for k in own] if len(own) > 1 else [len(data)]
+                holds_a.append(np.append(spans[1:, 0] >= spans[:-1, 1], True)), ends_a.append(spans[:, 1] + base), ids_a.append(np.array(a, np.int64))
+                holds_b.append(near[:, 1] > near[:, 0]), ends_b.append(near[:, 1] + base), ids_b.append(b)
+                base += len(data)
+            stretches = failed
+        flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        a, b, length = flat(ids_a), flat(ids_b), np.array(lengths, np.int64)
         end_a = byte_ends(flat(ends_a), flat(holds_a) > 0, self.size_a[a])
         end_b = byte_ends(flat(ends_b), flat(holds_b) > 0, self.size_b[b])
-        part = np.repeat(np.arange(len(whole)), n_a)
+        edge, count = np.cumsum(length), lambda x: np.bincount(x, minlength=len(order))
+        part_a, part_b = np.searchsorted(edge, end_a), np.searchsorted(edge, end_b)
         first = np.searchsorted(end_b, end_a - self.size_a[a], "right")
         many = np.searchsorted(end_b, end_a, "left") - first + 1
         of_a = np.repeat(np.arange(len(a)), many)
         of_b = np.repeat(first, many) + np.arange(len(of_a)) - np.repeat(np.cumsum(many) - many, many)
-        codes = (a[of_a] << 16 | b[of_b]).astype(np.uint32)
-        n_links = np.bincount(part[of_a], minlength=len(whole))
+        n_links = count(part_a[of_a])
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
-        last_a, last_b = np.searchsorted(end_a, cuts) + 1, np.searchsorted(end_b, cuts) + 1
-        n_groups = np.bincount(part[last_a - 1], minlength=len(whole)) if len(cuts) else np.zeros(len(whole), np.int64)
-        text_a, text_b = [self.name_a[i] for i in a.tolist()], [self.name_b[i] for i in b.tolist()]
-        lo_a, lo_b, told = 0, 0, []
-        for hi_a, hi_b in zip(last_a.tolist(), last_b.tolist()):
-            told.append(f"{','.join(text_a[lo_a:hi_a])}|{','.join(text_b[lo_b:hi_b])}")
-            lo_a, lo_b = hi_a, hi_b
-        best, total = self._weigh(codes, n_links)
+        n_groups = count(np.searchsorted(edge, cuts))
         own = np.zeros((7, len(new)), np.int64)
-        own[:, whole] = [np.ones(len(whole), np.int64), n_a, n_b, n_groups, n_links, best, total]
-        for into, row in zip((self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.n_best, self.total), own):
+        own[:, order] = [np.ones(len(order), np.int64), count(part_a), count(part_b), n_groups, n_links, length, len(self.codes) + np.cumsum(n_links) - n_links]
+        for into, row in zip((self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.sizes, self.begin), own):
             into.frombytes(row.tobytes())
-        self.codes.frombytes(codes.tobytes())
-        groups, ends, lo = [""] * len(new), [b""] * len(new), 0
-        for k, n, base in zip(whole, n_groups.tolist(), bases):
-            groups[k] = ";".join(told[lo : lo + n])
-            ends[k] = (cuts[lo : lo + n] - base).tobytes()
-            lo += n
+        self.codes.frombytes((a[of_a] << 16 | b[of_b]).astype(np.uint32).tobytes())
+        groups, ends = [""] * len(new), [b""] * len(new)
+        if told:
+            text_a, text_b = [self.name_a[i] for i in a.tolist()], [self.name_b[i] for i in b.tolist()]
+            lo_a, lo_b, lines = 0, 0, []
+            for hi_a, hi_b in zip((np.searchsorted(end_a, cuts) + 1).tolist(), (np.searchsorted(end_b, cuts) + 1).tolist()):
+                lines.append(f"{text_a[lo_a] if hi_a == lo_a + 1 else ','.join(text_a[lo_a:hi_a])}|{text_b[lo_b] if hi_b == lo_b + 1 else ','.join(text_b[lo_b:hi_b])}")
+                lo_a, lo_b = hi_a, hi_b
+            lo, packed = 0, (cuts - np.repeat(edge - length, n_groups)).tobytes()
+            for k, n in zip(order, n_groups.tolist()):
+                groups[k] = ";".join(lines[lo : lo + n])
+                ends[k] = packed[8 * lo : 8 * (lo + n)]
+                lo += n
         self.groups += groups
         self.cuts += ends
         self.chars += sum(map(len, new))
         return at
 
-    def _weigh(self, codes: np.ndarray, n_links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each part its links whose pair is the best of its second token, and the sum of the counts of its links."""
-        if self.pairs is None or not len(self.pairs[0]):
-            return (np.zeros(len(n_links), np.int64),) * 2
-        known, n, best = self.pairs
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        there = known[at] == codes
-        edges = np.concatenate([[0], np.cumsum(n_links)])
-        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(np.where(there, x, 0))])[edges])
-        return sums(best[at].astype(np.int64)), sums(n[at])
-
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Of each text the numbers of its parts; None without tokens."""
         if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
@@ -182,22 +198,13 @@ class Aligner:
         take = self.memo.__getitem__
         found = [np.fromiter(map(take, c), np.int64, len(c)) if c else None for c in cut]
         good = np.array(self.good, bool)
-        odd = [k for k, x in enumerate(found) if x is not None and not good[x].all()]
-        if odd:  # a part whose bytes do not come back: the whole text decides
+        if not good.all():  # a part whose bytes do not come back: the whole text decides
+            odd = [k for k, x in enumerate(found) if x is not None and not good[x].all()]
             at = self.add([texts[k] for k in odd])
             for k, i in zip(odd, range(at, at + len(odd))):
                 found[k] = np.array([i]) if self.good[i] else None
         return found
 
-    def counted(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of linked pairs and how many links hold each, if part k occurs ``times[k]`` times."""
-        weight = np.repeat(times, np.array(self.n_links, np.int64))
-        codes = np.array(self.codes, np.uint32)
-        own, inverse = np.unique(codes[weight > 0], return_inverse=True)
-        n = np.zeros(len(own), np.int64)
-        np.add.at(n, inverse, weight[weight > 0])
-        return own, n
-
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -219,39 +226,73 @@ def _together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def pair_counts(docs: DataFrame, text: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
-    """``(code, n)``: how many links of all texts hold each pair of ids; ``code`` is the first id << 16 | the second.
+def _slices(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of stretches from ``begin``, each of its ``size``, one after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+
 
-    A task counts parts of texts, and sends a row a pair that it has seen, so a frequent pair is
-    summed before the shuffle. Null and empty texts, and those without tokens, add nothing.
+def linked(docs: DataFrame, text: str = "text", path_a: str | None = None, path_b: str | None = None, spans: bool = True) -> DataFrame:
+    """``docs``, as columns ``c0``, ``c1`` and so on, with the numbers of :func:`align`, ``groups_sha256``, if ``spans``, ``groups`` and ``cuts``, and ``links``.
+
+    ``links`` has the id pairs of a text's links, packed: little-endian unsigned 32-bit numbers, the
+    first id << 16 | the second.
     """
     path_a, path_b = path_a or public_vocabulary(TOKENIZER_A), path_b or public_vocabulary(TOKENIZER_B)
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    told = [StructField("groups", StringType()), StructField("cuts", ArrayType(LongType()))] if spans else []
+    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in NUMBERS), StructField("groups_sha256", StringType()), *told, StructField("links", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
-        aligner.pairs = None
-        aligner.forget()
-        times = np.zeros(0, np.int64)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for lo, hi in _together(texts):
+                found = aligner.texts(texts[lo:hi])
+                known = [np.array(getattr(aligner, n), np.int64) for n in NUMBERS]
+                sums = [pa.array([0 if x is None else int(each[x].sum()) for x in found], pa.int64()) for each in known]
+                groups = ["" if x is None else ";".join(map(aligner.groups.__getitem__, x.tolist())) for x in found]
+                digest = pa.array([sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())
+                codes, begin = np.array(aligner.codes, np.uint32), np.array(aligner.begin, np.int64)
+                links = pa.array([b"" if x is None else codes[_slices(begin[x], known[3][x])].tobytes() for x in found], pa.binary())
+                more = [pa.array(groups, pa.string()), _cuts(aligner, found)] if spans else []
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], *sums, digest, *more, links], schema.names)
+
+    return rows.withColumn("_text", F.col(f"c{docs.columns.index(text)}").cast("string")).mapInArrow(run, schema)
+
 
-        def told() -> pa.RecordBatch:
-            own, n = aligner.counted(times)
-            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n)], ["code", "n"])
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """``aligned(links)`` to ``(code, n)``: how many links of all texts hold each pair of ids.
+
+    A task sums a pair before it sends it, as often as it has gathered ``HELD`` links or pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, held, size = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            new, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *held]), return_counts=True)
+            codes, at = np.unique(np.concatenate([own, new]), return_inverse=True)
+            total = np.zeros(len(codes), np.int64)
+            np.add.at(total, at, np.concatenate([n, times]))
+            return codes, total
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in _together(texts):
-                if len(aligner.memo) > MEMO or aligner.chars > MEMO_CHARS:
-                    yield told()
-                    aligner.forget()
-                    times = np.zeros(0, np.int64)
-                found = [x for x in aligner.texts(texts[lo:hi]) if x is not None]
-                seen = np.bincount(np.concatenate(found), minlength=len(aligner.good)) if found else np.zeros(len(aligner.good), np.int64)
-                seen[: len(times)] += times
-                times = seen
-        yield told()
+            for x in batch.column(0).to_pylist():
+                held.append(np.frombuffer(x or b"", np.uint32))
+                size += len(held[-1])
+                if size >= HELD:
+                    own, n = summed()
+                    held, size = [], 0
+                    if len(own) >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n)], ["code", "n"])
+                        own, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        own, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n)], ["code", "n"])
 
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "code long, n long")
-    return counted.groupBy("code").agg(F.sum("n").alias("n"))
+    return aligned.select("links").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def align(docs: DataFrame, text: str = "text", path_a: str | None = None, path_b: str | None = None, most: int = PAIRS, spans: bool = True) -> DataFrame:
@@ -260,61 +301,52 @@ def align(docs: DataFrame, text: str = "text", path_a: str | None = None, path_b
     ``n_a``, ``n_b``, ``n_groups``, ``n_links``: tokens of either tokenizer, groups between byte
     offsets at which both have an end, and pairs of tokens whose bytes overlap. ``n_best``: links whose pair is
     the most frequent of its second id over all texts, ties included; ``count_sum``: the sum of the links'
-    counts. ``groups``: the ids, ``a1,a2|b1;a3|b2,b3``; ``cuts`` (if ``spans``): the groups' ends in bytes of the
-    text with a space before it.
+    counts. ``groups_sha256``: of the ids, ``a1,a2|b1;a3|b2,b3``. If ``spans``, ``groups``: these ids, and ``cuts``: the groups'
+    ends in bytes of the text with a space before it.
 
     Null and empty texts, and those whose tokens do not give back their bytes, have zeros, an
-    empty ``groups`` and no ``cuts``. Texts of any length are aligned whole. Repeated rows count and stay,
-    other columns pass through, and an empty table gives an empty table. Of the counted pairs, ``most``
-    are broadcast at once; if there are more, each slice of them is one more pass over the texts, whose parts are summed.
+    empty ``groups`` and ``groups_sha256`` and no ``cuts``. Texts of any length are aligned whole. Repeated rows count and stay,
+    other columns pass through, and an empty table gives an empty table. Texts are encoded once; their links are written, counted and
+    read back. Of the counted pairs, ``most`` are broadcast at once; if there are more, each slice of them is one more pass over the links.
     """
     spark = docs.sparkSession
-    path_a, path_b = path_a or public_vocabulary(TOKENIZER_A), path_b or public_vocabulary(TOKENIZER_B)
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    added = [*numbers, "groups", *(["cuts"] if spans else [])]
+    added = [*NUMBERS, "groups_sha256", *(["groups", "cuts"] if spans else []), "n_best", "count_sum"]
     base = docs.drop(*(c for c in added if c != text))
-    names = base.columns
-    rows = base.toDF(*[f"c{k}" for k in range(len(names))])
-    body = F.col(f"c{names.index(text)}").cast("string")
-    counted = materialize(pair_counts(docs, text, path_a, path_b), "pair_counts")
+    aligned = linked(base, text, path_a, path_b, spans)
+    if text in added:
+        aligned = aligned.drop(f"c{base.columns.index(text)}")
+    names = [c for c in base.columns if c not in added]
+    aligned = materialize(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned")
     among = Window.partitionBy(F.col("code").bitwiseAND(0xFFFF))  # no more rows than the first vocabulary has ids
+    counted = materialize(pair_counts(aligned), "pair_counts")
     pairs = materialize(counted.withColumn("best", F.col("n") == F.max("n").over(among)), "pairs")
     slices = max(1, -(-pairs.count() // most))
-    if slices > 1:  # rows need a number by which their sums meet
-        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered_texts")
-    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in numbers), StructField("groups", StringType())])
-    if spans:
-        schema = schema.add("cuts", ArrayType(LongType()))
+    schema = StructType([*(f for f in aligned.schema.fields if f.name != "links"), StructField("n_best", LongType()), StructField("count_sum", LongType())])
 
-    def taken(k: int) -> DataFrame:
+    def weighed(k: int) -> DataFrame:
         own = pairs.where(F.pmod(F.xxhash64("code"), F.lit(slices)) == k).select("code", "n", "best").orderBy("code").toArrow()
         table = own.column("code").to_numpy().astype(np.uint32), own.column("n").to_numpy(), own.column("best").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         shared = spark.sparkContext.broadcast(table)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            aligner = _aligner(path_a, path_b)
-            aligner.pairs = shared.value
-            aligner.forget()
+            known, n, best = shared.value
             for batch in batches:
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                for lo, hi in _together(texts):
-                    found = aligner.texts(texts[lo:hi])
-                    known = [np.array(getattr(aligner, n), np.int64) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "total")]
-                    sums = [pa.array([0 if x is None else int(each[x].sum()) for x in found], pa.int64()) for each in known]
-                    told = [pa.array(["" if x is None else ";".join(map(aligner.groups.__getitem__, x.tolist())) for x in found], pa.string())]
-                    if spans:
-                        told.append(_cuts(aligner, found))
-                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], *sums, *told], schema.names)
-
-        return rows.withColumn("_text", body).mapInArrow(run, schema)
-
-    if slices == 1:
-        return taken(0).toDF(*names, *added)
-    parts_of = taken(0)
+                sums = np.zeros((2, batch.num_rows), np.int64)
+                for i, links in enumerate(batch.column(batch.num_columns - 1).to_pylist() if len(known) else ()):
+                    codes = np.frombuffer(links, np.uint32)
+                    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                    at = at[known[at] == codes]
+                    sums[:, i] = best[at].sum(), n[at].sum()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums[0]), pa.array(sums[1])], schema.names)
+
+        return aligned.select(*(c for c in aligned.columns if c != "links"), "links").mapInArrow(run, schema)
+
+    found = weighed(0)
     for k in range(1, slices):
-        parts_of = parts_of.union(taken(k))
-    whole = parts_of.groupBy("row").agg(*(F.any_value(c).alias(c) for c in schema.names if c not in ("row", "n_best", "count_sum")), F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return whole.select(*(c for c in schema.names if c != "row")).toDF(*names, *added)
+        found = found.union(weighed(k))
+    if slices > 1:
+        found = found.groupBy("row").agg(*(F.any_value(c).alias(c) for c in schema.names if c not in ("row", "n_best", "count_sum")), F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return found.select(*(c for c in schema.names if c != "row")).toDF(*names, *added)
 
 
 def _cuts(aligner: Aligner, found: list[np.ndarray | None]) -> pa.Array:
@@ -333,5 +365,4 @@ def _cuts(aligner: Aligner, found: list[np.ndarray | None]) -> pa.Array:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tokenizations of all documents, aligned."""
     found = align(read_table(spark, sf_dir, "documents").select("doc_id", "text"), spans=False)
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -69,12 +69,13 @@ TEXTS = [
 
 @pytest.mark.parametrize("most", [1 << 22, 90])
 def test_against_brute_force(spark, most):
-    df = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(TEXTS)], "doc_id long, text string, groups string").repartition(3)
+    df = spark.createDataFrame([(k, t, "mine", 1) for k, t in enumerate(TEXTS)], "doc_id long, text string, groups string, links int", ).repartition(3)
     got = {r.doc_id: r for r in alignment.align(df, most=most).collect()}
     assert len(got) == len(TEXTS)
     for k, want in enumerate(brute(TEXTS)):
         r = got[k]
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups, r.cuts) == want, TEXTS[k]
+        assert r.links == 1 and r.groups_sha256 == (hashlib.sha256(r.groups.encode()).hexdigest() if r.n_a else "")
 
 
 def test_query_against_brute_force(spark, sf):
@@ -82,7 +83,7 @@ def test_query_against_brute_force(spark, sf):
     some = [t if len(t) < 1500 else t[:1500] for _, t in docs[:60]]
     want = brute(some)
     df = spark.createDataFrame([(k, t) for k, t in enumerate(some)], "doc_id long, text string")
-    assert [tuple(r)[2:] for r in alignment.align(df).orderBy("doc_id").collect()] == want
+    assert [(r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups, r.cuts) for r in alignment.align(df).orderBy("doc_id").collect()] == want
     from barspark.llm.queries import queries
 
     rows = {r.doc_id: r for r in queries()["op13_alignment"](spark, sf).collect()}
@@ -125,8 +126,20 @@ def test_long_text_is_cut_into_the_same_parts():
 @given(st.text(alphabet=st.one_of(st.sampled_from(list("ab'sTZ09 .,\n\t ▁᠎ééß汉😀‍")), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_any_text(text):
     aligner = alignment._aligner(public_vocabulary(alignment.TOKENIZER_A), public_vocabulary(alignment.TOKENIZER_B))
-    aligner.pairs = None
     x = aligner.texts([text])[0]
     want = brute([text])[0]
     got = (0, 0, 0, 0, "") if x is None else (*(int(np.array(getattr(aligner, n))[x].sum()) for n in ("n_a", "n_b", "n_groups", "n_links")), ";".join(aligner.groups[i] for i in x))
     assert got == (*want[:4], want[6])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abcdefgh'sTZ09.,\n▁ééß汉😀")), min_size=1, max_size=12), max_size=40))
+def test_parts_encoded_together(words):
+    aligner = alignment.Aligner.__new__(alignment.Aligner)
+    aligner.__dict__.update(alignment._aligner(public_vocabulary(alignment.TOKENIZER_A), public_vocabulary(alignment.TOKENIZER_B)).__dict__)
+    aligner.forget()
+    new = list(dict.fromkeys(words))
+    aligner.add(new)
+    for k, w in enumerate(new):
+        own = brute([w])[0]
+        assert (aligner.n_a[k], aligner.n_b[k], aligner.n_groups[k], aligner.n_links[k], aligner.groups[k], np.frombuffer(aligner.cuts[k], np.int64).tolist()) == (*own[:4], own[6], own[7]), w
