@@ -12,25 +12,28 @@ from barspark.schema import by_time, ratio
 ULPS = 1 + 1e-12
 
 
-def flat_windows(bars: DataFrame, least: int, most: int, limit: float | None = None, percentile: float = 0.5, multiplier: float = 1.0, longest_bar: float | None = None) -> DataFrame:
+def flat_windows(bars: DataFrame, least: int, most: int, limit: float | None = None, percentile: float = 0.5, multiplier: float = 1.0, longest_bar: float | None = None, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """For each end bar the longest stretch of ``least`` to ``most`` bars whose range is within the limit.
 
     The width is 100 * (high - low) / mid. ``limit`` is a percentage, or None for
     ``multiplier`` times the ``percentile`` of the bars' own widths in the stretch. With
     ``longest_bar`` no bar may be wider than that many times their median. Each end bar sees
-    only the ``most`` bars up to itself, as an array frame.
+    only the ``most`` bars up to itself, as an array frame; no stretch spans two values of ``keys``. ``longest_bar_width``
+    and ``median_bar_width`` are those of its bars, and ``limit`` is the width that it was allowed.
     """
-    frame = by_time().rowsBetween(1 - most, 0)
+    frame = by_time(*keys).rowsBetween(1 - most, 0)
     width = 200 * ratio(F.col("high") - F.col("low"), F.col("high") + F.col("low"))
     df = numbered(bars).withColumn("_w", width).withColumn("_seen", F.collect_list(F.struct("rn", "ts", "high", "low", F.col("_w").alias("w"))).over(frame))
     sizes = F.sequence(F.lit(most), F.lit(least), F.lit(-1))
 
+    allowed = lambda widths: F.lit(limit) if limit is not None else multiplier * interpolated(widths, percentile)
+
     def fits(n: Column) -> Column:
         own = F.slice("_seen", -n, n)
         top, bottom = F.array_max(F.transform(own, lambda x: x["high"])), F.array_min(F.transform(own, lambda x: x["low"]))
         span = 200 * ratio(top - bottom, top + bottom)
         widths = F.array_sort(F.transform(own, lambda x: x["w"]))
-        bound = F.lit(limit) if limit is not None else multiplier * interpolated(widths, percentile)
+        bound = allowed(widths)
         ok = span <= bound * ULPS
         if longest_bar is not None:
             ok = ok & (F.array_max(widths) <= longest_bar * interpolated(widths, 0.5) * ULPS)
@@ -39,11 +42,12 @@ def flat_windows(bars: DataFrame, least: int, most: int, limit: float | None = N
     ready = F.filter(sizes, lambda n: n <= F.size("_seen"))
     df = df.withColumn("bars", F.get(F.filter(ready, fits), F.lit(0))).where("bars is not null")
     own = F.expr("slice(_seen, -bars, bars)")
-    df = df.withColumn("_own", own)
+    df = df.withColumn("_own", own).withColumn("_widths", F.array_sort(F.transform("_own", lambda x: x["w"])))
     top, bottom = F.array_max(F.transform("_own", lambda x: x["high"])), F.array_min(F.transform("_own", lambda x: x["low"]))
     return df.select(
         "symbol", F.get("_own", F.lit(0))["ts"].alias("start_ts"), F.col("ts").alias("end_ts"), (F.col("rn") - F.col("bars") + 1).alias("start_rn"), F.col("rn").alias("end_rn"), "bars",
         top.alias("upper"), bottom.alias("lower"), ((top + bottom) / 2).alias("mid"), (200 * (top - bottom) / (top + bottom)).alias("width"),
+        allowed(F.col("_widths")).alias("limit"), F.array_max("_widths").alias("longest_bar_width"), interpolated(F.col("_widths"), 0.5).alias("median_bar_width"),
     )
 
 
@@ -121,7 +125,7 @@ def pair_slopes(xs: Column, n: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 2)), from_))
 
 
-def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32), weights: tuple[float, float, float, float] = WEIGHTS, least_support: float = 0.55) -> DataFrame:
+def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32), weights: tuple[float, float, float, float] = WEIGHTS, least_support: float = 0.55, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Evidence of a trend over each declared lookback that ends at each bar, on log closes.
 
     ``slope`` and ``r2`` of least squares, ``robust`` (the median slope of all pairs), ``sigma`` (the
@@ -130,12 +134,12 @@ def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32), we
     the number of returns, over sigma), ``clarity`` and ``direction`` of the weighted ``evidence``, and ``boundary``:
     the share of moved starts whose evidence keeps the direction and reaches ``least_support``. Over a
     constant price all slopes are 0. Intervals come from the declared ladder, not from a penalised
-    optimum. A bar sees the longest lookback and its moved starts as one array frame.
+    optimum. A bar sees the longest lookback and its moved starts as one array frame. No interval spans two values of ``keys``.
     """
     lengths = sorted({m for n in lookbacks for m in moved_lengths(n)})
     most = lengths[-1]
-    w = by_time()
-    df = numbered(bars).withColumn("_x", F.log("close")).withColumn("_r", F.col("_x") - F.lag("_x").over(w))
+    w = by_time(*keys)
+    df = numbered(bars).withColumn("_place", F.row_number().over(w)).withColumn("_x", F.log("close")).withColumn("_r", F.col("_x") - F.lag("_x").over(w))
     df = df.withColumn("_xs", F.collect_list("_x").over(w.rowsBetween(1 - most, 0)))
     table = []
     for n in lengths:
@@ -146,7 +150,7 @@ def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32), we
             f"_flat{n}": flat, f"_slope{n}": F.when(flat, 0.0).otherwise(F.regr_slope("_x", "rn").over(span)), f"_r2{n}": F.when(flat, 0.0).otherwise(F.coalesce(F.regr_r2("_x", "rn").over(span), F.lit(0.0))),
             f"_sigma{n}": sigma, f"_eff{n}": F.coalesce(ratio(F.sum("_r").over(moves), F.sum(F.abs("_r")).over(moves)), F.lit(0.0)),
         })
-        df = df.withColumn(f"_pairs{n}", F.when(F.col("rn") >= n, F.array_sort(pair_slopes(F.slice("_xs", -n, n), n))))
+        df = df.withColumn(f"_pairs{n}", F.when(F.col("_place") >= n, F.array_sort(pair_slopes(F.slice("_xs", -n, n), n))))
         root = F.sqrt(F.lit(float(n - 1)))
         robust = F.when(F.col(f"_flat{n}"), 0.0).otherwise(interpolated(F.col(f"_pairs{n}"), 0.5))
         ordering = F.aggregate(f"_pairs{n}", F.lit(0.0), lambda t, x: t + F.signum(x)) / (n * (n - 1) / 2)
@@ -157,15 +161,15 @@ def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32), we
         df = df.withColumns({f"_z{n}": z, f"_mag{n}": F.abs(magnitude), f"_ev{n}": evidence}).drop(f"_pairs{n}")
     for n in lookbacks:
         direction = F.signum(f"_ev{n}")
-        tried = [F.when(F.col("rn") >= m, ((direction * F.col(f"_ev{m}") >= least_support) & (direction * F.col(f"_robust{m}") > 0)).cast("double")) for m in moved_lengths(n)]
+        tried = [F.when(F.col("_place") >= m, ((direction * F.col(f"_ev{m}") >= least_support) & (direction * F.col(f"_robust{m}") > 0)).cast("double")) for m in moved_lengths(n)]
         held = sum((F.coalesce(x, F.lit(0.0)) for x in tried), F.lit(0.0))
         boundary = F.coalesce(ratio(held, sum((x.isNotNull().cast("int") for x in tried), F.lit(0))), F.lit(0.0))
         table.append(F.struct(
             F.lit(n).alias("lookback"), *[F.col(f"_{c}{n}").alias(name) for c, name in (("slope", "slope"), ("r2", "r2"), ("robust", "robust"), ("sigma", "sigma"), ("eff", "efficiency"), ("ord", "ordering"), ("z", "z"), ("mag", "magnitude"), ("ev", "evidence"))],
             F.abs(f"_ev{n}").alias("clarity"), direction.alias("direction"), boundary.alias("boundary"), F.expm1(f"_robust{n}").alias("rate"),
         ))
-    found = df.select("symbol", "ts", "rn", F.inline(F.array(*table)))
-    return found.where("rn >= lookback")
+    found = df.select("symbol", "ts", "rn", "_place", F.inline(F.array(*table)))
+    return found.where("_place >= lookback").drop("_place")
 
 
 def trend_gates(evidence: DataFrame, clarity: float = 0.65, magnitude: float = 1.0, boundary: float = 0.80) -> DataFrame:

@@ -118,10 +118,3 @@ def refresh(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     b = fresh.select(*keys, F.struct(*values).alias("new"))
     state = F.when(F.col("new").isNull(), "lost").when(F.col("old").isNull(), "added").when(F.col("old") == F.col("new"), "kept").otherwise("revised")
     return a.join(b, keys, "full").select(*keys, state.alias("state"))
-
-
-def audit(bars: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
-    """Recorded bounds and counts against the rows: one row a key with ``agrees``."""
-    found = coverage(bars, key).select(key, F.col("first_ts").alias("_f"), F.col("last_ts").alias("_l"), F.col("row_count").alias("_n"))
-    same = (F.col("_f") == F.col("first_ts")) & (F.col("_l") == F.col("last_ts")) & (F.col("_n") == F.col("row_count"))
-    return recorded.join(found, key, "full").select(key, true(same).alias("agrees"))

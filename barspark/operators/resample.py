@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.operators.guards import stopped, stopped_by
 from barspark.operators.sessions import assign, expected_grid
 from barspark.schema import VALUES, by_time, true
 
@@ -22,21 +23,34 @@ def bucket_start(minutes: int) -> Column:
     return F.timestamp_micros(F.unix_micros("open_ts") + F.floor(since / (minutes * 60_000_000)) * (minutes * 60_000_000))
 
 
-def resample_sessions(bars: DataFrame, sessions: DataFrame, minutes: int | None, source_minutes: int, incomplete: str = "drop") -> DataFrame:
+def resample_sessions(bars: DataFrame, sessions: DataFrame, minutes: int | None, source_minutes: int, incomplete: str = "drop", outside: str = "drop", calendar: DataFrame | None = None) -> DataFrame:
     """Bars of ``minutes`` from each session's opening, or one a session for None.
 
     ``incomplete`` is ``drop`` (only intervals with all their source bars), ``aggregate``
-    (also partial ones, never empty ones) or ``raise``. Bars outside sessions are left out.
+    (also partial ones, never empty ones) or ``raise``: any interval that lacks a source bar, also a whole one, of any symbol. Bars outside sessions
+    are left out, or with ``outside="raise"`` they and bars off the grid of ``source_minutes`` from the opening are
+    errors. With ``calendar``, ``sessions`` must be its sessions on the same labels. What raises does so inside the job that
+    reads the bars, which reads them once.
     """
-    inside = assign(bars, sessions).where("label is not null")
+    inside = assign(bars, sessions)
+    if outside == "raise":
+        inside = stopped(inside, F.col("label").isNull(), F.concat(F.lit("bar outside all sessions: "), F.col("symbol"), F.lit(" "), F.col("ts").cast("string")), "ts")
+        inside = stopped(inside, (F.unix_seconds("ts") - F.unix_seconds("open_ts")) % (60 * source_minutes) != 0, "bar off the grid of its session", "ts")
+    elif outside == "drop":
+        inside = inside.where("label is not null")
+    else:
+        raise ValueError("outside is drop or raise")
+    if calendar is not None:
+        inside = stopped_by(inside, differing_sessions(sessions, calendar), "the sessions differ from the calendar", "ts")
     start = bucket_start(minutes) if minutes else F.col("open_ts")
     rows = summarise(inside.withColumn("start", start), "symbol", "label", "open_ts", "close_ts", "start")
     end = F.least(F.col("start") + F.expr(f"INTERVAL {minutes} MINUTES"), "close_ts") if minutes else F.col("close_ts")
     due = F.ceil((F.unix_seconds(end) - F.unix_seconds("start")) / (60 * source_minutes))
     rows = rows.withColumns({"expected": due, "missing": due - F.col("bars")})
     if incomplete == "raise":
-        if quality_report(bars, sessions, minutes, source_minutes).limit(1).count():
-            raise ValueError("some intervals lack source bars")
+        grid = expected_grid(sessions, minutes) if minutes else sessions
+        rows = rows.withColumn("_of", F.count("*").over(Window.partitionBy("symbol"))).crossJoin(F.broadcast(grid.agg(F.count("*").alias("_due"))))  # one row
+        rows = stopped(rows, (F.col("missing") != 0) | (F.col("_of") != F.col("_due")), F.concat(F.lit("intervals lack source bars: "), F.col("symbol")), "start")
     elif incomplete == "drop":
         rows = rows.where("missing = 0")
     elif incomplete != "aggregate":
@@ -44,6 +58,25 @@ def resample_sessions(bars: DataFrame, sessions: DataFrame, minutes: int | None,
     return rows.select("symbol", "label", F.col("start").alias("ts"), "open", "high", "low", "close", "volume", "expected", F.col("bars").alias("observed"))
 
 
+def resample_hourly_to_daily(bars: DataFrame, sessions: DataFrame, incomplete: str = "raise") -> DataFrame:
+    """A bar a session of hourly bars; a bar out of session or off the hour from its opening is always an error."""
+    return resample_sessions(bars, sessions, None, 60, incomplete, outside="raise")
+
+
+def resample_regular_hours(bars: DataFrame, sessions: DataFrame, calendar: DataFrame, incomplete: str = "drop", source_minutes: int = 1) -> DataFrame:
+    """Half-hour bars of regular sessions only, which must be those of ``calendar``."""
+    return resample_sessions(bars, sessions, 30, source_minutes, incomplete, calendar=calendar)
+
+
+def differing_sessions(sessions: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Labels of ``sessions`` that ``calendar`` lacks or gives other hours, and labels that it repeats."""
+    due = calendar.select("label", F.col("open_ts").alias("_open"), F.col("close_ts").alias("_close"))
+    met = sessions.join(due, "label", "left")
+    odd = ~(true(F.col("open_ts") == F.col("_open")) & true(F.col("close_ts") == F.col("_close")))
+    twice = sessions.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+    return met.where(odd).select("label").union(twice.select("label"))
+
+
 def quality_report(bars: DataFrame, sessions: DataFrame, minutes: int | None, source_minutes: int) -> DataFrame:
     """Each interval of each symbol that lacks source bars, also those without any."""
     grid = expected_grid(sessions, minutes) if minutes else sessions.select("label", F.col("open_ts").alias("ts"), F.col("close_ts").alias("end_ts"))

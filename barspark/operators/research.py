@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barspark.operators.guards import stopped
 from barspark.operators.sessions import assign, missing_and_unexpected, unfinished
 from barspark.operators.spans import deviation, interval_moments, mean
 from barspark.schema import by_time, ratio
@@ -25,12 +26,19 @@ def omission_states(omissions: DataFrame, bars: DataFrame) -> DataFrame:
     return omissions.join(have, ["symbol", "ts"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
-def omission_segments(bars: DataFrame, omissions: DataFrame) -> DataFrame:
-    """``bars`` with ``segment``, the number of omissions before them: detectors part by it and never span one."""
-    marks = omissions.select("symbol", "ts", F.lit(1).alias("_gap"))
+def omission_segments(bars: DataFrame, omissions: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
+    """``bars`` with ``segment``, the number of omissions before them that are still missing: detectors that part by ``("symbol", "segment")`` never span one.
+
+    ``unresolved(symbol, ...)`` are omissions in what processed bars were made of: such bars cannot be split, and a bar of their symbols stops the job.
+    """
+    if unresolved is not None:
+        flagged = unresolved.select("symbol", F.lit(True).alias("_unresolved")).distinct()
+        bars = stopped(bars.join(flagged, "symbol", "left"), F.col("_unresolved"), F.concat(F.lit("unresolved omissions in the source of "), F.col("symbol")), "ts").drop("_unresolved")
+    marks = omissions.select("symbol", "ts").distinct().withColumn("_gap", F.lit(1))
     both = bars.withColumn("_gap", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_lost", F.min("_gap").over(Window.partitionBy("symbol", "ts")))  # 0 where there is a bar
     order = Window.partitionBy("symbol").orderBy("ts", F.desc("_gap")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("segment", F.sum("_gap").over(order)).where("_gap = 0").drop("_gap")
+    return both.withColumn("segment", F.sum("_lost").over(order)).where("_gap = 0").drop("_gap", "_lost")
 
 
 def omission_preview(omissions: DataFrame, most: int = 5) -> DataFrame:
@@ -129,9 +137,10 @@ def last_rows_of(bars: DataFrame, n: int) -> DataFrame:
 
 
 def screening(rows: DataFrame, requested: DataFrame) -> DataFrame:
-    """At most one row a ticker, in the order of ``requested(ticker, place)``; ``rows_found`` over 1 is an error of the script."""
-    one = rows.groupBy("ticker").agg(F.max_by("value", "value").alias("value"), F.count("*").alias("rows_found"))
-    return requested.join(one, "ticker").select("place", "ticker", "value", "rows_found")
+    """At most one row a ticker, in the order of ``requested(ticker, place)``; a second row of a ticker stops the job."""
+    one = rows.groupBy("ticker").agg(F.any_value("value").alias("value"), F.count("*").alias("_rows"))
+    one = stopped(one, F.col("_rows") > 1, F.concat(F.lit("more than one row of "), F.col("ticker").cast("string")), "ticker")
+    return requested.join(one.drop("_rows"), "ticker").select("place", "ticker", "value")
 
 
 def run_comparison(runs: DataFrame, identity: list[str]) -> DataFrame:
@@ -148,12 +157,6 @@ def filter_trends(trends: DataFrame, lambdas: list[float] | None, slopes: tuple[
     return trends.where(F.col("slope").between(*slopes)) if slopes else trends
 
 
-def retracement(bars: DataFrame, lookback: int) -> DataFrame:
-    """By bar the fall of the close from the highest one of the last ``lookback`` bars, and the rise from the lowest, as shares."""
-    w = by_time().rowsBetween(1 - lookback, 0)
-    return bars.withColumns({"from_high": 1 - ratio(F.col("close"), F.max("close").over(w)), "from_low": ratio(F.col("close"), F.min("close").over(w)) - 1})
-
-
 def entry_exit_signals(df: DataFrame, limit: float, exit_level: float) -> DataFrame:
     """``df(fast, slow, rsi)`` with entries (fast crosses above slow, RSI under the limit) and exits (crosses below, or RSI over the level)."""
     from barspark.functions.indicators import crossed_above, crossed_below

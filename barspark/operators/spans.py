@@ -14,7 +14,7 @@ def interval_moments(bars: DataFrame, periods: DataFrame, by: str, counts: dict[
 
     ``counts``: conditions, each to the number of bars for which it holds. ``inside``: values, and ``steps``: values
     that belong to a bar and the one before it, so that a period's first bar gives none; each to
-    a struct ``(n, s, q, centre)``: their number, and the sum and the sum of squares of their distances from ``centre``, the series' mean.
+    a struct ``(n, s, q, centre)``: their number, and the sum and the sum of squares of their distances from ``centre``, about the series' median.
     :func:`mean` and :func:`deviation` read it; structs of one series add up by :func:`pooled`. Running sums are
     decimals of 20 places, so that a short quiet period after a wild one loses nothing; sums from 10^18 on raise an error.
 
@@ -25,7 +25,7 @@ def interval_moments(bars: DataFrame, periods: DataFrame, by: str, counts: dict[
     through, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, 1)
     inside, steps = inside or {}, steps or {}
     df = bars.select(*keys, by, *[c.alias(f"_v_{n}") for n, c in (inside | steps).items()], *[F.coalesce(c, F.lit(False)).cast("long").alias(f"_c_{n}") for n, c in counts.items()])
-    df = df.withColumns({f"_m_{n}": F.avg(f"_v_{n}").over(whole) for n in inside | steps})
+    df = df.withColumns({f"_m_{n}": F.percentile_approx(f"_v_{n}", 0.5).over(whole) for n in inside | steps})  # not the mean, which a wild value draws away
 
     def moments(n: str, frame) -> list[Column]:
         far = F.col(f"_v_{n}") - F.col(f"_m_{n}")

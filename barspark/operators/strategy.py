@@ -105,13 +105,17 @@ def drifting_equity(prices: DataFrame, targets: DataFrame, initial: float = 1.0)
     return first.union(curve.join(scale, "start").select("ts", (initial * F.col("_scale") * F.col("_growth")).alias("equity")))
 
 
-def performance(curve: DataFrame, *keys: str) -> DataFrame:
-    """``initial, final, total_return, max_drawdown`` of each curve of ``equity``."""
+def performance(curve: DataFrame, *keys: str, trades: DataFrame | None = None) -> DataFrame:
+    """``initial, final, total_return, max_drawdown`` of each curve of ``equity``, and of ``trades(*keys, fees)``, if given, ``trade_count`` and ``total_fees``."""
     keys = keys or ("symbol",)
     peak = F.max("equity").over(by_time(*keys).rowsBetween(Window.unboundedPreceding, 0))
     df = curve.withColumn("_drawdown", F.col("equity") / peak - 1)
     found = df.groupBy(*keys).agg(F.min_by("equity", "ts").alias("initial"), F.max_by("equity", "ts").alias("final"), F.min("_drawdown").alias("max_drawdown"))
-    return found.withColumn("total_return", ratio(F.col("final"), F.col("initial")) - 1)
+    found = found.withColumn("total_return", ratio(F.col("final"), F.col("initial")) - 1)
+    if trades is None:
+        return found
+    made = trades.groupBy(*keys).agg(F.count("*").alias("trade_count"), F.sum("fees").alias("total_fees"))
+    return found.join(made, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("trade_count", "total_fees")})
 
 
 def schedule(closes: DataFrame, every: int, tz: str = "UTC") -> DataFrame:

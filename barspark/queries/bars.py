@@ -184,7 +184,21 @@ def d02_drop_incomplete(spark, sf_dir):
 
 @query(f"WITH {M}, {SESSIONS_SQL}, {_BUCKET.format(s=1800, m=60)} SELECT symbol, epoch(start)::BIGINT AS t, {PRICES_SQL}, volume FROM grouped")
 def d03_resample_30m(spark, sf_dir):
-    return resample.resample_sessions(event_bars(spark, sf_dir, "minute"), sessions(spark), 30, 1, "aggregate").select("symbol", t(), *prices(), "volume")
+    found = resample.resample_regular_hours(event_bars(spark, sf_dir, "minute"), sessions(spark), sessions(spark), "aggregate")
+    return found.select("symbol", t(), *prices(), "volume")
+
+
+_DAYS = "sessions AS (SELECT DISTINCT ts::DATE AS label, ts::DATE::TIMESTAMP AS open_ts, ts::DATE::TIMESTAMP + INTERVAL 1 DAY AS close_ts FROM bars)"
+
+
+@query(f"WITH {H}, {_DAYS}, {_BUCKET.format(s=86400, m=3600)} SELECT symbol, strftime(label, '%Y-%m-%d') AS label, {PRICES_SQL}, volume FROM grouped WHERE observed = expected")
+def d05_hourly_to_daily(spark, sf_dir):
+    """Whole days as sessions, so that no bar is out of them; one that was would stop the job."""
+    bars = event_bars(spark, sf_dir)
+    opened = F.date_trunc("day", "ts")
+    days = bars.select(F.to_date("ts").alias("label"), opened.alias("open_ts"), (opened + F.expr("INTERVAL 1 DAY")).alias("close_ts")).distinct()
+    found = resample.resample_hourly_to_daily(bars, days, "drop")
+    return found.select("symbol", F.col("label").cast("string").alias("label"), *prices(), "volume")
 
 
 @query(f"WITH {H}, {SESSIONS_SQL}, {_BUCKET.format(s=86400, m=3600)} SELECT symbol, strftime(label, '%Y-%m-%d') AS label, {PRICES_SQL}, volume, expected, observed FROM grouped")

@@ -50,6 +50,21 @@ def all_of(spark, path, layer="raw", **more):
 _TIMES = ", ".join(f"{c} * (CASE WHEN ts >= TIMESTAMP '{SPLIT}' THEN 1.25 ELSE 1 END) AS {c}" for c in PRICES)
 
 
+@query(f"WITH {S} SELECT {SHOWN} FROM bars")
+def a07_checked_ingest(spark, sf_dir):
+    """All bars as the answer to a request for their symbols and times."""
+    bars, path = ship_bars(spark, sf_dir), store.scratch(spark, "bars")
+    store.ingest(bars, path, "desk", "1d", "whole", ["AF", "AO", "NF", "NO", "RF", "RO"], "1990-01-01", "2010-01-01")
+    return shown(all_of(spark, path))
+
+
+@query(f"WITH {S} SELECT r.revision, count(b.ts) AS rows, 0 AS invalid, 0 AS repeated, true AS agrees FROM (VALUES ('early'), ('late'), ('fresh')) r(revision) JOIN bars b ON (b.ts < TIMESTAMP '{SPLIT}') = (r.revision = 'early') GROUP BY 1")
+def a25_audit(spark, sf_dir):
+    _, late, path = two_batches(spark, sf_dir)
+    store.refresh(validate.scale_prices(late, 1.25), path, ["late"], "fresh")
+    return store.audit(spark, path)
+
+
 @query(f"WITH {S}, revised AS (SELECT symbol, ts, {_TIMES}, volume FROM bars) SELECT {SHOWN} FROM revised")
 def a06_active_scan(spark, sf_dir):
     _, late, path = two_batches(spark, sf_dir)
@@ -239,7 +254,9 @@ def d13_inferred_metrics(spark, sf_dir):
         "best": o.where("s = 'P'").select("ticker", F.col("p").alias("score"), F.lit(True).alias("flag")),
         "orders": o.select("ticker", F.col("o_orderdate").alias("date"), F.col("p").alias("score")),
     }
-    found = rollup.inferred_metrics(tables)
+    tables["outcomes"] = rollup.with_roles(tables["outcomes"], outcome="category", count="count")
+    tables["run statistics"] = rollup.with_roles(tables["run statistics"], win_count="count", last_price="price")
+    found = rollup.inferred_metrics(tables, summaries=("run statistics",))
     return found.withColumn("value", F.round("value", 9))
 
 
@@ -250,7 +267,7 @@ def u09_features(spark, sf_dir):
     return found.select("symbol", t(), F.round("lead", 6).alias("lead"), "signal")
 
 
-@query()
+@query(f"{_FLAT} SELECT f.symbol, epoch(n.ts)::BIGINT AS t, end_rn - start_rn + 1 AS bars FROM flat f JOIN numbered n ON n.symbol = f.symbol AND n.rn = f.end_rn WHERE hour(n.ts) = 12")
 def f08_replay(spark, sf_dir):
     cutoffs = event_bars(spark, sf_dir).where(F.hour("ts") == 12).select("symbol", F.col("ts").alias("end_ts"))
     found = support.replay(flats(spark, sf_dir), cutoffs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark.functions import indicators as ind
-from barspark.operators import actions, intervals, research, strategy
+from barspark.operators import actions, research, strategy
 from barspark.operators import sessions as cal
 from barspark.queries import NUMBERED_SQL, SESSIONS_SQL, event_bars_sql, query, sessions, ship_bars_sql
 from barspark.queries.tables import EVENTS, events
@@ -14,7 +14,8 @@ from barspark.sources.bars import event_bars, read, ship_bars
 H = event_bars_sql("hour")
 S = ship_bars_sql()
 P = "PARTITION BY symbol ORDER BY ts"
-OMITTED = "omitted AS (SELECT event_type AS symbol, (date_trunc('hour', ts) + INTERVAL (event_id % 7) HOUR)::TIMESTAMP AS ts FROM events WHERE event_id % 29 = 0 GROUP BY 1, 2)"
+#: Hours between a symbol's first and last bar that have none, and hours of a single event, which have been repaired.
+OMITTED = "omitted AS (SELECT symbol, ts FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR))::TIMESTAMP AS ts FROM bars GROUP BY symbol) WHERE (symbol, ts) NOT IN (SELECT (symbol, ts) FROM bars) UNION ALL SELECT symbol, ts FROM bars WHERE volume = 1)"
 
 
 def t(c="ts", name="t"):
@@ -22,9 +23,9 @@ def t(c="ts", name="t"):
 
 
 def omitted(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_id % 29 = 0")
-    at = F.timestamp_seconds(F.unix_seconds(F.date_trunc("hour", F.col("ts").cast("timestamp"))) + 3600 * (F.col("event_id") % 7))
-    return e.select(F.col("event_type").alias("symbol"), at.alias("ts")).distinct()
+    bars = event_bars(spark, sf_dir)
+    hours = bars.groupBy("symbol").agg(F.explode(F.sequence(F.min("ts"), F.max("ts"), F.expr("INTERVAL 1 HOUR"))).alias("ts"))
+    return hours.join(bars, ["symbol", "ts"], "left_anti").union(bars.where("volume = 1").select("symbol", "ts"))
 
 
 @query(f"WITH {H}, {SESSIONS_SQL}, i AS (SELECT * FROM bars JOIN (SELECT label, open_ts - INTERVAL 30 MINUTE AS open_ts, close_ts FROM sessions) ON ts >= open_ts AND ts < close_ts) SELECT symbol, epoch(ts)::BIGINT AS t, coalesce(round(max(CASE WHEN ts = open_ts THEN open END) OVER (PARTITION BY symbol, label), 6), -1) AS reference FROM i")
@@ -39,12 +40,26 @@ def c13_omission_states(spark, sf_dir):
     return research.omission_states(omitted(spark, sf_dir), event_bars(spark, sf_dir)).select("symbol", t(), "present")
 
 
-@query(f"WITH {H}, {OMITTED} SELECT b.symbol, epoch(b.ts)::BIGINT AS t, count(o.ts) AS segment FROM bars b LEFT JOIN omitted o ON o.symbol = b.symbol AND o.ts <= b.ts GROUP BY 1, 2")
+_SEGMENTS = f"{H}, {OMITTED}, numbered AS (SELECT b.*, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts) AS rn, (SELECT count(*) FROM omitted o WHERE o.symbol = b.symbol AND o.ts < b.ts AND (o.symbol, o.ts) NOT IN (SELECT (symbol, ts) FROM bars)) AS segment FROM bars b)"
+
+
+@query(f"WITH {_SEGMENTS} SELECT symbol, epoch(ts)::BIGINT AS t, segment FROM numbered")
 def f09_omission_segments(spark, sf_dir):
     return research.omission_segments(event_bars(spark, sf_dir), omitted(spark, sf_dir)).select("symbol", t(), "segment")
 
 
-@query(f"WITH {OMITTED}, n AS (SELECT *, row_number() OVER ({P}) AS n FROM omitted) SELECT symbol, count(*) AS omitted, string_agg(strftime(ts, '%Y-%m-%d %H:%M'), ', ' ORDER BY ts) FILTER (n <= 5) AS preview FROM n GROUP BY symbol")
+@query(f"""WITH {_SEGMENTS}, cand AS (SELECT e.symbol, e.rn AS end_rn, s.rn AS start_rn, max(b.high) AS hi, min(b.low) AS lo FROM numbered e JOIN numbered s ON s.symbol = e.symbol AND s.segment = e.segment AND s.rn BETWEEN e.rn - 11 AND e.rn - 2 JOIN numbered b ON b.symbol = e.symbol AND b.rn BETWEEN s.rn AND e.rn GROUP BY 1, 2, 3)
+SELECT symbol, min(start_rn) AS start_rn, end_rn FROM cand WHERE 200 * (hi - lo) / (hi + lo) <= 120 * (1 + 1e-12) GROUP BY symbol, end_rn""")
+def f09_flats_by_segment(spark, sf_dir):
+    """Flat stretches, none of which spans a bar that is missing."""
+    from barspark.operators import detect
+
+    bars = research.omission_segments(event_bars(spark, sf_dir), omitted(spark, sf_dir))
+    found = detect.flat_windows(bars, 3, 12, limit=120.0, keys=("symbol", "segment"))
+    return found.select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"))
+
+
+@query(f"WITH {H}, {OMITTED}, n AS (SELECT *, row_number() OVER ({P}) AS n FROM omitted) SELECT symbol, count(*) AS omitted, string_agg(strftime(ts, '%Y-%m-%d %H:%M'), ', ' ORDER BY ts) FILTER (n <= 5) AS preview FROM n GROUP BY symbol")
 def d26_omission_preview(spark, sf_dir):
     return research.omission_preview(omitted(spark, sf_dir))
 
@@ -120,10 +135,10 @@ def g07_last_rows(spark, sf_dir):
     return research.last_rows_of(event_bars(spark, sf_dir), 50).select("symbol", t())
 
 
-@query("SELECT c_custkey % 1000 AS place, c_custkey AS ticker, round(max(o_totalprice), 2) AS value, count(*) AS rows_found FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey % 1000 AS place, c_custkey AS ticker, round(max(o_totalprice), 2) AS value FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def g08_screening(spark, sf_dir):
     asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), (F.col("c_custkey") % 1000).alias("place"))
-    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_totalprice").alias("value"))
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker")).agg(F.max("o_totalprice").alias("value"))
     return research.screening(rows, asked).withColumn("value", F.round("value", 2))
 
 
@@ -171,12 +186,6 @@ def i12_dividend_agreement(spark, sf_dir):
 W = ship_bars_sql("week", True)
 
 
-@query(f"WITH {W}, r AS (SELECT symbol, min(ts) AS f, max(ts) AS l, count(*) AS n FROM bars WHERE volume >= 20 GROUP BY 1), b AS (SELECT symbol, min(ts) AS f, max(ts) AS l, count(*) AS n FROM bars GROUP BY 1) SELECT symbol, coalesce(r.f = b.f AND r.l = b.l AND r.n = b.n, false) AS agrees FROM r FULL JOIN b USING (symbol)")
-def a25_audit(spark, sf_dir):
-    bars = ship_bars(spark, sf_dir, "week", True)
-    return intervals.audit(bars, intervals.coverage(bars.where("volume >= 20"), "symbol"), "symbol")
-
-
 @query(f"WITH {H}, {SESSIONS_SQL}, g AS (SELECT o + INTERVAL (h) HOUR AS ts FROM (SELECT open_ts AS o FROM sessions), range(7) r(h)), sup AS (SELECT * FROM g WHERE ts < TIMESTAMP '2024-01-15' ORDER BY ts DESC LIMIT 10) SELECT epoch(ts)::BIGINT AS t, true AS is_support FROM sup UNION ALL SELECT epoch(ts)::BIGINT, false FROM g WHERE ts >= TIMESTAMP '2024-01-15' AND ts < (SELECT max(ts) FROM bars)")
 def k01_grid_with_lookback(spark, sf_dir):
     grid = cal.expected_grid(sessions(spark), 60)

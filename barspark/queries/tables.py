@@ -227,6 +227,14 @@ def f01_flat_windows(spark, sf_dir):
     return flats(spark, sf_dir).select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"), F.round("mid", 6).alias("mid"), F.round("width", 6).alias("width"))
 
 
+@query(f"""{_FLAT} SELECT f.symbol, f.start_rn, f.end_rn, f.end_rn - f.start_rn + 1 AS bars, 120.0 AS allowed, round(max(200 * (b.high - b.low) / (b.high + b.low)), 6) AS longest, round(median(200 * (b.high - b.low) / (b.high + b.low)), 6) AS median
+FROM flat f JOIN numbered b ON b.symbol = f.symbol AND b.rn BETWEEN f.start_rn AND f.end_rn GROUP BY f.symbol, f.start_rn, f.end_rn""")
+def f10_flat_records(spark, sf_dir):
+    """The widths of the bars in each flat stretch."""
+    rounded = [F.round(c, 6).alias(n) for c, n in (("longest_bar_width", "longest"), ("median_bar_width", "median"))]
+    return flats(spark, sf_dir).select("symbol", F.col("start_rn").cast("long").alias("start_rn"), F.col("end_rn").cast("long").alias("end_rn"), F.col("bars").cast("long").alias("bars"), F.col("limit").alias("allowed"), *rounded)
+
+
 @query(f"""WITH {H}, {NUMBERED_SQL}, cand AS (SELECT e.symbol, e.rn AS end_rn, s.rn AS start_rn, max(b.high) AS hi, min(b.low) AS lo, quantile_cont(200 * (b.high - b.low) / (b.high + b.low), 0.9) AS q, quantile_cont(200 * (b.high - b.low) / (b.high + b.low), 0.5) AS m, max(200 * (b.high - b.low) / (b.high + b.low)) AS w
   FROM numbered e JOIN numbered s ON s.symbol = e.symbol AND s.rn BETWEEN e.rn - 7 AND e.rn - 2 JOIN numbered b ON b.symbol = e.symbol AND b.rn BETWEEN s.rn AND e.rn GROUP BY 1, 2, 3)
 SELECT symbol, end_rn, min(start_rn) AS start_rn FROM cand WHERE 200 * (hi - lo) / (hi + lo) <= 1.2 * q * (1 + 1e-12) AND w <= 3 * m * (1 + 1e-12) GROUP BY 1, 2""")

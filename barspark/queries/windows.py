@@ -178,10 +178,12 @@ def j17_equity_curve(spark, sf_dir):
     return rounded(strategy.equity_curve(targets(spark, sf_dir), "blend", 1000.0), "equity")
 
 
-@query(f"WITH {H}, {NUMBERED_SQL}, {_TARGETS}, {_CURVE}, d AS (SELECT *, equity / max(equity) OVER ({P} ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM curve) SELECT symbol, round(first(equity ORDER BY ts), 6) AS initial, round(last(equity ORDER BY ts), 6) AS final, round(last(equity ORDER BY ts) / first(equity ORDER BY ts) - 1, 6) AS total_return, round(min(drawdown), 6) AS max_drawdown FROM d GROUP BY symbol")
+@query(f"""WITH {H}, {NUMBERED_SQL}, {_TARGETS}, {_CURVE}, d AS (SELECT *, equity / max(equity) OVER ({P} ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM curve), made AS (SELECT symbol, count(*) AS trade_count, sum(volume * close * 0.0005) AS total_fees FROM bars WHERE close > 2 * open GROUP BY 1)
+SELECT d.symbol, round(first(equity ORDER BY ts), 6) AS initial, round(last(equity ORDER BY ts), 6) AS final, round(last(equity ORDER BY ts) / first(equity ORDER BY ts) - 1, 6) AS total_return, round(min(drawdown), 6) AS max_drawdown, coalesce(any_value(trade_count), 0) AS trade_count, round(coalesce(any_value(total_fees), 0), 6) AS total_fees FROM d LEFT JOIN made USING (symbol) GROUP BY d.symbol""")
 def d18_performance(spark, sf_dir):
-    found = strategy.performance(strategy.equity_curve(targets(spark, sf_dir), "blend", 1000.0))
-    return rounded(found, "initial", "final", "total_return", "max_drawdown", t=False)
+    trades = event_bars(spark, sf_dir).where("close > 2 * open").select("symbol", (F.col("volume") * F.col("close") * 0.0005).alias("fees"))
+    found = strategy.performance(strategy.equity_curve(targets(spark, sf_dir), "blend", 1000.0), trades=trades)
+    return found.select("symbol", "trade_count", *[F.round(c, 6).alias(c) for c in ("initial", "final", "total_return", "max_drawdown", "total_fees")])
 
 
 @query(f"WITH {W}, d AS (SELECT DISTINCT ts FROM bars), l AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS nx, row_number() OVER (ORDER BY ts) AS rn FROM d) SELECT epoch(ts)::BIGINT AS t, (rn - 1) % 4 = 0 AS every_n, coalesce(year(ts) <> year(nx) OR month(ts) <> month(nx), false) AS monthly, coalesce(isoyear(ts) <> isoyear(nx) OR week(ts) <> week(nx), false) AS weekly, coalesce(ts::DATE <> nx::DATE, false) AS daily FROM l")

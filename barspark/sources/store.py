@@ -11,13 +11,13 @@ import tempfile
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.operators.intervals import superseded
-from barspark.operators.validate import between, duplicate_keys, flag_bars
-from barspark.schema import BAR_SCHEMA
+from barspark.operators.validate import between, duplicate_keys, violations
+from barspark.schema import BAR_SCHEMA, either, true
 
 IDENTITY = ["layer", "provider", "timeframe"]
 STORED = T.StructType([*BAR_SCHEMA.fields, *[T.StructField(c, T.StringType()) for c in (*IDENTITY, "revision")], T.StructField("year", T.IntegerType())])
@@ -30,6 +30,10 @@ class OverlapError(ValueError):
     pass
 
 
+class RequestError(ValueError):
+    """A batch with bad bars, or not what was asked for."""
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse, else, in a local session, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +53,11 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def revisions(spark: SparkSession, path: str) -> DataFrame:
     """All recorded revisions, with ``active``."""
     found = _table(spark, f"{path}.revisions", REVISIONS)
@@ -93,30 +102,70 @@ def overlaps(bars: DataFrame, path: str, ids: list[str]) -> DataFrame:
     return own.join(had, "symbol").where("a <= d and c <= b")
 
 
-def publish(bars: DataFrame, path: str, layer: str, provider: str, timeframe: str, revision: str, supersedes: list[str] = (), parents: list[str] = (), pipeline: str = "") -> None:
-    """Check a batch, append it as ``revision`` and record it; a bad bar, a repeated key or an overlap of an active batch is refused."""
+def publish(bars: DataFrame, path: str, layer: str, provider: str, timeframe: str, revision: str, supersedes: list[str] = (), parents: list[str] = (), pipeline: str = "", symbols: list[str] | None = None, bounds: tuple[str, str] | None = None) -> None:
+    """Append a batch as ``revision``, check it as it is written, and record it.
+
+    Bars that break a rule, repeated keys, symbols that are not asked for, bars outside the asked ``[start, end)`` of ``bounds``, bars of days or longer
+    that do not start at midnight, and an overlap of an active batch are refused: what was
+    written is deleted, and without a row in the table of revisions it never counted. The batch is evaluated once: its
+    metrics are observed on the way to the files, and keys and ends are read back from these.
+
+    One writer at a time publishes to a store: two that check before either records its row both pass.
+    """
     spark = bars.sparkSession
     bars = bars.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in BAR_SCHEMA])
-    faults = flag_bars(bars).groupBy("symbol", "ts").agg(F.count("*").alias("times"), F.max(F.size("reasons")).alias("broken")).where("times > 1 or broken > 0")
-    if faults.limit(1).count():
-        raise ValueError("the batch has invalid bars or repeated keys")
     known = _recorded(spark, path)
     if any(r.revision == revision for r in known):
         raise ValueError(f"the revision {revision} is there already")
-    same = (layer, provider, timeframe, pipeline)
-    live = [r.revision for r in known if r.active and (r.layer, r.provider, r.timeframe, r.pipeline) == same and r.revision not in supersedes]
-    if live and overlaps(bars, path, live).limit(1).count():
-        raise OverlapError("the batch overlaps a stored one")
+    odd = {"invalid": either(list(violations().values())) | F.col("symbol").isNull() | F.col("ts").isNull()}
+    if symbols is not None:
+        odd["other_symbol"] = ~F.col("symbol").isin(list(symbols))
+    if bounds is not None:
+        a, b = (F.lit(x).cast("timestamp") for x in bounds)
+        odd["out_of_bounds"] = (F.col("ts") < a) | (F.col("ts") >= b)
+    if not timeframe.endswith(("m", "h")):
+        odd["not_midnight"] = F.col("ts") != F.date_trunc("day", "ts")
     tags = {"layer": layer, "provider": provider, "timeframe": timeframe, "revision": revision}
-    tagged = bars.withColumns({k: F.lit(v) for k, v in tags.items()} | {"year": F.year("ts")})
+    seen = Observation()
+    tagged = bars.observe(seen, *[F.count_if(true(c)).alias(n) for n, c in odd.items()]).withColumns({k: F.lit(v) for k, v in tags.items()} | {"year": F.year("ts")})
     (tagged.repartition("symbol", "year").sortWithinPartitions("symbol", "ts").write.mode("append").option("compression", "zstd").partitionBy(*IDENTITY, "revision", "year").parquet(path))
     written = _of(spark, path, [revision])
+    same = (layer, provider, timeframe, pipeline)
+    live = [r.revision for r in known if r.active and (r.layer, r.provider, r.timeframe, r.pipeline) == same and r.revision not in supersedes]
+    try:
+        if faults := {n: k for n, k in seen.get.items() if k}:
+            raise RequestError(f"the batch has {faults}")
+        if not duplicate_keys(written).isEmpty():
+            raise RequestError("the batch has repeated keys")
+        if live and not overlaps(written, path, live).isEmpty():
+            raise OverlapError("the batch overlaps a stored one")
+    except ValueError:
+        _delete(spark, f"{path}/layer={layer}/provider={provider}/timeframe={timeframe}/revision={revision}")
+        raise
     row = written.agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
     row = row.withColumns({k: F.lit(v) for k, v in tags.items()} | {"pipeline": F.lit(pipeline), "parents": strings(parents), "supersedes": strings(supersedes)})
     row.select("revision", *IDENTITY, "pipeline", "parents", "supersedes", "rows", "first_ts", "last_ts").write.mode("append").parquet(f"{path}.revisions")
 
 
+def ingest(bars: DataFrame, path: str, provider: str, timeframe: str, revision: str, symbols: list[str], start: str, end: str) -> None:
+    """A raw batch as an answer to a request: it holds only the asked ``symbols`` and times."""
+    publish(bars, path, "raw", provider, timeframe, revision, symbols=symbols, bounds=(start, end))
+
+
+def audit(spark: SparkSession, path: str) -> DataFrame:
+    """``(revision, rows, invalid, repeated, agrees)`` of every recorded revision, active or not, from one pass over all stored bars.
+
+    ``agrees``: its bars are as many and lie between the same ends as recorded, none breaks a rule and no key repeats. A recorded revision without
+    bars has none of them.
+    """
+    broken = either(list(violations().values()))
+    by_key = _table(spark, path, STORED).groupBy("revision", "symbol", "ts").agg(F.count("*").alias("n"), F.count_if(broken).alias("bad"))
+    found = by_key.groupBy("revision").agg(F.sum("n").alias("_rows"), F.sum("bad").alias("invalid"), F.sum(F.col("n") - 1).alias("repeated"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    same = (F.col("_rows") == F.col("rows")) & F.col("_first").eqNullSafe(F.col("first_ts")) & F.col("_last").eqNullSafe(F.col("last_ts")) & (F.col("invalid") == 0) & (F.col("repeated") == 0)
+    return revisions(spark, path).join(found, "revision", "left").select("revision", F.coalesce("_rows", F.lit(0)).alias("rows"), F.coalesce("invalid", F.lit(0)).alias("invalid"), F.coalesce("repeated", F.lit(0)).alias("repeated"), F.coalesce(same, F.col("rows") == 0).alias("agrees"))
+
+
 def write_batch(bars: DataFrame, path: str, layer: str, provider: str, timeframe: str, revision: str) -> None:
     publish(bars, path, layer, provider, timeframe, revision)
 

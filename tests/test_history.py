@@ -102,10 +102,22 @@ def test_ranks_of_ties_and_nulls(spark, descending):
 
 
 def test_inferred_metrics(spark):
-    counts = spark.createDataFrame([("a", "win", 3.0), ("a", "loss", 1.0), ("b", "win", 1.5), ("c", "win", 1.0), ("c", "win", 2.0), ("d", " ", 1.0)], "ticker string, outcome string, n double")
+    counts = spark.createDataFrame([("a", "win", 3.0), ("a", "loss", 1.0), ("b", "win", 1.5), ("c", "win", 1.0), ("c", "win", 2.0), ("d", " ", 1.0), ("e", "win", -1.0), ("f", "win", None)], "ticker string, outcome string, n double")
+    counts = rollup.with_roles(counts, outcome="category", n="count")
     one = spark.createDataFrame([("a", 5, 2.5, 9.0, True), ("b", 1, None, 9.0, True), ("c", 1, 1.0, 1.0, False), ("c", 2, 1.0, 1.0, False)], "ticker string, trades int, sharpe double, last_price double, flag boolean")
-    got = {(r.ticker, r.table, r.metric, r.value, r.aggregation) for r in rollup.inferred_metrics({"outcomes": counts, "one": one, "detail": one.withColumn("date", F.current_date())}).collect()}
-    assert got == {("a", "outcomes", "win", 3.0, "sum"), ("a", "outcomes", "loss", 1.0, "sum"), ("a", "one", "trades", 5.0, "sum"), ("a", "one", "sharpe", 2.5, "none"), ("b", "one", "trades", 1.0, "sum")}
+    one = rollup.with_roles(one, trades="count", last_price="price")
+    series = one.withColumn("date", F.current_date())
+    tables = {"outcomes": counts, "one": one, "detail": series, "said": series.select("ticker", "date", "sharpe"), "nothing": one.select("ticker", "flag")}
+    got = {(r.ticker, r.table, r.metric, r.value, r.aggregation) for r in rollup.inferred_metrics(tables, summaries=("said",)).collect()}
+    assert got == {
+        ("a", "outcomes", "win", 3.0, "sum"), ("a", "outcomes", "loss", 1.0, "sum"), ("f", "outcomes", "win", None, "sum"),
+        ("a", "one", "trades", 5.0, "sum"), ("a", "one", "sharpe", 2.5, "none"), ("b", "one", "trades", 1.0, "sum"), ("a", "said", "sharpe", 2.5, "none"),
+    }
+    assert rollup.inferred_metrics({"nothing": tables["nothing"]}).count() == 0
+    assert rollup.roles(one.where("trades > 1").select("ticker", "trades"), "ticker") == {"trades": "count"}
+    for bad in (dict(trades="total"), dict(other="count")):
+        with pytest.raises(ValueError):
+            rollup.with_roles(one, **bad)
 
 
 def test_identifiers_and_timeframes(spark):

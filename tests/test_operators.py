@@ -39,8 +39,8 @@ def test_incomplete_policies(spark):
     s, bars = session(spark, open_ts, open_ts + datetime.timedelta(minutes=60)), minutes(spark, open_ts, 60, skip=(31,))
     assert resample.resample_sessions(bars, s, 30, 1, "drop").count() == 1
     assert sorted(r.observed for r in resample.resample_sessions(bars, s, 30, 1, "aggregate").collect()) == [29, 30]
-    with pytest.raises(ValueError):
-        resample.resample_sessions(bars, s, 30, 1, "raise")
+    with pytest.raises(Exception, match="intervals lack source bars"):
+        resample.resample_sessions(bars, s, 30, 1, "raise").collect()
     report = resample.quality_report(bars, s, 30, 1).collect()
     assert [(r.observed, r.missing) for r in report] == [(29, 1)]
 
