@@ -23,6 +23,8 @@ from barspark.llm.common import materialize, read_table, release
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each language in the training sample, as expected number.
 SAMPLE = 1500
+#: Languages that a model tells apart at most: their table of pieces is on the driver (0.3 MB each) and broadcast.
+LANGUAGES = 256
 ROUNDS = 2
 #: Factor a letter, which keeps products of probabilities in range over RESCALE letters; then sums are scaled anew.
 SCALE = 24.0
@@ -216,14 +218,17 @@ class Scorer:
         return got, score, each, lead
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, pieces: list[str] | None = None) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, pieces: list[str] | None = None, most: int = LANGUAGES) -> Model:
     """A model of ``labelled``; about ``sample`` rows of each language, chosen by a hash of the id, are read.
 
-    What reaches the driver is one number per language and piece.
+    What reaches the driver is one number per language and piece, so a column of more than ``most`` languages
+    is refused with a ``ValueError`` before any of them is read.
     """
     pieces = pieces or public_pieces()
     rows = labelled.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"the column {lang} has more than {most} values; name fewer languages")
     languages = sorted(sizes)
     if not languages:
         return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
@@ -321,9 +326,13 @@ def recognised(found: DataFrame, least_lead: float = LEAST_LEAD) -> DataFrame:
     ``least_lead`` of the median lead of their language: texts in no learned language, or with a large
     part in another. Where only one language is known there is no lead, and all texts with a letter stay.
     """
+    names = found.columns
+    own = {c: f"c{names.index(c)}" for c in ("lang_pred", "lang_lead")}
+    found = found.toDF(*[f"c{k}" for k in range(len(names))]).withColumnsRenamed({v: k for k, v in own.items()})
     usual = found.where("lang_lead is not null").groupBy(F.col("lang_pred").alias("_lang")).agg(F.percentile_approx("lang_lead", 0.5, 10_000).alias("_usual"))
-    joined = found.join(F.broadcast(usual), F.col("lang_pred") == F.col("_lang"), "left")  # a row per learned language
-    return joined.where((F.col("lang_pred") != UNKNOWN) & F.coalesce(F.col("lang_lead") >= least_lead * F.col("_usual"), F.lit(True))).drop("_lang", "_usual")
+    joined = found.join(F.broadcast(usual), F.col("lang_pred") == F.col("_lang"), "left")  # a row per learned language: LANGUAGES at most
+    kept = joined.where((F.col("lang_pred") != UNKNOWN) & F.coalesce(F.col("lang_lead") >= least_lead * F.col("_usual"), F.lit(True)))
+    return kept.drop("_lang", "_usual").toDF(*names)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -195,13 +195,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     driver sees counts by length and partition: at most one row a length and one a partition.
     """
     spark = pieces.sparkSession
+    own = pieces.columns  # columns of any name, the added ones too: inside they are c0, c1 and so on
+    length_of = own.index("length")
+    pieces = pieces.toDF(*[f"c{k}" for k in range(len(own))])
     names = pieces.columns
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         part = TaskContext.get().partitionId()
         for batch in batches:
-            length = batch.column(names.index("length")).to_numpy()
+            length = batch.column(length_of).to_numpy()
             ranks = np.zeros(len(length), np.int64)
             for x in np.unique(length).tolist():
                 at = np.flatnonzero(length == x)
@@ -211,9 +214,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = F.xxhash64(*[F.col(c) for c in names])
-    dealt = pieces.withColumn("_spread", spread).repartitionByRange(number, "length", "_spread").sortWithinPartitions("length", "_spread").drop("_spread")
+    dealt = pieces.withColumn("_spread", spread).repartitionByRange(number, names[length_of], "_spread").sortWithinPartitions(names[length_of], "_spread").drop("_spread")
     ranks = materialize(dealt.mapInArrow(ranked, T.StructType(list(pieces.schema.fields)).add("_part", "integer").add("_rank", "long")), "ranked_pieces")
-    counts = sorted((r["length"], r["_part"], r["n"]) for r in ranks.groupBy("length", "_part").agg(F.count("*").alias("n")).collect())
+    counts = sorted((r["length"], r["_part"], r["n"]) for r in ranks.groupBy(F.col(names[length_of]).alias("length"), "_part").agg(F.count("*").alias("n")).collect())
     offsets, total = {}, {}
     for length, part, n in counts:
         offsets[length, part] = total.get(length, 0)
@@ -233,7 +236,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, tables = shared.value
         for batch in batches:
-            length, part, rank = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("length", "_part", "_rank"))
+            length, part, rank = (batch.column(k).to_numpy() for k in (length_of, len(names), len(names) + 1))
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for x, p in {*zip(length.tolist(), part.tolist())}:
                 at = np.flatnonzero((length == x) & (part == p))
@@ -244,14 +247,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     shared = spark.sparkContext.broadcast((offsets, tables))
-    return ranks.mapInArrow(placed, T.StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long"))
+    found = ranks.mapInArrow(placed, T.StructType(list(pieces.schema.fields)).add("sequence_id", "long").add("offset", "long"))
+    kept = [k for k, c in enumerate(own) if c not in ("sequence_id", "offset")]
+    return found.select(*[F.col(names[k]).alias(own[k]) for k in kept], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A null or empty text is one piece that holds the end id alone. Repeated rows are packed as
-    often as they come, a null id stays null; an empty table gives an empty table.
+    often as they come, a null id stays null; texts of any length are encoded whole; further columns are ignored; an empty table gives an empty table.
     """
     pieces = materialize(token_pieces(docs, path, capacity, text, doc_id), "token_pieces")
     return pack(pieces, capacity).drop("copy")

@@ -53,39 +53,51 @@ def lookup_table(shards: Sequence[str], slots: int = SLOTS) -> np.ndarray:
     return np.array(table, np.int32)
 
 
-def place(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``df`` with ``slot`` and ``shard``.
-
-    Equal keys go to one shard. A null key goes to the slot of the hash of no value; repeated
-    rows stay; columns of ``df`` named ``slot`` or ``shard`` are replaced, but for the key; an
-    empty table gives an empty table. The broadcast table has ``slots`` rows whatever the size of ``df``.
-    """
+def _placed(df: DataFrame, key: str, shards: Sequence[str], slots: int) -> DataFrame:
+    """``df`` as ``c0``, ``c1`` and so on, with ``slot`` and ``shard``, so that no column of it can clash."""
     spark = df.sparkSession
     owner = lookup_table(shards, slots)
     table = spark.createDataFrame(pd.DataFrame({"slot": np.arange(slots, dtype=np.int32), "shard": np.array(shards, object)[owner]}))
+    table = table.select(F.col("slot").cast("int").alias("slot"), "shard")
+    rows = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    hashed = rows.withColumn("slot", F.pmod(F.xxhash64(F.col(f"c{df.columns.index(key)}")), F.lit(slots)).cast("int"))
+    return hashed.join(F.broadcast(table), "slot").select(*rows.columns, "slot", "shard")
+
+
+def _kept(df: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
+    """``df`` without the columns that ``slot`` and ``shard`` replace, and the names of all columns of the result."""
     base = df.drop(*(c for c in ("slot", "shard") if c != key))
-    hashed = base.withColumn("_slot", F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int"))
-    table = table.select(F.col("slot").cast("int").alias("_slot"), F.col("shard").alias("_shard"))
-    placed = hashed.join(F.broadcast(table), "_slot")
-    return placed.select(*base.columns, "_slot", "_shard").toDF(*base.columns, *(("slot", "shard") if key not in ("slot", "shard") else ("_slot", "_shard")))
+    return base, [*base.columns, *(("slot", "shard") if key not in ("slot", "shard") else ("_slot", "_shard"))]
+
+
+def place(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """``df`` with ``slot`` and ``shard``.
+
+    Equal keys go to one shard. A null key goes to the slot of the hash of no value; texts of any length and repeated
+    rows stay; columns of ``df`` named ``slot`` or ``shard`` are replaced, but for the key, beside which the new ones are
+    ``_slot`` and ``_shard``; columns of any other name pass through. An empty table gives an empty table. The broadcast
+    table has ``slots`` rows whatever the size of ``df``.
+    """
+    base, names = _kept(df, key)
+    return _placed(base, key, shards, slots).toDF(*names)
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Write ``df`` as Parquet under ``path``, a folder a shard, and return what was written, with ``slot`` and ``shard``.
+    """Write ``df`` as Parquet under ``path``, a folder a shard, and return what was written, with the columns of :func:`place`.
 
     A shard with more than an eighth of a task's even part of the rows is dealt over tasks in such
     parts, so that a key of a third of all rows fills many files of its shard. Columns pass
-    through whatever their types; an empty table writes no shard.
+    through whatever their names and types; in the files they are ``c0``, ``c1`` and so on, in the order of ``df``. An empty table writes no shard.
     """
-    placed = place(df, key, shards, slots)
-    spark, columns = df.sparkSession, placed.columns
-    shard, number = columns[-1], int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = {r[0]: r[1] for r in placed.groupBy(shard).count().collect()}  # a row a shard at most
+    base, names = _kept(df, key)
+    placed = _placed(base, key, shards, slots)
+    spark, number = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = {r[0]: r[1] for r in placed.groupBy("shard").count().collect()}  # a row a shard at most
     even = max(1, sum(sizes.values()) // (8 * number))  # small parts, so that hashing deals them evenly
-    parts = spark.createDataFrame([(k, -(-n // even)) for k, n in sizes.items()], f"`{shard}` string, _parts int")
-    dealt = placed.join(F.broadcast(parts), shard).withColumn("_part", F.monotonically_increasing_id() % F.col("_parts"))
-    dealt.repartition(number, shard, "_part").select(*columns).write.partitionBy(shard).parquet(path)
-    return spark.read.schema(placed.schema).parquet(path).select(*columns)
+    parts = spark.createDataFrame([(k, -(-n // even)) for k, n in sizes.items()], "shard string, parts int")
+    dealt = placed.join(F.broadcast(parts), "shard").withColumn("part", F.monotonically_increasing_id() % F.col("parts"))
+    dealt.repartition(number, "shard", "part").select(*placed.columns).write.partitionBy("shard").parquet(path)
+    return spark.read.schema(placed.schema).parquet(path).select(*placed.columns).toDF(*names)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

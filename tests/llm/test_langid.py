@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from barspark.llm import langid
 
@@ -107,3 +108,16 @@ def test_odd_rows(spark):
 
 def F_col(df):
     return df["lang_pred"]
+
+
+def test_too_many_languages_are_refused(spark):
+    rows = spark.range(1000).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="more than 256"):
+        langid.fit(rows)
+
+
+def test_recognised_keeps_columns_of_any_name(spark):
+    rows = [("en", 0.9, 1.0, "x", "y", "z"), ("en", 0.9, 1.0, "x", "y", "z"), ("en", 0.9, 0.1, "x", "y", "z"), ("und", 0.0, None, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "lang_pred string, lang_score double, lang_lead double, _lang string, _usual string, c0 string")
+    out = langid.recognised(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == rows[:2]

@@ -64,3 +64,12 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["_part", "_rank", "_spread", "c0", "sequence_id"]
+    df = spark.createDataFrame([(k % 7 + 1, *[f"{n}{k}" for n in names], k) for k in range(60)], ["length", *names, "id"])
+    out = packing.pack(df.withColumn("length", df.length.cast("long")), 8)
+    assert out.columns == ["length", *names[:-1], "id", "sequence_id", "offset"]
+    rows = out.collect()
+    assert sorted(r.id for r in rows) == list(range(60)) and all(r[n] == f"{n}{r.id}" for r in rows for n in names[:-1])

@@ -52,7 +52,7 @@ def test_odd_rows(spark, sf):
 
 def test_registered_queries(spark):
     found = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(found)
 
 

@@ -78,3 +78,17 @@ def test_query(spark, sf):
     slot = [xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) for i in docs.doc_id]
     want = {(int(i), sharding.SHARDS[table[(h if h < 1 << 63 else h - (1 << 64)) % sharding.SLOTS]]) for i, h in zip(docs.doc_id, slot)}
     assert set(zip(got.doc_id, got.shard)) == want
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    names = ["_slot", "_shard", "_part", "_parts", "part", "parts", "c0", "c1", "slot", "shard"]
+    df = spark.createDataFrame([(k, *[f"{n}{k}" for n in names]) for k in range(40)], ["key", *names])
+    for out in (sharding.place(df, "key", ["a", "b", "c"], 101), sharding.write_shards(df, "key", str(tmp_path / "shards"), ["a", "b", "c"], 101)):
+        assert out.columns == ["key", *names[:-2], "slot", "shard"]
+        rows = out.collect()
+        assert sorted(r.key for r in rows) == list(range(40))
+        for r in rows:
+            assert all(r[n] == f"{n}{r.key}" for n in names[:-2])
+            assert 0 <= r.slot < 101 and r.shard in "abc"
+    by = df.withColumnRenamed("shard", "other").withColumnRenamed("key", "shard").drop("_slot", "_shard")
+    assert sharding.write_shards(by, "shard", str(tmp_path / "by"), ["a"], 7).columns == [*by.drop("slot").columns, "_slot", "_shard"]
