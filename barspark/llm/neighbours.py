@@ -210,11 +210,28 @@ def _cover(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[tupl
                     yield batch, k, rows, value ^ mask
 
 
+#: Neighbours that a task holds before it keeps the best of each query only, and still holds after that before it sends them.
+HELD, FULL = 200_000, 1_000_000
+
+
+def best(held: list[tuple[np.ndarray, ...]], top: int) -> tuple[np.ndarray, ...]:
+    """Of ``(asker, node, low, score)``, some of them several times, the ``top`` + 1 best of each asker, once each."""
+    asker, node, low, score = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((node, low, -score, asker))
+    asker, node, low, score = (c[order] for c in (asker, node, low, score))
+    once = np.append(True, (asker[1:] != asker[:-1]) | (node[1:] != node[:-1]))
+    asker, node, low, score = (c[once] for c in (asker, node, low, score))
+    new = np.flatnonzero(np.append(True, asker[1:] != asker[:-1]))
+    keep = np.arange(len(asker)) - np.repeat(new, np.diff(np.append(new, len(asker)))) <= top
+    return asker[keep], node[keep], low[keep], score[keep]
+
+
 def compare(batches: Iterator[pa.RecordBatch], dtype: type, top: int) -> Iterator[pa.RecordBatch]:
-    """The ``top`` + 1 best of each probe among the homes of its value that are within its radius."""
+    """The ``top`` + 1 best of each probe among the homes that are within its radius, of all values that a task gets."""
+    held: list[tuple[np.ndarray, ...]] = []
     for table, start in whole_runs(batches, [*KEYS, "i", "j"], 20_000):
         role, node, low, code, radius, floor, scale, dims = (table.column(c).to_numpy() for c in ("role", "node", "low", "code", "radius", "floor", "scale", "dims"))
-        vector, out = table.column("vector").combine_chunks(), []
+        vector = table.column("vector").combine_chunks()
         for lo, hi in zip(start.tolist(), np.append(start[1:], table.num_rows).tolist()):
             h = lo + int((role[lo:hi] == 0).sum())
             if h == lo or h == hi:
@@ -239,10 +256,14 @@ def compare(batches: Iterator[pa.RecordBatch], dtype: type, top: int) -> Iterato
                 a, b, exact = a[order], b[order], exact[order]
                 new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
                 keep = np.arange(len(a)) - np.repeat(new, np.diff(np.append(new, len(a)))) <= top
-                out.append((node[first + a[keep]], node[lo + b[keep]], low[lo + b[keep]], exact[keep]))
-        if out:
-            asker, found, low_id, score = (np.concatenate(c) for c in zip(*out))
-            yield _batch(asker=asker, node=found, low=low_id, score=score)
+                held.append((node[first + a[keep]], node[lo + b[keep]], low[lo + b[keep]], exact[keep]))
+        if sum(len(x[0]) for x in held) > HELD:
+            held = [best(held, top)]
+            if len(held[0][0]) > FULL:
+                yield _batch(**dict(zip(("asker", "node", "low", "score"), held[0])))
+                held = []
+    if held:
+        yield _batch(**dict(zip(("asker", "node", "low", "score"), best(held, top))))
 
 
 def _round(nodes: DataFrame, asked: DataFrame, n: int, dtype: type, top: int) -> DataFrame:
