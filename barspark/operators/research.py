@@ -108,15 +108,6 @@ def outcome_summary(trades: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def split_capital(accounts: DataFrame, initial: float) -> DataFrame:
-    """``accounts(strategy, ticker, growth)`` to totals by strategy: equal parts floored to 8 places, what is left stays idle."""
-    n = F.count("*").over(Window.partitionBy("strategy"))
-    df = accounts.withColumn("_part", F.floor(F.lit(initial) / n * 1e8) / 1e8)
-    return df.groupBy("strategy").agg(
-        F.sum(F.col("_part") * F.col("growth")).alias("invested"), (F.lit(initial) - F.sum("_part")).alias("idle"), F.count("*").alias("accounts")
-    ).withColumn("total", F.col("invested") + F.col("idle"))
-
-
 def marks(positions: DataFrame, prices: DataFrame, cash: float) -> DataFrame:
     """``positions(symbol, quantity)`` at each of ``prices(symbol, ts, close)``: value and weight of equity."""
     df = prices.join(positions, "symbol").withColumn("value", F.col("quantity") * F.col("close"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barspark.functions import indicators as ind
 from barspark.operators import detect, resample, research, rollup, strategy, support, validate, vendor
 from barspark.operators import sessions as cal
-from barspark.plans import strategies
+from barspark.plans import rebalance, strategies
 from barspark.plans.pipeline import Contract, by_ticker, preview, registry
 from barspark.queries import NUMBERED_SQL, SESSIONS_SQL, event_bars_sql, query, sessions, ship_bars_sql
 from barspark.queries.bars import RAW, WHY, raw_bars
@@ -303,7 +303,11 @@ _TABLE = """WITH o AS (SELECT o_orderstatus || o_orderpriority[1] AS ts, o_custk
 ), q AS (
   SELECT *, sum(abs(wish2 - base)) OVER (PARTITION BY ts) AS moves, greatest(0, {turnover} - must) AS rest FROM n
 )
-SELECT ts AS at, symbol, frozen, round(current, 9) AS current, round(CASE WHEN moves > rest + 1e-12 THEN base + rest / moves * (wish2 - base) ELSE wish2 END, 9) AS target FROM q"""
+SELECT ts AS at, symbol, frozen, round(current, 9) AS current, round(CASE WHEN moves > rest + 1e-12 THEN base + rest / moves * (wish2 - base) ELSE wish2 END, 9) AS target,
+  concat_ws('; ', CASE WHEN frozen THEN 'frozen: no score' END, CASE WHEN NOT frozen AND relative > 0 THEN 'selected' END, CASE WHEN NOT frozen AND relative = 0 THEN 'not selected' END,
+    CASE WHEN NOT frozen AND coalesce(relative / nullif(asked, 0), 0) * usable + 1e-12 < coalesce(proposed, 0) THEN 'reduced for reserve and frozen holdings' END, CASE WHEN NOT frozen AND wish + 1e-12 < coalesce(relative / nullif(asked, 0), 0) * usable THEN 'reduced by cap' END,
+    CASE WHEN frozen AND f > 1 - {reserve} + 1e-12 THEN 'frozen holdings exceed the reserve' END, CASE WHEN abs(base - current) > 1e-12 THEN 'mandatory reduction' END, CASE WHEN abs(base - current) > 1e-12 AND must > {turnover} + 1e-12 THEN 'mandatory changes exceed the turnover budget' END,
+    CASE WHEN NOT frozen AND wish > 0 AND abs(wish - base) < {least} THEN 'change below the least' END, CASE WHEN bought > greatest(0, 1 - {reserve} - based) + sold + 1e-12 AND wish1 > base THEN 'reduced to keep the reserve' END, CASE WHEN moves > rest + 1e-12 AND abs(wish2 - base) > 1e-12 THEN 'limited by the turnover budget' END) AS reason FROM q"""
 
 
 @query(_TABLE.format(reserve=0.05, cap=0.02, turnover=0.5, least=0.0005))
@@ -312,7 +316,25 @@ def j10_decision_table(spark, sf_dir):
     part = lambda c: F.col(c) / F.sum(c).over(ind.Window.partitionBy("ts"))
     df = o.select("ts", "symbol", F.when(F.col("symbol") % 4 != 0, F.col("score")).alias("score"), (0.9 * part("held")).alias("current"), part("asked").alias("proposed"))
     found = strategy.rebalance_targets(df, reserve=0.05, cap=0.02, turnover=0.5, least=0.0005)
-    return found.select(F.col("ts").alias("at"), "symbol", "frozen", F.round("current", 9).alias("current"), F.round("target", 9).alias("target"))
+    return found.select(F.col("ts").alias("at"), "symbol", "frozen", F.round("current", 9).alias("current"), F.round("target", 9).alias("target"), "reason")
+
+
+_W = ship_bars_sql("week", True)
+_FLOW = f"""WITH {_W}, {NUMBERED_SQL}, days AS (SELECT ts, (row_number() OVER (ORDER BY ts) - 1) % 4 = 0 AS due FROM (SELECT DISTINCT ts FROM bars)), panel AS (SELECT symbol, ts, rn, close / lag(close, 4) OVER ({P}) - 1 AS score FROM numbered), scored AS (
+  SELECT symbol, ts, score FROM panel JOIN days USING (ts) WHERE due AND rn >= 6 AND score IS NOT NULL), chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, symbol) AS place FROM scored) WHERE place <= 8 AND score > 0), proposed AS (SELECT ts, symbol, score / sum(score) OVER (PARTITION BY ts) AS proposed FROM chosen), state AS (
+  SELECT ts, symbol, 0.9 * volume / sum(volume) OVER (PARTITION BY ts) AS current FROM bars JOIN days USING (ts) WHERE due), w AS (
+  SELECT ts, symbol, score, coalesce(current, 0) AS current, coalesce(proposed, 0) AS proposed FROM scored FULL JOIN state USING (ts, symbol) LEFT JOIN proposed USING (ts, symbol)""" + _TABLE[_TABLE.index("\n), a AS ("):].replace("SELECT ts AS at, symbol,", "SELECT 'rebalance-' || lpad(dense_rank() OVER (ORDER BY ts)::VARCHAR, 6, '0') AS rebalance_id, epoch(ts)::BIGINT AS at, symbol,")
+
+
+@query(_FLOW.format(reserve=0.05, cap=0.2, turnover=0.8, least=0.001))
+def j10_rebalance_flow(spark, sf_dir):
+    """Every fourth week: scores of four weeks, the eight best by score, against what was held."""
+    bars = ind.numbered(ship_bars(spark, sf_dir, "week", True))
+    panel = bars.withColumn("score", F.col("close") / F.lag("close", 4).over(ind.by_time()) - 1)
+    held = bars.select("ts", "symbol", (0.9 * F.col("volume") / F.sum("volume").over(ind.Window.partitionBy("ts"))).alias("current"))
+    due = rebalance.rebalances(bars, "every_n", 4)
+    found = rebalance.decisions(panel, due, {"name": "top_n_score", "config": {"n": 8}}, held, lookback=6, reserve=0.05, cap=0.2, turnover=0.8, least=0.001)
+    return found.select("rebalance_id", t("ts", "at"), "symbol", "frozen", F.round("current", 9).alias("current"), F.round("target", 9).alias("target"), "reason")
 
 
 _RECORDS = """lines AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_shipdate) AS shipped, max(l_returnflag) AS flag, max(l_tax) AS tax, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2), records AS (

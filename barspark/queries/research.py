@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark.functions import indicators as ind
-from barspark.operators import actions, research, strategy
+from barspark.operators import actions, money, research, strategy
 from barspark.operators import sessions as cal
 from barspark.queries import NUMBERED_SQL, SESSIONS_SQL, event_bars_sql, query, sessions, ship_bars_sql
 from barspark.queries.tables import EVENTS, events
@@ -116,11 +116,12 @@ def j15_held_once(spark, sf_dir):
     return research.held_once(e)
 
 
-@query("WITH a AS (SELECT o_orderpriority AS strategy, o_custkey AS ticker, 0.5 + (o_custkey % 100) / 100.0 AS growth FROM orders GROUP BY 1, 2, 3), p AS (SELECT *, floor(10000.0 / count(*) OVER (PARTITION BY strategy) * 1e8) / 1e8 AS part FROM a) SELECT strategy, round(sum(part * growth), 4) AS invested, count(*) AS accounts, round(sum(part * growth) + 10000 - sum(part), 4) AS total FROM p GROUP BY 1")
+@query("WITH a AS (SELECT o_orderpriority AS strategy, o_custkey AS ticker, 50 + o_custkey % 100 AS growth FROM orders GROUP BY 1, 2, 3), p AS (SELECT *, 1000000000000::HUGEINT // count(*) OVER (PARTITION BY strategy) AS part FROM a) SELECT strategy, sum(part * growth)::VARCHAR AS invested_units, (1000000000000 - sum(part))::VARCHAR AS idle_units, count(*) AS accounts FROM p GROUP BY 1")
 def d20_split_capital(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("strategy"), F.col("o_custkey").alias("ticker"), (0.5 + (F.col("o_custkey") % 100) / 100.0).alias("growth")).distinct()
-    found = research.split_capital(o, 10000.0)
-    return found.select("strategy", F.round("invested", 4).alias("invested"), "accounts", F.round("total", 4).alias("total"))
+    found = money.split_capital(o, 10000)
+    units = lambda c, n: (F.col(c) * n).cast("decimal(34, 0)").cast("string")
+    return found.select("strategy", units("invested", 10_000_000_000).alias("invested_units"), units("idle", 100_000_000).alias("idle_units"), "accounts")
 
 
 @query(f"WITH {S}, v AS (SELECT symbol, ts, close * ascii(symbol[1]) AS value FROM bars) SELECT symbol, epoch(ts)::BIGINT AS t, round(ln(value), 6) AS value, round(value / (sum(value) OVER (PARTITION BY ts) + 500), 6) AS weight FROM v")
@@ -154,6 +155,21 @@ def j11_order_sizes(spark, sf_dir):
     return strategy.order_sizes(bars, 1.0, 5.0, 2.0).select("symbol", t(), "wanted", "filled")
 
 
+@query("""WITH {H}, o AS (SELECT symbol, ts, round(open, 2)::DECIMAL(14, 2) AS o, ((row_number() OVER (PARTITION BY symbol ORDER BY ts)) % 9)::HUGEINT AS held FROM bars), p AS (SELECT *, (o * 100)::HUGEINT * 1000000 AS o8 FROM o), w AS (
+  SELECT *, 6000000000::HUGEINT + held * o8 AS equity8, ((6000000000::HUGEINT + held * o8) * 8 // 10) // o8 AS desired FROM p), d AS (SELECT *, desired - held AS wanted, (o * 100)::HUGEINT * (CASE WHEN desired > held THEN 1000200 ELSE 999800 END) AS p8 FROM w), c AS (
+  SELECT *, unnest([least(wanted, (5990000000::HUGEINT * 10000 // (p8 * 10005)) + k) FOR k IN range(-3, 4)]) AS q FROM d), f AS (
+  SELECT *, CASE WHEN wanted > 0 THEN coalesce(pays, 0) ELSE wanted END AS filled FROM (SELECT symbol, ts, wanted, p8, held, max(q) FILTER (q >= 0 AND q * p8 + 10000000 + (q * p8 * 5 + 9999) // 10000 <= 6000000000) AS pays FROM c GROUP BY symbol, ts, wanted, p8, held))
+SELECT symbol, epoch(ts)::BIGINT AS t, wanted::BIGINT AS wanted, filled::BIGINT AS filled, (CASE WHEN filled = 0 THEN 0 ELSE 10000000 + (abs(filled) * p8 * 5 + 9999) // 10000 END)::VARCHAR AS fee_units, (held + filled)::BIGINT AS held_after,
+  (6000000000 - filled * p8 - CASE WHEN filled = 0 THEN 0 ELSE 10000000 + (abs(filled) * p8 * 5 + 9999) // 10000 END)::VARCHAR AS cash_units, CASE WHEN wanted = 0 THEN 'none' WHEN filled = 0 THEN 'rejected' WHEN filled = wanted THEN 'filled' ELSE 'reduced' END AS status FROM f""".replace("{H}", H))
+def j11_exact_orders(spark, sf_dir):
+    """Whole shares to 0.8 of equity with 60 in cash, to the last of eight places."""
+    place = F.row_number().over(ind.by_time())
+    bars = event_bars(spark, sf_dir).select("symbol", "ts", F.round("open", 2).alias("open"), F.lit(0.8).alias("weight"), F.lit(60).alias("cash"), (place % 9).alias("held"))
+    found = money.order_sizes(bars, 0.1, 5.0, 2.0)
+    units = lambda c: (F.col(c) * 100_000_000).cast("decimal(30, 0)").cast("string")
+    return found.select("symbol", t(), F.col("wanted").cast("long").alias("wanted"), F.col("filled").cast("long").alias("filled"), units("fee").alias("fee_units"), F.col("held_after").cast("long").alias("held_after"), units("cash_after").alias("cash_units"), "status")
+
+
 @query(f"WITH {EVENTS}, k AS (SELECT unnest(['AF', 'NF', 'NO', 'RF', 'ZZ']) AS symbol) SELECT k.symbol, coalesce(event_type, CASE WHEN k.symbol IN ('NF', 'ZZ') THEN 'none' ELSE 'coverage unknown' END) AS report FROM k LEFT JOIN acts a ON a.symbol = k.symbol AND event_type = 'merger'")
 def i08_other_events(spark, sf_dir):
     e = events(spark, sf_dir)
