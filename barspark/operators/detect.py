@@ -32,7 +32,7 @@ def flat_windows(bars: DataFrame, least: int, most: int, limit: float | None = N
         own = F.slice("_seen", -n, n)
         top, bottom = F.array_max(F.transform(own, lambda x: x["high"])), F.array_min(F.transform(own, lambda x: x["low"]))
         span = 200 * ratio(top - bottom, top + bottom)
-        widths = F.array_sort(F.transform(own, lambda x: x["w"]))
+        widths = F.sort_array(F.transform(own, lambda x: x["w"]))
         bound = allowed(widths)
         ok = span <= bound * ULPS
         if longest_bar is not None:
@@ -42,7 +42,7 @@ def flat_windows(bars: DataFrame, least: int, most: int, limit: float | None = N
     ready = F.filter(sizes, lambda n: n <= F.size("_seen"))
     df = df.withColumn("bars", F.get(F.filter(ready, fits), F.lit(0))).where("bars is not null")
     own = F.expr("slice(_seen, -bars, bars)")
-    df = df.withColumn("_own", own).withColumn("_widths", F.array_sort(F.transform("_own", lambda x: x["w"])))
+    df = df.withColumn("_own", own).withColumn("_widths", F.sort_array(F.transform("_own", lambda x: x["w"])))
     top, bottom = F.array_max(F.transform("_own", lambda x: x["high"])), F.array_min(F.transform("_own", lambda x: x["low"]))
     return df.select(
         "symbol", F.get("_own", F.lit(0))["ts"].alias("start_ts"), F.col("ts").alias("end_ts"), (F.col("rn") - F.col("bars") + 1).alias("start_rn"), F.col("rn").alias("end_rn"), "bars",
@@ -118,11 +118,7 @@ def moved_lengths(n: int, least: int = LEAST_LENGTH, part: float = MOVED) -> lis
 
 def pair_slopes(xs: Column, n: int) -> Column:
     """The slopes of all pairs of the ``n`` values of an array, one step apart each."""
-
-    def from_(i: Column) -> Column:
-        return F.transform(F.sequence(i + 1, F.lit(n - 1)), lambda j: (F.get(xs, j) - F.get(xs, i)) / (j - i))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 2)), from_))
+    return F.flatten(F.transform(xs, lambda x, i: F.transform(F.slice(xs, i + 2, F.lit(n)), lambda y, k: (y - x) / (k + 1))))
 
 
 def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32), weights: tuple[float, float, float, float] = WEIGHTS, least_support: float = 0.55, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -150,7 +146,7 @@ def trend_evidence(bars: DataFrame, lookbacks: tuple[int, ...] = (8, 16, 32), we
             f"_flat{n}": flat, f"_slope{n}": F.when(flat, 0.0).otherwise(F.regr_slope("_x", "rn").over(span)), f"_r2{n}": F.when(flat, 0.0).otherwise(F.coalesce(F.regr_r2("_x", "rn").over(span), F.lit(0.0))),
             f"_sigma{n}": sigma, f"_eff{n}": F.coalesce(ratio(F.sum("_r").over(moves), F.sum(F.abs("_r")).over(moves)), F.lit(0.0)),
         })
-        df = df.withColumn(f"_pairs{n}", F.when(F.col("_place") >= n, F.array_sort(pair_slopes(F.slice("_xs", -n, n), n))))
+        df = df.withColumn(f"_pairs{n}", F.when(F.col("_place") >= n, F.sort_array(pair_slopes(F.slice("_xs", -n, n), n))))
         root = F.sqrt(F.lit(float(n - 1)))
         robust = F.when(F.col(f"_flat{n}"), 0.0).otherwise(interpolated(F.col(f"_pairs{n}"), 0.5))
         ordering = F.aggregate(f"_pairs{n}", F.lit(0.0), lambda t, x: t + F.signum(x)) / (n * (n - 1) / 2)

@@ -10,6 +10,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barspark.functions.described import ahead, refuse_lookahead, with_indicator
+from barspark.functions.indicators import by_time, numbered
 from barspark.operators import actions, resample, validate
 
 
@@ -73,11 +75,14 @@ class Pipeline:
         text = json.dumps([s.described() for s in self.steps], sort_keys=True, separators=(",", ":"))
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def run(self, bars: DataFrame, contract: Contract) -> tuple[DataFrame, Contract]:
+    def run(self, bars: DataFrame, contract: Contract, backtest: bool = False) -> tuple[DataFrame, Contract]:
+        """Bars after all steps, and their contract. In a ``backtest`` a step or a column that looks at later bars raises ``ValueError`` before anything runs."""
         for step in self.steps:
             contract = step.after(contract)
             bars = bars.transform(step.run)
-        return bars, contract
+            if backtest and not contract.causal:
+                raise ValueError(f"the step {step.name} looks ahead")
+        return (refuse_lookahead(bars) if backtest else bars), contract
 
 
 def preview(pipeline: Pipeline, bars: DataFrame, contract: Contract, rows: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -133,3 +138,14 @@ def _adjust(events: DataFrame, reference_date: str) -> Step:
         return actions.adjust(b, actions.relevant(good, b, reference_date))
 
     return step(run, after)
+
+
+@registry.add("indicator")
+def _indicator(indicator: str, **parameters: int) -> Step:
+    return step(lambda b: with_indicator(b if "rn" in b.columns else numbered(b), indicator, **parameters))
+
+
+@registry.add("next_return")
+def _next_return(bars: int = 1) -> Step:
+    """The return to the close ``bars`` later: a label, which no backtest may see."""
+    return step(lambda b: ahead(b, "next_return", F.try_divide(F.lead("close", bars).over(by_time()), F.col("close")) - 1), lambda c: replace(c, causal=False))

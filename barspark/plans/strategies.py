@@ -45,7 +45,9 @@ class Named:
 
 
 Strategy = Callable[[], Column]
-strategies, policies = Named("strategy"), Named("policy")
+#: Numbered bars to the same with ``entry`` and ``direction``, and the bounds of a win and of a stop as parts of the entry price.
+Bracket = Callable[[DataFrame], DataFrame]
+strategies, policies, brackets = Named("strategy"), Named("policy"), Named("bracket strategy")
 
 
 @strategies.add("average_crossing")
@@ -100,3 +102,38 @@ def _inverse(n: int) -> Callable[[DataFrame], DataFrame]:
         return chosen.withColumn("proposed", part / F.sum(part).over(Window.partitionBy("ts")))
 
     return propose
+
+
+def _bounds(win: float, stop: float) -> None:
+    if not 0 < stop < 1 < win:
+        raise ValueError("a stop is under and a win over 1")
+
+
+@brackets.add("every_bar")
+def _every_bar(win: float, stop: float) -> Bracket:
+    """Each bar is an entry, against a falling one short."""
+    _bounds(win, stop)
+    side = F.when(F.col("close") < F.col("open"), "short").otherwise("long")
+    return lambda bars: bars.withColumns({"signal": F.lit(True), "side": side, "win": F.lit(win), "stop": F.lit(stop)})
+
+
+@brackets.add("average_crossing")
+def _average_crossing(fast: int, slow: int, win: float, stop: float, shorts: bool = False) -> Bracket:
+    """Long where the fast average crosses above the slow one, and with ``shorts`` short where it crosses below."""
+    _bounds(win, stop)
+    if not 0 < fast < slow:
+        raise ValueError("the fast average must be the shorter one")
+
+    def prepare(bars: DataFrame) -> DataFrame:
+        bars = bars.withColumns({"_fast": ind.sma("close", fast), "_slow": ind.sma("close", slow)})
+        up, down = ind.crossed_above("_fast", "_slow"), ind.crossed_below("_fast", "_slow") & F.lit(shorts)
+        return bars.withColumns({"signal": up | down, "side": F.when(up, "long").otherwise("short"), "win": F.lit(win), "stop": F.lit(stop)}).drop("_fast", "_slow")
+
+    return prepare
+
+
+def outcomes_of(bars: DataFrame, spec: dict) -> DataFrame:
+    """The outcomes of a bracket strategy by name over numbered ``bars``: prepared signals, entries at the next open, first bound hit."""
+    prepared = brackets.load(spec)(bars)
+    config = spec.get("config", {})
+    return strategy.bracket_outcomes(prepared, F.col("signal"), config["win"], config["stop"], F.col("side")).drop("signal", "side", "win", "stop")

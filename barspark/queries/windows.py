@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barspark.functions import described
 from barspark.functions import indicators as ind
 from barspark.operators import strategy
+from barspark.plans import strategies
+from barspark.plans.pipeline import Contract, registry
 from barspark.queries import NUMBERED_SQL, event_bars_sql, query, ship_bars_sql
 from barspark.schema import by_time
 from barspark.sources.bars import event_bars, ship_bars
@@ -245,6 +248,26 @@ def j14_bracket_outcomes(spark, sf_dir):
     return found.select("symbol", F.unix_seconds("ts").alias("t"), "direction", F.round("entry", 6).alias("entry"), F.coalesce("hit", F.lit(-1)).alias("hit"), "outcome")
 
 
+@query(f"""WITH {H}, {NUMBERED_SQL}, m AS (SELECT *, CASE WHEN rn >= 5 THEN avg(close) OVER ({P} ROWS 4 PRECEDING) END AS f, CASE WHEN rn >= 15 THEN avg(close) OVER ({P} ROWS 14 PRECEDING) END AS s FROM numbered), x AS (SELECT *, lag(f) OVER ({P}) AS f0, lag(s) OVER ({P}) AS s0, lead(open) OVER ({P}) AS entry FROM m), entries AS (SELECT symbol, ts, rn, entry, CASE WHEN f > s THEN 'long' ELSE 'short' END AS direction FROM x WHERE (f > s AND f0 <= s0) OR (f < s AND f0 >= s0)), e AS (
+  SELECT *, CASE WHEN direction = 'short' THEN entry / 0.4 ELSE entry * 1.5 END AS upper, CASE WHEN direction = 'short' THEN entry / 1.5 ELSE entry * 0.4 END AS lower FROM entries WHERE entry IS NOT NULL), hits AS (
+  SELECT e.symbol, e.rn, e.ts, entry, direction, upper, lower, min(b.rn) AS hit FROM e LEFT JOIN numbered b ON b.symbol = e.symbol AND b.rn > e.rn AND (b.high > upper OR b.low < lower) GROUP BY ALL)
+SELECT h.symbol, epoch(h.ts)::BIGINT AS t, direction, round(entry, 6) AS entry, coalesce(hit, -1) AS hit, CASE WHEN hit IS NULL THEN 'open' WHEN b.high > upper AND b.low < lower THEN 'inconclusive' WHEN (b.high > upper) = (direction = 'long') THEN 'win' ELSE 'loss' END AS outcome
+FROM hits h LEFT JOIN numbered b ON b.symbol = h.symbol AND b.rn = h.hit""")
+def u07_bracket_by_name(spark, sf_dir):
+    """A bracket strategy from its specification to outcomes."""
+    spec = {"name": "average_crossing", "config": {"fast": 5, "slow": 15, "win": 1.5, "stop": 0.4, "shorts": True}}
+    found = strategies.outcomes_of(bars(spark, sf_dir), spec)
+    return found.select("symbol", F.unix_seconds("ts").alias("t"), "direction", F.round("entry", 6).alias("entry"), F.coalesce("hit", F.lit(-1)).alias("hit"), "outcome")
+
+
+@query(f"WITH {H}, {NUMBERED_SQL}, x AS (SELECT *, avg(close) OVER ({P} ROWS 19 PRECEDING) AS sma FROM numbered) SELECT symbol, epoch(ts)::BIGINT AS t, round(sma, 6) AS sma, round(close / sma - 1, 6) AS over_sma FROM x WHERE rn > 20")
+def e11_described_indicators(spark, sf_dir):
+    """Rows behind the longest warm-up that the columns tell of: 19 of the average, 20 of the index."""
+    recipe = registry.load('[{"name": "indicator", "config": {"indicator": "sma"}}, {"name": "indicator", "config": {"indicator": "rsi", "period": 20}}]')
+    out, _ = recipe.run(event_bars(spark, sf_dir), Contract("1h"), backtest=True)
+    return described.warmed(out).select("symbol", F.unix_seconds("ts").alias("t"), F.round("sma", 6).alias("sma"), F.round(F.col("close") / F.col("sma") - 1, 6).alias("over_sma"))
+
+
 _BANDS = "SELECT symbol, ts, 'session' AS mode, first(open) OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS reference FROM numbered UNION ALL SELECT symbol, ts, 'first', first(open) OVER (PARTITION BY symbol ORDER BY ts) FROM numbered UNION ALL SELECT symbol, ts, 'bar', open FROM numbered"
 
 
