@@ -96,6 +96,30 @@ def coverage_faults(coverage: DataFrame, spans: DataFrame) -> DataFrame:
     return found.withColumn("fault", fault)
 
 
+def identity_faults(spans: DataFrame, coverage: DataFrame, events: DataFrame) -> DataFrame:
+    """``spans(symbol, security_id, first_date, last_date)`` with ``faults``, sorted, that keep its bars from being adjusted; empty without one.
+
+    ``other security``: a coverage row (symbol, start_date, end_date, security_id), or an event in the span, is of another security. ``unresolved event``: an event
+    (symbol, security_id, effective_date, event_type, terms, status) in the span is unresolved. ``duplicate terms``: two of its events on a day are of one type and terms.
+    Each table is joined on the symbol and cut to the span, so what is grouped is a symbol's rows in it.
+    """
+    each = ["symbol", "security_id", "first_date", "last_date"]
+    own = spans.select(*each)
+    other = coverage.select("symbol", F.col("security_id").alias("_id"), "start_date", "end_date")
+    met = own.join(other, "symbol").where((F.col("end_date") >= F.col("first_date")) & (F.col("start_date") <= F.col("last_date")))
+    inside = own.join(events.withColumnRenamed("security_id", "_id"), "symbol").where(F.col("effective_date").between(F.col("first_date"), F.col("last_date")))
+    strange = ~F.col("_id").eqNullSafe(F.col("security_id"))
+    repeated = inside.groupBy(*each, "effective_date", "event_type", "terms").agg(F.count("*").alias("_n")).where("_n > 1")
+    found = (
+        met.where(strange).select(*each, F.lit("other security").alias("fault"))
+        .union(inside.where(strange).select(*each, F.lit("other security")))
+        .union(inside.where(true(F.col("status") == "unresolved")).select(*each, F.lit("unresolved event")))
+        .union(repeated.select(*each, F.lit("duplicate terms")))
+    )
+    every = own.select(*each, F.lit(None).cast("string").alias("fault"))
+    return every.union(found).groupBy(*each).agg(F.array_sort(F.collect_set("fault")).alias("faults"))
+
+
 def other_events(tickers: DataFrame, coverage: DataFrame, events: DataFrame) -> DataFrame:
     """Per requested ticker: each unsupported event, else ``none`` or ``coverage unknown``."""
     odd = events.where(~F.col("event_type").isin("split", "cash_dividend")).select("symbol", "event_type")

@@ -13,11 +13,15 @@ from barspark.operators.spans import deviation, interval_moments, mean
 from barspark.schema import by_time, ratio
 
 
-def session_open_prices(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """``bars`` in sessions with ``reference``: the open of the bar exactly at the session's opening, null without one."""
+def session_open_prices(bars: DataFrame, sessions: DataFrame, selected: str | None = None) -> DataFrame:
+    """``bars`` in sessions with ``reference``: the open of the bar exactly at the session's opening, null without one.
+
+    With ``selected``, a boolean column of stacked selected and support rows, a selected bar's open goes before that of a support bar, wherever both have one.
+    """
     inside = assign(bars, sessions).where("label is not null")
-    at_open = F.when(F.col("ts") == F.col("open_ts"), F.col("open"))
-    return inside.withColumn("reference", F.max(at_open).over(Window.partitionBy("symbol", "label")))
+    rank = F.coalesce(F.col(selected), F.lit(False)) if selected else F.lit(True)
+    at_open = F.when((F.col("ts") == F.col("open_ts")) & F.col("open").isNotNull(), F.struct(rank.alias("first"), F.col("open").alias("open")))
+    return inside.withColumn("reference", F.max(at_open).over(Window.partitionBy("symbol", "label"))["open"])
 
 
 def omission_states(omissions: DataFrame, bars: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark.functions import indicators as ind
-from barspark.operators import actions, money, research, strategy
+from barspark.operators import actions, money, research, strategy, support
 from barspark.operators import sessions as cal
 from barspark.queries import NUMBERED_SQL, SESSIONS_SQL, event_bars_sql, query, sessions, ship_bars_sql
 from barspark.queries.tables import EVENTS, events
@@ -35,6 +35,15 @@ def c11_session_open(spark, sf_dir):
     return found.select("symbol", t(), F.coalesce(F.round("reference", 6), F.lit(-1.0)).alias("reference"))
 
 
+@query(f"WITH {H}, {SESSIONS_SQL}, early AS (SELECT label, open_ts - INTERVAL 30 MINUTE AS open_ts, close_ts FROM sessions), stacked AS (SELECT symbol, ts, open, true AS picked FROM bars WHERE close >= open UNION ALL SELECT symbol, ts, 2 * open, false FROM bars WHERE volume >= 2), i AS (SELECT * FROM stacked JOIN early ON ts >= open_ts AND ts < close_ts) SELECT symbol, epoch(ts)::BIGINT AS t, picked, coalesce(round(coalesce(max(CASE WHEN ts = open_ts AND picked THEN open END) OVER w, max(CASE WHEN ts = open_ts THEN open END) OVER w), 6), -1) AS reference FROM i WINDOW w AS (PARTITION BY symbol, label)")
+def c11_selected_over_support(spark, sf_dir):
+    """Both tables may have the bar at the opening: the selected one counts."""
+    bars = event_bars(spark, sf_dir)
+    stacked = support.stacked(bars.where("volume >= 2").withColumns({"open": 2 * F.col("open"), "picked": F.lit(False)}), bars.where("close >= open").withColumn("picked", F.lit(True)))
+    early = sessions(spark).withColumn("open_ts", F.col("open_ts") - F.expr("INTERVAL 30 MINUTES"))
+    return research.session_open_prices(stacked, early, "picked").select("symbol", t(), "picked", F.coalesce(F.round("reference", 6), F.lit(-1.0)).alias("reference"))
+
+
 @query(f"WITH {H}, {OMITTED} SELECT o.symbol, epoch(o.ts)::BIGINT AS t, b.ts IS NOT NULL AS present FROM omitted o LEFT JOIN bars b ON b.symbol = o.symbol AND b.ts = o.ts")
 def c13_omission_states(spark, sf_dir):
     return research.omission_states(omitted(spark, sf_dir), event_bars(spark, sf_dir)).select("symbol", t(), "present")
@@ -190,6 +199,21 @@ def i06_coverage_faults(spark, sf_dir):
     return actions.coverage_faults(coverage, spans).select("symbol", F.coalesce("fault", F.lit("good")).alias("fault"))
 
 
+@query("""WITH o AS (SELECT o_custkey AS symbol, o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS id, o_orderdate::DATE AS d, o_orderpriority AS kind, o_totalprice > 150000 AS terms, o_orderstatus = 'P' AS open FROM orders), s AS (SELECT symbol, min(d) AS f, max(d) AS l FROM o GROUP BY 1), cover AS (SELECT symbol, id, min(d) AS a, max(d) AS b FROM o GROUP BY 1, 2), faults AS (
+  SELECT symbol, 'other security' AS fault FROM cover JOIN s USING (symbol) WHERE id <> symbol AND b >= f AND a <= l UNION SELECT symbol, 'other security' FROM o WHERE id <> symbol UNION SELECT symbol, 'unresolved event' FROM o WHERE open UNION SELECT symbol, 'duplicate terms' FROM o GROUP BY symbol, d, kind, terms HAVING count(*) > 1)
+SELECT s.symbol, coalesce(string_agg(fault, ', ' ORDER BY fault), '') AS faults FROM s LEFT JOIN faults USING (symbol) GROUP BY s.symbol""")
+def i06_identity_faults(spark, sf_dir):
+    """Orders as events: one in fifty is of another security, open ones are unresolved."""
+    o = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("symbol"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 1).otherwise(0)).alias("security_id"), F.to_date("o_orderdate").alias("effective_date"), F.col("o_orderpriority").alias("event_type"),
+        (F.col("o_totalprice") > 150000).alias("terms"), F.when(F.col("o_orderstatus") == "P", "unresolved").otherwise("resolved").alias("status"),
+    )
+    ends = [F.min("effective_date"), F.max("effective_date")]
+    spans = o.groupBy("symbol").agg(F.first("symbol").alias("security_id"), ends[0].alias("first_date"), ends[1].alias("last_date"))
+    coverage = o.groupBy("symbol", "security_id").agg(ends[0].alias("start_date"), ends[1].alias("end_date"))
+    return actions.identity_faults(spans, coverage, o).select("symbol", F.array_join("faults", ", ").alias("faults"))
+
+
 @query("""WITH a AS (SELECT o_custkey AS symbol, o_orderdate::DATE AS date, max(o_totalprice) AS amount FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2), b AS (SELECT o_custkey AS symbol, o_orderdate::DATE AS date, max(o_totalprice) + o_custkey % 2 AS amount FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1, 2)
 SELECT CASE WHEN a.symbol IS NULL THEN 'right only' WHEN b.symbol IS NULL THEN 'left only' WHEN abs(a.amount - b.amount) <= greatest(1e-6, 1e-5 * greatest(abs(a.amount), abs(b.amount))) THEN 'agree' ELSE 'differ' END AS state, count(*) AS n FROM a FULL JOIN b ON a.symbol = b.symbol AND a.date = b.date GROUP BY 1""")
 def i12_dividend_agreement(spark, sf_dir):

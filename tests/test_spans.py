@@ -198,3 +198,15 @@ def test_audit_finds_what_changed_since(spark, tmp_path):
     changed.write.partitionBy("layer", "provider", "timeframe", "revision", "year").parquet(again)
     spark.read.parquet(f"{path}.revisions").write.parquet(f"{again}.revisions")
     assert sorted(tuple(r) for r in store.audit(spark, again).collect()) == [("doubled", 7, 0, 1, False), ("kept", 6, 0, 0, True), ("lost", 4, 0, 0, False), ("spoilt", 6, 1, 0, False)]
+
+
+def test_identity_faults(spark):
+    from barspark.operators import actions
+
+    day = lambda k: datetime.date(2024, 1, k)
+    spans_ = spark.createDataFrame([(s, n, day(5), day(20)) for n, s in enumerate("abcdef")] + [("n", None, day(5), day(20))], "symbol string, security_id int, first_date date, last_date date")
+    coverage = spark.createDataFrame([("a", 0, day(1), day(30)), ("b", 9, day(1), day(30)), ("c", 9, day(21), day(30)), ("n", None, day(1), day(30))], "symbol string, security_id int, start_date date, end_date date")
+    rows = [("a", 0, day(7), "split", "2:1", "resolved"), ("b", 1, day(7), "split", "2:1", "unresolved"), ("d", 3, day(8), "split", "2:1", "resolved"), ("d", 3, day(8), "split", "2:1", "resolved"), ("e", 4, day(25), "split", "2:1", "unresolved"), ("f", 9, day(9), "split", "2:1", None)]
+    events = spark.createDataFrame(rows, "symbol string, security_id int, effective_date date, event_type string, terms string, status string")
+    got = {r.symbol: r.faults for r in actions.identity_faults(spans_, coverage, events).collect()}
+    assert got == {"a": [], "b": ["other security", "unresolved event"], "c": [], "d": ["duplicate terms"], "e": [], "f": ["other security"], "n": []}
