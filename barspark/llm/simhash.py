@@ -174,24 +174,25 @@ def links(prints: DataFrame, homes: int = HOMES) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs``; extra columns are ignored.
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for each row of ``docs``, with its columns ``keep`` and ``root``, the same of all of a component, if any are named; extra columns are ignored.
 
     Null and empty texts and those without a word have fingerprint zero and link like any
     other; a text of any length is hashed whole. Repeated rows come out as often as they go in. A null id is never the smallest:
     ``component_id`` is null only where all ids of a component are null. An empty table
     gives an empty table.
     """
-    rows = materialize(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), words=words), "fingerprints")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    rows = materialize(fingerprints(own, keep=("doc_id", *keep), words=words), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
     linked = components(links(prints))
     rooted = prints.join(linked, prints.fp == linked.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     release(prints)
     least = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "component_ids")
-    by_print = materialize(rooted.join(least, "root").select("fp", "component_id"), "by_print")
+    by_print = materialize(rooted.join(least, "root").select("fp", "component_id", *(["root"] if keep else [])), "by_print")
     release(rooted, least)
-    return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(by_print, "fp").select("doc_id", "fp", "component_id", *(["root", *keep] if keep else []))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import bpe, langid, linededup, packing, quality, simhash
+from barspark.llm import bpe, langid, linededup, packing, quality, simhash, sketches
 from barspark.llm.common import materialize, read_table
+from barspark.llm.graph import components
 
 #: A document with a lower posterior of its language is rejected.
 LEAST_POSTERIOR = 0.5
-#: Words of a shingle of the near-duplicate stage.
-SHINGLE_WORDS = 5
+#: Words of a shingle of the near-duplicate stage, and how far the shingles of near-duplicates overlap at least.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def _aside(docs: DataFrame, *needed: str) -> DataFrame:
@@ -59,15 +60,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each group of near-duplicates.
+    """One document of each group of near-duplicates: that of the smallest id, and among several texts of that id the one of least hash.
 
-    Repeated rows of one id become one; a document with no id stays.
+    Documents are grouped if their fingerprints differ in at most three bits, or if the sketches of their shingles agree
+    as those of texts do whose shingles overlap by ``SIMILARITY`` or more; groups that share a document are one. It is decided by row, so rows of one id with
+    different texts are different documents; equal rows become one. A document with no id stays.
     """
-    own = _aside(docs, "doc_id", "text")
-    found = simhash.near_duplicates(own, words=SHINGLE_WORDS)
-    keep = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept_ids")
-    known = own.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return known.select(*own.columns).union(own.where("doc_id is null")).toDF(*docs.columns)
+    own = _aside(docs, "doc_id", "text").withColumn("node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = materialize(simhash.near_duplicates(own, words=SHINGLE_WORDS, keep=("node",)).select("doc_id", "root", "node").distinct(), "marked")
+    stars = marked.groupBy("root").agg(F.min("node").alias("low"))
+    alike = sketches.similar(own.select("node", "text"), SHINGLE_WORDS, SIMILARITY)
+    groups = components(marked.join(stars, "root").select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b").union(alike))
+    grouped = marked.join(groups, "node", "left").withColumn("group", F.coalesce(groups["root"], "node")).where("doc_id is not null")
+    keep = materialize(grouped.groupBy("group").agg(F.min(F.struct("doc_id", "node")).alias("one")).select("one.*"), "kept_rows")
+    known = own.where("doc_id is not null").join(keep, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
+    return known.union(own.where("doc_id is null").select(*known.columns)).select(*_aside(docs, "doc_id", "text").columns).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
