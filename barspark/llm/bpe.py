@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import read_table
+from barspark.llm.common import read_table, worker_state
 
 #: Words that a Python worker remembers; a full memo is emptied.
 MEMO = 400_000
@@ -299,14 +299,9 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, array("I", ids)))
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, speculate: bool = True) -> Encoder:
     """The encoder of this Python worker for a vocabulary file; without ``speculate`` it merges every new word."""
-    if (path, speculate) not in _encoders:
-        _encoders[path, speculate] = Encoder(path, speculate=speculate)
-    return _encoders[path, speculate]
+    return worker_state(("bpe", path, speculate), lambda: Encoder(path, speculate=speculate))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), slices: int = 256) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,19 @@ def release(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict[object, object] = {}
+
+
+def worker_state(token: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its batches, made if another operator's is kept: the stages of a pipeline use the same workers, and their memories do not add up."""
+    if token not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[token] = make()
+    return _held[token]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

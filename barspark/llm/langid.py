@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import materialize, read_table, release
+from barspark.llm.common import materialize, read_table, release, worker_state
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each language in the training sample, as expected number.
@@ -283,9 +283,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     return Model(pieces, languages, np.log(p))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` (the posterior), ``lang_log_p`` (log probability a letter, the end of a word counts as one) and ``lang_lead`` (its lead over the next language), which replace columns of these names.
 
@@ -303,10 +300,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_text", F.col(f"c{names.index(text)}").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _scorers:
-            _scorers.clear()
-            _scorers[token] = shared.value.scorer()
-        scorer = _scorers[token]
+        scorer = worker_state(("language", token), shared.value.scorer)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barspark.llm.common import materialize, read_table, release
+from barspark.llm.common import materialize, read_table, release, worker_state
 
 ORDER = 4
 BLANKS = " \t\n\r\x0b\x0c"
@@ -323,9 +323,6 @@ def _tables(langs: list[str], lang: np.ndarray, gram: np.ndarray, value: np.ndar
     return {x: (gram[cut[k] : cut[k + 1]], value[cut[k] : cut[k + 1]]) for k, x in enumerate(langs)}
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -368,12 +365,10 @@ def _by_broadcast(rows: DataFrame, width: int, table: DataFrame, schema: StructT
     token = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _scorers:
-            _scorers.clear()
-            _scorers[token] = Scorer(shared.value)
+        scorer = worker_state(("quality", token), lambda: Scorer(shared.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                yield _measured(batch.slice(lo, 512), width, _scorers[token])
+                yield _measured(batch.slice(lo, 512), width, scorer)
 
     return rows.mapInArrow(run, schema)
 
