@@ -180,7 +180,8 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, homes: int = HOMES
     Rows link if labels are equal and not null, dimensions are equal and the cosine is at
     least ``cosine``. Null, empty and zero vectors and those with a null or non-finite
     component link with nothing, and are their own component. Equal vectors are one node,
-    and link with each other. A null ``vec_id`` is never the smallest, and is not kept.
+    and link with each other. A null ``vec_id`` is never the smallest, and is not kept. Vectors of any length are
+    compared whole, further columns are ignored, and an empty table gives an empty table.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))

@@ -284,7 +284,11 @@ def request_lines(pages: DataFrame) -> DataFrame:
 
 
 def archive_and_read(pages: DataFrame, least: int = 0, payload: bool = True) -> DataFrame:
-    """Write ``pages`` to archives, index them, and read every capture back through the index."""
+    """Write ``pages`` to archives, index them, and read every capture back through the index.
+
+    Null and empty payloads are records of no bytes, payloads of any length are written and read whole, repeated rows are
+    captures of their own, further columns are ignored, and an empty table gives an empty table.
+    """
     path = new_path(pages.sparkSession, "warc")
     directory = build_index(write_archives(pages, path, least), path)
     return read_records(look_up(request_lines(pages), directory, path), path, payload)
