@@ -18,6 +18,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
@@ -34,7 +35,7 @@ MEMO, MEMO_CHARS = 300_000, 1 << 24
 LONGEST = 4096
 #: Links, or pairs, that a task gathers before it sums them, or sends them.
 HELD = 1 << 22
-#: Characters of texts that are worked on together, and of a long text that are cut into parts at a time.
+#: Bytes of texts that are worked on together, and characters of a long text that are cut into parts at a time.
 TOGETHER, BLOCK = 1 << 20, 1 << 20
 #: Not white space to every library; no text is cut beside it.
 ODD_SPACE = "\u180e"
@@ -99,6 +100,7 @@ class Aligner:
         self.bytes_a = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in names]
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        self.spans = True
         self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
         self.forget()
 
@@ -170,20 +172,22 @@ class Aligner:
         for into, row in zip((self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.sizes, self.begin), own):
             into.frombytes(row.tobytes())
         self.codes.frombytes((a[of_a] << 16 | b[of_b]).astype(np.uint32).tobytes())
-        groups, ends = [""] * len(new), [b""] * len(new)
+        groups, ends = [""] * len(new), [b""] * (len(new) if self.spans else 0)
         if told:
             text_a, text_b = [self.name_a[i] for i in a.tolist()], [self.name_b[i] for i in b.tolist()]
             lo_a, lo_b, lines = 0, 0, []
             for hi_a, hi_b in zip((np.searchsorted(end_a, cuts) + 1).tolist(), (np.searchsorted(end_b, cuts) + 1).tolist()):
                 lines.append(f"{text_a[lo_a] if hi_a == lo_a + 1 else ','.join(text_a[lo_a:hi_a])}|{text_b[lo_b] if hi_b == lo_b + 1 else ','.join(text_b[lo_b:hi_b])}")
                 lo_a, lo_b = hi_a, hi_b
-            lo, packed = 0, (cuts - np.repeat(edge - length, n_groups)).tobytes()
+            lo, packed = 0, (cuts - np.repeat(edge - length, n_groups)).tobytes() if self.spans else b""
             for k, n in zip(order, n_groups.tolist()):
                 groups[k] = ";".join(lines[lo : lo + n])
-                ends[k] = packed[8 * lo : 8 * (lo + n)]
+                if self.spans:
+                    ends[k] = packed[8 * lo : 8 * (lo + n)]
                 lo += n
         self.groups += groups
-        self.cuts += ends
+        if self.spans:
+            self.cuts += ends
         self.chars += sum(map(len, new))
         return at
 
@@ -215,15 +219,16 @@ def _aligner(a: str, b: str) -> Aligner:
     return _aligners[a, b]
 
 
-def _together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    lo = chars = 0
-    for k, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= TOGETHER or k - lo >= 1024:
+def _together(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of up to 1,024 texts and about ``TOGETHER`` bytes."""
+    lo = size = 0
+    for k, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= TOGETHER or k - lo >= 1023:
             yield lo, k + 1
-            lo, chars = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+            lo, size = k + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def _slices(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -247,10 +252,13 @@ def linked(docs: DataFrame, text: str = "text", path_a: str | None = None, path_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
+        if aligner.spans != spans:
+            aligner.spans = spans
+            aligner.forget()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in _together(texts):
-                found = aligner.texts(texts[lo:hi])
+            column = batch.column(batch.num_columns - 1)
+            for lo, hi in _together(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)):
+                found = aligner.texts(column.slice(lo, hi - lo).to_pylist())
                 known = [np.array(getattr(aligner, n), np.int64) for n in NUMBERS]
                 sums = [pa.array([0 if x is None else int(each[x].sum()) for x in found], pa.int64()) for each in known]
                 groups = ["" if x is None else ";".join(map(aligner.groups.__getitem__, x.tolist())) for x in found]
