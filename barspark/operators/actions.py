@@ -40,29 +40,36 @@ def relevant(events: DataFrame, bars: DataFrame, reference_date: str) -> DataFra
 
 
 def factor_schedule(events: DataFrame) -> DataFrame:
-    """``(symbol, until, price, volume)``: the factors of bars before ``until`` and not before the boundary ahead of it.
+    """``(symbol, until, price, volume)``: the factors of bars before ``until`` and not before the boundary ahead of it, and ``log_price`` and ``log_volume``.
 
-    Factors of one boundary multiply; later boundaries multiply into earlier bars.
+    Factors of one boundary multiply; later boundaries multiply into earlier bars. The logarithms are
+    summed as decimals: they hold where some hundred factors leave the range of a double.
     """
-    at = events.groupBy("symbol", F.col("effective_ts").alias("until")).agg(F.product("price").alias("price"), F.product("volume").alias("volume"))
+    exact = lambda c: F.sum(F.log(c).cast("decimal(38,18)"))
+    at = events.groupBy("symbol", F.col("effective_ts").alias("until")).agg(
+        F.product("price").alias("price"), F.product("volume").alias("volume"), exact("price").alias("log_price"), exact("volume").alias("log_volume")
+    )
     later = Window.partitionBy("symbol").orderBy(F.desc("until")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.select("symbol", "until", F.product("price").over(later).alias("price"), F.product("volume").over(later).alias("volume"))
+    summed = [F.sum(c).over(later).cast("double").alias(c) for c in ("log_price", "log_volume")]
+    return at.select("symbol", "until", F.product("price").over(later).alias("price"), F.product("volume").over(later).alias("volume"), *summed)
 
 
-def adjust(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """Bars times the factors of all boundaries strictly after them.
+def adjust(bars: DataFrame, events: DataFrame, logs: bool = False) -> DataFrame:
+    """Bars times the factors of all boundaries strictly after them; with ``logs``, the natural logarithms of these prices and volumes.
 
     Boundaries and bars are put in one order, latest first, and each bar takes the factor seen
     last: one shuffle by symbol, and no range join.
     """
     schedule = factor_schedule(events)
     names = bars.columns
-    marks = schedule.select("symbol", F.col("until").alias("ts"), F.lit(1).alias("_mark"), F.col("price").alias("_price"), F.col("volume").alias("_volume"))
+    kind = "log_" if logs else ""
+    marks = schedule.select("symbol", F.col("until").alias("ts"), F.lit(1).alias("_mark"), F.col(f"{kind}price").alias("_price"), F.col(f"{kind}volume").alias("_volume"))
     both = bars.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
     order = Window.partitionBy("symbol").orderBy(F.desc("ts"), "_mark").rowsBetween(Window.unboundedPreceding, 0)
-    seen = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(order), F.lit(1.0))
+    seen = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(order), F.lit(0.0 if logs else 1.0))
     rows = both.withColumns({"_p": seen("_price"), "_v": seen("_volume")}).where("_mark = 0")
-    return rows.select(*[(F.col(c) * F.col("_p")).alias(c) if c in ("open", "high", "low", "close") else (F.col(c) * F.col("_v")).alias(c) if c == "volume" else F.col(c) for c in names])
+    by = dict.fromkeys(("open", "high", "low", "close"), "_p") | {"volume": "_v"}
+    return rows.select(*[(F.log(c) + F.col(by[c]) if logs else F.col(c) * F.col(by[c])).alias(c) if c in by else F.col(c) for c in names])
 
 
 def split_restored(dividends: DataFrame, splits: DataFrame) -> DataFrame:

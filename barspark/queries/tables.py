@@ -147,8 +147,8 @@ SELECT b.symbol, epoch(b.ts)::BIGINT AS t, round(ln(any_value(close)) + coalesce
 def i01_adjusted_bars(spark, sf_dir):
     bars = ship_bars(spark, sf_dir)
     good = actions.event_factors(events(spark, sf_dir)).where("fault is null")
-    found = actions.adjust(bars, actions.relevant(good, bars, "1996-12-31"))
-    return found.select("symbol", F.unix_seconds("ts").alias("t"), F.round(F.log("close"), 6).alias("log_close"), F.round(F.log("volume"), 6).alias("log_volume"))
+    found = actions.adjust(bars, actions.relevant(good, bars, "1996-12-31"), logs=True)
+    return found.select("symbol", F.unix_seconds("ts").alias("t"), F.round("close", 6).alias("log_close"), F.round("volume", 6).alias("log_volume"))
 
 
 @query(f"WITH {EVENTS} SELECT event_id, round(cash_amount * coalesce((SELECT exp(sum(ln(share_ratio))) FROM acts s WHERE s.symbol = d.symbol AND s.event_type = 'split' AND s.effective_ts > d.effective_ts AND s.effective_ts < TIMESTAMP '1998-01-01'), 1), 4) AS original FROM acts d WHERE event_type = 'cash_dividend'")

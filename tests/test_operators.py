@@ -66,6 +66,15 @@ def test_adjustment_leaves_the_bar_on_the_boundary(spark):
     assert [(round(r.close, 6), r.volume) for r in got] == [(105 * 0.5 * 0.95, 40.0), (round(105 * 0.95, 6), 20.0), (105.0, 20.0)]
 
 
+def test_logarithms_hold_where_factors_leave_a_double(spark):
+    first = dt(2000, 1, 3)
+    bars = utc(spark).createDataFrame([("A", first + datetime.timedelta(days=d), 100.0, 110.0, 90.0, 105.0, 20.0) for d in (0, 1000, 3000)], BARS)
+    events = spark.range(1, 3001).selectExpr("'A' symbol", "timestamp '2000-01-03' + make_interval(0, 0, 0, int(id)) effective_ts", "1 / 3d price", "3d volume")
+    got = actions.adjust(bars, events, logs=True).orderBy("ts").collect()
+    assert [(r.symbol, round(r.close, 6), round(r.volume, 6)) for r in got] == [("A", round(np.log(105) - n * np.log(3), 6), round(np.log(20) + n * np.log(3), 6)) for n in (3000, 2000, 0)]
+    assert actions.adjust(bars, events.limit(0), logs=True).where("close <> ln(105d) or close is null").count() == 0
+
+
 def test_caps_against_a_loop(spark):
     rng = np.random.default_rng(1)
     rows = []
