@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from barspark.operators import actions, detect, intervals, resample, rollup, strategy, validate
 from barspark.operators import sessions as cal
 from barspark.plans.pipeline import Contract, registry
+from barspark.queries import ORACLES, QUERIES, catalog  # noqa: F401
 from barspark.schema import utc
 from barspark.sources import payloads, store
 from barspark.streaming.bars import stream_bars
@@ -66,6 +68,17 @@ def test_adjustment_leaves_the_bar_on_the_boundary(spark):
     assert [(round(r.close, 6), r.volume) for r in got] == [(105 * 0.5 * 0.95, 40.0), (round(105 * 0.95, 6), 20.0), (105.0, 20.0)]
 
 
+def test_times_are_rounded_to_milliseconds_for_the_grid(spark, tmp_path):
+    times = ["2024-01-01 00:00:59.999600", "2024-01-01 00:00:59.999500", "2024-01-01 00:00:59.999499", "2024-01-01 00:01:00.000499", "2024-01-01 00:01:00.000500", "2024-01-01 00:01:00", "2024-01-01 00:01:30"]
+    times += ["1969-12-31 23:59:59.999500", "1969-12-31 23:59:59.999501", "1969-12-31 23:58:59.999500", "1969-12-31 23:58:59.999501", None]
+    rows = utc(spark).createDataFrame(list(enumerate(times)), "event_id long, at string").select("event_id", F.to_timestamp("at").alias("ts"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(r.event_id for r in QUERIES["b14_off_grid"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT event_id, ts::TIMESTAMP AS ts FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(r[0] for r in duck.execute(ORACLES["b14_off_grid"]).fetchall()) == [2, 4, 6, 7, 9]
+
+
 def test_logarithms_hold_where_factors_leave_a_double(spark):
     first = dt(2000, 1, 3)
     bars = utc(spark).createDataFrame([("A", first + datetime.timedelta(days=d), 100.0, 110.0, 90.0, 105.0, 20.0) for d in (0, 1000, 3000)], BARS)
