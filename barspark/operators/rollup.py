@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.schema import ratio, true
+from barspark.schema import finite, ratio, true
 
 
 def reduce_metric(rows: DataFrame, key: str, value: str, how: str, order: str, category: tuple[str, str] | None = None) -> DataFrame:
@@ -36,6 +36,16 @@ def ratio_of_sums(metrics: DataFrame, numerator: str, denominator: str, scale: f
     return metrics.agg((ratio(part(numerator), part(denominator)) * scale).alias("ratio"), F.count_if(both).alias("contributors"))
 
 
+def exact_sum(c: Column) -> Column:
+    """The sum of a double column, the same in any order of its rows: equal sums are equal, and a table read twice has the same.
+
+    Finite values are summed as decimals of 18 places; sums from 10^20 on raise an error. A value that is not finite makes the sum so.
+    """
+    decimals = F.sum(F.when(finite(c), c).cast("decimal(38,18)")).cast("double")
+    odd = F.sum(F.when(~finite(c), c))
+    return F.when(odd.isNull(), decimals).otherwise(odd)
+
+
 def ranked(metrics: DataFrame, value: str, order: str, descending: bool = True, parts: int = 200) -> DataFrame:
     """``metrics`` with ``place``: stable by ``order``, nulls last either way.
 

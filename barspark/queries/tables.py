@@ -167,9 +167,8 @@ def i11_simple_splits(spark, sf_dir):
 
 def metrics(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_custkey").alias("ticker")).agg(
-        F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("a"), F.sum(F.when(F.col("o_orderpriority").startswith("1"), F.col("o_totalprice"))).alias("b")
-    )
+    price = F.col("o_totalprice")
+    return o.groupBy(F.col("o_custkey").alias("ticker")).agg(rollup.exact_sum(F.when(F.col("o_orderstatus") == "F", price)).alias("a"), rollup.exact_sum(F.when(F.col("o_orderpriority").startswith("1"), price)).alias("b"))
 
 
 METRICS = "metrics AS (SELECT o_custkey AS ticker, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, sum(CASE WHEN starts_with(o_orderpriority, '1') THEN o_totalprice END) AS b FROM orders GROUP BY 1)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barspark.functions import indicators as ind
 from barspark.operators import rollup, strategy, support, validate, vendor
 from barspark.plans import strategies
+from barspark.queries import QUERIES, catalog  # noqa: F401
 
 START = datetime.datetime(2024, 1, 2, 14)
 BARS = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
@@ -101,6 +102,17 @@ def test_ranks_of_ties_and_nulls(spark, descending):
     assert rollup.ranked(df.limit(0), "x", "ticker").count() == 0
 
 
+def test_equal_sums_tie_in_any_order_of_their_rows(spark, tmp_path):
+    prices = [0.1, 0.2, 0.3, 250000.07]
+    orders = [(t, "F", "1-URGENT", x) for t in range(1, 9) for x in (prices if t % 2 == 0 else prices[::-1])]
+    spark.createDataFrame(orders, "o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.ticker: r.place for r in QUERIES["g03_ranked_metrics"](spark, str(tmp_path)).collect()}
+    assert got == {t: t for t in range(1, 9)}
+    odd = spark.createDataFrame([(1, 1.0), (1, float("nan")), (2, float("inf")), (2, 1.0), (3, None), (4, 0.1), (4, None), (4, 0.2)], "k int, x double")
+    found = dict(odd.groupBy("k").agg(rollup.exact_sum(F.col("x")).cast("string")).collect())
+    assert found == {1: "NaN", 2: "Infinity", 3: None, 4: "0.3"}
+
+
 def test_inferred_metrics(spark):
     counts = spark.createDataFrame([("a", "win", 3.0), ("a", "loss", 1.0), ("b", "win", 1.5), ("c", "win", 1.0), ("c", "win", 2.0), ("d", " ", 1.0), ("e", "win", -1.0), ("f", "win", None)], "ticker string, outcome string, n double")
     counts = rollup.with_roles(counts, outcome="category", n="count")
