@@ -132,10 +132,11 @@ def last_rows_of(bars: DataFrame, n: int) -> DataFrame:
 
 
 def screening(rows: DataFrame, requested: DataFrame) -> DataFrame:
-    """At most one row a ticker, in the order of ``requested(ticker, place)``; a second row of a ticker stops the job."""
-    one = rows.groupBy("ticker").agg(F.any_value("value").alias("value"), F.count("*").alias("_rows"))
+    """At most one row a ticker, in the order of ``requested(ticker, place)``, with all columns of ``rows``; a second row of a ticker stops the job."""
+    values = [c for c in rows.columns if c != "ticker"]
+    one = rows.groupBy("ticker").agg(*(F.any_value(c).alias(c) for c in values), F.count("*").alias("_rows"))
     one = stopped(one, F.col("_rows") > 1, F.concat(F.lit("more than one row of "), F.col("ticker").cast("string")), "ticker")
-    return requested.join(one.drop("_rows"), "ticker").select("place", "ticker", "value")
+    return requested.join(one.drop("_rows"), "ticker").select("place", "ticker", *values)
 
 
 def run_comparison(runs: DataFrame, identity: list[str]) -> DataFrame:

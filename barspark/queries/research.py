@@ -145,10 +145,10 @@ def g07_last_rows(spark, sf_dir):
     return research.last_rows_of(event_bars(spark, sf_dir), 50).select("symbol", t())
 
 
-@query("SELECT c_custkey % 1000 AS place, c_custkey AS ticker, round(max(o_totalprice), 2) AS value FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey % 1000 AS place, c_custkey AS ticker, round(max(o_totalprice), 2) AS value, count(*) AS rows_found FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def g08_screening(spark, sf_dir):
     asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), (F.col("c_custkey") % 1000).alias("place"))
-    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker")).agg(F.max("o_totalprice").alias("value"))
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker")).agg(F.max("o_totalprice").alias("value"), F.count("*").alias("rows_found"))
     return research.screening(rows, asked).withColumn("value", F.round("value", 2))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barspark.operators import detect, guards, resample, research, spans
+from barspark.queries import QUERIES, catalog  # noqa: F401
 from barspark.sources import store
 
 START = datetime.datetime(2024, 1, 2, 14)
@@ -155,6 +156,12 @@ def test_a_second_row_of_a_ticker_stops_the_screening(spark):
         research.screening(rows.union(rows.where("ticker = 'a'")), asked).collect()
 
 
+def test_screening_counts_the_rows_of_each_ticker(spark, sf):
+    got = {r.ticker: r.rows_found for r in QUERIES["g08_screening"](spark, sf).collect()}
+    orders = spark.read.parquet(f"{sf}/orders.parquet").join(spark.read.parquet(f"{sf}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"))
+    assert got == dict(orders.groupBy("c_custkey").count().collect()) and sum(got.values()) == orders.count()
+
+
 def test_ingest_refuses_what_was_not_asked_for(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = walk(10)
