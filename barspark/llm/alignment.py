@@ -15,6 +15,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,10 @@ from barspark.llm.common import materialize, read_table
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Counted pairs that are broadcast at once (13 bytes each); more are taken slice by slice, one pass over the texts each.
 PAIRS = 1 << 22
-#: Parts, and characters in them, after which a worker forgets what it remembers.
-MEMO, MEMO_CHARS = 300_000, 1 << 24
-#: Characters of clean parts that are encoded as one text.
-LONGEST = 4096
+#: Parts, and characters in them, after which a worker forgets half of what it remembers or more, and keeps what came most.
+MEMO, MEMO_CHARS = 200_000, 1 << 24
+#: Characters of clean parts that are encoded as one text; the second tokenizer takes longer a character in longer texts.
+LONGEST = 1024
 #: Links, or pairs, that a task gathers before it sums them, or sends them.
 HELD = 1 << 22
 #: Bytes of texts that are worked on together, and characters of a long text that are cut into parts at a time.
@@ -101,7 +102,8 @@ class Aligner:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.spans = True
-        self.name_a, self.name_b = ([str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
+        #: Ids as written in a group, and as its last of a tokenizer.
+        self.names = [f"{i}{c}" for x, last in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(x)) for c in (",", last)]
         self.forget()
 
     def forget(self) -> None:
@@ -112,9 +114,28 @@ class Aligner:
         self.groups: list[str] = []
         self.cuts: list[bytes] = []
         self.codes = array("I")
+        #: How often each part came, halved whenever others are forgotten.
+        self.uses = np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Forget all but half of ``MEMO`` parts and of ``MEMO_CHARS``: those that came most stay."""
+        words, numbers = list(self.memo), np.fromiter(self.memo.values(), np.int64, len(self.memo))
+        best = np.argsort(-self.uses[numbers], kind="stable")[: MEMO // 2]
+        best = best[np.cumsum(np.fromiter((len(words[k]) for k in best.tolist()), np.int64, len(best))) <= MEMO_CHARS // 2]
+        kept, words = numbers[best], [words[k] for k in best.tolist()]
+        rows = [np.array(x, np.int64)[kept] for x in (self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.sizes, self.begin)]
+        groups, cuts = [self.groups[k] for k in kept.tolist()], [self.cuts[k] for k in kept.tolist()] if self.spans else []
+        codes, uses = np.array(self.codes, np.uint32)[_slices(rows[6], rows[4])], self.uses[kept] // 2
+        self.forget()
+        rows[6] = np.cumsum(rows[4]) - rows[4]
+        for into, row in zip((self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.sizes, self.begin), rows):
+            into.frombytes(row.tobytes())
+        self.codes.frombytes(codes.tobytes())
+        self.groups, self.cuts, self.uses, self.chars = groups, cuts, uses, sum(map(len, words))
+        self.memo = dict(zip(words, range(len(words))))
 
-    def _encoded(self, texts: list[str]) -> Iterator[tuple[bytes, list[int], np.ndarray, list[int], np.ndarray] | None]:
-        """Of each text with a space before it: bytes, and of both tokenizers ids and, in bytes, spans; None where bytes do not come back."""
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[bytes, list[int], list[tuple[int, int]], list[tuple[int, int, int]]] | None]:
+        """Of each text with a space before it: bytes, of the first tokenizer ids and spans in characters, of the second ids and spans in bytes without the space; None where bytes do not come back."""
         for text in texts:
             a = self.a.encode(" " + text, add_special_tokens=False)
             data, own_a = (" " + text).encode(), a.ids
@@ -122,69 +143,82 @@ class Aligner:
             if b"".join(map(self.bytes_a.__getitem__, own_a)) != data or b"".join([self.bytes_b[x[0]] for x in b]) != data:
                 yield None
                 continue
-            spans, near = np.array(a.offsets, np.int64).reshape(-1, 2), np.array(b, np.int64).reshape(-1, 3)
-            if len(data) > len(text) + 1:
-                points = np.frombuffer((" " + text).encode("utf-32-le"), "<u4")
-                spans = np.cumsum(np.concatenate([[0], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)]))[spans]
-            yield data, own_a, spans, near[:, 0], near[:, 1:] + 1
+            yield data, own_a, a.offsets, b
 
     def add(self, new: list[str], told: bool = True) -> int:
         """Align ``new`` parts; the number of the first. Clean parts are encoded in one text; groups are written out if ``told``."""
         at, stretches, size = len(self.good), [], LONGEST + 1
         for k, text in enumerate(new):
-            clean = bool(text) and _open(text[0]) and _open(text[-1])
+            clean = text != "" and _open(text[0]) and _open(text[-1])
             size += len(text) + 1
             if clean and size <= LONGEST and stretches and stretches[-1][0]:
                 stretches[-1][1].append(k)
             else:
                 stretches.append((clean, [k]))
                 size = len(text)
-        order, ids_a, ids_b, ends_a, ends_b, holds_a, holds_b, lengths, base = [], [], [], [], [], [], [], [], 0
+        order, ids_a, spans_a, ids_b, lengths, sizes, count_a, count_b = [], [], [], [], [], [], [], []
         stretches = [own for _, own in stretches]
+        flat = lambda x, width: np.fromiter(chain.from_iterable(x), np.int64, width * len(x)).reshape(-1, width)
         while stretches:
             failed = []
-            for own, found in zip(stretches, self._encoded([" ".join([new[k] for k in own]) for own in stretches])):
+            whole = [" ".join([new[k] for k in own]) for own in stretches]
+            for own, text, found in zip(stretches, whole, self._encoded(whole)):
                 if found is None:
                     failed += [[k] for k in own] if len(own) > 1 else []
                     continue
-                data, a, spans, b, near = found
+                data, a, spans, b = found
                 order += own
-                lengths += [len(new[k].encode()) + 1 for k in own] if len(own) > 1 else [len(data)]
-                holds_a.append(np.append(spans[1:, 0] >= spans[:-1, 1], True)), ends_a.append(spans[:, 1] + base), ids_a.append(np.array(a, np.int64))
-                holds_b.append(near[:, 1] > near[:, 0]), ends_b.append(near[:, 1] + base), ids_b.append(b)
-                base += len(data)
+                if len(own) == 1:
+                    lengths.append(len(data))
+                elif len(data) == len(text) + 1:
+                    lengths += [len(new[k]) + 1 for k in own]
+                else:
+                    lengths += [len(new[k].encode()) + 1 for k in own]
+                ids_a += a
+                own_a = flat(spans, 2)
+                if len(data) > len(text) + 1:
+                    points = np.frombuffer((" " + text).encode("utf-32-le"), "<u4")
+                    own_a = np.cumsum(np.concatenate([[0], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)]))[own_a]
+                spans_a.append(own_a), ids_b.append(flat(b, 3)), sizes.append(len(data)), count_a.append(len(a)), count_b.append(len(b))
             stretches = failed
-        flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-        a, b, length = flat(ids_a), flat(ids_b), np.array(lengths, np.int64)
-        end_a = byte_ends(flat(ends_a), flat(holds_a) > 0, self.size_a[a])
-        end_b = byte_ends(flat(ends_b), flat(holds_b) > 0, self.size_b[b])
+        a, length = np.array(ids_a, np.int64), np.array(lengths, np.int64)
+        spans, near = np.concatenate([flat([], 2), *spans_a]), np.concatenate([flat([], 3), *ids_b])
+        b, sizes = near[:, 0], np.array(sizes, np.int64)
+        start = np.cumsum(sizes) - sizes
+        spans += np.repeat(start, count_a)[:, None]
+        near = near[:, 1:] + np.repeat(start + 1, count_b)[:, None]
+        end_a = byte_ends(spans[:, 1], np.append(spans[1:, 0] >= spans[:-1, 1], np.ones(min(len(a), 1), bool)), self.size_a[a])
+        end_b = byte_ends(near[:, 1], near[:, 1] > near[:, 0], self.size_b[b])
         edge, count = np.cumsum(length), lambda x: np.bincount(x, minlength=len(order))
         part_a, part_b = np.searchsorted(edge, end_a), np.searchsorted(edge, end_b)
         first = np.searchsorted(end_b, end_a - self.size_a[a], "right")
         many = np.searchsorted(end_b, end_a, "left") - first + 1
         of_a = np.repeat(np.arange(len(a)), many)
         of_b = np.repeat(first, many) + np.arange(len(of_a)) - np.repeat(np.cumsum(many) - many, many)
-        n_links = count(part_a[of_a])
+        n_links, n_a, n_b = count(part_a[of_a]), count(part_a), count(part_b)
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         n_groups = count(np.searchsorted(edge, cuts))
         own = np.zeros((7, len(new)), np.int64)
-        own[:, order] = [np.ones(len(order), np.int64), count(part_a), count(part_b), n_groups, n_links, length, len(self.codes) + np.cumsum(n_links) - n_links]
+        own[:, order] = [np.ones(len(order), np.int64), n_a, n_b, n_groups, n_links, length, len(self.codes) + np.cumsum(n_links) - n_links]
         for into, row in zip((self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.sizes, self.begin), own):
             into.frombytes(row.tobytes())
         self.codes.frombytes((a[of_a] << 16 | b[of_b]).astype(np.uint32).tobytes())
         groups, ends = [""] * len(new), [b""] * (len(new) if self.spans else 0)
         if told:
-            text_a, text_b = [self.name_a[i] for i in a.tolist()], [self.name_b[i] for i in b.tolist()]
-            lo_a, lo_b, lines = 0, 0, []
-            for hi_a, hi_b in zip((np.searchsorted(end_a, cuts) + 1).tolist(), (np.searchsorted(end_b, cuts) + 1).tolist()):
-                lines.append(f"{text_a[lo_a] if hi_a == lo_a + 1 else ','.join(text_a[lo_a:hi_a])}|{text_b[lo_b] if hi_b == lo_b + 1 else ','.join(text_b[lo_b:hi_b])}")
-                lo_a, lo_b = hi_a, hi_b
-            lo, packed = 0, (cuts - np.repeat(edge - length, n_groups)).tobytes() if self.spans else b""
-            for k, n in zip(order, n_groups.tolist()):
-                groups[k] = ";".join(lines[lo : lo + n])
-                if self.spans:
-                    ends[k] = packed[8 * lo : 8 * (lo + n)]
+            group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+            last_a, last_b = (cuts[g] == e if len(cuts) else e > 0 for g, e in ((group_a, end_a), (group_b, end_b)))
+            names = np.empty(len(a) + len(b), np.int64)  # ids as written: a group's first ids, then its second ones
+            names[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = 2 * a + last_a
+            names[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * (len(self.bytes_a) + b) + last_b
+            written, lo = list(map(self.names.__getitem__, names.tolist())), 0
+            for k, n in zip(order, (n_a + n_b).tolist()):
+                groups[k] = "".join(written[lo : lo + n])[:-1]
                 lo += n
+            if self.spans:
+                lo, packed = 0, (cuts - np.repeat(edge - length, n_groups)).tobytes()
+                for k, n in zip(order, n_groups.tolist()):
+                    ends[k] = packed[8 * lo : 8 * (lo + n)]
+                    lo += n
         self.groups += groups
         if self.spans:
             self.cuts += ends
@@ -194,7 +228,7 @@ class Aligner:
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Of each text the numbers of its parts; None without tokens."""
         if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
-            self.forget()
+            self.trim()
         cut = [[p for block in blocks(t) for p in parts(block)] if t else None for t in texts]
         new = list(set().union(*(c for c in cut if c)).difference(self.memo))
         at = self.add(new)
@@ -207,6 +241,9 @@ class Aligner:
             at = self.add([texts[k] for k in odd])
             for k, i in zip(odd, range(at, at + len(odd))):
                 found[k] = np.array([i]) if self.good[i] else None
+        uses = np.bincount(np.concatenate([np.zeros(0, np.int64), *(x for x in found if x is not None)]), minlength=len(self.good))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         return found
 
 

@@ -116,6 +116,25 @@ def test_memory_is_bounded_and_whole(spark, monkeypatch):
     assert n == sum(len(tokens(f"word{k} and more{k}")[0]) for k in range(50))
 
 
+@pytest.mark.parametrize("spans", [True, False])
+def test_parts_that_came_most_are_kept(monkeypatch, spans):
+    monkeypatch.setattr(alignment, "MEMO", 6)
+    aligner = alignment.Aligner(public_vocabulary(alignment.TOKENIZER_A), public_vocabulary(alignment.TOKENIZER_B))
+    aligner.spans, added, add = spans, [], alignment.Aligner.add
+    aligner.forget()
+    monkeypatch.setattr(alignment.Aligner, "add", lambda self, new, told=True: added.extend(new) or add(self, new, told))
+    for k in range(60):
+        text = f"often é\u6c49 often thing{k} often é\u6c49 rare{k}"
+        x = aligner.texts([text])[0]
+        want = brute([text])[0]
+        codes, begin = np.array(aligner.codes), np.array(aligner.begin)
+        links = np.concatenate([codes[begin[i] : begin[i] + aligner.n_links[i]] for i in x])
+        assert (*(int(np.array(getattr(aligner, n))[x].sum()) for n in alignment.NUMBERS), ";".join(aligner.groups[i] for i in x), len(links)) == (*want[:4], want[6], want[3])
+        if spans:
+            assert alignment._cuts(aligner, [x]).to_pylist()[0] == want[7]
+    assert added.count("often") == added.count("é\u6c49") == 1
+
+
 def test_long_text_is_cut_into_the_same_parts():
     text = " ".join(f"w{k}  \n x{k} y" for k in range(3000))
     assert [p for b in alignment.blocks(text, 100) for p in alignment.parts(b)] == alignment.parts(text)
