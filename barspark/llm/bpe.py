@@ -34,8 +34,8 @@ BLOCK = 8192
 LONG = 200
 #: The way words are cut that ``PLAIN`` follows, for a text with no character that ``BEYOND`` finds.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zà-öø-ÿ0-9]+")
-BEYOND = re.compile(r"[^\x00-\x1b\x20-\x7fà-öø-ÿ]")
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
+BEYOND = re.compile(r"[^\x00-\x1b\x20-\x7fß-öø-ÿ]")
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -283,8 +283,7 @@ class Encoder:
             else:
                 split.append(self.pretokens(text))
         memo = self.memo
-        new = set().union(*split)
-        new.difference_update(memo)
+        new = set().union(*split).difference(memo)  # looks the words up; difference_update would walk over the memo
         if len(memo) + len(new) > self.memo_size:
             memo.clear()
             memo.update({" " + t: array("I", [i]).tobytes() for t, i in self.special.items()})
