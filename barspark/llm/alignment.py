@@ -6,7 +6,8 @@ fallback spells, is cut by the decoded bytes of its tokens, counted on from the
 
 A text falls apart at single spaces between characters that are no white space: neither tokenizer
 has a token across such a place, so its parts are aligned once and remembered, and a text is the
-sequence of its parts.
+sequence of its parts. It also falls apart between a Latin letter and the punctuation after it, and
+before a line break that follows either, unless a tokenizer may have a token there.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import re
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,12 @@ HELD = 1 << 22
 TOGETHER, BLOCK = 1 << 20, 1 << 20
 #: Not white space to every library; no text is cut beside it.
 ODD_SPACE = "\u180e"
-UNCLEAN = re.compile(r"[\s\u180e] | [\s\u180e]|\A | \Z")
+UNCLEAN = re.compile(r" (?:[\s\u180e]|(?<=[\s\u180e] ))")
+#: Begins a part that has no space before it; no text has it, as it is half of a surrogate pair.
+TAIL = "\ud800"
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
+TAILS = re.compile(rf"[{MARKS}](?<=[{LETTERS}].)|\n(?<=[{LETTERS}{MARKS}].)", re.DOTALL)
+ID_END = attrgetter("id", "end")
 
 
 def _open(c: str) -> bool:
@@ -64,7 +71,7 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
 def parts(text: str) -> list[str]:
     """``text`` cut at single spaces, which are left out, between characters that are no white space."""
     pieces = text.split(" ")
-    if not UNCLEAN.search(text):
+    if pieces[0] and pieces[-1] and not UNCLEAN.search(text):
         return pieces
     found: list[str] = []
     joins = False
@@ -91,6 +98,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
@@ -102,6 +110,9 @@ class Aligner:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.spans = True
+        #: Whether no token of either goes across a place before ``TAILS``: the first one's words end there, and no piece of the second one has it inside.
+        plain = self.a.normalizer is None and isinstance(self.a.pre_tokenizer, ByteLevel) and self.a.pre_tokenizer.use_regex and all(t.special for t in self.a.get_added_tokens_decoder().values())
+        self.tails = plain and not any(TAILS.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
         #: Ids as written in a group, and as its last of a tokenizer.
         self.names = [f"{i}{c}" for x, last in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(x)) for c in (",", last)]
         self.forget()
@@ -134,62 +145,62 @@ class Aligner:
         self.groups, self.cuts, self.uses, self.chars = groups, cuts, uses, sum(map(len, words))
         self.memo = dict(zip(words, range(len(words))))
 
-    def _encoded(self, texts: list[str]) -> Iterator[tuple[bytes, list[int], list[tuple[int, int]], list[tuple[int, int, int]]] | None]:
-        """Of each text with a space before it: bytes, of the first tokenizer ids and spans in characters, of the second ids and spans in bytes without the space; None where bytes do not come back."""
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[bytes, list[int], list[tuple[int, int]], list[tuple[int, int]]] | None]:
+        """Of each text, which begins with a space: bytes, of the first tokenizer ids and spans in characters, of the second ids and ends of spans in bytes without the space; None where bytes do not come back."""
         for text in texts:
-            a = self.a.encode(" " + text, add_special_tokens=False)
-            data, own_a = (" " + text).encode(), a.ids
-            b = [(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]
-            if b"".join(map(self.bytes_a.__getitem__, own_a)) != data or b"".join([self.bytes_b[x[0]] for x in b]) != data:
+            a = self.a.encode(text, add_special_tokens=False)
+            data, own_a = text.encode(), a.ids
+            b = list(map(ID_END, self.b.encode(text[1:], return_type="proto").pieces))
+            if b"".join(map(self.bytes_a.__getitem__, own_a)) != data or b"".join([self.bytes_b[i] for i, _ in b]) != data:
                 yield None
                 continue
             yield data, own_a, a.offsets, b
 
     def add(self, new: list[str], told: bool = True) -> int:
-        """Align ``new`` parts; the number of the first. Clean parts are encoded in one text; groups are written out if ``told``."""
-        at, stretches, size = len(self.good), [], LONGEST + 1
+        """Align ``new`` parts; the number of the first. Clean parts are encoded in one text, tails after a letter; groups are written out if ``told``."""
+        at, stretches, size, letter = len(self.good), [], LONGEST + 1, len(new)
+        written = [" " + x if x[:1] != TAIL else x[1:] for x in new] + [" a"]
+        alone = lambda k: [k] if new[k][:1] != TAIL else [letter, k]
         for k, text in enumerate(new):
-            clean = text != "" and _open(text[0]) and _open(text[-1])
+            clean = text != "" and len(text.strip()) == len(text) and text[0] != ODD_SPACE != text[-1]
             size += len(text) + 1
             if clean and size <= LONGEST and stretches and stretches[-1][0]:
-                stretches[-1][1].append(k)
+                stretches[-1][1].extend(alone(k))
             else:
-                stretches.append((clean, [k]))
+                stretches.append((clean, alone(k)))
                 size = len(text)
-        order, ids_a, spans_a, ids_b, lengths, sizes, count_a, count_b = [], [], [], [], [], [], [], []
+        order, ids_a, spans_a, ids_b, edges, sizes, count_a, count_b = [], [], [], [], [], [], [], []
         stretches = [own for _, own in stretches]
         flat = lambda x, width: np.fromiter(chain.from_iterable(x), np.int64, width * len(x)).reshape(-1, width)
         while stretches:
             failed = []
-            whole = [" ".join([new[k] for k in own]) for own in stretches]
+            whole = ["".join([written[k] for k in own]) for own in stretches]
             for own, text, found in zip(stretches, whole, self._encoded(whole)):
                 if found is None:
-                    failed += [[k] for k in own] if len(own) > 1 else []
+                    real = [k for k in own if k != letter]
+                    failed += map(alone, real) if len(real) > 1 else []
                     continue
                 data, a, spans, b = found
                 order += own
-                if len(own) == 1:
-                    lengths.append(len(data))
-                elif len(data) == len(text) + 1:
-                    lengths += [len(new[k]) + 1 for k in own]
-                else:
-                    lengths += [len(new[k].encode()) + 1 for k in own]
                 ids_a += a
-                own_a = flat(spans, 2)
-                if len(data) > len(text) + 1:
-                    points = np.frombuffer((" " + text).encode("utf-32-le"), "<u4")
-                    own_a = np.cumsum(np.concatenate([[0], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)]))[own_a]
-                spans_a.append(own_a), ids_b.append(flat(b, 3)), sizes.append(len(data)), count_a.append(len(a)), count_b.append(len(b))
+                own_a, ends = flat(spans, 2), np.cumsum(np.fromiter((len(written[k]) for k in own), np.int64, len(own)))
+                if len(data) > len(text):
+                    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+                    place = np.cumsum(np.concatenate([[0], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)]))
+                    own_a, ends = place[own_a], place[ends]
+                spans_a.append(own_a), ids_b.append(flat(b, 2)), edges.append(ends), sizes.append(len(data)), count_a.append(len(a)), count_b.append(len(b))
             stretches = failed
-        a, length = np.array(ids_a, np.int64), np.array(lengths, np.int64)
-        spans, near = np.concatenate([flat([], 2), *spans_a]), np.concatenate([flat([], 3), *ids_b])
-        b, sizes = near[:, 0], np.array(sizes, np.int64)
+        a, sizes, none = np.array(ids_a, np.int64), np.array(sizes, np.int64), np.zeros(0, np.int64)
         start = np.cumsum(sizes) - sizes
+        edge = np.concatenate([none, *edges]) + np.repeat(start, [len(x) for x in edges])
+        length = np.diff(edge, prepend=0)
+        spans, near = np.concatenate([flat([], 2), *spans_a]), np.concatenate([flat([], 2), *ids_b])
+        after = np.repeat(start + 1, count_b)
+        b, near = near[:, 0], near[:, 1] + after
         spans += np.repeat(start, count_a)[:, None]
-        near = near[:, 1:] + np.repeat(start + 1, count_b)[:, None]
         end_a = byte_ends(spans[:, 1], np.append(spans[1:, 0] >= spans[:-1, 1], np.ones(min(len(a), 1), bool)), self.size_a[a])
-        end_b = byte_ends(near[:, 1], near[:, 1] > near[:, 0], self.size_b[b])
-        edge, count = np.cumsum(length), lambda x: np.bincount(x, minlength=len(order))
+        end_b = byte_ends(near, near > np.maximum(np.append(0, near)[:-1], after), self.size_b[b])
+        count = lambda x: np.bincount(x, minlength=len(order))
         part_a, part_b = np.searchsorted(edge, end_a), np.searchsorted(edge, end_b)
         first = np.searchsorted(end_b, end_a - self.size_a[a], "right")
         many = np.searchsorted(end_b, end_a, "left") - first + 1
@@ -198,12 +209,12 @@ class Aligner:
         n_links, n_a, n_b = count(part_a[of_a]), count(part_a), count(part_b)
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         n_groups = count(np.searchsorted(edge, cuts))
-        own = np.zeros((7, len(new)), np.int64)
+        own = np.zeros((7, len(new) + 1), np.int64)
         own[:, order] = [np.ones(len(order), np.int64), n_a, n_b, n_groups, n_links, length, len(self.codes) + np.cumsum(n_links) - n_links]
-        for into, row in zip((self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.sizes, self.begin), own):
+        for into, row in zip((self.good, self.n_a, self.n_b, self.n_groups, self.n_links, self.sizes, self.begin), own[:, :-1]):
             into.frombytes(row.tobytes())
         self.codes.frombytes((a[of_a] << 16 | b[of_b]).astype(np.uint32).tobytes())
-        groups, ends = [""] * len(new), [b""] * (len(new) if self.spans else 0)
+        groups, ends = [""] * (len(new) + 1), [b""] * (len(new) + 1)
         if told:
             group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
             last_a, last_b = (cuts[g] == e if len(cuts) else e > 0 for g, e in ((group_a, end_a), (group_b, end_b)))
@@ -219,9 +230,9 @@ class Aligner:
                 for k, n in zip(order, n_groups.tolist()):
                     ends[k] = packed[8 * lo : 8 * (lo + n)]
                     lo += n
-        self.groups += groups
+        self.groups += groups[:-1]
         if self.spans:
-            self.cuts += ends
+            self.cuts += ends[:-1]
         self.chars += sum(map(len, new))
         return at
 
@@ -229,12 +240,15 @@ class Aligner:
         """Of each text the numbers of its parts; None without tokens."""
         if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
             self.trim()
-        cut = [[p for block in blocks(t) for p in parts(block)] if t else None for t in texts]
-        new = list(set().union(*(c for c in cut if c)).difference(self.memo))
+        mark = (lambda x: TAILS.sub(rf" {TAIL}\g<0>", x)) if self.tails else str
+        cut = [list(chain.from_iterable(parts(mark(block)) for block in blocks(t))) if t else None for t in texts]
+        found = [np.fromiter(map(self.memo.get, c, repeat(-1)), np.int64, len(c)) if c else None for c in cut]
+        missing = [(c, x, np.flatnonzero(x < 0).tolist()) for c, x in zip(cut, found) if c]
+        new = list({c[k] for c, _, own in missing for k in own})
         at = self.add(new)
         self.memo.update(zip(new, range(at, at + len(new))))
-        take = self.memo.__getitem__
-        found = [np.fromiter(map(take, c), np.int64, len(c)) if c else None for c in cut]
+        for c, x, own in missing:
+            x[own] = [self.memo[c[k]] for k in own]
         good = np.array(self.good, bool)
         if not good.all():  # a part whose bytes do not come back: the whole text decides
             odd = [k for k, x in enumerate(found) if x is not None and not good[x].all()]

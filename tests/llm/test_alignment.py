@@ -162,3 +162,36 @@ def test_parts_encoded_together(words):
     for k, w in enumerate(new):
         own = brute([w])[0]
         assert (aligner.n_a[k], aligner.n_b[k], aligner.n_groups[k], aligner.n_links[k], aligner.groups[k], np.frombuffer(aligner.cuts[k], np.int64).tolist()) == (*own[:4], own[6], own[7]), w
+
+
+def _same(aligner, texts):
+    for text, x in zip(texts, aligner.texts(texts)):
+        want = brute([text])[0]
+        got = (0, 0, 0, 0, "") if x is None else (*(int(np.array(getattr(aligner, n))[x].sum()) for n in alignment.NUMBERS), ";".join(aligner.groups[i] for i in x))
+        assert got == (*want[:4], want[6]), text
+        assert alignment._cuts(aligner, [x]).to_pylist()[0] == want[7], text
+
+
+def test_a_word_is_aligned_once_whatever_follows(monkeypatch):
+    aligner, added, add = alignment.Aligner(public_vocabulary(alignment.TOKENIZER_A), public_vocabulary(alignment.TOKENIZER_B)), [], alignment.Aligner.add
+    monkeypatch.setattr(alignment.Aligner, "add", lambda self, new, told=True: added.extend(new) or add(self, new, told))
+    _same(aligner, [f"Wörter{a} Wörter don't{b}\nWörter{b} (Wörter){a} Wörter{a}{b}\n\n Wörter{b}\n" for a in (",", ".", "!!", "") for b in ("?", "'s", "###", "_")])
+    assert sum(x.startswith("Wörter") for x in added) == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Zé", "ﬁ", "1", "汉", "́", "don't", "'", "'s", ".", ",", "$$", "_", "<s>", "▁", "\n", " ", "\t", "😀"]), max_size=14))
+def test_letters_marks_and_line_breaks(pieces):
+    _same(alignment._aligner(public_vocabulary(alignment.TOKENIZER_A), public_vocabulary(alignment.TOKENIZER_B)), ["".join(pieces)])
+
+
+def test_no_tails_where_a_piece_has_letter_and_mark(monkeypatch, tmp_path):
+    from sentencepiece import SentencePieceProcessor, SentencePieceTrainer
+
+    lines = iter(["go.on go.on to.on don't"] * 50)
+    SentencePieceTrainer.train(sentence_iterator=lines, model_prefix=f"{tmp_path}/m", vocab_size=290, model_type="bpe", byte_fallback=True, normalization_rule_name="identity", split_by_unicode_script=False, remove_extra_whitespaces=False, hard_vocab_limit=False, minloglevel=2)
+    tokens("a")
+    monkeypatch.setitem(globals(), "_loaded", [_loaded[0], SentencePieceProcessor(model_file=f"{tmp_path}/m.model"), _loaded[2]])
+    aligner = alignment.Aligner(public_vocabulary(alignment.TOKENIZER_A), f"{tmp_path}/m.model")
+    assert not aligner.tails and any("." in aligner.b.id_to_piece(i)[1:] for i in range(aligner.b.get_piece_size()))
+    _same(aligner, ["go.on, to.on. don't\ngo.", "go on"])
