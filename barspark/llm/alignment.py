@@ -39,7 +39,7 @@ LONGEST = 1024
 #: Links, or pairs, that a task gathers before it sums them, or sends them.
 HELD = 1 << 22
 #: Bytes of texts that are worked on together, and characters of a long text that are cut into parts at a time.
-TOGETHER, BLOCK = 1 << 20, 1 << 20
+TOGETHER, BLOCK = 1 << 19, 1 << 20
 #: Not white space to every library; no text is cut beside it.
 ODD_SPACE = "\u180e"
 UNCLEAN = re.compile(r" (?:[\s\u180e]|(?<=[\s\u180e] ))")
